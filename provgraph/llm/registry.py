@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, lines
+from . import bpe, gif, jaccard, lines, repeats
 
 QUERIES = {
     "op1_media": gif.op1_media,
+    "op2_substring_dedup": repeats.op2_substring_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op8_line_dedup": lines.op8_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": repeats.OP2_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
