@@ -18,6 +18,8 @@ import base64
 import codecs
 import functools
 import hashlib
+import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,6 +49,7 @@ class ByteBPE:
     """An encoder and decoder for one rank file."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -82,9 +85,9 @@ class ByteBPE:
         pieces = [self.split(x) for x in batch]
         if len(self.known) > KEPT:
             self.known.clear()
-        new = list(set().union(*pieces) - self.known.keys())
+        new = [x for x in set().union(*pieces) if x not in self.known]
         for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
+            self.known[piece] = array("I", e.ids).tobytes()
         return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in pieces]
 
     def encode_with_offsets(self, batch: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
