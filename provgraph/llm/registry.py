@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, jaccard, lines, repeats
+from . import ann, bpe, gif, jaccard, lines, packing, pii, repeats, warc
 
 QUERIES = {
     "op1_media": gif.op1_media,
     "op2_substring_dedup": repeats.op2_substring_dedup,
+    "op3_arc_to_warc": warc.op3_arc_to_warc,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_packing": packing.op6_packing,
+    "op7_pii": pii.op7_pii,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op10_nearest": ann.op10_nearest,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": repeats.OP2_SQL,
+    "op3_arc_to_warc": warc.OP3_SQL,
+    "op7_pii": pii.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
