@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, gif, jaccard, lines, packing, pii, repeats, warc
+from . import ann, bpe, gif, jaccard, lines, packing, pii, repeats, toxicity, warc
 
 QUERIES = {
     "op1_media": gif.op1_media,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_nearest": ann.op10_nearest,
 }
 
