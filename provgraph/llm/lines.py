@@ -200,10 +200,12 @@ def _answers(blocks: DataFrame, distinct: DataFrame, shards: int, min_docs: int)
     return built.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "id bigint, kind bigint, line int")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """(key, n_lines, n_dropped, text): the lines of each document that no earlier document has, joined again."""
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("kind"), "text")
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_lines, n_dropped, text): the lines of each document that no earlier document has, joined again.
+    `carry` names further columns of df that stay with their rows."""
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    every = docs.select("id", F.xxhash64("text").alias("kind"), "text", "rest")
+    docs = every.select("id", "kind", "text")
     blocks = checkpoint(_blocks(docs, min_chars))
     distinct = checkpoint(_distinct(blocks))
     lines, asked = distinct.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
@@ -219,9 +221,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
                     out = set(gone_.as_py() or ())
                     rows.append((len(lines_), len(out), "\n".join(x for i, x in enumerate(lines_) if i not in out) if out else text_.as_py()))
                 n, dropped, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_lines", "n_dropped", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), part.column(3)], names=["id", "n_lines", "n_dropped", "kept", "rest"])
 
-    return docs.join(gone, ["id", "kind"], "left").select("id", "text", "gone").mapInArrow(keep, f"`{key}` bigint, n_lines bigint, n_dropped bigint, text string")
+    rest = every.schema["rest"].dataType.simpleString()
+    out = every.join(gone, ["id", "kind"], "left").select("id", "text", "gone", "rest").mapInArrow(keep, f"id bigint, n_lines bigint, n_dropped bigint, kept string, rest {rest}")
+    return out.select(F.col("id").alias(key), "n_lines", "n_dropped", F.col("kept").alias("text"), *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -217,8 +217,13 @@ def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc
     return placed.drop("__class", "__rank", "__slot")
 
 
-def op6_packing(spark, sf_dir: str) -> DataFrame:
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Documents, cut by the public word tokenizer and packed: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     import public_tokenizers
 
-    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    cut = pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pack(checkpoint(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
+
+
+def op6_packing(spark, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
