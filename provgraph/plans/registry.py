@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graph, pieces
+
+QUERIES: dict = {**pieces.QUERIES, **graph.QUERIES}
+ORACLE_SQL: dict = {**pieces.ORACLE_SQL, **graph.ORACLE_SQL}
 
 
 def FLAGSHIP(spark, sf_dir):
