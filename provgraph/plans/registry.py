@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, pieces
+from . import answers, graph, pieces
 
-QUERIES: dict = {**pieces.QUERIES, **graph.QUERIES}
-ORACLE_SQL: dict = {**pieces.ORACLE_SQL, **graph.ORACLE_SQL}
-
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+QUERIES: dict = {**answers.QUERIES, **graph.QUERIES, **pieces.QUERIES}
+ORACLE_SQL: dict = {**answers.ORACLE_SQL, **graph.ORACLE_SQL, **pieces.ORACLE_SQL}
+FLAGSHIP = answers.answers
