@@ -2,8 +2,9 @@
 
 Distinct lines are known by 128-bit hashes. A sharded minimal perfect hash gives each distinct line a
 place in its shard's arrays (fingerprint, number of documents, first document). Blocks of documents then
-ask each shard for their own distinct lines at once and read the answers off the arrays: no row per line
-is joined, and a line that a third of all documents hold is asked for once a block.
+ask each shard for their own distinct lines at once, without their occurrences, and get back which are
+shared and the first document of each. Occurrences are judged within their block: no row per line is joined,
+and a line that a third of all documents hold costs a shard one entry a block, however often it occurs.
 
 Defined results: a null or empty text is one empty line; lines shorter than `min_chars` code points after
 stripping stay; rows with a null key stay whole and make no other line go; rows that repeat a key are one
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, batch_of, bytes_of, checkpoint, hash_ranges, is_space, lowered, mix, signed, steps, table, texts
 
-#: Distinct lines of a shard, about, and rows of asked lines.
+#: Distinct lines of a shard, about, and lines that blocks ask it for.
 SHARD_LINES, SHARD_ASKED = 250_000, 1_000_000
 LEVELS = 48
 
@@ -145,8 +146,27 @@ def _distinct(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("one", "two").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.count("*").alias("asked"))
 
 
+def _asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, number, one, two): a block's distinct lines by shard, each once; `number` is its place in _unique's order."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                *_, one, two = _read(row)
+                spots, _ = _unique(one, two)
+                one, two = one[spots], two[spots]
+                of = signed(one) % shards
+                for shard in np.unique(of):
+                    mine = np.flatnonzero(of == shard)
+                    packed = [mine.astype(np.int32), one[mine], two[mine]]
+                    yield batch_of(shard=pa.array([shard], pa.int32()), block=[row["block"]], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("number", "one", "two"), packed, strict=True)})
+
+    return blocks.mapInArrow(ask, "shard int, block string, number binary, one binary, two binary")
+
+
 def _answers(blocks: DataFrame, distinct: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """(block, ids, kinds, lines): what goes, by block and shard."""
+    """(id, kind, line): what goes. Shards tell blocks which of their distinct lines are shared, and the first document
+    of each; the occurrences stay with their block, so a task's rows do not grow with how often a line occurs."""
 
     def index(t: pa.Table) -> pa.Table:
         one, two = (t[k].to_numpy().view(U64) for k in ("one", "two"))
@@ -164,22 +184,6 @@ def _answers(blocks: DataFrame, distinct: DataFrame, shards: int, min_docs: int)
         .applyInArrow(index, "shard int, sizes array<bigint>, words binary, prints binary, counts binary, low binary, high binary")
     )
 
-    def ask(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, kinds, lines, one, two = _read(row)
-                spots, which = _unique(one, two)
-                of = (signed(one) % shards)[spots]
-                for shard in np.unique(of):
-                    mine = np.flatnonzero(of == shard)
-                    number = np.full(len(spots), -1)
-                    number[mine] = np.arange(len(mine))
-                    held = np.flatnonzero(number[which] >= 0)
-                    packed = [one[spots[mine]], two[spots[mine]], number[which[held]].astype(np.int32), ids[held], kinds[held], lines[held]]
-                    yield batch_of(shard=pa.array([shard], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("one", "two", "which", "ids", "kinds", "lines"), packed, strict=True)})
-
-    asked = blocks.mapInArrow(ask, "shard int, one binary, two binary, which binary, ids binary, kinds binary, lines binary")
-
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
@@ -188,16 +192,39 @@ def _answers(blocks: DataFrame, distinct: DataFrame, shards: int, min_docs: int)
             prints, counts, low, high = (np.frombuffer(arrays[k], t) for k, t in (("prints", np.uint32), ("counts", np.int64), ("low", np.int64), ("high", np.int64)))
             for batch in right.to_batches(max_chunksize=64):
                 for row in batch.to_pylist():
-                    one, two = np.frombuffer(row["one"], U64), np.frombuffer(row["two"], U64)
+                    number, one, two = (np.frombuffer(row[k], t) for k, t in (("number", np.int32), ("one", U64), ("two", U64)))
                     at = ph.places(one, two)
                     shared = (prints[at] == _fingerprint(one, two)) & (counts[at] >= min_docs) & (low[at] != high[at])
-                    which, ids, kinds, lines = (np.frombuffer(row[k], t) for k, t in (("which", np.int32), ("ids", np.int64), ("kinds", np.int64), ("lines", np.int32)))
-                    goes = shared[which] & (ids != low[at][which])
-                    out.append(pa.table({"id": ids[goes], "kind": kinds[goes], "line": lines[goes]}))
+                    if shared.any():
+                        out.append((row["block"], number[shared].tobytes(), low[at][shared].tobytes()))
+        block, number, first = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"block": pa.array(block, pa.string()), "number": pa.array(number, pa.binary()), "first": pa.array(first, pa.binary())})
+
+    shared = built.groupBy("shard").cogroup(_asked(blocks, shards).groupBy("shard")).applyInArrow(answer, "block string, number binary, first binary")
+
+    def number(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                which = _unique(*_read(row)[3:])[1].astype(np.int32)
+                yield batch_of(**{k: [row[k]] for k in ("block", "ids", "kinds", "lines")}, which=pa.array([which.tobytes()], pa.binary()))
+
+    held = blocks.mapInArrow(number, "block string, ids binary, kinds binary, lines binary, which binary")
+
+    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            (row,) = left.to_pylist()
+            ids, kinds, lines, which = (np.frombuffer(row[k], t) for k, t in (("ids", np.int64), ("kinds", np.int64), ("lines", np.int32), ("which", np.int32)))
+            shared, first = np.zeros(int(which.max()) + 1, bool), np.zeros(int(which.max()) + 1, np.int64)
+            for said in right.to_pylist():
+                own = np.frombuffer(said["number"], np.int32)
+                shared[own], first[own] = True, np.frombuffer(said["first"], np.int64)
+            goes = shared[which] & (ids != first[which])
+            out.append(pa.table({"id": ids[goes], "kind": kinds[goes], "line": lines[goes]}))
         empty = pa.table({"id": pa.array([], pa.int64()), "kind": pa.array([], pa.int64()), "line": pa.array([], pa.int32())})
         return pa.concat_tables([empty, *out])
 
-    return built.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "id bigint, kind bigint, line int")
+    return held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(resolve, "id bigint, kind bigint, line int")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -168,3 +168,18 @@ def test_pipeline_keeps_clean_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == list(c.COLUMNS), name
     assert docs.count() > 150
+
+
+def test_hot_line_costs_a_shard_one_entry_a_block(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    asked, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: asked.append(other._df) or cogroup(self, other))
+    hot = "\n".join(["a line that all documents hold"] * 50)
+    docs = spark.createDataFrame([(i, f"{hot}\nand a line of document {i}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    kept = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in rows(lines.dedup_lines(docs))}
+    assert kept[0] == (51, 0, f"{hot}\nand a line of document 0")
+    assert all(kept[i] == (51, 50, f"and a line of document {i}") for i in range(1, 400))
+    (sent,) = (df for df in asked if "shard" in df.columns)
+    sizes = [sum(len(v) for v in r.values() if isinstance(v, (bytes, bytearray))) for r in rows(sent)]
+    assert 0 < sum(sizes) <= 32 * 401  # 20,400 occurrences
