@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program.
 
-Every document's ids are cut into pieces of `capacity` tokens at most. The histogram of piece lengths (in
-classes of `capacity / 1024` tokens, rounded up) is all that the driver sees. Its configuration program,
+Every document's ids are cut into pieces of `capacity` tokens at most. The histogram of piece lengths (exact
+up to a capacity of 4096; in 4096 classes or more, rounded up, beyond it) is all that the driver sees. Its configuration program,
 one variable per way to fill a sequence, is solved by multiplicative weights: a knapsack dynamic program
 prices the fullest configuration under the present weights, the configuration is used, and the weights of
 the lengths that it covers go down. Whole uses are kept, the program is solved again for what is left, and
@@ -22,15 +22,18 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, steps, table, texts
 
-CAPACITY, CLASSES = 4096, 1024
+CAPACITY, CLASSES = 4096, 4096
 #: Words whose ids a worker keeps; rows of one class that one task ranks, about.
 KEPT, RANKED = 600_000, 200_000
 STEP, ROUNDS, PHASES = 0.05, 1500, 4
+#: Items that best fit takes without the program; rooms that one step of the dynamic program looks at.
+REST, BLOCK = 4096, 64
 
 
 class WordTokens:
@@ -87,28 +90,48 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
 
 
-def fullest(values: np.ndarray, units: int) -> np.ndarray:
-    """The best multiset of sizes 1..units within `units`, by dynamic programming: how many of each size.
-    values[s] is the worth of one item of size s; sizes not there are worth nothing."""
-    sizes = np.flatnonzero(values > 0)
-    worth, best, last = values[sizes], np.zeros(units + 1), np.zeros(units + 1, np.int64)
-    most = np.searchsorted(sizes, np.arange(units + 1), "right")
-    for room in range(1, units + 1):
-        n = most[room]
-        best[room] = best[room - 1]
+def fullest(values: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best multiset of sizes 1..units within `units`, by dynamic programming: its sizes and how many of each.
+    values[s] is the worth of one item of size s; sizes not there are worth nothing. Sizes of BLOCK and more are
+    done a block of rooms at a time, smaller ones a size at a time; the best split of the room joins both."""
+    worth = np.where(values > 0, values, -np.inf).astype(np.float32)
+    padded = np.full(2 * units + 1, -np.inf, np.float32)
+    best = padded[units:]
+    best[:BLOCK] = 0
+    if (values[BLOCK:] > 0).any():
+        back, space = worth[::-1].copy(), np.empty(BLOCK * units, np.float32)
+        for begin in range(BLOCK, units + 1, BLOCK):
+            end = min(begin + BLOCK, units + 1)
+            # Row i: rooms that sizes end - 1 down to BLOCK leave in a room of begin + i.
+            left = as_strided(padded[units + begin - end + 1 :], (end - begin, end - BLOCK), padded.strides * 2, writeable=False)
+            total = np.add(left, back[units + 1 - end : units + 1 - BLOCK], out=space[: left.size].reshape(left.shape))
+            best[begin:end] = np.maximum.accumulate(np.maximum(total.max(1), best[begin - 1]))
+    else:
+        best[:] = 0
+    small = np.flatnonzero(values[:BLOCK] > 0)
+    tables = [np.zeros(units + 1)]
+    for size in small:
+        rows = -(-(units + 1) // size)
+        grid = np.full(rows * size, -np.inf)
+        grid[: units + 1] = tables[-1]
+        gain = np.arange(rows)[:, None] * values[size]
+        tables.append((np.maximum.accumulate(grid.reshape(rows, size) - gain) + gain).ravel()[: units + 1])
+    rest = int((best[::-1] + tables[-1]).argmax())
+    out, room = {}, units - rest
+    while room := int(np.searchsorted(best, best[room])):
+        size = BLOCK + int((best[room - BLOCK :: -1] + worth[BLOCK : room + 1]).argmax())
+        out[size] = out.get(size, 0) + 1
+        room -= size
+    for size, below in zip(small[::-1], tables[-2::-1], strict=True):
+        n = int((below[rest::-size] + np.arange(rest // size + 1) * values[size]).argmax())
         if n:
-            total = best[room - sizes[:n]] + worth[:n]
-            i = int(total.argmax())
-            if total[i] > best[room]:
-                best[room], last[room] = total[i], sizes[i]
-    out, room = np.zeros(units + 1, np.int64), units
-    while room:
-        out[last[room]] += last[room] > 0
-        room -= max(1, int(last[room]))
-    return out
-
-
-def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
+            out[int(size)] = n
+            rest -= n * int(size)
+    sizes = np.array(sorted(out), np.int64)
+    return sizes, np.array([out[x] for x in sizes.tolist()], np.int64)
+
+
+def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple, float]]:
     """Configurations and how often each is used, fractionally; together they cover about each length's count."""
     used: dict[bytes, list] = {}
     weight = np.where(counts > 0, np.arange(units + 1) / units, 0.0)
@@ -116,61 +139,79 @@ def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = ST
     for _ in range(rounds):
         if not weight.any():
             break
-        config = fullest(weight, units)
-        own = np.flatnonzero(config)
-        times = float((need[own] / config[own]).min()) * 0.5
-        entry = used.setdefault(config.tobytes(), [config, 0.0])
+        own, n = config = fullest(weight, units)
+        times = min(float((need[own] / n).min()) * 0.5, float(((counts[own] - covered[own]) / n).min()))
+        entry = used.setdefault(np.stack(config).tobytes(), [config, 0.0])
         entry[1] += times
-        covered[own] += times * config[own]
-        weight[own] *= np.exp(-step * times * config[own] / need[own])
+        covered[own] += times * n
+        weight[own] *= np.exp(-step * times * n / need[own])
         weight[own[covered[own] >= counts[own] - 0.5]] = 0.0
     return [(c, x) for c, x in used.values()]
 
 
-def plan(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations and whole numbers of uses that take exactly `counts` items of each size."""
-    left, out, size = counts.astype(np.int64).copy(), [], np.arange(units + 1)
-    for full in [units] * (PHASES - 1) + [0]:
-        if left.sum() <= 4 * units:
-            break
-        before = left.sum()
+def plan(counts: np.ndarray, units: int) -> list[tuple[tuple, int]]:
+    """Configurations (sizes, how many of each) and whole numbers of uses that take exactly `counts` items of each size.
+    Full sequences are kept first, then any, for as long as a phase takes a good part of what is left."""
+    left, out, phase = counts.astype(np.int64).copy(), [], 1
+    while (before := int(left.sum())) > REST:
         for config, times in sorted(solve(left, units), key=lambda x: -x[1]):
-            if config @ size < full:
+            own, n = config
+            if phase < PHASES and own @ n < units:
                 continue
-            own = np.flatnonzero(config)
-            whole = int(min(np.floor(times + 1e-9), (left[own] // config[own]).min()))
+            whole = int(min(np.floor(times + 1e-9), (left[own] // n).min()))
             if whole > 0:
-                left -= whole * config
+                left[own] -= whole * n
                 out.append((config, whole))
+        if phase >= PHASES and left.sum() > before / 2:
+            break
+        phase += 1
     return out + best_fit(left, units)
 
 
-def best_fit(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
-    """Largest items first, each into the fullest sequence that has room."""
-    rooms: list[tuple[int, int]] = []
-    bins: list[np.ndarray] = []
-    for size in np.flatnonzero(counts)[::-1]:
-        for _ in range(int(counts[size])):
-            i = bisect_left(rooms, (int(size), -1))
-            if i < len(rooms):
-                room, own = rooms.pop(i)
-            else:
-                room, own = units, len(bins)
-                bins.append(np.zeros(units + 1, np.int64))
-            bins[own][size] += 1
-            if room > size:
-                insort(rooms, (room - int(size), own))
-    return [(b, 1) for b in bins]
+def best_fit(counts: np.ndarray, units: int) -> list[tuple[tuple, int]]:
+    """Largest items first, each into the fullest sequence that has room; equal sequences are filled together, so the
+    work follows the number of sizes and not that of items."""
+    rooms: list[int] = []
+    bins: dict[int, list[tuple[dict, int]]] = {}
 
+    def add(room, config, times):
+        if room not in bins:
+            insort(rooms, room)
+        bins.setdefault(room, []).append((config, times))
 
-def _slots(configs: list[tuple[np.ndarray, int]]):
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        n, filled = int(counts[size]), []
+        while n:
+            i = bisect_left(rooms, size)
+            if i < len(rooms):
+                room = rooms[i]
+                config, times = bins[room].pop()
+                if not bins[room]:
+                    del bins[room], rooms[i]
+            else:
+                room, config, times = units, {}, -(-n // (units // size))
+            each = room // size
+            whole = min(times, n // each)
+            more = n - whole * each if whole < times else 0
+            n -= whole * each + more
+            if whole:
+                filled.append((room - each * size, config | {size: each}, whole))
+            if more:
+                filled.append((room - more * size, config | {size: more}, 1))
+            if times - whole - (more > 0):
+                filled.append((room, config, times - whole - (more > 0)))
+        for x in filled:
+            add(*x)
+    return [((np.array(sorted(c), np.int64), np.array([c[x] for x in sorted(c)], np.int64)), times) for own in bins.values() for c, times in own]
+
+
+def _slots(configs: list[tuple[tuple, int]]):
     """By class: first ranks, items a use, first sequence and place of the uses of each configuration that has it."""
     parts: dict[int, list] = {}
     begun: dict[int, int] = {}
     sequence = 0
-    for config, times in configs:
-        for place, size in enumerate(np.flatnonzero(config).tolist()):
-            n = int(config[size])
+    for (sizes, each), times in configs:
+        for place, (size, n) in enumerate(zip(sizes.tolist(), each.tolist(), strict=True)):
             parts.setdefault(size, []).append((begun.get(size, 0), n, sequence, place))
             begun[size] = begun.get(size, 0) + n * times
         sequence += times

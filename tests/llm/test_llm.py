@@ -183,3 +183,21 @@ def test_hot_line_costs_a_shard_one_entry_a_block(spark, monkeypatch):
     (sent,) = (df for df in asked if "shard" in df.columns)
     sizes = [sum(len(v) for v in r.values() if isinstance(v, (bytes, bytearray))) for r in rows(sent)]
     assert 0 < sum(sizes) <= 32 * 401  # 20,400 occurrences
+
+
+@pytest.mark.parametrize("lengths", [[1] * 10000, [1, 2, 3, 5] * 30000, [65] * 60000])
+def test_packing_of_short_pieces_is_close_to_the_bound(lengths):
+    counts = np.bincount(lengths, minlength=packing.CLASSES + 1)
+    found = packing.plan(counts, packing.CLASSES)
+    taken = np.zeros_like(counts)
+    for (sizes, n), times in found:
+        assert sizes @ n <= packing.CAPACITY
+        taken[sizes] += n * times
+    assert (taken == counts).all()
+    assert sum(times for _, times in found) <= -(-sum(lengths) // packing.CAPACITY) + 1
+
+
+def test_packing_fills_sequences_with_empty_texts(spark):
+    docs = spark.range(10000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    found = rows(packing.packed_documents(docs).groupBy("sequence_id").agg({"length": "sum", "*": "count"}))
+    assert sorted(r["sum(length)"] for r in found) == [1808, 4096, 4096]
