@@ -86,13 +86,22 @@ def expand(seeds: DataFrame, edges: DataFrame, rules: list[tuple[str, str, bool]
 
 
 def next_of(nodes: DataFrame, precedes: DataFrame) -> DataFrame:
-    """(id, next, how): the next sibling of a node; else that of its parent (same axis value if it has such an instance)."""
-    after = precedes.select(F.col("src").alias("id"), F.col("dst").alias("own"))
-    above = precedes.select(F.col("src").alias("parent"), F.col("dst").alias("over"))
-    instance = nodes.where("tier = 'detail'").select(F.col("parent").alias("over"), "polarity", F.col("id").alias("same"))
-    out = nodes.join(after, "id", "left").join(above, "parent", "left").join(instance, ["over", "polarity"], "left")
-    how = F.when(F.col("own").isNotNull(), "self").when(F.col("same").isNotNull(), "derived_instance").when(F.col("over").isNotNull(), "derived_merge").otherwise("none")
-    return out.select("id", F.coalesce("own", "same", "over").alias("next"), how.alias("how"))
+    """(id, next, how, at): the next sibling of the nearest of a node and its ancestors that has one (`at`), or that sibling's
+    instance of the node's axis value if there is one. Each level is one join on the nodes that have found none yet."""
+    after = precedes.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("over"))
+    above = nodes.where("parent is not null").select(F.col("id").alias("at"), "parent")
+    frontier = seen = checkpoint(nodes.select("id", F.col("id").alias("at")))
+    found = frontier.join(after, "at")
+    while True:
+        up = frontier.join(after, "at", "left_anti").join(above, "at").select("id", F.col("parent").alias("at"))
+        frontier = checkpoint(up.join(seen, ["id", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen, found = seen.union(frontier), found.union(frontier.join(after, "at"))
+    instance = nodes.where("polarity <> 'none'").groupBy(F.col("parent").alias("over"), "polarity").agg(F.min("id").alias("same"))
+    out = nodes.select("id", "polarity").join(found, "id", "left").join(instance, ["over", "polarity"], "left")
+    how = F.when(F.col("at").isNull(), "none").when(F.col("at") == F.col("id"), "self").when(F.col("same").isNotNull(), "derived_instance").otherwise("derived_merge")
+    return out.select("id", F.coalesce("same", "over").alias("next"), how.alias("how"), "at")
 
 
 def hubs(edges: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:

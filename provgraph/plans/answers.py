@@ -55,7 +55,12 @@ def collect_chunks_top8(spark, sf_dir):
 
 
 def next_of(spark, sf_dir):
-    return G.next_of(W.nodes(spark, sf_dir).where("status = 'seed'"), W.precedes(spark, sf_dir))
+    return G.next_of(W.nodes(spark, sf_dir).where("status = 'seed'"), W.precedes(spark, sf_dir)).select("id", "next", "how")
+
+
+def next_of_nodes(spark, sf_dir):
+    """As next_of, of all nodes, with the node that the answer holds for."""
+    return G.next_of(W.nodes(spark, sf_dir), W.precedes(spark, sf_dir))
 
 
 def flow_chain(spark, sf_dir):
@@ -192,7 +197,7 @@ def doc_trace(spark, sf_dir):
     return W.has_property(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("units"), F.countDistinct("dst").alias("properties"))
 
 
-QUERIES = {f.__name__: f for f in (link_questions, intent, expand_bfs, facts_edges, facts_attrs, bridge_one_hop, cross_facts, collect_chunks_top8, next_of, flow_chain, answers, answer_path_counts, gauges, gauge_plateau, gauge_hold_rate, gauge_hubs, graph_view, queue_view, transit_redirect, op_rename, op_survivor, op_merge, op_split_residual, op_obsolete, merge_candidates, export_cypher, export_mermaid, export_csv_rows, tree_view, doc_trace)}
+QUERIES = {f.__name__: f for f in (link_questions, intent, expand_bfs, facts_edges, facts_attrs, bridge_one_hop, cross_facts, collect_chunks_top8, next_of, next_of_nodes, flow_chain, answers, answer_path_counts, gauges, gauge_plateau, gauge_hold_rate, gauge_hubs, graph_view, queue_view, transit_redirect, op_rename, op_survivor, op_merge, op_split_residual, op_obsolete, merge_candidates, export_cypher, export_mermaid, export_csv_rows, tree_view, doc_trace)}
 
 _FACTS = "SELECT a.qid, e.rel, CASE e.rel WHEN 'part_of' THEN s.canonical || ' is part of ' || d.canonical WHEN 'precedes' THEN d.canonical || ' comes after ' || s.canonical ELSE s.canonical || ' has ' || d.canonical END AS fact FROM edges e JOIN expanded a ON a.node = e.src JOIN expanded b ON b.node = e.dst AND b.qid = a.qid JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.rel IN ('part_of', 'precedes', 'has_property')"
 _BRIDGE = "SELECT w.qid, x.b AS node, x.a AS via FROM expanded w JOIN (SELECT DISTINCT src AS a, dst AS b FROM occurs_in UNION ALL SELECT DISTINCT dst, src FROM occurs_in) x ON x.a = w.node WHERE NOT EXISTS (SELECT 1 FROM expanded o WHERE o.qid = w.qid AND o.node = x.b)"
@@ -212,6 +217,7 @@ ORACLE_SQL = {
     "cross_facts": SQL + f"SELECT qid, n.canonical || ' occurs in ' || v.canonical AS fact FROM ({_BRIDGE}) b JOIN nodes n ON n.id = b.node JOIN nodes v ON v.id = b.via",
     "collect_chunks_top8": SQL + "SELECT * FROM top_chunks WHERE rank <= 8",
     "next_of": SQL + "SELECT n.id, coalesce(o.dst, i.id, u.dst) AS next, CASE WHEN o.dst IS NOT NULL THEN 'self' WHEN i.id IS NOT NULL THEN 'derived_instance' WHEN u.dst IS NOT NULL THEN 'derived_merge' ELSE 'none' END AS how FROM nodes n LEFT JOIN precedes o ON o.src = n.id LEFT JOIN precedes u ON u.src = n.parent LEFT JOIN nodes i ON i.tier = 'detail' AND i.parent = u.dst AND i.polarity = n.polarity WHERE n.status = 'seed'",
+    "next_of_nodes": SQL + "SELECT n.id, coalesce(i.id, c.dst) AS next, CASE WHEN c.dst IS NULL THEN 'none' WHEN c.at = n.id THEN 'self' WHEN i.id IS NOT NULL THEN 'derived_instance' ELSE 'derived_merge' END AS how, c.at FROM nodes n LEFT JOIN (SELECT m.id, coalesce(o.dst, u.dst, v.dst) AS dst, coalesce(o.src, u.src, v.src) AS at FROM nodes m LEFT JOIN nodes p ON p.id = m.parent LEFT JOIN precedes o ON o.src = m.id LEFT JOIN precedes u ON u.src = m.parent LEFT JOIN precedes v ON v.src = p.parent) c ON c.id = n.id LEFT JOIN nodes i ON i.tier = 'detail' AND i.parent = c.dst AND i.polarity = n.polarity",
     "flow_chain": SQL + "SELECT src, dst FROM precedes JOIN nodes ON id = src WHERE polarity = 'none'",
     "answers": SQL + _ANSWERS,
     "answer_path_counts": SQL + f"SELECT path, count(*) AS n FROM ({_ANSWERS}) GROUP BY 1",

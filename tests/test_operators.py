@@ -44,3 +44,10 @@ def test_contained_on_empty_and_short(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "k int, t string")
     terms = spark.createDataFrame([("bc",), ("abcd",), ("c",)], "term string")
     assert {(r.k, r.term) for r in R.contained(texts, "k", "t", terms, "term", [1, 2, 4]).collect()} == {(1, "bc"), (1, "c")}
+
+
+def test_next_of_climbs_to_the_first_ancestor_with_a_successor(spark):
+    rows = [("A", None, "none"), ("B", None, "none"), ("A:x", "A", "x"), ("B:x", "B", "x"), ("u", "A:x", "x"), ("v", "u", "y"), ("w", None, "x"), ("c", "d", "x"), ("d", "c", "x")]
+    nodes = spark.createDataFrame([(*r, "detail" if ":" in r[0] else "unit") for r in rows], "id string, parent string, polarity string, tier string")
+    out = {r.id: (r.next, r.how) for r in G.next_of(nodes, spark.createDataFrame([("A", "B")], "src string, dst string")).collect()}
+    assert out == {"A": ("B", "self"), "B": (None, "none"), "A:x": ("B:x", "derived_instance"), "B:x": (None, "none"), "u": ("B:x", "derived_instance"), "v": ("B", "derived_merge"), "w": (None, "none"), "c": (None, "none"), "d": (None, "none")}
