@@ -1,4 +1,5 @@
-"""Changes by people: rename, merge, split, obsolete, delete; each gives new frames, none changes a frame in place."""
+"""Changes by people: rename, survivors and edges of a merge, the residual of a split, obsolete; each gives new frames,
+none changes a frame in place."""
 
 from __future__ import annotations
 
@@ -10,16 +11,18 @@ RANK = {"seed": 3, "registered": 2, "auto": 1}
 
 
 def rename(nodes: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes with names (id, new) applied, names that start with the old one and :: following; and what was refused, as
-    (id, new): names that another node of the category has."""
+    """nodes with names (id, new) applied, names that start with the old one and :: following (the longest renamed start
+    counts); and what was refused, as (id, new): names that another node of the category has."""
     own = names.join(nodes.select("id", "canonical", "category"), "id")
     taken = nodes.select(F.col("canonical").alias("new"), "category", F.col("id").alias("other"))
     refused = own.join(taken, ["new", "category"]).where("other <> id").select("id", "new").distinct()
     valid = own.join(refused, ["id", "new"], "left_anti")
     old = valid.select(F.col("canonical").alias("head"), "category", "new")
-    head = F.element_at(F.split("canonical", "::"), 1)
-    moved = nodes.withColumn("head", head).join(old, ["head", "category"], "left")
-    name = F.when(F.col("new").isNotNull(), F.concat("new", F.substring(F.col("canonical"), F.length("head") + 1, F.length("canonical")))).otherwise(F.col("canonical"))
+    parts = F.split("canonical", "::")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "::"))
+    starts = nodes.select("id", "category", F.explode(heads).alias("head")).join(old, ["head", "category"])
+    moved = nodes.join(starts.groupBy("id").agg(F.max_by(F.struct("head", "new"), F.length("head")).alias("by")), "id", "left")
+    name = F.when(F.col("by").isNotNull(), F.concat("by.new", F.substring(F.col("canonical"), F.length("by.head") + 1, F.length("canonical")))).otherwise(F.col("canonical"))
     return moved.withColumn("canonical", name).select(*nodes.columns), refused
 
 

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames: nulls, blanks, ties, circles."""
 
 from provgraph.functions import text as T
+from provgraph.operators import changes as C
 from provgraph.operators import graph as G
 from provgraph.operators import parse as P
 from provgraph.operators import resolve as R
@@ -51,3 +52,11 @@ def test_next_of_climbs_to_the_first_ancestor_with_a_successor(spark):
     nodes = spark.createDataFrame([(*r, "detail" if ":" in r[0] else "unit") for r in rows], "id string, parent string, polarity string, tier string")
     out = {r.id: (r.next, r.how) for r in G.next_of(nodes, spark.createDataFrame([("A", "B")], "src string, dst string")).collect()}
     assert out == {"A": ("B", "self"), "B": (None, "none"), "A:x": ("B:x", "derived_instance"), "B:x": (None, "none"), "u": ("B:x", "derived_instance"), "v": ("B", "derived_merge"), "w": (None, "none"), "c": (None, "none"), "d": (None, "none")}
+
+
+def test_rename_of_scoped_names(spark):
+    names = {1: "A", 2: "A::b", 3: "A::b::c", 4: "A::bc", 5: "E", 6: "E::b"}
+    nodes = spark.createDataFrame([(i, n, "k") for i, n in names.items()], "id long, canonical string, category string")
+    done, refused = C.rename(nodes, spark.createDataFrame([(2, "A::x"), (5, "F"), (6, "A")], "id long, new string"))
+    assert {r.id: r.canonical for r in done.collect()} == {1: "A", 2: "A::x", 3: "A::x::c", 4: "A::bc", 5: "F", 6: "F::b"}
+    assert [(r.id, r.new) for r in refused.collect()] == [(6, "A")]
