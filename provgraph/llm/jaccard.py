@@ -1,23 +1,24 @@
 """N-gram Jaccard join by partition of the universe: exact links between documents of similar shingle sets.
 
 Sets fall into bands by size. In a band two linked sets differ in at most H shingles, so of H + 1 segments
-that shingles are hashed into, one is equal in both (pigeonhole). Each set is indexed under its segments in
-its own band and, where a smaller set may link with it, in the bands below. Cost-based allocation: a segment
-that is empty in a set would meet every other set whose segment is empty, so it is not indexed; the set
-pays with the one-deletion neighbourhood of its other segments (a key for each shingle left out), which
-finds the segments that differ in one shingle. A set with more than a quarter of its segments empty is
-indexed under those too. Either way no link is lost (`_keys` has the counts).
-
-Equal sets are one class. Candidates pass an exact bound (bits of a parity sketch that differ are at most
-the shingles that differ) and are then verified on their texts. First each set is verified with its first
-candidate in a bucket only; components of what links are formed; then candidates across components are
-verified. So a group of copies costs a pair each, and no link between components is missed. Buckets of over
-BUCKET sets are compared in blocks, in as many tasks.
+that shingles are hashed into, one is equal in both (pigeonhole). Each set is indexed under its filled
+segments in its own band and, where a smaller set may link with it, in the band below. Cost-based allocation:
+a segment that is empty in a set would meet every other set whose segment is empty, so it is not indexed;
+for each, the set pays with the one-deletion neighbourhood of one of its other segments (`_keys` says which
+and why no link is lost).
+
+Keys that sets of one class only hold are dropped, and of keys with the same members one is kept. Candidates
+pass an exact bound (bits of a parity sketch that differ are at most the shingles that differ) and are then
+verified on their texts, round by round: in a round each set names its first candidates in each bucket, links
+join components, and a next round looks across components only, until no candidate across components is left
+unjudged. So a group of copies costs a few rows a set in a round, and no link between components is missed.
+Buckets of over BUCKET sets are dealt to blocks, anew in each of DEALS rounds; after those, sets outside the
+bucket's largest component are compared with all its blocks.
 
 Defined results: a null text is empty; a text without words has no shingles, links with nothing and is a
 component by itself; with fewer than k words the whole sequence is the one shingle; a null key has no
-component; rows that repeat a key are one document and the links of each count. Only the key and the text
-are read, so other columns, of any name, do not clash.
+component; rows that repeat a key are one document with the links of each. Only the key and the text
+are read, so other columns, of any name, do not clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import U64, Words, batch_of, checkpoint, lowered, mix, signed, steps, table, texts
 from .components import components
 
-BUCKET = 2048
+BUCKET, DEALS = 2048, 3
+#: Texts that are compared with one text in one group; requests for texts that are sent to all tasks at most (24 bytes each).
+STAR, SENT = 512, 250_000
+#: Hashes of the universe that a set with few filled segments goes through.
+TURNS = 8
 
 
 class Bands:
@@ -85,180 +90,202 @@ def shingles(array: pa.Array, k: int):
     return doc[new], values[new]
 
 
-def _keys(values: np.ndarray, bands: Bands, out: list, homes: list) -> None:
-    """The keys of one set; `homes` says which are of its own band.
+def _keys(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set, and which are of its own band.
 
-    Let two linked sets have E and F empty segments, e of them in common, and m segments, so that they
-    differ in m - 1 shingles at most. If no other segment is equal, at least m - 2e + 1 segments differ in
-    exactly one shingle, and at most (E - e) + (F - e) of these are empty in one set. With E, F <= m / 4
-    some such segment is filled in both, and a deletion key of the fuller one is the other's key. If one
-    set is over m / 4 it has keys for its empty segments, which deletion keys of single shingles meet too."""
+    With m segments, linked sets X and Y differ in m - 1 shingles at most. Suppose that no filled segment is
+    equal, and let e segments be empty in both. The other m - e differ in one shingle or more each, so at most
+    e - 1 of them differ in two or more. A set with E empty segments (E >= e) has the one-deletion keys of its
+    first E segments of two shingles or more, or of all if it has fewer. Where X has e such segments that end
+    no later than Y's first e (or Y has fewer), one of these differs in one shingle. If X is the fuller one
+    there, its deletion key is Y's key, as Y has a shingle there; if Y is, it has three or more, so that the
+    segment is among those Y deletes from. So a pair is missed only if both sets have fewer than e, hence than
+    their own E, such segments; these sets go on to another hash of the universe, and after the last they have
+    keys for their empty segments."""
+    out, homes = [], []
     for number, band in enumerate(bands.homes(len(values))):
         m = bands.segments(band)
-        segment = ((mix(values + U64(77)) >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
-        weight = mix(values ^ U64(0xABCDEF))
-        sums = np.zeros(m, U64)
-        np.add.at(sums, segment, weight)
-        salt = mix(np.arange(m, dtype=U64) + (U64(band) << U64(32)))
-        filled = np.zeros(m, bool)
-        filled[segment] = True
-        empty = m - int(filled.sum())
-        found = [mix((sums if 4 * empty > m else sums[filled]) ^ (salt if 4 * empty > m else salt[filled]))]
-        if empty:
-            found.append(mix((sums[segment] - weight) ^ salt[segment]))
-        keys = np.unique(np.concatenate(found))
+        if m == 1:  # sets that may not differ are one class
+            continue
+        weight, found = mix(values ^ U64(0xABCDEF)), []
+        for turn in range(TURNS):
+            segment = ((mix(values + U64(77 + 1000003 * turn)) >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
+            sums, count = np.zeros(m, U64), np.bincount(segment, minlength=m)
+            np.add.at(sums, segment, weight)
+            salt = mix(np.arange(m, dtype=U64) + (U64(band) << U64(32)) + (U64(turn) << U64(56)))
+            empty, several = m - np.count_nonzero(count), np.flatnonzero(count > 1)
+            few = len(several) < empty
+            own = count >= (0 if few and turn == TURNS - 1 else 1)
+            found.append((sums ^ salt)[own])
+            if empty:
+                deleted = np.zeros(m, bool)
+                deleted[several[:empty]] = True
+                some = deleted[segment]
+                found.append((sums[segment[some]] - weight[some]) ^ salt[segment[some]])
+            if not few:
+                break
+        keys = np.unique(mix(np.concatenate(found)))
         out.append(keys)
         homes.append(np.full(len(keys), number == 0))
+    return np.concatenate([*out, np.zeros(0, U64)]), np.concatenate([*homes, np.zeros(0, bool)])
 
 
-def _sketch(values: np.ndarray, bands: Bands) -> np.ndarray:
-    """Parities of the shingles that fall on each of a power of two of bits, about four times those that may differ."""
+def _sketch(values: np.ndarray, bands: Bands) -> bytes:
+    """Parities of the shingles that fall on each of a power of two of bits, about 16 times those that may differ."""
     bits = 64
-    while bits < 4 * bands.differ(len(values), len(values)):
+    while bits < 16 * bands.differ(len(values), len(values)):
         bits *= 2
     odd = np.bincount((mix(values + U64(991)) % U64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _features(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def _by_text(part: pa.RecordBatch, k: int):
+    """Shingles of the texts, where each text's begin, and of each text: number and two sums (128 bits) that tell sets apart."""
+    doc, values = shingles(texts(part), k)
+    first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    one, two = (np.concatenate([[U64(0)], np.cumsum(mix(values ^ U64(x)))]) for x in (0, 0x5EED))
+    n, one, two = np.diff(first), one[first[1:]] - one[first[:-1]], two[first[1:]] - two[first[:-1]]
+    return values, first, n, one, two
+
+
+def _kind(n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """An even number for each class of equal sets."""
+    return mix(one ^ mix(two + n.astype(U64))) & ~U64(1)
+
+
+def _sets(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(id, n, one, two, kind, sketch) of each row."""
+
     def run(batches):
         bands = Bands(p, q)
         for batch in batches:
             for part in steps(batch, limit=2 << 20):
-                doc, values = shingles(texts(part), k)
-                first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                one, two = np.concatenate([[U64(0)], np.cumsum(mix(values))]), np.concatenate([[U64(0)], np.cumsum(mix(values ^ U64(0x5EED)))])
-                rows = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    keys, homes = [], []
-                    if b > a:
-                        _keys(values[a:b], bands, keys, homes)
-                    rows.append((np.concatenate([*keys, np.zeros(0, U64)]).tobytes(), np.concatenate([*homes, np.zeros(0, bool)]).tobytes(), _sketch(values[a:b], bands).tobytes() if b > a else b""))
-                keys, homes, sketches = zip(*rows, strict=True)
-                yield batch_of(
-                    id=part.column(0), n=np.diff(first), one=signed(one[first[1:]] - one[first[:-1]]), two=signed(two[first[1:]] - two[first[:-1]]),
-                    keys=pa.array(keys, pa.binary()), homes=pa.array(homes, pa.binary()), sketch=pa.array(sketches, pa.binary()),
-                )
-
-    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, keys binary, homes binary, sketch binary")
-
-
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, a, b, side, id, n, home, sketch): the sets that share a key, in blocks (a, b) of those that are too many."""
-
-    def explode(batches):
+                values, first, n, one, two = _by_text(part, k)
+                sketches = [_sketch(values[a:b], bands) if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield batch_of(id=part.column(0), n=n, one=signed(one), two=signed(two), kind=signed(_kind(n, one, two)), sketch=pa.array(sketches, pa.binary()))
+
+    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, kind bigint, sketch binary")
+
+
+def _key_rows(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(key, owner): the keys of each class that a slice of texts holds; an owner is the class, plus 1 where the key is of its own band."""
+
+    def run(batches):
+        bands = Bands(p, q)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
-                size = [len(x) for x in keys]
-                yield batch_of(
-                    key=np.concatenate([*keys, np.zeros(0, np.int64)]), id=np.repeat(part.column(0).to_numpy(), size),
-                    meta=np.repeat(part.column(1).to_numpy(), size) * 2 + np.concatenate([*(np.frombuffer(x.as_buffer(), bool) for x in part.column(3)), np.zeros(0, bool)]),
-                )
-
-    rows = classes.select("id", "n", "keys", "homes").mapInArrow(explode, "key bigint, id bigint, meta bigint")
-    same = Window.partitionBy("key")
-    rows = rows.withColumn("many", F.count("*").over(same)).withColumn("home", F.max(F.col("meta") % 2).over(same)).where("many > 1 and home = 1")
-    groups = F.ceil(F.col("many") / BUCKET).cast("int")
-    rows = rows.select("key", "id", (F.col("meta") / 2).cast("bigint").alias("n"), (F.col("meta") % 2).cast("boolean").alias("home"), groups.alias("groups"))
-    rows = rows.join(classes.select("id", "sketch"), "id")
-    mine = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
-    rows = rows.withColumn("side", mine).withColumn("other", F.explode(F.when(F.col("groups") > 1, F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array("side"))))
-    return rows.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "id", "n", "home", "sketch")
+            for part in steps(batch, limit=8 << 20):
+                values, first, n, one, two = _by_text(part, k)
+                kind, keys, owners = _kind(n, one, two), [], []
+                for i in np.unique(kind, return_index=True)[1]:
+                    if n[i]:
+                        own, home = _keys(values[first[i] : first[i + 1]], bands)
+                        keys.append(own)
+                        owners.append(kind[i] + home.astype(U64))
+                key, owner = (signed(np.concatenate([*x, np.zeros(0, U64)])) for x in (keys, owners))
+                for i in range(0, len(key), 1 << 16):
+                    yield batch_of(key=key[i : i + (1 << 16)], owner=owner[i : i + (1 << 16)])
+
+    return docs.where("id is not null").mapInArrow(run, "key bigint, owner bigint")
+
+
+def _buckets(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(key, id, n, home, sketch, many): classes that share a key, which is at home in one; of keys with equal members the least."""
+    same, home = Window.partitionBy("key"), F.col("owner").bitwiseAND(F.lit(1))
+    kind = F.col("owner") - home
+    new = F.coalesce(F.lag("owner").over(same.orderBy("owner")) != F.col("owner"), F.lit(True))
+    rows = _key_rows(docs, k, p, q).withColumn("new", new)
+    marks = [F.bit_xor(F.when(F.col("new"), F.xxhash64("owner", F.lit(i)))).over(same).alias(f"mark{i}") for i in range(2)]
+    rows = rows.select(
+        "key", kind.alias("kind"), (home == 1).alias("home"), "new", *marks,
+        F.min(kind).over(same).alias("low"), F.max(kind).over(same).alias("high"), F.max(home).over(same).alias("homes"), F.sum(F.col("new").cast("bigint")).over(same).alias("many"),
+    )
+    rows = checkpoint(rows.where("new and low <> high and homes = 1").select("key", "kind", "home", "mark0", "mark1", "many"))
+    kept = rows.groupBy("mark0", "mark1", "many").agg(F.min("key").alias("key")).select("key")
+    return checkpoint(rows.join(kept, "key", "left_semi").join(classes, "kind").select("key", "id", "n", "home", "sketch", "many"))
 
 
 class _Block:
-    """Rows of whole buckets, sorted by bucket and id, and which pairs of them may link."""
+    """Rows of whole blocks of buckets, and which pairs of them may link."""
 
     def __init__(self, t: pa.Table, bands: Bands):
         self.bands = bands
-        self.id, self.n = t["id"].to_numpy(), t["n"].to_numpy()
-        self.home = t["home"].to_numpy(zero_copy_only=False) if isinstance(t["home"], pa.Array) else np.asarray(t["home"])
-        self.side, self.cross = t["side"].to_numpy(), t["a"].to_numpy() != t["b"].to_numpy()
-        self.label = t["label"].to_numpy() if "label" in t.column_names else None
+        self.id, self.n, self.label = (t[c].to_numpy() for c in ("id", "n", "label"))
+        self.home, self.guest = (np.asarray(t[c]) for c in ("home", "guest"))
         raw = [np.frombuffer(x.as_buffer(), U64) for x in t["sketch"]]
-        self.words = np.array([len(x) for x in raw])
+        self.words = np.array([len(x) for x in raw], np.int64)
         self.at = np.cumsum(self.words) - self.words
         self.bits = np.concatenate([*raw, np.zeros(0, U64)])
 
-    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def fits(self, i: np.ndarray, j: np.ndarray):
+        """The pairs that may link, and in how many bits they differ."""
         x, y = self.n[i], self.n[j]
-        ok = (self.home[i] | self.home[j]) & (np.minimum(x, y) * self.bands.q >= self.bands.p * np.maximum(x, y)) & (self.id[i] != self.id[j])
-        ok &= ~self.cross[i] | (self.side[i] != self.side[j])
-        if self.label is not None:
-            ok &= self.label[i] != self.label[j]
-        some = np.flatnonzero(ok)
+        ok = (self.home[i] | self.home[j]) & (np.minimum(x, y) * self.bands.q >= self.bands.p * np.maximum(x, y))
+        some = np.flatnonzero(ok & (self.id[i] != self.id[j]) & (self.label[i] != self.label[j]) & ~(self.guest[i] & self.guest[j]))
         i, j = i[some], j[some]
-        sizes = self.words[i] * 2**32 + self.words[j]
+        far, sizes = np.zeros(len(i), np.int64), self.words[i] * 2**32 + self.words[j]
         for size in np.unique(sizes):
             now = np.flatnonzero(sizes == size)
-            one, two = (self._rows(r[now], int(w)) for r, w in ((i, size >> 32), (j, size & (2**32 - 1))))
+            one, two = (self.bits[self.at[r[now]][:, None] + np.arange(int(w))] for r, w in ((i, size >> 32), (j, size & (2**32 - 1))))
             while one.shape[1] > two.shape[1]:
                 one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
             while two.shape[1] > one.shape[1]:
                 two = two[:, : two.shape[1] // 2] ^ two[:, two.shape[1] // 2 :]
-            apart = np.bitwise_count(one ^ two).sum(axis=1)
-            ok[some[now]] = apart <= self.bands.differ(self.n[i[now]], self.n[j[now]])
-        return ok
-
-    def _rows(self, r: np.ndarray, words: int) -> np.ndarray:
-        return self.bits[self.at[r][:, None] + np.arange(words)]
+            far[now] = np.bitwise_count(one ^ two).sum(axis=1)
+        ok = far <= self.bands.differ(self.n[i], self.n[j])
+        return i[ok], j[ok], far[ok]
 
 
 def _fitting(block: _Block, begin: np.ndarray, end: np.ndarray):
-    """Pairs of rows of one bucket that may link, some at a time."""
+    """Pairs of rows of one block that may link, some at a time."""
     size = end - begin
     for s in np.unique(size[(size > 1) & (size <= 64)]):
         left, right = np.triu_indices(int(s), 1)
         starts = begin[size == s]
         each = max(1, (1 << 16) // len(left))
         for k in range(0, len(starts), each):
-            i, j = (starts[k : k + each, None] + left).ravel(), (starts[k : k + each, None] + right).ravel()
-            ok = block.fits(i, j)
-            yield i[ok], j[ok]
+            yield block.fits((starts[k : k + each, None] + left).ravel(), (starts[k : k + each, None] + right).ravel())
     for a, b in zip(begin[size > 64], end[size > 64], strict=True):
         each = max(1, (1 << 16) // int(b - a))
         for k in range(a, b, each):
             i, j = np.meshgrid(np.arange(k, min(b, k + each)), np.arange(k + 1, b), indexing="ij")
-            i, j = i[i < j], j[i < j]
-            ok = block.fits(i, j)
-            yield i[ok], j[ok]
+            yield block.fits(i[i < j], j[i < j])
+
+
+def _foremost(rows: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Of (row, measure, partner) in columns the `most` of least measure of each row, and whether a row has more."""
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    first = np.searchsorted(rows[0], rows[0])
+    rank = np.arange(rows.shape[1]) - first
+    return rows[:, rank < most], bool((rank >= most).any())
 
 
-def _pairs(buckets: DataFrame, p: int, q: int, first_only: bool) -> DataFrame:
-    """Distinct pairs (u, v), u < v, that may link; or of each row in a bucket only its first such pair."""
+def _candidates(blocks: DataFrame, p: int, q: int, most: int, nearest: bool) -> DataFrame:
+    """(u, v, more): of each row in a block the first `most` rows that it may link with, by id or by nearness."""
 
     def emit(t: pa.Table):
-        bands = Bands(p, q)
-        key, a, b = (t[k].to_numpy() for k in ("key", "a", "b"))
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        block, first = _Block(t, bands), np.full(t.num_rows, t.num_rows)
-        found = []
-        for i, j in _fitting(block, cut, np.append(cut[1:], t.num_rows)):
-            if first_only:
-                np.minimum.at(first, j, i)
-                np.minimum.at(first, i, j)
-            else:
-                found.append(np.stack([i, j]))
-        if first_only:
-            some = np.flatnonzero(first < t.num_rows)
-            found = [np.stack([some, first[some]])]
-        if found:
-            i, j = np.concatenate(found, axis=1)
-            u, v = np.minimum(block.id[i], block.id[j]), np.maximum(block.id[i], block.id[j])
-            pairs = np.unique(np.stack([u, v]), axis=1)
-            yield batch_of(u=pairs[0], v=pairs[1])
+        key, part = (t[k].to_numpy() for k in ("key", "part"))
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        block = _Block(t, Bands(p, q))
+        held, more = np.zeros((3, 0), np.int64), False
+        for i, j, far in _fitting(block, cut, np.append(cut[1:], t.num_rows)):
+            measure = (far, far) if nearest else (block.id[j], block.id[i])
+            new = np.stack([np.concatenate(x) for x in ((i, j), measure, (j, i))])
+            held, over = _foremost(np.concatenate([held, new], axis=1), most)
+            more |= over
+        if held.shape[1]:
+            a, b = block.id[held[0]], block.id[held[2]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield batch_of(u=pairs[0], v=pairs[1], more=pa.array([more] * pairs.shape[1], pa.bool_()))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                key, a, b = (part[k].to_numpy() for k in ("key", "a", "b"))
-                last = int(np.searchsorted(np.cumsum((key != key[-1]) | (a != a[-1]) | (b != b[-1])), np.count_nonzero((key != key[-1]) | (a != a[-1]) | (b != b[-1])))) + 1
-                last = last if np.any((key != key[-1]) | (a != a[-1]) | (b != b[-1])) else 0
-                same = bool(held) and all(held[-1][k][-1].as_py() == part[k][0].as_py() for k in ("key", "a", "b"))
-                if held and not same:
+            for row in range(0, batch.num_rows, 4096):
+                part = batch.slice(row, 4096)
+                key, number = part["key"].to_numpy(), part["part"].to_numpy()
+                other = np.flatnonzero((key != key[-1]) | (number != number[-1]))
+                last = int(other[-1]) + 1 if len(other) else 0
+                if held and (held[-1]["key"][-1].as_py(), held[-1]["part"][-1].as_py()) != (key[0], number[0]):
                     yield from emit(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 if last:
@@ -268,7 +295,26 @@ def _pairs(buckets: DataFrame, p: int, q: int, first_only: bool) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held).combine_chunks())
 
-    return buckets.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(run, "u bigint, v bigint").distinct()
+    dealt = blocks.select("key", "part", "id", "n", "home", "guest", "label", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    return dealt.mapInArrow(run, "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+
+
+def _blocks(buckets: DataFrame, label: DataFrame | None, deal: int) -> DataFrame:
+    """The rows of buckets with two labels or more, dealt to blocks; from deal number DEALS on, a row of a large bucket
+    whose label is not the bucket's most frequent one is a guest in the bucket's other blocks."""
+    rows = buckets.withColumn("label", F.col("id"))
+    if label is not None:
+        rows = buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        rows = rows.join(open_, "key", "left_semi")
+    parts = F.ceil(F.col("many") / BUCKET).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "id", F.lit(min(deal, DEALS))), parts).cast("int")).withColumn("guest", F.lit(False))
+    large = rows.where(F.col("many") > BUCKET)
+    if deal < DEALS or large.isEmpty():
+        return rows
+    most = large.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("most"))
+    guests = large.join(most, "key").where("label <> most").withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.unionByName(guests.where("part <> own").drop("own", "most").withColumn("guest", F.lit(True)))
 
 
 def _set(text: bytes, k: int) -> set[bytes]:
@@ -278,48 +324,82 @@ def _set(text: bytes, k: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """Pairs (u, v, linked) judged by their whole texts."""
-    left, right = held.select(F.col("id").alias("u"), F.col("text").alias("x")), held.select(F.col("id").alias("v"), F.col("text").alias("y"))
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int, send: bool) -> DataFrame:
+    """Pairs (u, v, linked) judged by their whole texts: v's text goes to u's, STAR texts to each copy of u's.
+    With `send` the ids of the pairs, SENT at most, go to the tasks that read the texts; else both are dealt out by id."""
+    size = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    members = pairs.join(size, "u").select(F.col("v").alias("id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
+    hubs = size.select(F.col("u").alias("id"), F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    asked = members.union(hubs)
+    asked = F.broadcast(asked) if send else asked.hint("merge")
+    sent = docs.join(asked, "id").select("hub", "salt", "id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id") != F.col("hub"))
 
     def run(batches):
-        known, own = None, set()
+        known, own = None, []
         for batch in batches:
-            linked = []
-            for u, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if (u, x) != known:
-                    known, own = (u, x), _set(x.as_buffer().to_pybytes(), k)
-                other = _set(y.as_buffer().to_pybytes(), k)
-                same = len(own & other)
-                linked.append(same > 0 and q * same >= p * (len(own) + len(other) - same))
-            yield batch_of(u=batch.column(0), v=batch.column(1), linked=pa.array(linked, pa.bool_()))
-
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, "u bigint, v bigint, linked boolean")
+            u, v, linked = [], [], []
+            for hub, salt, i, text in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if (hub, salt) != known:
+                    known, own = (hub, salt), []
+                found = _set(text.as_buffer().to_pybytes(), k)
+                if i == hub:
+                    own.append(found)
+                    continue
+                u.append(hub)
+                v.append(i)
+                linked.append(any(x and q * len(x & found) >= p * len(x | found) for x in own))
+            yield batch_of(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()), linked=pa.array(linked, pa.bool_()))
+
+    return sent.mapInArrow(run, "u bigint, v bigint, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
+
+
+def _links(buckets: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (u, v) whose components are those of all links, and the components."""
+    none = buckets.sparkSession.createDataFrame([], "u bigint, v bigint")
+    large = not buckets.where(F.col("many") > BUCKET).isEmpty()
+    judged, label, turn, most = [], None, 0, 1
+    while True:
+        found = checkpoint(_candidates(_blocks(buckets, label, turn), p, q, most, nearest=turn > 0))
+        new = found.select("u", "v")
+        for verdict in judged:
+            new = new.join(verdict, ["u", "v"], "left_anti")
+        new = checkpoint(new) if judged else new
+        count, more = new.count(), bool(found.agg(F.max("more")).first()[0])
+        linked = False
+        if count:
+            verdict = checkpoint(_verified(new, docs, k, p, q, send=bool(judged) and 2 * count <= SENT))
+            judged.append(verdict)
+            linked = not verdict.where("linked").isEmpty()
+        links = none
+        for verdict in judged:
+            links = links.union(verdict.where("linked").select("u", "v"))
+        if linked:
+            label = components(links)
+        turn += 1
+        if not count and not more and (turn > DEALS or not large):
+            return links, label
+        if more and not linked:
+            most *= 8
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(key, n_shingles, component_id): documents link if q * |intersection| >= p * |union| of their shingles of k words."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    features = checkpoint(_features(docs, k, p, q))
+    sets = checkpoint(_sets(docs, k, p, q))
     of_class = ["n", "one", "two"]
-    firsts = features.where("id is not null and n > 0").groupBy(*of_class).agg(F.min("id").alias("id"))
-    named = firsts.withColumnRenamed("id", "class")
-    distinct = features.join(firsts, [*of_class, "id"], "left_semi").dropDuplicates(["id", *of_class])
-    buckets = checkpoint(_buckets(distinct))
-    first = checkpoint(_pairs(buckets, p, q, first_only=True))
-    involved = first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct()
-    held = checkpoint(docs.join(involved, "id", "left_semi"))
-    judged = checkpoint(_verified(first, held, k, p, q))
-    links = judged.where("linked").select("u", "v")
-    label = components(links)
-    rest = buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    more = _pairs(rest, p, q, first_only=False).join(judged.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.union(_verified(more, held, k, p, q).where("linked").select("u", "v"))
-    label = components(links).select(F.col("id").alias("class"), "component")
-    out = features.select("id", *of_class).join(named, of_class, "left").join(label, "class", "left")
-    return out.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "class"))).alias("component_id")
-    )
+    classes = sets.where("id is not null and n > 0").groupBy(*of_class).agg(F.min("id").alias("id"), F.min("kind").alias("kind"), F.min("sketch").alias("sketch"))
+    classes = checkpoint(classes)
+    links, label = _links(_buckets(docs, classes.select("kind", "id", "n", "sketch"), k, p, q), docs.where("id is not null"), k, p, q)
+    named = sets.select("id", *of_class).join(classes.select(*of_class, F.col("id").alias("class")), of_class, "left")
+    # A key with several texts links their classes.
+    several = named.where("id is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("high")).where("u <> high").select("id", "u")
+    own = checkpoint(named.join(several, "id").where("class <> u").select("u", F.col("class").alias("v")))
+    if not own.isEmpty():
+        label = components(links.union(own))
+    if label is None:
+        label = sets.sparkSession.createDataFrame([], "id bigint, component bigint")
+    out = named.join(label.select(F.col("id").alias("class"), "component"), "class", "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id")).alias("component_id"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
