@@ -17,8 +17,6 @@ but `n_<kind>`, `spans` and the text are the operator's; an empty table gives an
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +32,8 @@ KINDS = {
 SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 SUPPORT, GENERALISE, REMOVE = 3, 0.85, 0.95
+#: Pairs of a text and a disclosing term that are sent to all tasks at most (about 50 bytes each).
+SENT = 200_000
 
 
 def _digits(x: Column) -> Column:
@@ -59,67 +59,90 @@ def _matches(text: str, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(id, h, ord, kind, start, end, value) of what the patterns find in docs (id, h, text), each row of (id, h) once."""
-    per_kind = []
+    """(h, ord, kind, start, end, value) of what the patterns find in docs (h, text), once a text, from one scan."""
+    found = docs.select("h", "text", *(_matches("text", kind).alias(f"m{number}") for number, kind in enumerate(KINDS)))
+    parts = []
     for number, (kind, pattern) in enumerate(KINDS.items()):
-        found = docs.select("id", "h", "text", _matches("text", kind).alias("m")).where(F.size("m") > 0)
         gaps = F.transform(F.split("text", pattern, -1), F.length)
-        found = found.select("id", "h", "m", gaps.alias("g"))
-        each = F.transform("m", lambda x, i: F.struct(i.alias("pos"), x.alias("value"), F.get("g", i).alias("gap")))
-        per_kind.append(found.select("id", "h", F.lit(number).alias("ord"), F.lit(kind).alias("kind"), F.inline(each)))
-    rows = per_kind[0]
-    for more in per_kind[1:]:
-        rows = rows.union(more)
-    rows = rows.dropDuplicates(["id", "h", "ord", "pos"])
-    own = Window.partitionBy("id", "h", "ord").orderBy("pos")
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(own))
-    good = F.lit(False)
-    for kind, valid in VALID.items():
-        good = good | ((F.col("kind") == kind) & valid(F.col("value")))
-    return rows.where(good).select("id", "h", "ord", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
+        each = lambda gaps: lambda x, i: F.struct(F.lit(number).alias("ord"), i.alias("pos"), x.alias("value"), F.get(gaps, i).alias("gap"))  # noqa: B023, E731
+        parts.append(F.when(F.exists(f"m{number}", VALID[kind]), F.transform(f"m{number}", each(gaps))))
+    empty = F.from_json(F.lit("[]"), "array<struct<ord int, pos int, value string, gap int>>")
+    rows = found.select("h", F.inline(F.concat(*(F.coalesce(x, empty) for x in parts)))).dropDuplicates(["h", "ord", "pos"])
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("h", "ord").orderBy("pos")))
+    good, name = F.lit(False), F.lit(None).cast("string")
+    for number, (kind, valid) in enumerate(VALID.items()):
+        good = good | ((F.col("ord") == number) & valid(F.col("value")))
+        name = F.when(F.col("ord") == number, kind).otherwise(name)
+    return rows.where(good).select("h", "ord", name.alias("kind"), (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
 def disclosure(docs: DataFrame, base: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(value, term, share) of terms that disclose at least a share of an entity, by lines of all distinct texts."""
-    firsts = docs.groupBy("h").agg(F.min("id").alias("id"))
-    texts = docs.join(firsts, ["h", "id"], "left_semi")
-    lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    """(value, term, share) of terms that disclose at least a share of an entity, by lines of all distinct texts.
+    Texts are dealt out once; lines, entities, terms and pairs of them are counted in one aggregation."""
+    held = base.groupBy("h").agg(F.collect_set("value").alias("values"))
+    texts = docs.groupBy("h").agg(F.first("text").alias("text")).join(held, "h", "left")
+    lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"), "values")
     words = F.array_remove(F.array_distinct(F.split("line", rf"[^\p{{L}}\p{{N}}]+", -1)), "")
-    counts = lines.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0
-
-    held = base.select("id", "h", "value").distinct().join(firsts, ["h", "id"], "left_semi").groupBy("id", "h").agg(F.collect_set("value").alias("values"))
-    inside = texts.join(held, ["h", "id"]).select(F.explode(F.split("text", "\n", -1)).alias("line"), "values")
-    inside = inside.select("line", F.filter("values", lambda v: F.contains("line", v)).alias("values")).where(F.size("values") > 0)
-    inside = inside.select(words.alias("words"), F.explode("values").alias("value"))
-    n_e = inside.groupBy("value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    n_et = inside.select("value", F.explode("words").alias("term")).where(~F.contains("value", F.col("term"))).groupBy("value", "term").agg(F.count("*").alias("n_et"))
-    both = n_et.where(F.col("n_et") >= support).join(n_e, "value").join(counts, "term")
+    lines = lines.select(words.alias("words"), F.filter("values", lambda v: F.contains("line", v)).alias("inside"))
+    none = F.lit(None).cast("string")
+    cell = lambda value, term: F.struct(value.alias("value"), term.alias("term"))
+    pairs = F.transform("inside", lambda v: F.concat(F.array(cell(v, none)), F.transform(F.filter("words", lambda t: ~F.contains(v, t)), lambda t: cell(v, t))))
+    cells = F.concat(F.array(cell(none, none)), F.transform("words", lambda t: cell(none, t)), F.coalesce(F.flatten(pairs), F.array().cast("array<struct<value:string,term:string>>")))
+    counts = lines.select(F.inline(cells)).groupBy("value", "term").agg(F.count("*").alias("n"))
+    counts = checkpoint(counts.where(F.col("value").isNull() | (F.col("n") >= support)))
+    total = counts.where("value is null and term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_t = counts.where("value is null").select("term", F.col("n").alias("n_t"))
+    n_e = counts.where("term is null").select("value", F.col("n").alias("n_e"))
+    both = counts.select("value", "term", F.col("n").alias("n_et")).join(n_e, "value").join(n_t, "term")
     pmi = F.ln(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     both = both.where(F.col("n_e") < total).select("value", "term", (pmi / F.ln(F.lit(float(total)) / F.col("n_e"))).alias("share"))
     return both.where(F.col("share") >= least)
 
 
+def _instead(word: Column, share: Column, remove: float) -> Column:
+    """What a term becomes: nothing, or its class."""
+    kind = F.when(word.rlike("^[0-9]+$"), "<NUMBER>").when(word.rlike("[0-9]"), "<CODE>").when(word.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
+    return F.when(share >= remove, "").otherwise(kind)
+
+
+def _hits(text: str, share: str, remove: float) -> Column:
+    """(start, end, instead) of the terms of a text that have a share, in one pass over its words. Hits are held in
+    runs of 256, so that a text with very many is not copied with each."""
+    m, g = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.transform(F.split(text, TERM, -1), F.length)
+    hit = "struct<start:int,end:int,instead:string>"
+    empty = F.array().cast(f"array<{hit}>")
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("run"), F.array().cast(f"array<array<{hit}>>").alias("done"))
+
+    def step(state, x):
+        start = state["at"] + x["gap"]
+        end = start + F.length(x["word"])
+        most = F.try_element_at(F.col(share), x["word"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), _instead(x["word"], most, remove).alias("instead")))
+        full = F.size(state["run"]) >= 256
+        moved = F.struct(end.alias("at"), F.when(full, one).otherwise(F.concat(state["run"], one)).alias("run"), F.when(full, F.concat(state["done"], F.array(state["run"]))).otherwise(state["done"]).alias("done"))
+        return F.when(most.isNull(), F.struct(end.alias("at"), state["run"].alias("run"), state["done"].alias("done"))).otherwise(moved)
+
+    each = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda word, gap: F.struct(word.alias("word"), gap.alias("gap")))
+    return F.aggregate(each, begin, step, lambda state: F.concat(F.flatten(state["done"]), state["run"]))
+
+
 def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """(id, h, start, end, action): where terms that disclose an entity stand in the texts that hold it, off base spans."""
+    """(h, start, end, instead): where terms that disclose an entity stand in the texts that hold it, off base spans.
+    Up to SENT terms of texts go to the tasks that read the texts; more are dealt out with the texts by h."""
     of_value = terms.groupBy("value").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    owned = base.select("id", "h", "value").distinct().join(of_value, "value").groupBy("id", "h").agg(F.flatten(F.collect_list("terms")).alias("terms"))
-    spots = base.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spots"))
-    both = [F.col("d.h") == F.col("s.h"), F.col("d.id").eqNullSafe(F.col("s.id"))]
-    known = owned.alias("d").join(spots.alias("s"), both).select("d.id", "d.h", "terms", "spots")
-    known = known.select("id", "h", "spots", F.map_from_entries(F.array_sort(F.expr(
-        "transform(array_distinct(transform(terms, x -> x.term)), t -> struct(t AS term, aggregate(filter(terms, x -> x.term = t), CAST(0 AS DOUBLE), (a, x) -> greatest(a, x.share)) AS share))"
-    ))).alias("share"))
-    held = docs.dropDuplicates(["id", "h"]).alias("d").join(known.alias("s"), both).select("d.id", "d.h", "text", "share", "spots")
-    gaps = F.transform(F.split("text", TERM, -1), F.length)
-    held = held.select("id", "h", "share", "spots", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), gaps.alias("g"))
-    each = F.transform("m", lambda x, i: F.struct(i.alias("pos"), x.alias("value"), F.get("g", i).alias("gap"), F.try_element_at("share", x).alias("most")))
-    rows = held.select("id", "h", F.inline(each))
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("id", "h").orderBy("pos"))).where(F.col("most").isNotNull())
-    kind = F.when(F.col("value").rlike("^[0-9]+$"), "<NUMBER>").otherwise("<TERM>")
-    rows = rows.select("id", "h", (F.col("end") - F.length("value")).alias("start"), "end", F.when(F.col("most") >= remove, "").otherwise(kind).alias("instead"))
-    over = [*both, F.col("d.start") < F.col("s.end"), F.col("s.start") < F.col("d.end")]
-    return rows.alias("d").join(base.alias("s"), over, "left_anti").select("id", "h", "start", "end", "instead")
+    owned = base.select("h", "value").distinct().join(of_value, "value").select("h", F.inline("terms"))
+    owned = owned.groupBy("h", "term").agg(F.max("share").alias("share")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("share"))
+    owned = checkpoint(owned)
+    size = owned.agg(F.coalesce(F.sum(F.size("share")), F.lit(0))).first()[0]
+    held = docs.join(F.broadcast(owned) if size <= SENT else owned.hint("merge"), "h")
+    rows = held.select("h", _hits("text", "share", remove).alias("hits")).groupBy("h").agg(F.first("hits").alias("hits")).select("h", F.inline("hits"))
+    # A term is off the base spans if the last of these to begin before it has ended, and the next begins after it.
+    all_ = base.select("h", "start", "end", F.lit(None).cast("string").alias("instead")).union(rows.select("h", "start", "end", "instead"))
+    is_base = F.col("instead").isNull()
+    past = F.max(F.when(is_base, F.col("end"))).over(Window.partitionBy("h").orderBy("start", F.col("instead").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(is_base, F.col("start"))).over(Window.partitionBy("h").orderBy(F.desc("start"), F.col("instead").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    free = (F.coalesce("past", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
+    return all_.withColumn("past", past).withColumn("ahead", ahead).where(~is_base & free).select("h", "start", "end", "instead")
 
 
 def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -127,23 +150,23 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", support: in
     text with base spans replaced by <KIND> and disclosing terms generalised or removed."""
     made = {*(f"n_{kind}" for kind in KINDS), "spans", text}
     rest = [c for c in df.columns if c not in made | {key}]
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
-    rows = rows.withColumn("h", F.xxhash64("text", F.reverse("text")))
-    docs = rows.select("id", "h", "text")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("id"), F.unhex(F.md5(whole)).alias("h"), whole.alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    docs = rows.select("h", "text")
     base = checkpoint(base_spans(docs))
     terms = checkpoint(disclosure(docs, base, support, generalise))
     more = term_spans(docs, base, terms, remove)
-    spans = base.select("id", "h", "ord", "kind", "start", "end", F.concat(F.lit("<"), F.upper("kind"), F.lit(">")).alias("instead"))
-    spans = spans.union(more.select("id", "h", F.lit(len(KINDS)), F.lit("term"), "start", "end", "instead"))
-    before = Window.partitionBy("id", "h").orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    spans = base.select("h", "ord", "kind", "start", "end", F.concat(F.lit("<"), F.upper("kind"), F.lit(">")).alias("instead"))
+    spans = spans.union(more.select("h", F.lit(len(KINDS)), F.lit("term"), "start", "end", "instead"))
+    before = Window.partitionBy("h").orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0)))
     piece = F.when(F.col("end") > F.col("past"), F.struct(F.col("past"), F.greatest("start", "past").alias("start"), "end", "instead"))
-    found = spans.groupBy("id", "h").agg(
+    found = spans.groupBy("h").agg(
         *(F.sum((F.col("kind") == kind).cast("bigint")).alias(f"n_{kind}") for kind in KINDS),
         F.array_sort(F.collect_list(F.struct("ord", "start", "end", "kind"))).alias("spans"),
         F.array_sort(F.collect_list(piece)).alias("pieces"),
     )
-    all_ = rows.alias("d").join(found.alias("s"), [F.col("d.h") == F.col("s.h"), F.col("d.id").eqNullSafe(F.col("s.id"))], "left")
+    all_ = rows.join(found, "h", "left")
     kept = F.transform("pieces", lambda p: F.concat(F.substring(F.col("text"), p["past"] + 1, p["start"] - p["past"]), p["instead"]))
     clean = F.when(F.col("pieces").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(kept, ""), F.substring(F.col("text"), F.array_max(F.transform("pieces", lambda p: p["end"])) + 1, F.length("text")))
@@ -151,7 +174,7 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", support: in
     nothing = F.from_json(F.lit("[]"), "array<struct<kind string, start bigint, end bigint>>")
     shown = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end")))
     return all_.select(
-        F.col("d.id").alias(key), *(F.coalesce(f"n_{kind}", F.lit(0).cast("bigint")).alias(f"n_{kind}") for kind in KINDS),
+        F.col("id").alias(key), *(F.coalesce(f"n_{kind}", F.lit(0).cast("bigint")).alias(f"n_{kind}") for kind in KINDS),
         F.coalesce(shown, nothing).alias("spans"), clean.alias(text), *(F.col("rest")[c].alias(c) for c in rest),
     )
 
