@@ -63,6 +63,26 @@ def steps(batch: pa.RecordBatch, name: str = "text", limit: int = STEP_BYTES) ->
         begin = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str, rows: int = 8192) -> Iterator[pa.Table]:
+    """Batches sorted by `keys` as tables of whole groups, of about `rows` rows or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            values = [part[k].to_numpy() for k in keys]
+            other = np.flatnonzero(np.any([v != v[-1] for v in values], axis=0))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if held and any(held[-1][k][-1].as_py() != v[0] for k, v in zip(keys, values, strict=True)):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if last:
+                yield pa.Table.from_batches([*held, part.slice(0, last)]).combine_chunks()
+                held = []
+            held.append(part.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def offsets_of(array: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32
     raw = np.frombuffer(array.buffers()[1], kind) if array.buffers()[1] else np.zeros(1, kind)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, checkpoint, lowered, mix, signed, steps, table, texts
+from .common import U64, Words, batch_of, checkpoint, lowered, mix, signed, steps, table, texts, whole_groups
 from .components import components
 
 BUCKET, DEALS = 2048, 3
@@ -278,22 +278,8 @@ def _candidates(blocks: DataFrame, p: int, q: int, most: int, nearest: bool) ->
             yield batch_of(u=pairs[0], v=pairs[1], more=pa.array([more] * pairs.shape[1], pa.bool_()))
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for row in range(0, batch.num_rows, 4096):
-                part = batch.slice(row, 4096)
-                key, number = part["key"].to_numpy(), part["part"].to_numpy()
-                other = np.flatnonzero((key != key[-1]) | (number != number[-1]))
-                last = int(other[-1]) + 1 if len(other) else 0
-                if held and (held[-1]["key"][-1].as_py(), held[-1]["part"][-1].as_py()) != (key[0], number[0]):
-                    yield from emit(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                if last:
-                    yield from emit(pa.Table.from_batches([*held, part.slice(0, last)]).combine_chunks())
-                    held = []
-                held.append(part.slice(last))
-        if held:
-            yield from emit(pa.Table.from_batches(held).combine_chunks())
+        for t in whole_groups(batches, "key", "part"):
+            yield from emit(t)
 
     dealt = blocks.select("key", "part", "id", "n", "home", "guest", "label", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "id")
     return dealt.mapInArrow(run, "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))

@@ -1,10 +1,11 @@
 """Substring dedup by seed and extend: maximal repeats of at least `length` words across documents.
 
 Winnowing picks anchors so that equal runs of `length` words hold the same anchor: of every
-`length - gram + 1` consecutive word grams, the one of least hash. Documents join on anchors. A shared
-anchor is a seed; it is extended both ways, window by window, as far as the windows that picked it
-reach, and a window (128-bit hash) that an earlier document has too is confirmed. Overlapping and
-touching confirmed windows make one maximal repeat.
+`length - gram + 1` consecutive word grams, the one of least hash. Documents join on anchors. A shared anchor
+is a seed and goes out once more with the words around it, as far as the windows that picked it reach
+(40 bits a word); seeds of one anchor are extended both ways to these ends and compared, and a window that an
+earlier document has too is confirmed. Overlapping and touching confirmed windows make one maximal repeat.
+Seeds are compared by sorting, not in pairs: an anchor that n documents hold costs n log n.
 
 What a block of documents can settle by itself is settled before the shuffle: an anchor or window that
 several of its documents share goes out once, so a passage that a third of all documents hold costs a
@@ -13,8 +14,8 @@ row a block, not a row a document.
 Defined results: a null or empty text has no words and loses none; a text shorter than `length` words
 loses none; a window repeated inside one document only is no repeat; of equal documents the one of least
 key stays whole; rows with a null key stay whole and repeat nothing; rows that repeat a key are one
-document, and what is found in one of them holds for each. Only the key and the text are read, so other
-columns, of any name, do not clash.
+document, of which each loses what earlier documents have of its own text; an empty table gives an empty one.
+Only the key and the text are read, so other columns, of any name, do not clash.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, mix, signed, steps, table, texts
+from .common import U64, Words, batch_of, mix, odd, powers, signed, steps, table, texts, whole_groups
 
 GRAM = 5
 
@@ -111,7 +113,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield batch_of(
                     key=np.concatenate([signed(key[asked]), signed(key[envoy]), known]),
                     id=np.concatenate([ids[doc[asked]], ids[doc[envoy]], own]),
-                    place=np.concatenate([place[asked], np.full(len(envoy) + len(own), -1)]).astype(np.int32),
+                    place=pa.concat_arrays([pa.array(place[asked].astype(np.int32)), pa.array([None] * (len(envoy) + len(own)), pa.int32())]),
                     packed=pa.array([None] * (len(asked) + len(envoy)) + parts, pa.binary()),
                 )
 
@@ -119,44 +121,88 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     same = Window.partitionBy("key")
     asks = F.col("packed").isNull()
     marked = rows.withColumn("low", F.min(F.when(asks, F.col("id"))).over(same)).withColumn("high", F.max(F.when(asks, F.col("id"))).over(same))
-    return marked.where((F.col("packed").isNotNull()) | ((F.col("low") < F.col("high")) & (F.col("place") >= 0))).select("id", "place", "packed")
+    return marked.where(F.col("packed").isNotNull() | ((F.col("low") < F.col("high")) & F.col("place").isNotNull())).select("id", "place", "packed")
 
 
-def _repeated(seeded: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, place) of windows that an earlier document has, or runs of such (packed: place and number in turn)."""
+def _contexts(seeded: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, id, kind, place, mask, context): seeds with the windows that picked them (bit o: begins o words before) and
+    the words around, as far as those reach; with `packed`, runs of windows that an earlier document of the block has."""
+    reach = length - gram
+    around = np.concatenate([np.arange(-reach, 0), np.arange(gram, length)])
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
+            batch = batch.filter(batch.column(3).is_valid())
             for part in steps(batch):
                 w = Windows(texts(part), length, gram)
                 if not len(w.at):
                     continue
                 seed = np.zeros(len(w.words), bool)
                 for i in range(part.num_rows):
-                    seed[_places(part.column(2)[i], part.column(3)[i]) + w.words.first[i]] = True
+                    place = _places(part.column(3)[i], part.column(4)[i])  # also those of other texts of the key
+                    seed[place[place < w.words.count[i]] + w.words.first[i]] = True
                 some = np.flatnonzero(seed[w.pick])
                 if not len(some):
                     continue
-                one, two = w.fingerprints()
-                one, two, doc, place = one[some], two[some], w.doc[some], w.at[some] - w.words.first[w.doc[some]]
-                ids = part.column(0).to_numpy()
+                one, two = (x[some] for x in w.fingerprints())
+                doc, at, pick = w.doc[some], w.at[some], w.pick[some]
+                ids, kinds = part.column(0).to_numpy(), part.column(1).to_numpy()
                 low, _ = _least_most(_groups(one, two), ids[doc])
                 later = ids[doc] > low
-                asked = np.flatnonzero(~later)
-                known, own, parts = _settled(ids, doc[later], place[later])
-                parts = [_runs(np.frombuffer(x, np.int32)).tobytes() for x in parts]
+                mine, own, parts = _settled(np.arange(part.num_rows), doc[later], at[later] - w.words.first[doc[later]])
+                seeds, group = np.unique(pick[~later], return_inverse=True)
+                back = pick[~later] - at[~later]
+                mask, least, most = np.zeros(len(seeds), np.int64), np.full(len(seeds), reach), np.zeros(len(seeds), np.int64)
+                np.bitwise_or.at(mask, group, np.int64(1) << back)
+                np.minimum.at(least, group, back)
+                np.maximum.at(most, group, back)
+                used = np.concatenate([around[:reach] >= -most[:, None], around[reach:] < length - least[:, None]], axis=1)
+                near = w.hashes[np.where(used, seeds[:, None] + around, 0)] >> U64(24)
+                near[~used] = 0
+                context = near.astype("<u8").view(np.uint8).reshape(len(seeds), 2 * reach, 8)[:, :, :5].tobytes()
+                size = 10 * reach
+                at = pa.array(np.arange(len(seeds) + 1) * size, pa.int32())
+                held = w.words.doc[seeds]
+                none = [None] * len(own)
                 yield batch_of(
-                    one=np.concatenate([signed(one[asked]), known]),
-                    two=np.concatenate([signed(two[asked]), known]),
-                    id=np.concatenate([ids[doc[asked]], own]),
-                    place=np.concatenate([place[asked], np.full(len(own), -1)]).astype(np.int32),
-                    packed=pa.array([None] * len(asked) + parts, pa.binary()),
-                )
+                    key=np.concatenate([signed(w.grams[seeds]), mine]),
+                    id=np.concatenate([ids[held], ids[own]]), kind=np.concatenate([kinds[held], kinds[own]]),
+                    place=pa.concat_arrays([pa.array((seeds - w.words.first[held]).astype(np.int32)), pa.array(none, pa.int32())]),
+                    mask=np.concatenate([mask, np.zeros(len(own), np.int64)]),
+                    context=pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(seeds), [None, at.buffers()[1], pa.py_buffer(context)]), pa.array(none, pa.binary())]),
+                    packed=pa.array([None] * len(seeds) + [_runs(np.frombuffer(x, np.int32)).tobytes() for x in parts], pa.binary()),
+                )
+
+    return seeded.mapInArrow(run, "key bigint, id bigint, kind bigint, place int, mask bigint, context binary, packed binary")
+
 
-    rows = seeded.mapInArrow(run, "one bigint, two bigint, id bigint, place int, packed binary")
-    first = F.min(F.when(F.col("packed").isNull(), F.col("id"))).over(Window.partitionBy("one", "two"))
-    return rows.withColumn("first", first).where(F.col("packed").isNotNull() | (F.col("id") > F.col("first"))).select("id", "place", "packed")
+def _confirmed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, kind, place, mask, packed): of each seed the windows that an earlier document has."""
+    reach = length - gram
+    p, q = powers(odd(71), reach + 1)[1:], powers(odd(72), reach + 1)[1:]
+
+    def run(batches):
+        for t in whole_groups(batches, "key"):
+            asks = t.filter(pc.is_valid(t["context"])).combine_chunks()
+            settled = t.filter(pc.is_null(t["context"])).combine_chunks()
+            mask = np.zeros(asks.num_rows, np.int64)
+            words = np.zeros((asks.num_rows, 2 * reach), U64)
+            if words.size:
+                raw = np.frombuffer(b"".join(x.as_buffer() for x in asks["context"]), np.uint8).reshape(asks.num_rows, 2 * reach, 5)
+                wide = np.zeros((*raw.shape[:2], 8), np.uint8)
+                wide[:, :, :5] = raw
+                words = mix(wide.view("<u8").ravel()).reshape(words.shape)
+            key, id_, picked = asks["key"].to_numpy().view(U64), asks["id"].to_numpy(), asks["mask"].to_numpy()
+            for o in range(reach + 1):
+                some = np.flatnonzero(picked >> o & 1)
+                window = words[some, reach - o : 2 * reach - o]
+                low, _ = _least_most(_groups(mix(key[some]) ^ (window * p).sum(axis=1, dtype=U64), (window * q).sum(axis=1, dtype=U64)), id_[some])
+                mask[some[id_[some] > low]] |= 1 << o
+            found = pa.array(mask > 0)
+            out = asks.set_column(asks.column_names.index("mask"), "mask", pa.array(mask)).filter(found)
+            yield from pa.concat_tables([out, settled]).select(["id", "kind", "place", "mask", "packed"]).to_batches()
+
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id bigint, kind bigint, place int, mask bigint, packed binary")
 
 
 def _runs(place: np.ndarray) -> np.ndarray:
@@ -170,49 +216,61 @@ def _places(single, packed) -> np.ndarray:
     parts = [np.frombuffer(x.as_buffer(), np.int32) for x in packed.values] if packed.is_valid else []
     if single.is_valid:
         parts.append(single.values.to_numpy(zero_copy_only=False))
-    found = np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64)
-    return found[found >= 0]
-
-
-def _gathered(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id").agg(F.collect_list(F.when(F.col("place") >= 0, F.col("place"))).alias("single"), F.collect_list("packed").alias("packed"))
+    return np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64)
+
+
+def _windows(kind: int, seeds, packed, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (of the last window's begin) of the runs of confirmed windows of the text that `kind` tells."""
+    begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if seeds.is_valid and len(seeds.values):
+        own, place, mask = (seeds.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        place, mask = place[own == kind].astype(np.int64), mask[own == kind]
+        for o in range(reach + 1):
+            some = place[(mask >> o & 1).astype(bool)] - o
+            begin.append(some)
+            end.append(some + 1)
+    for x in packed.values if packed.is_valid else ():
+        if x["kind"].as_py() == kind:
+            runs = np.frombuffer(x["packed"].as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
+            begin.append(runs[:, 0])
+            end.append(runs.sum(axis=1))
+    return np.concatenate(begin), np.concatenate(end)
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 13, gram: int = GRAM) -> DataFrame:
     """(key, n_words, n_removed, text, repeats): the words that no maximal repeat of an earlier document covers,
     joined by one space, and those repeats as (begin, end) in words."""
-    if not 1 <= gram <= length:
-        raise ValueError("a gram has at least one word and no more than the length")
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seeded = docs.join(_gathered(_anchors(docs, length, gram)), "id", "left").select("id", "text", "single", "packed")
-    found = _gathered(_repeated(seeded, length, gram))
+    if not 1 <= gram <= length or length - gram > 60:
+        raise ValueError("a gram has at least one word, and at most the length and 60 words less than it")
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("kind"), "text")
+    shared = _anchors(docs.select("id", "text"), length, gram)
+    shared = shared.groupBy("id").agg(F.collect_list("place").alias("single"), F.collect_list("packed").alias("packed"))
+    seeded = docs.join(shared, "id", "left").select("id", "kind", "text", "single", "packed")
+    found = _confirmed(_contexts(seeded, length, gram), length, gram)
+    seed, run_ = F.when(F.col("place").isNotNull(), F.struct("kind", "place", "mask")), F.when(F.col("packed").isNotNull(), F.struct("kind", "packed"))
+    found = found.groupBy("id").agg(F.collect_list(seed).alias("seeds"), F.collect_list(run_).alias("runs"))
 
     def remove(batches):
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 rows = []
-                for text_, single, packed in zip(*part.columns[1:], strict=True):
+                for kind_, text_, seeds, runs in zip(*part.columns[1:], strict=True):
                     words = text_.as_buffer().to_pybytes().split()
-                    covered, spans = np.zeros(len(words) + 1, np.int64), []
-                    if single.is_valid:
-                        one = np.unique(single.values.to_numpy(zero_copy_only=False))
-                        runs = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in packed.values]
-                        starts = np.concatenate([one, *(r[:, 0] for r in runs)]).astype(np.int64)
-                        ends = np.concatenate([one + 1, *(r.sum(axis=1) for r in runs)]).astype(np.int64) + length - 1
-                        ok = ends <= len(words)
-                        np.add.at(covered, starts[ok], 1)
-                        np.add.at(covered, ends[ok], -1)
-                        covered = np.cumsum(covered)
-                        edge = np.diff(np.concatenate([[0], (covered[:-1] > 0).astype(np.int8), [0]]))
-                        spans = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+                    covered = np.zeros(len(words) + 1, np.int64)
+                    begin, end = _windows(kind_.as_py(), seeds, runs, length - gram)
+                    np.add.at(covered, begin, 1)
+                    np.add.at(covered, end + length - 1, -1)
+                    covered = np.cumsum(covered)
+                    edge = np.diff(np.concatenate([[0], (covered[:-1] > 0).astype(np.int8), [0]]))
+                    spans = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
                     gone = sum(s["end"] - s["begin"] for s in spans)
                     kept = compress(words, (covered[:-1] == 0).tolist()) if gone else words
                     rows.append((len(words), gone, b" ".join(kept).decode(), spans))
                 n, removed, kept, spans = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], names=[key, "n_words", "n_removed", "text", "repeats"])
 
-    return docs.join(found, "id", "left").select("id", "text", "single", "packed").mapInArrow(remove, f"`{key}` bigint, n_words bigint, n_removed bigint, text string, repeats array<struct<begin:int,end:int>>")
+    return docs.join(found, "id", "left").select("id", "kind", "text", "seeds", "runs").mapInArrow(remove, f"`{key}` bigint, n_words bigint, n_removed bigint, text string, repeats array<struct<begin:int,end:int>>")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
