@@ -36,14 +36,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. Without one a local session gets a temporary folder, a cluster an error."""
     given = spark.conf.get("spark.checkpoint.dir", "")
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="provgraph-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as strings without nulls: a null counts as the empty text."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -2,13 +2,14 @@
 
 `parse_arc` follows ARC versions 1 (five fields a header line) and 2 (ten); `to_warc` synthesises a
 record's identifier, date, type and digests; `write_archives` and `read_archives` store records as
-.warc members in files of bounded size on storage that the cluster shares.
+gzip members in files of bounded size on storage that the cluster shares.
 
 Defined results: a null payload counts as empty; an ARC file that breaks its format raises ArcError with
 the byte; a two-digit-short date is filled up (missing month and day as 01, time as 00); equal payloads
 under `MIN_REVISIT` bytes stay responses; of rows that repeat the largest key each is a response; a null
-key is written without one and comes back null; an empty table gives an empty one. Only the named columns
-are read, so others, of any name, do not clash.
+key is written without one and comes back null; a null url is about:blank; blanks and control characters of
+a url are percent-encoded; a page whose url begins with filedesc:// is a page like any other; an empty table
+gives an empty one. Only the named columns are read, so others, of any name, do not clash.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, shared_dir, table
+from .common import batch_of, free, shared_dir, table
 
 MIN_REVISIT = 1000
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES, BLANK = 32 << 20, "about:blank"
 #: Fixed by the two versions of the ARC format.
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -35,6 +37,10 @@ FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+#: What a url in a header line may not hold: blanks and control characters are percent-encoded.
+UNFIT = re.compile(r"[\x00-\x20\x7f\x85\u2028\u2029]")
+#: A gzip member of no bytes, which ends each file (Spark's text writer ends a row with a separator of ours).
+NOTHING = gzip.compress(b"", mtime=0)
 
 
 class ArcError(ValueError):
@@ -46,6 +52,7 @@ class ArcRecord:
     version: int
     header: dict[str, str]
     block: bytes
+    about: bool = False  # the version block at the beginning of a file
 
 
 @dataclass
@@ -67,7 +74,7 @@ def write_arc(records: list[tuple[str, str, str, str, bytes]], version: int, nam
 def _arc_line(version: int, url: str, ip: str, date: str, kind: str, block: bytes) -> bytes:
     status = block[9:12].decode("ascii", "replace") if block.startswith(b"HTTP/") else "200"
     middle = [] if version == 1 else [status, hashlib.sha1(block).hexdigest(), "-", "0", "legacy.arc"]
-    return " ".join([url.replace(" ", "%20"), ip, date, kind.replace(" ", ""), *middle, str(len(block))]).encode()
+    return " ".join([UNFIT.sub(lambda m: f"%{ord(m[0]):02X}", url), ip, date, kind.replace(" ", ""), *middle, str(len(block))]).encode()
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
@@ -82,6 +89,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             raise ArcError(f"no header line at byte {at}")
         values = data[at:stop].decode("utf-8", "replace").rstrip("\r").split(" ")
         if not version:
+            opening = at
             if not values[0].startswith("filedesc://"):
                 raise ArcError("no version block at the beginning")
             names = FIELDS.get({5: 1, 10: 2}.get(len(values), 0), ())
@@ -97,7 +105,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
                 raise ArcError("an unknown version")
             if len(values) != len(FIELDS[version]):
                 raise ArcError("the version block's own line is of another version")
-        yield ArcRecord(version, dict(zip(names, values, strict=True)), block)
+        yield ArcRecord(version, dict(zip(names, values, strict=True)), block, at == opening)
         at = begin + size
 
 
@@ -117,13 +125,13 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
-def to_warc(record: ArcRecord, key: str = "", refers_to: str | None = None) -> WarcRecord:
-    """The WARC record of an ARC record; with `refers_to`, the key of the record whose payload it repeats, a revisit."""
-    url, block = record.header["URL"], record.block
-    fields = {"WARC-Type": "resource", "WARC-Record-ID": record_id(url, record.header["Archive-date"], key), "WARC-Date": warc_date(record.header["Archive-date"])}
-    if url.startswith("filedesc://"):
+def to_warc(record: ArcRecord, key: str = "", refers_to: tuple[str, str, str] | None = None) -> WarcRecord:
+    """The WARC record of an ARC record; with `refers_to`, key, url and ARC date of the record whose payload it repeats, a revisit."""
+    url, date, block = record.header["URL"], record.header["Archive-date"], record.block
+    fields = {"WARC-Type": "resource", "WARC-Record-ID": record_id(url, date, key), "WARC-Date": warc_date(date)}
+    if record.about:
         info = f"software: ARC {record.version} conversion\r\nformat: WARC File Format 1.1\r\n".encode()
-        return WarcRecord(fields | {"WARC-Type": "warcinfo", "WARC-Filename": url[11:], "Content-Type": "application/warc-fields"}, info)
+        return WarcRecord(fields | {"WARC-Type": "warcinfo", "WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, info)
     fields |= {"WARC-Target-URI": url, "WARC-IP-Address": record.header["IP-address"]}
     payload, kind = block, record.header["Content-type"]
     if block.startswith(b"HTTP/") and (cut := block.find(END)) >= 0:
@@ -133,7 +141,8 @@ def to_warc(record: ArcRecord, key: str = "", refers_to: str | None = None) -> W
         fields["X-Archive-Key"] = key
     if refers_to is not None:
         block = block[: len(block) - len(payload)]
-        fields |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "X-Refers-To-Key": refers_to}
+        fields |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to[1], refers_to[2], refers_to[0])}
+        fields |= {"WARC-Refers-To-Target-URI": refers_to[1], "WARC-Refers-To-Date": warc_date(refers_to[2]), "X-Refers-To-Key": refers_to[0]}
     fields["WARC-Block-Digest"] = sha1_32(block)
     return WarcRecord(fields, block)
 
@@ -160,29 +169,41 @@ def parse_warc(data: bytes) -> Iterator[WarcRecord]:
         at = begin + size + 4
 
 
-def with_revisits(df: DataFrame, key: str, payload: str, least: int = MIN_REVISIT) -> DataFrame:
-    """The rows and refers_to: of equal payloads of `least` bytes or more, the largest key of them for all others.
-    Only a digest's largest key is gathered; the join on digests can be split where many rows share one."""
-    df = df.withColumn("__digest", F.when(F.octet_length(payload) >= least, F.concat_ws(":", F.octet_length(payload), F.sha1(F.col(payload).cast("binary")))))
-    shared = df.where(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.max(key).alias("__last"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return df.join(shared, "__digest", "left").withColumn("refers_to", F.when(F.col(key) != F.col("__last"), F.col("__last"))).drop("__digest", "__last")
+def with_revisits(df: DataFrame, key: str, payload: str, url: str = "url", least: int = MIN_REVISIT) -> DataFrame:
+    """The rows and refers_to, refers_to_url: of equal payloads of `least` bytes or more, the largest key of them, and its
+    url (the greatest of several), for all others. Columns of these names are refused. Only a digest's largest key is
+    gathered; the join on digests can be split where many rows share one."""
+    if {"refers_to", "refers_to_url"} & {c.lower() for c in df.columns}:
+        raise ValueError("the pages have a column refers_to or refers_to_url already")
+    digest, last, n = free(df, "digest"), free(df, "last"), free(df, "n")
+    df = df.withColumn(digest, F.when(F.octet_length(payload) >= least, F.concat_ws(":", F.octet_length(payload), F.sha1(F.col(payload).cast("binary")))))
+    latest = F.max(F.struct(F.col(key).alias("key"), F.col(url).alias("url")))
+    shared = df.where(F.col(digest).isNotNull()).groupBy(digest).agg(latest.alias(last), F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
+    repeats = F.col(key) != F.col(last)["key"]
+    return df.join(shared, digest, "left").withColumns({"refers_to": F.when(repeats, F.col(last)["key"]), "refers_to_url": F.when(repeats, F.col(last)["url"])}).drop(digest, last)
+
+
+def _date(number: int | None) -> str:
+    """The pages have no date: one of 2024's months by their key."""
+    return f"2024{(number or 0) % 12 + 1:02d}"
 
 
 def page_records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(archive): WARC archives of about ARCHIVE_BYTES, made from pages by way of ARC records of both versions."""
+    """(archive): WARC archives of about ARCHIVE_BYTES, a gzip member a record, made from pages by way of ARC records of
+    both versions. df has refers_to and refers_to_url."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for row in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):
-                body = row["payload"]
+                body, number = row["payload"], row["key"]
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + END + body
-                number = row["key"]
-                arc = write_arc([(row["url"] or "about:blank", "192.0.2.1", f"2024{(number or 0) % 12 + 1:02d}", "text/html", block)], 1 + (number or 0) % 2)
+                arc = write_arc([(row["url"] or BLANK, "192.0.2.1", _date(number), "text/html", block)], 1 + (number or 0) % 2)
                 info, record = parse_arc(arc)
-                back = None if row["refers_to"] is None else str(row["refers_to"])
+                target = UNFIT.sub(lambda m: f"%{ord(m[0]):02X}", row["refers_to_url"] or BLANK)
+                back = None if row["refers_to"] is None else (str(row["refers_to"]), target, _date(row["refers_to"]))
                 records = ([] if held else [to_warc(info)]) + [to_warc(record, "" if number is None else str(number), back)]
-                held += map(dump, records)
+                held += [gzip.compress(dump(r), 6, mtime=0) for r in records]
                 size += sum(map(len, held[-len(records) :]))
                 if size >= ARCHIVE_BYTES:
                     yield batch_of(archive=pa.array([b"".join(held)], pa.binary()))
@@ -190,14 +211,14 @@ def page_records(df: DataFrame, key: str = "page_id", url: str = "url", payload:
         if held:
             yield batch_of(archive=pa.array([b"".join(held)], pa.binary()))
 
-    pages = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"), "refers_to")
+    pages = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"), "refers_to", "refers_to_url")
     return pages.mapInArrow(run, "archive binary")
 
 
 def write_archives(archives: DataFrame, path: str) -> str:
-    """One gzip file an archive. Spark's text writer ends a row with `lineSep`: here the last record's own end."""
-    body = F.substring(F.col("archive"), F.lit(1), F.length("archive") - len(END)).cast("string")
-    archives.select(body.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    """One file an archive, by Spark's text writer: its rows are the archives' bytes, its separator an empty gzip member."""
+    rows = archives.select(F.col("archive").cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
