@@ -97,32 +97,37 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
-    """The first `count` samples of a code stream; fewer if it ends early."""
+    """The first `count` samples of a code stream; fewer if it ends early. A full table without a clear code stays as it
+    is, and codes stay 12 bits wide, for as long as the stream goes on."""
     if not 1 <= bits <= 11:
         raise GifError(f"minimum code size {bits}")
     clear, stop = 1 << bits, (1 << bits) + 1
     width, begin = plan(bits)
+    late = 12 * np.arange(len(width) + 1)
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     total, at, made = len(stream) * 8, 0, 0
     out: list[bytes] = []
     while made < count:
-        n = min(len(width), int(np.searchsorted(begin, total - at, "right")) - 1)
-        if n <= 0:
-            break
-        bit = begin[:n] + at
-        place = bit >> 3
-        codes = (raw[place] | raw[place + 1] << 8 | raw[place + 2] << 16) >> (bit & 7) & ((1 << width[:n]) - 1)
-        ends = np.flatnonzero((codes == clear) | (codes == stop))
-        last = int(ends[0]) if len(ends) else n
-        if last:
-            out.append(_expand(codes[:last], stop + 1))
+        run, last = [], None
+        while last is None:
+            starts, wide = (late, 12) if run else (begin, width)
+            n = min(len(width), int(np.searchsorted(starts, total - at, "right")) - 1)
+            if n <= 0:
+                break
+            bit = starts[:n] + at
+            place = bit >> 3
+            codes = (raw[place] | raw[place + 1] << 8 | raw[place + 2] << 16) >> (bit & 7) & ((1 << (wide if run else wide[:n])) - 1)
+            ends = np.flatnonzero((codes == clear) | (codes == stop))
+            if len(ends):
+                last = int(codes[ends[0]])
+                codes, n = codes[: ends[0]], int(ends[0]) + 1
+            run.append(codes)
+            at += int(starts[n])
+        codes = np.concatenate([*run, np.zeros(0, np.int64)])
+        if len(codes):
+            out.append(_expand(codes, stop + 1))
             made += len(out[-1])
-        if not len(ends):
-            if n == len(width) and made < count:
-                raise GifError("a run of codes is longer than this reader follows without a clear code")
-            break
-        at += int(begin[last + 1])
-        if codes[last] == stop:
+        if last != clear:
             break
     return b"".join(out)[:count]
 
