@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program.
 
 Every document's ids are cut into pieces of `capacity` tokens at most. The histogram of piece lengths (exact
-up to a capacity of 4096; in 4096 classes or more, rounded up, beyond it) is all that the driver sees. Its configuration program,
-one variable per way to fill a sequence, is solved by multiplicative weights: a knapsack dynamic program
+up to a capacity of 4096; in 4096 classes or more, rounded up, beyond it) is all that the driver sees. Its
+configuration program, one variable per way to fill a sequence, is solved by multiplicative weights: a knapsack dynamic program
 prices the fullest configuration under the present weights, the configuration is used, and the weights of
 the lengths that it covers go down. Whole uses are kept, the program is solved again for what is left, and
-the last remainder, whose size does not depend on the number of documents, goes by best fit. Pieces then
-find their configuration from their rank within their class, so no piece passes through the driver.
+the last remainder, whose size does not depend on the number of documents, is rounded up or goes by best fit.
+A plan never has more sequences than best fit over all lengths. Pieces then find their configuration from
+their rank within their class, so no piece passes through the driver.
 
 Defined results: a null text is empty and makes one piece, the end id alone; an empty table gives an empty
 one; equal rows are pieces of their own; a null key is packed as any other. `pack` keeps all columns of the
@@ -26,7 +27,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, steps, table, texts
+from .common import batch_of, checkpoint, free, steps, table, texts
 
 CAPACITY, CLASSES = 4096, 4096
 #: Words whose ids a worker keeps; rows of one class that one task ranks, about.
@@ -150,22 +151,40 @@ def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = ST
 
 
 def plan(counts: np.ndarray, units: int) -> list[tuple[tuple, int]]:
-    """Configurations (sizes, how many of each) and whole numbers of uses that take exactly `counts` items of each size.
-    Full sequences are kept first, then any, for as long as a phase takes a good part of what is left."""
+    """Configurations (sizes, how many of each) and whole numbers of uses that take exactly `counts` items of each size,
+    in no more sequences than best fit alone takes. The program is solved for what is left, phase by phase; first the
+    uses of full sequences, rounded down, are kept, then any, for as long as a phase takes a good part and the sequences
+    are more than the tokens need. What is left goes by the last fractions, rounded up, and by best fit."""
     left, out, phase = counts.astype(np.int64).copy(), [], 1
-    while (before := int(left.sum())) > REST:
-        for config, times in sorted(solve(left, units), key=lambda x: -x[1]):
-            own, n = config
-            if phase < PHASES and own @ n < units:
-                continue
-            whole = int(min(np.floor(times + 1e-9), (left[own] // n).min()))
-            if whole > 0:
-                left[own] -= whole * n
-                out.append((config, whole))
-        if phase >= PHASES and left.sum() > before / 2:
+    best, bound = best_fit(left, units), -(-int(left @ np.arange(units + 1)) // units)
+    while (before := int(left.sum())) and (phase == 1 or before > REST):
+        found, up = sorted(solve(left, units), key=lambda x: -x[1]), left.copy()
+        nearly = _taken(up, found, units, lambda x: np.ceil(x - 1e-9), full=False)
+        whole = _taken(left, found, units, lambda x: np.floor(x + 1e-9), full=phase < PHASES)
+        ways = [out + whole + best_fit(left, units), out + nearly + best_fit(up, units), best]
+        out, best = out + whole, min(ways, key=_sequences)
+        if _sequences(best) <= bound or (phase >= PHASES and left.sum() > before / 2):
             break
         phase += 1
-    return out + best_fit(left, units)
+    return best
+
+
+def _sequences(way: list[tuple[tuple, int]]) -> int:
+    return sum(times for _, times in way)
+
+
+def _taken(left: np.ndarray, found, units: int, rounded, full: bool) -> list[tuple[tuple, int]]:
+    """Whole uses of fractional configurations, most used first, taken off `left`."""
+    out = []
+    for config, times in found:
+        own, n = config
+        if full and own @ n < units:
+            continue
+        whole = int(min(rounded(times), (left[own] // n).min()))
+        if whole > 0:
+            left[own] -= whole * n
+            out.append((config, whole))
+    return out
 
 
 def best_fit(counts: np.ndarray, units: int) -> list[tuple[tuple, int]]:
@@ -220,42 +239,44 @@ def _slots(configs: list[tuple[tuple, int]]):
 
 def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """The pieces (with their `length`, at least 1 and at most the capacity) and sequence_id and offset of each.
-    `order` are columns that tell pieces apart; the rank of a piece within its class follows them."""
-    if {"sequence_id", "offset"} & set(df.columns):
+    `order` are columns that tell pieces apart; the rank of a piece within its class follows them, and where they
+    are equal a piece's other columns that can be ordered."""
+    if {"sequence_id", "offset"} & {c.lower() for c in df.columns}:
         raise ValueError("the pieces have a column sequence_id or offset already")
     unit = max(1, capacity // CLASSES)
     units = capacity // unit
-    df = df.withColumn("__class", F.ceil(F.col("length") / unit).cast("int"))
+    names = df.columns
+    class_, salt, rank, base, slot, n, mark = (free(df, c) for c in ("class", "salt", "rank", "base", "slot", "n", "mark"))
+    df = df.withColumns({class_: F.ceil(F.col("length") / unit).cast("int"), mark: F.xxhash64(*(c for c in names if not df.schema[c].dataType.simpleString().startswith("map")))})
     counts = np.zeros(units + 1, np.int64)
-    for row in df.groupBy("__class").count().collect():
+    for row in df.groupBy(class_).count().collect():
         if not 1 <= (row[0] or 0) <= units:
             raise ValueError("a piece's length lies outside 1 and the capacity")
         counts[row[0]] = row[1]
     slots = _slots(plan(counts, units))
     salts = max(1, -(-int(counts.max()) // RANKED))
-    df = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    group = ["__class", "__salt"]
-    before = df.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("__base", F.sum("__n").over(Window.partitionBy("__class").orderBy("__salt")) - F.col("__n")).drop("__n")
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).join(before, group)
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__base")).drop("__base", "__salt")
-    names = ranked.columns
+    df = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    group = [class_, salt]
+    before = df.groupBy(*group).agg(F.count("*").alias(n)).withColumn(base, F.sum(n).over(Window.partitionBy(class_).orderBy(salt)) - F.col(n)).drop(n)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order, mark)) - 1).join(before, group)
+    ranked = ranked.select(*names, class_, (F.col(rank) + F.col(base)).alias(rank))
 
     def place(batches):
         for batch in batches:
-            size, rank = batch["__class"].to_numpy(), batch["__rank"].to_numpy()
-            sequence, slot = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            size, at_ = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy()
+            sequence, spot = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for own in np.unique(size):
                 at = np.flatnonzero(size == own)
-                first, n, begin, turn = slots[int(own)]
-                i = np.searchsorted(first, rank[at], "right") - 1
-                t = rank[at] - first[i]
-                sequence[at], slot[at] = begin[i] + t // n[i], turn[i] * (1 << 20) + t % n[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(slot)], names=[*names, "sequence_id", "__slot"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id bigint, __slot bigint"
-    within = Window.partitionBy("sequence_id").orderBy("__slot")
+                first, each, begin, turn = slots[int(own)]
+                i = np.searchsorted(first, at_[at], "right") - 1
+                t = at_[at] - first[i]
+                sequence[at], spot[at] = begin[i] + t // each[i], turn[i] * (1 << 20) + t % each[i]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(spot)], names=[*names, "sequence_id", slot])
+
+    schema = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names) + f", sequence_id bigint, `{slot}` bigint"
+    within = Window.partitionBy("sequence_id").orderBy(slot)
     placed = ranked.mapInArrow(place, schema).withColumn("offset", F.sum("length").over(within) - F.col("length"))
-    return placed.drop("__class", "__rank", "__slot")
+    return placed.drop(slot)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
