@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, hash_ranges, lowered, mix, steps, table, texts
+from .common import U64, bytes_of, free, hash_ranges, lowered, mix, steps, table, texts
 
 #: Labelled documents that the models are trained on, at most.
 SAMPLE = 8000
@@ -62,7 +62,7 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found.append(hash_ranges(small, begin[some], end[some] if size is None else begin[some] + size, seed))
         docs.append(owner[some])
     marks = _stretches(_MARK[raw], cut)
-    found.append(hash_ranges(small, marks[0], np.minimum(marks[1], marks[0] + 8), 34))
+    found.append(hash_ranges(small, *marks, 34))
     docs.append(np.searchsorted(at, marks[0], "right") - 1)
     size = np.maximum(np.diff(at), 1)
     for seed, flags in ((35, (raw >= 0x41) & (raw <= 0x5A)), (36, _MARK[raw])):
@@ -233,16 +233,16 @@ def _split(doc, found, n):
 
 def score(df: DataFrame, chain: Chain, text: str = "text", out: str = "toxicity") -> DataFrame:
     """The rows and `out`: a struct of p_<category> and is_<category> for each category of the chain."""
-    rest = [c for c in df.columns if c != out]
-    rows = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("__scored"))
+    rest, scored = [c for c in df.columns if c != out], free(df, "scored")
+    rows = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(scored))
     fields = ",".join(f"p_{c}:double,is_{c}:boolean" for c in chain.categories)
     shared = df.sparkSession.sparkContext.broadcast(chain)  # bounded by the sample's features
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            for part in steps(batch, "__scored"):
-                odds = model.odds(*features(texts(part, "__scored")), part.num_rows)
+            for part in steps(batch, scored):
+                odds = model.odds(*features(texts(part, scored)), part.num_rows)
                 p = 1 / (1 + np.exp(-odds))
                 columns = [x for c, name in enumerate(model.categories) for x in ((f"p_{name}", pa.array(p[:, c])), (f"is_{name}", pa.array(p[:, c] >= model.threshold[c])))]
                 made = pa.StructArray.from_arrays([x for _, x in columns], names=[n for n, _ in columns])
