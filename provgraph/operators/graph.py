@@ -22,8 +22,8 @@ def upsert(known: DataFrame, new: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def gate(edges: DataFrame, patterns: DataFrame) -> DataFrame:
     """edges (key, src_cat, rel, dst_cat, path) with a verdict, by declared patterns (src_cat, rel, dst_cat, symmetric)."""
-    fwd = patterns.select("src_cat", "rel", "dst_cat", F.col("symmetric").alias("fwd"))
-    back = patterns.where("not symmetric").select(F.col("dst_cat").alias("src_cat"), "rel", F.col("src_cat").alias("dst_cat"), F.lit(True).alias("back"))
+    fwd = patterns.groupBy("src_cat", "rel", "dst_cat").agg(F.max("symmetric").alias("fwd"))
+    back = fwd.where("not fwd").select(F.col("dst_cat").alias("src_cat"), "rel", F.col("src_cat").alias("dst_cat"), F.lit(True).alias("back"))
     declared = patterns.select("rel").distinct().withColumn("declared", F.lit(True))
     rows = edges.join(declared, "rel", "left").join(fwd, ["src_cat", "rel", "dst_cat"], "left").join(back, ["src_cat", "rel", "dst_cat"], "left")
     unsure = (F.col("path") == "extract") & (F.col("src_cat") == F.col("dst_cat")) & ~F.col("fwd")
@@ -62,7 +62,8 @@ def redirects(moved: DataFrame) -> DataFrame:
 
 def expand(seeds: DataFrame, edges: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
     """(qid, node, level) that walks from seeds (qid, node) reach. A rule (relation, out | in | both, recursive) says how a
-    relation is followed; only nodes that a recursive rule reached go on. Each level is one join on the frontier."""
+    relation is followed; only nodes that a recursive rule reached go on, until nothing new is reached. Each level is one
+    join on the frontier, and a node that was seen does not come back, so circles end."""
     steps = []
     for rel, direction, recursive in rules:
         own = edges.where(F.col("rel") == rel)
@@ -76,7 +77,9 @@ def expand(seeds: DataFrame, edges: DataFrame, rules: list[tuple[str, str, bool]
     hops = checkpoint(hops)
     seen = checkpoint(seeds.select("qid", "node").distinct().select("qid", "node", F.lit(0).alias("level"), F.lit(True).alias("on")))
     frontier = seen
-    for level in range(1, DEPTH + 1):
+    level = 0
+    while True:
+        level += 1
         reached = frontier.where("on").join(hops.withColumnRenamed("on", "go"), "node").groupBy("qid", F.col("to").alias("node")).agg(F.max("go").alias("on"))
         frontier = checkpoint(reached.join(seen.select("qid", "node"), ["qid", "node"], "left_anti").select("qid", "node", F.lit(level).alias("level"), "on"))
         if frontier.isEmpty():

@@ -14,7 +14,6 @@ DITTO = ("〃", "〝", "상동", "same as above")
 SEPARATORS = (",", "/", "\n")
 HEADING = r"^(\d+(?:\.\d+)*)\.?\s+(.+)$"
 SLIDE_CHARS, SLIDE_SHAPES = 600, 5
-MAX_DEPTH = 9
 
 
 def ditto_fill(df: DataFrame, doc: str, order: str, field: str) -> DataFrame:
@@ -61,18 +60,31 @@ def headings(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("depth", F.when(is_heading, F.size(F.split(F.regexp_extract(line, HEADING, 1), r"\."))).cast("int")).withColumn("title", F.when(is_heading, F.trim(F.regexp_extract(line, HEADING, 2))))
 
 
+def heading_paths(heads: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, chunk, section) for headings (doc, order, depth, title): the path of titles that holds after the chunk'th
+    heading, of any depth. A document's outline is folded in order; a heading closes those as deep or deeper."""
+    outline = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "depth", "title")))
+    start = F.struct(F.array().cast("array<struct<depth:int,title:string>>").alias("open"), F.array().cast("array<string>").alias("paths"))
+
+    def step(state, head):
+        open_ = F.concat(F.filter(state["open"], lambda x: x["depth"] < head["depth"]), F.array(F.struct(head["depth"].alias("depth"), head["title"].alias("title"))))
+        path = F.array_join(F.transform(open_, lambda x: x["title"]), " > ")
+        return F.struct(open_.alias("open"), F.concat(state["paths"], F.array(path)).alias("paths"))
+
+    held = heads.groupBy(doc).agg(outline.alias("outline")).select(doc, F.posexplode(F.aggregate("outline", start, step, lambda s: s["paths"])).alias("at", "section"))
+    return held.select(doc, (F.col("at") + 1).cast("bigint").alias("chunk"), "section")
+
+
 def heading_chunks(df: DataFrame, doc: str, order: str, text: str) -> DataFrame:
     """(doc, chunk, section, text): consecutive body lines joined, under the path of headings that hold at that place.
     A heading of some depth holds until one as deep or less deep comes."""
     so_far = Window.partitionBy(doc).orderBy(order)
     rows = headings(df, text).withColumn("chunk", F.sum(F.col("depth").isNotNull().cast("bigint")).over(so_far))
-    for d in range(1, MAX_DEPTH + 1):
-        rows = rows.withColumn(f"__{d}", F.last(F.when(F.col("depth") == d, F.struct(F.col(order).alias("at"), "title")), ignorenulls=True).over(so_far))
-        rows = rows.withColumn(f"__b{d}", F.last(F.when(F.col("depth") < d, F.col(order)), ignorenulls=True).over(so_far))
-    holds = [F.when(F.col(f"__b{d}").isNull() | (F.col(f"__{d}.at") > F.col(f"__b{d}")), F.col(f"__{d}.title")) for d in range(1, MAX_DEPTH + 1)]
-    rows = rows.withColumn("section", F.concat_ws(" > ", *holds)).where(F.col("depth").isNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(F.col(text)).alias("t")))), lambda x: x["t"]), "\n")
-    return rows.groupBy(doc, "chunk").agg(F.min("section").alias("section"), body.alias("text"))
+    paths = heading_paths(rows.where("depth is not null"), doc, order)
+    body = rows.where(F.col("depth").isNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(F.col(text)).alias("t")))), lambda x: x["t"]), "\n")
+    out = body.groupBy(doc, "chunk").agg(joined.alias("text")).join(paths, [doc, "chunk"], "left")
+    return out.select(doc, "chunk", F.coalesce("section", F.lit("")).alias("section"), "text")
 
 
 def slide_routes(shapes: DataFrame, doc: str, slide: str, text: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .state import checkpoint
+
 MATCH = 0.85
 SCOPE = "::"
 
@@ -27,15 +29,18 @@ def descend(resolved: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
     return resolved.join(instance, ["node_id", axis], "left").withColumn("target", F.coalesce("instance", "node_id")).drop("instance")
 
 
-def closure(nodes: DataFrame, tiers: int = 4) -> DataFrame:
-    """(node, ancestor, depth), each node its own at depth 0, in a hierarchy of `tiers` tiers: a join a tier."""
-    parent = nodes.where("parent is not null").select(F.col("id").alias("ancestor"), F.col("parent").alias("up"))
-    level = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, tiers):
-        level = level.join(parent, "ancestor").select("node", F.col("up").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.union(level)
-    return out
+def closure(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth), each node its own at depth 0. What is known is joined with itself, so reach doubles with
+    each round, until nothing is new; in a circle of parents a node's least depth counts."""
+    known = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    up = nodes.where("parent is not null and parent <> id").select(F.col("id").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    known, count = checkpoint(known.union(up)), -1
+    while (now := known.count()) > count:
+        count = now
+        further = known.where("depth > 0").select(F.col("node").alias("ancestor"), F.col("ancestor").alias("to"), F.col("depth").alias("more"))
+        both = known.where("depth > 0").join(further, "ancestor").select("node", F.col("to").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = checkpoint(known.union(both).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+    return known
 
 
 def off_group(pieces: DataFrame, ancestors: DataFrame, node: str, group: str) -> DataFrame:
@@ -71,16 +76,26 @@ def lengths(terms: DataFrame, term: str) -> list[int]:
     return sorted(r[0] for r in terms.select(F.length(term)).distinct().collect() if r[0])
 
 
-def entity_matches(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def entity_matches(found: DataFrame, known: DataFrame, key: str, block: tuple[str, ...] = ()) -> DataFrame:
     """(key, node_id, score) for found (key, surface) and known (node_id, canonical): 1.0 for equal names without spaces,
-    0.95 where one holds the other; the best score, then the least node, wins; nothing below MATCH."""
+    0.95 where one holds the other; the best score, then the least node, wins; nothing below MATCH. `block` are columns
+    of both (category, layer, polarity) that must be equal; scoped names only match scoped surfaces. Surfaces are
+    matched once each, whatever number of keys has them, and each side is reduced to its best node before it is joined."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    left, right = found.select(key, bare("surface").alias("s")), known.select("node_id", bare("canonical").alias("c"))
-    inside = contained(left, key, "s", right, "c", lengths(right, "c")).join(right, "c").join(left, key)
-    around = contained(right, "node_id", "c", left, "s", lengths(left, "s")).join(left, "s").join(right, "node_id")
-    both = inside.select(key, "node_id", "s", "c").union(around.select(key, "node_id", "s", "c"))
-    scored = both.select(key, F.struct(F.when(F.col("s") == F.col("c"), -1.0).otherwise(-0.95).alias("score"), "node_id").alias("best"))
-    out = scored.groupBy(key).agg(F.min("best").alias("best"))
+    left = found.select(key, bare("surface").alias("s"), F.contains("surface", F.lit(SCOPE)).alias("scoped"), *block)
+    right = known.select("node_id", bare("canonical").alias("c"), F.contains("canonical", F.lit(SCOPE)).alias("c_scoped"), *block)
+    one = checkpoint(left.select("s", "scoped", *block).distinct())
+    names = right.groupBy("c", "c_scoped", *block).agg(F.min("node_id").alias("node_id"))
+    inside = contained(one.select("s", F.col("s").alias("t")).distinct(), "s", "t", names, "c", lengths(names, "c"))
+    around = contained(names.select("c", F.col("c").alias("t")).distinct(), "c", "t", one, "s", lengths(one, "s"))
+    score = F.when(F.col("s") == F.col("c"), -1.0).otherwise(-0.95)
+    best = None
+    for pairs in (inside.select("s", "c"), around.select("s", "c")):
+        own = pairs.join(names, "c").join(one, ["s", *block]).where("scoped or not c_scoped")
+        own = own.groupBy("s", "scoped", *block).agg(F.min(F.struct(score.alias("score"), "node_id")).alias("best"))
+        best = own if best is None else best.union(own)
+    best = best.groupBy("s", "scoped", *block).agg(F.min("best").alias("best"))
+    out = left.join(best, ["s", "scoped", *block]).groupBy(key).agg(F.min("best").alias("best"))
     return out.select(key, "best.node_id", (-F.col("best.score")).alias("score")).where(F.col("score") >= MATCH)
 
 
