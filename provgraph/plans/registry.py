@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import answers, graph, pieces
+from . import answers, graph, intake, pieces
 
-QUERIES: dict = {**answers.QUERIES, **graph.QUERIES, **pieces.QUERIES}
-ORACLE_SQL: dict = {**answers.ORACLE_SQL, **graph.ORACLE_SQL, **pieces.ORACLE_SQL}
+QUERIES: dict = {**answers.QUERIES, **graph.QUERIES, **intake.QUERIES, **pieces.QUERIES}
+ORACLE_SQL: dict = {**answers.ORACLE_SQL, **graph.ORACLE_SQL, **intake.ORACLE_SQL, **pieces.ORACLE_SQL}
 FLAGSHIP = answers.answers
