@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import norm
 from .resolve import contained, lengths
 
 COLLECT = 8
 
 
 def link(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(qid, surface, node_id, layer): the longest surfaces in a question, those that lie in a longer one left out."""
+    """(qid, surface, node_id, layer): the longest surfaces in a question, those that lie in a longer one left out; both sides
+    in their normal form."""
+    questions, dictionary = questions.withColumn("q", norm("q")), dictionary.withColumn("surface", norm("surface")).where("surface <> ''")
     found = contained(questions, "qid", "q", dictionary, "surface", lengths(dictionary, "surface"))
     longer = found.groupBy("qid").agg(F.collect_set("surface").alias("all"))
     inside = F.exists("all", lambda o: (o != F.col("surface")) & F.contains(o, F.col("surface")))
@@ -61,3 +64,41 @@ def collect_chunks(walked: DataFrame, describes: DataFrame, limit: int = COLLECT
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))
     counts = found.groupBy("qid").agg(F.count("*").alias("found"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).join(counts, "qid").select("qid", "chunk_id", "tier", "rank", "found")
+
+
+def attribute_facts(walked: DataFrame, values: DataFrame, nodes: DataFrame, template: str) -> DataFrame:
+    """(qid, node, attr, context_key, fact): the values (node, attr, context map, value) of nodes that a question reached, a line
+    for each context, which stands before it as [k=v, ...] in the order of keys. Null values are left out."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("context")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    own = values.where("value is not null").withColumn("context_key", F.coalesce(pairs, F.lit("")))
+    own = own.join(walked.select("qid", "node").distinct(), "node").join(nodes.select(F.col("id").alias("node"), "canonical"), "node")
+    said = F.replace(F.replace(F.replace(F.lit(template), F.lit("{node}"), F.col("canonical")), F.lit("{attr}"), F.col("attr")), F.lit("{value}"), F.col("value").cast("string"))
+    prefix = F.when(F.col("context_key") != "", F.concat(F.lit("["), "context_key", F.lit("] "))).otherwise("")
+    return own.select("qid", "node", "attr", "context_key", F.concat(prefix, said).alias("fact"))
+
+
+def order_facts(asked: DataFrame, following: DataFrame, nodes: DataFrame, own: str, derived: str, none: str) -> DataFrame:
+    """(qid, node, how, fact): what comes after each asked node (qid, node) by `following` (id, next, how, at): a line of its own
+    order, of one derived from an ancestor ({scope}), or that there is none. Templates have {src}, {dst} and {scope}."""
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("canonical").alias(f"{c}_name"))
+    rows = asked.join(following.select(F.col("id").alias("node"), "next", "how", "at"), "node").join(name("node"), "node").join(name("next"), "next", "left").join(name("at"), "at", "left")
+    template = F.when(F.col("how") == "self", own).when(F.col("how") == "none", none).otherwise(derived)
+    for mark, column in (("{src}", "node_name"), ("{dst}", "next_name"), ("{scope}", "at_name")):
+        template = F.replace(template, F.lit(mark), F.coalesce(column, F.lit("")))
+    return rows.select("qid", "node", "how", template.alias("fact"))
+
+
+def transit_notes(linked: DataFrame, nodes: DataFrame, redirect: DataFrame) -> DataFrame:
+    """(qid, node_id, target, note): linked nodes (qid, node_id) as they are now: a merged one is its survivor; an obsolete one
+    with a replacement is that, noted as replaced; an obsolete one without is hidden (no target), noted as obsolete."""
+    own = nodes.select(F.col("id").alias("node_id"), "status", "replaced_by")
+    rows = linked.join(redirect.select(F.col("id").alias("node_id"), F.col("target").alias("survivor")), "node_id", "left").withColumn("now", F.coalesce("survivor", "node_id"))
+    rows = rows.join(own.withColumnRenamed("node_id", "now"), "now", "left")
+    gone = F.col("status") == "obsolete"
+    note = F.when(gone & F.col("replaced_by").isNotNull(), "replaced").when(gone, "obsolete").when(F.col("survivor").isNotNull(), "merged")
+    return rows.select("qid", "node_id", F.when(gone, F.col("replaced_by")).otherwise(F.col("now")).alias("target"), note.alias("note"))
+
+
+def misses(questions: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows for the log of questions that link to nothing."""
+    return questions.join(linked.select("qid").distinct(), "qid", "left_anti").select("qid", "q", F.lit("miss").alias("kind"))

@@ -60,3 +60,111 @@ def merge_candidates(nodes: DataFrame, freq: DataFrame, block: list[str]) -> Dat
     """(block, id, place): the nodes of a block, most evidence first, then by id."""
     place = F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("freq"), "id"))
     return nodes.join(freq, "id", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("bigint"))).withColumn("place", place).select(*block, "id", "freq", "place")
+
+
+def live(nodes: DataFrame) -> DataFrame:
+    """Nodes that no merge or split has put elsewhere; only these are targets of a change."""
+    return nodes.where("merged_into is null")
+
+
+def scope_children(nodes: DataFrame, parents: DataFrame, bound: list[str]) -> DataFrame:
+    """(parent_id, id): live nodes of the bound categories whose name begins with a parent's (id, canonical) and ::."""
+    parts = F.split("canonical", "::")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "::"))
+    own = live(nodes).where(F.col("category").isin(*bound) & F.contains("canonical", F.lit("::")))
+    return own.select("id", F.explode(heads).alias("head")).join(parents.select(F.col("id").alias("parent_id"), F.col("canonical").alias("head")), "head").select("parent_id", "id")
+
+
+def old_names(nodes: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(surface, node_id, category, layer): names that a rename took from nodes, which stay as surfaces of the dictionary."""
+    new = renamed.select("id", F.col("canonical").alias("new"))
+    return nodes.join(new, "id").where("canonical <> new").select(F.col("canonical").alias("surface"), F.col("id").alias("node_id"), "category", "layer")
+
+
+def preview(targets: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, edges, neighbours, children): what a change of the targets (id) would touch; nothing is written."""
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+    touched = targets.select("id").join(ends, "id", "left").groupBy("id").agg(F.count("other").alias("edges"), F.countDistinct("other").alias("neighbours"))
+    below = nodes.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    return touched.join(below, "id", "left").select("id", "edges", "neighbours", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def redirect_dictionary(dictionary: DataFrame, redirect: DataFrame) -> DataFrame:
+    """The dictionary with the ids of redirect (id, target) replaced; where there is no target the surface goes. Nothing twice."""
+    moved = dictionary.join(redirect.select(F.col("id").alias("node_id"), "target", F.lit(True).alias("hit")), "node_id", "left").where("hit is null or target is not null")
+    return moved.withColumn("node_id", F.coalesce("target", "node_id")).select(*dictionary.columns).distinct()
+
+
+def merge_refusals(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(absorbed, survivor, reason): a node with itself, two seeds, a node that is merged already, one that another merge of
+    these absorbs, or one that is not there."""
+    own = nodes.select("id", "status", "merged_into")
+    both = pairs
+    for end in ("absorbed", "survivor"):
+        both = both.join(own.select(F.col("id").alias(end), F.col("status").alias(f"{end}_status"), F.col("merged_into").alias(f"{end}_into")), end, "left")
+    both = both.join(pairs.select(F.col("absorbed").alias("survivor"), F.lit(True).alias("moves")).distinct(), "survivor", "left")
+    reason = (
+        F.when(F.col("absorbed") == F.col("survivor"), "itself").when(F.col("absorbed_status").isNull() | F.col("survivor_status").isNull(), "missing")
+        .when(F.col("absorbed_into").isNotNull() | F.col("survivor_into").isNotNull() | F.coalesce("moves", F.lit(False)), "chain")
+        .when((F.col("absorbed_status") == "seed") & (F.col("survivor_status") == "seed"), "two_seeds")
+    )
+    return both.select("absorbed", "survivor", reason.alias("reason")).where("reason is not null")
+
+
+def merge(pairs: DataFrame, nodes: DataFrame, dictionary: DataFrame, values: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Merges of pairs (absorbed, survivor) that nothing refuses, as new frames: `nodes` with tombstones, `dictionary` with
+    the absorbed names, `values` (node, attr, context, value, seq, doc) regrouped with the first value of each context and
+    their `conflicts`, `edges` (src, rel, dst, doc) without loops, the `loops` that went, and what was `refused`."""
+    from .resolve import attributes, conflicts
+
+    refused = merge_refusals(pairs, nodes)
+    valid = pairs.join(refused, ["absorbed", "survivor"], "left_anti")
+    redirect = valid.groupBy(F.col("absorbed").alias("id")).agg(F.min("survivor").alias("target"))
+    tombs = nodes.join(redirect, "id", "left")
+    out = {"refused": refused, "nodes": tombs.withColumn("merged_into", F.coalesce("target", "merged_into")).withColumn("status", F.when(F.col("target").isNotNull(), "merged_into").otherwise(F.col("status"))).select(*nodes.columns)}
+    names = nodes.join(redirect, "id").select(F.col("canonical").alias("surface"), F.col("target").alias("node_id"), "category", "layer")
+    out["dictionary"] = redirect_dictionary(dictionary, redirect).union(names.select(*dictionary.columns)).distinct()
+    moved = values.join(redirect.select(F.col("id").alias("node"), "target"), "node", "left").withColumn("node", F.coalesce("target", "node")).drop("target")
+    keys = ["node", "attr", "context"]
+    out["values"], out["conflicts"] = attributes(moved, keys, "value", ["seq"]), conflicts(moved, keys, "value", ["seq"])
+    ends = edges
+    for end in ("src", "dst"):
+        ends = ends.join(redirect.select(F.col("id").alias(end), F.col("target").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    out["edges"] = ends.where("src <> dst").select("src", "rel", "dst", "doc").distinct()
+    out["loops"] = ends.where("src = dst").select("src", "rel", "doc").distinct()
+    return out
+
+
+def split(node: str, plan: DataFrame, nodes: DataFrame, items: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A node split by a plan (frame, item, target): each of its items, by frame the rows (item) of `items`, goes to a target.
+    Where the plan leaves some out nothing is split, and `residual` (frame, item) says what. Else `nodes` has the targets with
+    the node's other columns, and the node as a tombstone to its least target; `assigned` says where each item went."""
+    every = None
+    for frame, own in items.items():
+        rows = own.select(F.lit(frame).alias("frame"), F.col("item").cast("string").alias("item"))
+        every = rows if every is None else every.union(rows)
+    every = every.distinct()
+    residual = every.join(plan.select("frame", "item"), ["frame", "item"], "left_anti")
+    if not residual.isEmpty():
+        return {"residual": residual, "nodes": nodes, "assigned": plan.limit(0)}
+    assigned = every.join(plan, ["frame", "item"])
+    targets = assigned.select(F.col("target").alias("new")).distinct()
+    copies = nodes.join(targets.withColumn("id", F.lit(node)), "id")
+    copies = copies.withColumn("id", F.col("new")).withColumn("canonical", F.col("new")).withColumn("status", F.lit("auto")).select(*nodes.columns)
+    first = targets.agg(F.min("new")).first()[0]
+    own = F.col("id") == node
+    tomb = nodes.withColumn("merged_into", F.when(own, F.lit(first)).otherwise(F.col("merged_into"))).withColumn("status", F.when(own, "merged_into").otherwise(F.col("status")))
+    return {"residual": residual, "nodes": tomb.select(*nodes.columns).union(copies), "assigned": assigned}
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges with status deleted_by_user for the keys (src, rel, dst) of gone; they stay, so that no later intake revives them."""
+    hit = edges.join(gone.select("src", "rel", "dst").distinct().withColumn("hit", F.lit(True)), ["src", "rel", "dst"], "left")
+    return hit.withColumn("status", F.when(F.col("hit"), "deleted_by_user").otherwise(F.col("status"))).select(*edges.columns)
+
+
+def log_rows(targets: DataFrame, op: str, actor: str, reason: str) -> DataFrame:
+    """(op, actor, target, reason, at) for the log of changes; a change without an actor is refused."""
+    if not actor.strip():
+        raise ValueError("a change needs an actor")
+    return targets.select(F.lit(op).alias("op"), F.lit(actor).alias("actor"), F.col("id").alias("target"), F.lit(reason).alias("reason"), F.current_timestamp().alias("at"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Marks that mean "as above", separators of several values in their order, and heading lines.
 DITTO = ("〃", "〝", "상동", "same as above")
 SEPARATORS = (",", "/", "\n")
+SIGNALS = ("heading", "section", "split")
 HEADING = r"^(\d+(?:\.\d+)*)\.?\s+(.+)$"
 SLIDE_CHARS, SLIDE_SHAPES = 600, 5
 
@@ -131,3 +132,113 @@ def fill_rates(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, fill_rate): the share of rows whose value is not blank, three digits."""
     rates = df.agg(*(F.round(F.avg(F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "", 1.0).otherwise(0.0)), 3).alias(f) for f in fields))
     return rates.unpivot([], fields, "field", "fill_rate")
+
+
+def normalise(df: DataFrame, doc: str, order: str, locator: str, fields: list[str], split: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df with the ditto marks of `fields` filled and the several values of the first `split` field that has some as rows of
+    their own; and (doc, ditto_hits, split_rows)."""
+    hits: Column = F.lit(0)
+    for f in fields:
+        df = ditto_fill(df, doc, order, f).withColumn(f"was_ditto_{f}", F.col("was_ditto").cast("int")).drop("was_ditto")
+        hits = hits + F.col(f"was_ditto_{f}")
+    df = df.withColumn("ditto_hits", hits).drop(*(f"was_ditto_{f}" for f in fields))
+    rows = multi_split(df, locator, split)
+    filled = df.groupBy(doc).agg(F.sum("ditto_hits").alias("ditto_hits"), F.count("*").alias("before"))
+    counts = rows.groupBy(doc).agg(F.count("*").alias("after")).join(filled, doc).select(doc, "ditto_hits", (F.col("after") - F.col("before")).alias("split_rows"))
+    return rows.drop("ditto_hits"), counts
+
+
+def table_rows(cells: DataFrame, columns: dict[str, str], first_row: int, required: list[str], ditto: list[str], context: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records of sheets' cells (doc, sheet, row, col, value) by a declared adapter: `columns` is the field of each column
+    letter, data begins at `first_row`, rows without any value are none, locators are Sheet!R<row>, and `context` is the
+    field that goes to the context as {model: value}. Also the violations (doc, locator, field) of required fields; a
+    document with one has no records at all."""
+    letter = F.trim("value")
+    rows = cells.where(F.col("row") >= first_row).groupBy("doc", "sheet", "row").agg(*(F.max(F.when((F.col("col") == c) & (letter != ""), letter)).alias(f) for c, f in columns.items()))
+    fields = list(columns.values())
+    rows = rows.where(F.coalesce(*fields).isNotNull()).withColumn("locator", F.concat("sheet", F.lit("!R"), F.col("row").cast("string"))).withColumn("own", F.concat_ws("\x00", "doc", "sheet"))
+    for f in ditto:
+        rows = ditto_fill(rows, "own", "row", f).drop("was_ditto")
+    lacks = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in required)))
+    bad = rows.select("doc", "locator", F.explode(lacks).alias("field"))
+    held = F.create_map(F.lit("model"), F.col(context)) if context else F.create_map().cast("map<string,string>")
+    good = rows.join(bad.select("doc").distinct(), "doc", "left_anti")
+    return good.select("doc", "locator", *fields, F.map_filter(held, lambda k, v: v.isNotNull()).alias("context")), bad
+
+
+def cell_context(cells: DataFrame, row: int, col: str, pattern: str) -> DataFrame:
+    """(doc, value): what the first group of the pattern finds in one cell of a document, for records without a context."""
+    found = F.regexp_extract("value", pattern, 1)
+    return cells.where((F.col("row") == row) & (F.col("col") == col)).groupBy("doc").agg(F.max(F.when(found != "", found)).alias("value"))
+
+
+def with_default_context(records: DataFrame, defaults: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """Records (context map) that have the field `key`, those without a model in their context with their document's."""
+    both = records.where(F.trim(F.coalesce(key, F.lit(""))) != "").join(defaults.select(doc, F.col("value").alias("model")), doc, "left")
+    given = F.coalesce(F.try_element_at("context", F.lit("model")), "model")
+    return both.withColumn("context", F.map_filter(F.create_map(F.lit("model"), given), lambda k, v: v.isNotNull())).drop("model")
+
+
+def as_ints(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields as whole numbers; what is none is null."""
+    return df.withColumns({f: F.col(f).try_cast("bigint") for f in fields})
+
+
+def map_or_flat(lines: DataFrame, defects: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, chunk, section, text, hierarchy_unresolved): chunks by headings where the document's map (doc, reasons) has no
+    defect, else one flat chunk of all its lines, which is flagged."""
+    broken = defects.where("reasons <> ''").select(doc)
+    good = heading_chunks(lines.join(broken, doc, "left_anti"), doc, order, text).withColumn("hierarchy_unresolved", F.lit(False))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(F.col(text)).alias("t")))), lambda x: x["t"]), "\n")
+    some = lines.join(broken, doc, "left_semi").where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    flat = some.groupBy(doc).agg(body.alias("text")).select(doc, F.lit(0).cast("bigint").alias("chunk"), F.lit("").alias("section"), "text", F.lit(True).alias("hierarchy_unresolved"))
+    return good.union(flat)
+
+
+def map_rows_defects(maps: DataFrame, lines: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, missing, extra): how many lines a map does not cover, and how many rows of the map are no lines."""
+    one, two = maps.select(doc, order, F.lit(1).alias("m")).distinct(), lines.select(doc, order, F.lit(1).alias("l")).distinct()
+    both = one.join(two, [doc, order], "full_outer").groupBy(doc).agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("extra"))
+    return both.where("missing + extra > 0")
+
+
+def prose_preflight(expects: DataFrame, doc: str, key: str) -> DataFrame:
+    """(doc, ok): whether any key that an adapter expects says how to split."""
+    signal = F.lit(False)
+    for word in SIGNALS:
+        signal = signal | F.contains(F.lower(key), F.lit(word))
+    return expects.groupBy(doc).agg(F.coalesce(F.max(signal), F.lit(False)).alias("ok"))
+
+
+def confirm(wanted: DataFrame, scanned: DataFrame, doc: str) -> DataFrame:
+    """wanted (doc, adapter) with accepted: only what a scan (doc, adapter, ok) found to be a candidate goes on to parsing."""
+    return wanted.join(scanned.where("ok").select(doc, "adapter", F.lit(True).alias("hit")).distinct(), [doc, "adapter"], "left").select(doc, "adapter", F.coalesce("hit", F.lit(False)).alias("accepted"))
+
+
+def tag_coordinates(pieces: DataFrame, closed: DataFrame, ancestors: DataFrame, key: str, ref: str) -> DataFrame:
+    """(key, ref, node_id, process_group): the node that a reference names by its canonical name, else by its first alias (closed:
+    id, canonical, tier, alias, place), and the nearest ancestor of tier main. An unknown reference is left as it is."""
+    by_name = closed.groupBy(F.col("canonical").alias(ref)).agg(F.min("id").alias("named"))
+    by_alias = closed.where("alias is not null").groupBy(F.col("alias").alias(ref)).agg(F.min_by("id", F.struct("place", "id")).alias("aliased"))
+    main = closed.where("tier = 'main'").select(F.col("id").alias("ancestor"), F.col("canonical").alias("main")).distinct()
+    group = ancestors.join(main, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.min_by("main", "depth").alias("process_group"))
+    out = pieces.select(key, ref).join(by_name, ref, "left").join(by_alias, ref, "left").withColumn("node_id", F.coalesce("named", "aliased"))
+    return out.join(group, "node_id", "left").select(key, ref, "node_id", "process_group")
+
+
+def coordinate_report(tagged: DataFrame, ref: str) -> DataFrame:
+    """(tagged, outside, without): pieces with a node, with a reference that names none, and without a reference."""
+    blank = F.trim(F.coalesce(F.col(ref), F.lit(""))) == ""
+    return tagged.agg(F.count_if(F.col("node_id").isNotNull()).alias("tagged"), F.count_if(F.col("node_id").isNull() & ~blank).alias("outside"), F.count_if(blank).alias("without"))
+
+
+def image_text(pieces: DataFrame, text: str, image: str) -> DataFrame:
+    """Pieces whose text is blank with a summary of their image, where they have one."""
+    none = (F.trim(F.coalesce(F.col(text), F.lit(""))) == "") & F.col(image).isNotNull()
+    return pieces.withColumn(text, F.when(none, F.concat(F.lit("MOCK 요약: "), image)).otherwise(F.col(text)))
+
+
+def envelope(pieces: DataFrame, doc: str, order: str, columns: list[str]) -> DataFrame:
+    """(doc, n, pieces): a document's pieces in order, as one row."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    return pieces.groupBy(doc).agg(F.count("*").alias("n"), body.alias("pieces"))

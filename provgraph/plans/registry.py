@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, graph, intake, pieces
+from . import answers, browse, graph, intake, pieces, rewrite
 
-QUERIES: dict = {**answers.QUERIES, **graph.QUERIES, **intake.QUERIES, **pieces.QUERIES}
-ORACLE_SQL: dict = {**answers.ORACLE_SQL, **graph.ORACLE_SQL, **intake.ORACLE_SQL, **pieces.ORACLE_SQL}
+_PLANS = (answers, browse, graph, intake, pieces, rewrite)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
 FLAGSHIP = answers.answers
