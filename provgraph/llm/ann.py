@@ -2,10 +2,12 @@
 
 Distinct vectors are dealt to shards by hash. A shard's graph grows in doubling batches: a greedy beam
 search from the first node proposes each new node's neighbours, and relaxed distance pruning keeps an edge
-only if no kept neighbour is `alpha` times closer to its end, so edges point different ways. Queries, in
-blocks, run a beam search in each shard; what the beams hold is scored exactly, in double precision, on the
-original vectors, and the shards' best are merged. Largest inner product becomes least distance by one
-more coordinate, sqrt(largest norm^2 - norm^2), for stored vectors and 0 for queries.
+only if no kept neighbour is `alpha` times closer to its end, so edges point different ways. Each shard then
+doubles its beam until searches for a bounded sample of its own vectors find `RECALL` of their exact k nearest
+in the shard. Queries run a beam search in each shard, read as a stream behind the shard's graph; what the beams
+hold is scored exactly, in double precision, on the original vectors, and the shards' best are merged. Largest
+inner product becomes least distance by one more coordinate, sqrt(largest norm^2 - norm^2), for stored vectors
+and 0 for queries.
 
 Equal vectors are one node that keeps its k + 1 least ids; no other copy can be among the k nearest, as
 ties go to the smaller id. So a vector that a third of all rows hold costs one node.
@@ -18,6 +20,8 @@ distinct vector of it; an empty table gives an empty one. Only the id and the ve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, table
 
-SHARD_ROWS, QUERY_BLOCK = 16384, 1024
+#: Nodes of a shard, about; queries that share a copy of a shard's graph.
+SHARD_ROWS, QUERY_BLOCK = 4096, 65536
 DEGREE, BEAM, ALPHA, EXPAND = 40, 96, 1.3, 4
+#: Vectors of a shard that its beam is tuned on, and the share of their k nearest that it must find.
+TUNED, RECALL = 64, 0.97
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +151,21 @@ def _joined(x, t, old, more, degree, alpha):
     return out
 
 
+def tuned_beam(x: np.ndarray, graph: np.ndarray, k: int, beam: int) -> int:
+    """The beam, doubled until it finds RECALL of the k nearest nodes of TUNED of the nodes, asked for without their last coordinate."""
+    n = len(x)
+    beam, k = min(n, max(beam, k + 1)), min(n, k)
+    q = x[np.unique(np.linspace(0, n - 1, TUNED).astype(np.int64))].copy()
+    q[:, -1] = 0
+    exact = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    while beam < n:
+        node, _ = beam_search(x, graph, q, beam)
+        if np.mean([np.isin(e, own).mean() for e, own in zip(exact, node, strict=True)]) >= RECALL:
+            break
+        beam = min(n, 2 * beam)
+    return beam
+
+
 def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -164,45 +186,59 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         raise ValueError("vectors of different lengths")
     shards = -(-count // shard_rows)
 
+    def lifted(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
+
     def build(t: pa.Table) -> pa.Table:
         v = np.asarray(t["v"].combine_chunks().values).reshape(-1, low)
-        x = np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
-        ids = t["ids"].combine_chunks()
-        packed = {"vectors": v, "graph": build_graph(x).astype(np.int32), "ids": np.asarray(ids.flatten()), "at": np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])}
-        return pa.table({"shard": t["shard"][:1], **{n: pa.array([a.tobytes()], pa.binary()) for n, a in packed.items()}})
+        x, ids = lifted(v), t["ids"].combine_chunks()
+        graph = build_graph(x)
+        packed = {"vectors": v, "graph": graph.astype(np.int32), "ids": np.asarray(ids.flatten()), "at": np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])}
+        return pa.table({"shard": t["shard"][:1], "beam": pa.array([tuned_beam(x, graph, k, beam)], pa.int32()), **{n: pa.array([a.tobytes()], pa.binary()) for n, a in packed.items()}})
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    graphs = checkpoint(dealt.groupBy("shard").applyInArrow(build, "shard int, vectors binary, graph binary, ids binary, at binary"))
+    graphs = checkpoint(dealt.groupBy("shard").applyInArrow(build, "shard int, beam int, vectors binary, graph binary, ids binary, at binary"))
     asked = checkpoint(asked.distinct())
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    if not blocks:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        v = np.frombuffer(left["vectors"][0].as_buffer()).reshape(-1, low)
-        graph = np.frombuffer(left["graph"][0].as_buffer(), np.int32).reshape(len(v), -1)
-        ids, at = (np.frombuffer(left[c][0].as_buffer(), np.int64) for c in ("ids", "at"))
-        x = np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
-        q, who = np.asarray(right["v"].combine_chunks().values).reshape(-1, low), right["id"].to_numpy()
-        node, _ = beam_search(x, graph, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), beam)
-        out = []
-        for i in range(len(q)):
-            own = node[i][node[i] >= 0]
-            size = at[own + 1] - at[own]
-            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[own], size)
-            vec, score = ids[place], np.repeat((v[own] * q[i]).sum(axis=1), size)
-            vec, score = vec[vec != who[i]], score[vec != who[i]]
-            best = np.lexsort((vec, -score))[:k]
-            out.append(pa.table({"query_id": np.full(len(best), who[i]), "vec_id": vec[best], "score": score[best]}))
-        return pa.concat_tables([empty, *out])
-
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    ask = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    each = held.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(search, found)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    class Shard:
+        def __init__(self, row: dict):
+            self.v = np.frombuffer(row["vectors"]).reshape(-1, low)
+            self.graph = np.frombuffer(row["graph"], np.int32).reshape(len(self.v), -1)
+            self.ids, self.at = (np.frombuffer(row[c], np.int64) for c in ("ids", "at"))
+            self.x, self.beam = lifted(self.v), row["beam"]
+
+        def search(self, who: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+            node, _ = beam_search(self.x, self.graph, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), self.beam)
+            out = []
+            for i in range(len(q)):
+                own = node[i][node[i] >= 0]
+                size = self.at[own + 1] - self.at[own]
+                place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[own], size)
+                vec, score = self.ids[place], np.repeat((self.v[own] * q[i]).sum(axis=1), size)
+                vec, score = vec[vec != who[i]], score[vec != who[i]]
+                best = np.lexsort((vec, -score))[:k]
+                out.append((np.full(len(best), who[i]), vec[best], score[best]))
+            ids, vecs, scores = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield batch_of(query_id=ids, vec_id=vecs, score=scores)
+
+    def search(batches):
+        known = None
+        for batch in batches:
+            whose, is_graph = batch["part"].to_numpy(), np.asarray(batch["id"].is_null())
+            cut = np.flatnonzero(np.concatenate([[True], is_graph[1:] | is_graph[:-1] | (whose[1:] != whose[:-1])])) if batch.num_rows else []
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if is_graph[a]:
+                    known = (whose[a], Shard(part["packed"][0].as_py()))
+                elif known is not None and known[0] == whose[a]:
+                    yield from known[1].search(part["id"].to_numpy(), np.asarray(part["v"].flatten()).reshape(-1, low))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    ask = asked.select(every.alias("shard"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.lit(None).cast("struct<beam:int,vectors:binary,graph:binary,ids:binary,at:binary>").alias("packed"))
+    held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v"), F.struct("beam", "vectors", "graph", "ids", "at").alias("packed"))
+    stream = held.union(ask).withColumn("part", F.col("shard").cast("bigint") * blocks + F.col("block")).drop("shard", "block").repartition("part").sortWithinPartitions("part", F.col("id").isNotNull())
+    each = stream.mapInArrow(search, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
