@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from .resolve import contained, lengths
+from .state import checkpoint
 
 COLLECT = 8
 
@@ -59,11 +60,21 @@ def bridge(walked: DataFrame, cross: DataFrame) -> DataFrame:
 
 
 def collect_chunks(walked: DataFrame, describes: DataFrame, limit: int = COLLECT) -> DataFrame:
-    """(qid, chunk_id, tier, rank, found): direct evidence before that of expanded nodes; the best `limit`, and how many there were."""
-    found = walked.join(describes, "node").groupBy("qid", "chunk_id").agg(F.min(F.least("level", F.lit(1)) + 1).cast("int").alias("tier"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))
-    counts = found.groupBy("qid").agg(F.count("*").alias("found"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= limit).join(counts, "qid").select("qid", "chunk_id", "tier", "rank", "found")
+    """(qid, chunk_id, tier, rank, found): direct evidence before that of expanded nodes; the best `limit`, and how many there
+    were. Of a node's chunks only the first `limit` can be among the best, so no more of them meet the walks; chunks of one
+    node are counted by node, and only those of several are listed to be counted once."""
+    pairs = describes.select("node", "chunk_id").distinct()
+    several = pairs.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
+    of_many = pairs.join(several, "chunk_id", "left_semi")
+    first = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("chunk_id"))).where(F.col("turn") <= limit)
+    walked = checkpoint(walked.groupBy("qid", "node").agg(F.min(F.least("level", F.lit(1)) + 1).cast("int").alias("tier")))
+    best = walked.join(first.select("node", "chunk_id"), "node").groupBy("qid", "chunk_id").agg(F.min("tier").alias("tier"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("rank") <= limit)
+    own = pairs.groupBy("node").agg(F.count("*").alias("n")).join(of_many.groupBy("node").agg(F.count("*").alias("shared")), "node", "left")
+    alone = walked.join(own, "node").groupBy("qid").agg(F.sum(F.col("n") - F.coalesce("shared", F.lit(0))).alias("alone"))
+    shared = walked.join(of_many, "node").groupBy("qid").agg(F.countDistinct("chunk_id").alias("together"))
+    out = best.join(alone, "qid").join(shared, "qid", "left")
+    return out.select("qid", "chunk_id", "tier", "rank", (F.col("alone") + F.coalesce("together", F.lit(0))).alias("found"))
 
 
 def attribute_facts(walked: DataFrame, values: DataFrame, nodes: DataFrame, template: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import answer as A
 from ..operators import changes as C
 from ..operators import export as E
 from ..operators import graph as G
+from ..operators.state import checkpoint
 from . import world as W
 from .world import SQL, read
 
@@ -70,9 +71,10 @@ def flow_chain(spark, sf_dir):
 def answers(spark, sf_dir):
     """One row a question: path, intent, how many nodes it names, facts and chunks it has, and its best chunk."""
     q = W.questions(spark, sf_dir)
-    linked = link_questions(spark, sf_dir)
-    walked = G.expand(linked.select("qid", F.col("node_id").alias("node")), W.edges(spark, sf_dir), W.RULES)
-    facts = A.facts(walked, W.edges(spark, sf_dir), W.nodes(spark, sf_dir), TEMPLATES).groupBy("qid").agg(F.count("*").alias("n_facts"))
+    linked = checkpoint(link_questions(spark, sf_dir))
+    nodes, edges = checkpoint(W.nodes(spark, sf_dir).select("id", "canonical")), checkpoint(W.edges(spark, sf_dir))
+    walked = checkpoint(G.expand(linked.select("qid", F.col("node_id").alias("node")), edges, W.RULES))
+    facts = A.facts(walked, edges, nodes, TEMPLATES).groupBy("qid").agg(F.count("*").alias("n_facts"))
     chunks = A.collect_chunks(walked, W.chunks(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("n_chunks"), F.min(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("best_chunk"), F.max("found").alias("found"))
     out = q.join(linked.groupBy("qid").agg(F.countDistinct("node_id").alias("n_nodes")), "qid", "left").join(facts, "qid", "left").join(chunks, "qid", "left")
     n = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_nodes", "n_facts", "n_chunks", "found")}
