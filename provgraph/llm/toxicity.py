@@ -30,10 +30,10 @@ from .common import U64, bytes_of, free, hash_ranges, lowered, mix, steps, table
 
 #: Labelled documents that the models are trained on, at most.
 SAMPLE = 8000
-FOLDS, BATCH, LEAST_ROWS = 3, 32, 8
-#: Rows that a model looks at in training, in rounds over its rows; 30 rounds at most.
-VISITS, ROUNDS = 60_000, 30
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.01
+FOLDS, BATCH, LEAST_ROWS = 3, 32, 4
+#: Rounds over its rows that a model is trained for, whatever their number.
+ROUNDS = 12
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -88,7 +88,7 @@ class Linear:
 
     def fit(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray) -> Linear:
         everything, total = np.arange(len(self.z)), len(self.z)
-        for epoch in range(min(ROUNDS, -(-VISITS // max(1, len(rows))))):
+        for epoch in range(ROUNDS):
             order = np.argsort(mix(np.arange(len(rows), dtype=U64) + U64(epoch << 32)))
             for some in (order[i : i + BATCH] for i in range(0, len(order), BATCH)):
                 at = np.concatenate([rows[i] for i in some])

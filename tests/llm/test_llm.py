@@ -128,11 +128,11 @@ def test_nearest_recall(spark):
 
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    chain = toxicity.chain_of(docs, labels.where("doc_id % 3 <> 0"))
-    found = rows(toxicity.score(docs.select("doc_id", "text"), chain).join(labels.where("doc_id % 3 = 0"), "doc_id").selectExpr("toxicity.is_toxic AS p", "toxic = 1 AS y"))
+    chain = toxicity.chain_of(docs, labels.where("doc_id % 3 <> 2"))
+    found = rows(toxicity.score(docs.select("doc_id", "text"), chain).join(labels.where("doc_id % 3 = 2"), "doc_id").selectExpr("toxicity.is_toxic AS p", "toxic = 1 AS y"))
     hit = sum(r["p"] and r["y"] for r in found)
-    # About 300 toxic rows to learn from: 126 of 147 were found when this was written.
-    assert hit >= 0.8 * sum(r["y"] for r in found) and hit >= 0.9 * sum(r["p"] for r in found)
+    # About 300 toxic rows to learn from. The settings were chosen by training on doc_id % 3 = 0 and looking at doc_id % 3 = 1 only.
+    assert hit >= 0.9 * sum(r["y"] for r in found) and hit >= 0.9 * sum(r["p"] for r in found)
 
 
 def test_awkward_rows(spark, odd):
