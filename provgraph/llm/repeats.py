@@ -149,7 +149,8 @@ def _contexts(seeded: DataFrame, length: int, gram: int) -> DataFrame:
                 ids, kinds = part.column(0).to_numpy(), part.column(1).to_numpy()
                 low, _ = _least_most(_groups(one, two), ids[doc])
                 later = ids[doc] > low
-                mine, own, parts = _settled(np.arange(part.num_rows), doc[later], at[later] - w.words.first[doc[later]])
+                _, own, parts = _settled(np.arange(part.num_rows), doc[later], at[later] - w.words.first[doc[later]])
+                mine = signed(mix(ids[own].view(U64)))  # dealt out by document
                 seeds, group = np.unique(pick[~later], return_inverse=True)
                 back = pick[~later] - at[~later]
                 mask, least, most = np.zeros(len(seeds), np.int64), np.full(len(seeds), reach), np.zeros(len(seeds), np.int64)
