@@ -22,6 +22,21 @@ def cypher_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("MATCH (a:Node {id: "), literal(F.col("src")), F.lit("}), (b:Node {id: "), literal(F.col("dst")), F.lit("}) CREATE (a)-[:"), "rel", F.lit("]->(b)")).alias("line"))
 
 
+def live_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is exported: nodes that nothing absorbed, and edges that are not deleted and have both ends among them."""
+    alive = nodes.where("merged_into is null")
+    ids = alive.select("id")
+    kept = edges.where("status <> 'deleted_by_user'").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return alive, kept.select(*edges.columns)
+
+
+def cypher_attributes(values: DataFrame) -> DataFrame:
+    """A statement a node (node, attr, context map, value) that sets its attributes as one JSON string, in order."""
+    items = F.array_sort(F.collect_list(F.struct("attr", F.to_json("context").alias("context"), F.col("value").cast("string").alias("value"))))
+    own = values.groupBy("node").agg(F.to_json(items).alias("attrs"))
+    return own.select(F.concat(F.lit("MATCH (a:Node {id: "), literal(F.col("node")), F.lit("}) SET a.attrs = "), literal(F.col("attrs"))).alias("line"))
+
+
 def mermaid(precedes: DataFrame, nodes: DataFrame) -> DataFrame:
     last = F.element_at(F.split("canonical", "::"), -1)
     src, dst = (nodes.select(F.col("id").alias(e), last.alias(f"{e}_name"), F.col("polarity").alias(f"{e}_pol")) for e in ("src", "dst"))

@@ -112,3 +112,37 @@ def hubs(edges: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("degree"), F.desc("id")))
     return ends.join(nodes.select("id", "layer"), "id").withColumn("rank", rank).where(F.col("rank") <= top).select("layer", "id", "degree", "rank")
+
+
+def mirror_links(nodes: DataFrame, axis: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, rel, dst) between a node and its mirror, both ways, and (scope, name, seen) of those that lack one. Nodes (id,
+    canonical, category, parent, polarity, status) of the axis mirror each other where they have one name and one scope:
+    their parent, or, where that is an instance of an axis value itself, its concept. Seeds have mirrors already."""
+    concept = nodes.where(F.col("polarity").isin(*axis)).select(F.col("id").alias("parent"), F.col("parent").alias("lifted"))
+    own = nodes.where(F.col("polarity").isin(*axis) & (F.col("status") != "seed")).join(concept, "parent", "left")
+    own = own.withColumn("scope", F.coalesce("lifted", "parent", F.lit(""))).withColumn("name", F.element_at(F.split("canonical", "::"), -1))
+    for value in axis:
+        own = own.withColumn("name", F.when(F.startswith("name", F.lit(f"{value} ")), F.substring("name", len(value) + 2, 10**6)).otherwise(F.col("name")))
+    first = own.groupBy("scope", "name", "category", "polarity").agg(F.min("id").alias("id"))
+    sides = first.groupBy("scope", "name", "category").agg(F.map_from_entries(F.collect_list(F.struct("polarity", "id"))).alias("sides"))
+    whole = sides.where(F.size("sides") == len(axis)).select(F.map_values("sides").alias("ids"))
+    edges = whole.select(F.explode("ids").alias("src"), "ids").select("src", F.lit("mirrors").alias("rel"), F.explode("ids").alias("dst")).where("src <> dst")
+    return edges, sides.where(F.size("sides") < len(axis)).select("scope", "name", F.array_join(F.array_sort(F.map_keys("sides")), ",").alias("seen"))
+
+
+def lost(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Queue rows (kind, key): automatic nodes (id) and edges (src, rel, dst) that no evidence (item) is left for."""
+    items = nodes.where("status = 'auto'").select(F.col("id").alias("item")).union(edges.where("status = 'auto'").select(F.concat_ws("|", *EDGE)))
+    return items.join(evidence.select("item").distinct(), "item", "left_anti").select(F.lit("evidence_lost").alias("kind"), F.col("item").alias("key"))
+
+
+def flow_chain(edges: DataFrame, nodes: DataFrame, rel: str) -> DataFrame:
+    """(src, dst) of the relation between concepts: sources without an axis value."""
+    concepts = nodes.where("polarity is null or polarity = 'none'").select(F.col("id").alias("src"))
+    return edges.where(F.col("rel") == rel).join(concepts, "src", "left_semi").select("src", "dst")
+
+
+def axis_mismatch(pieces: DataFrame, nodes: DataFrame, key: str, node: str, axis: str) -> DataFrame:
+    """(key, node, axis, bound): pieces whose axis value is another than the one that their node is bound to."""
+    bound = nodes.where("polarity not in ('none', 'unbound')").select(F.col("id").alias(node), F.col("polarity").alias("bound"))
+    return pieces.where(F.col(axis).isNotNull()).join(bound, node).where(F.col(axis) != F.col("bound")).select(key, node, axis, "bound")

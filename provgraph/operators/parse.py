@@ -242,3 +242,32 @@ def envelope(pieces: DataFrame, doc: str, order: str, columns: list[str]) -> Dat
     """(doc, n, pieces): a document's pieces in order, as one row."""
     body = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
     return pieces.groupBy(doc).agg(F.count("*").alias("n"), body.alias("pieces"))
+
+
+def slide_chunks(shapes: DataFrame, doc: str, slide: str, order: str, text: str) -> DataFrame:
+    """(doc, locator, text, split_path): a chunk a slide where it is small, a chunk a shape (locator #k) where it is not and has
+    several, and for one long shape a chunk a heading, or one flat chunk flagged hierarchy_unresolved without headings."""
+    some = shapes.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    routed = some.join(slide_routes(some, doc, slide, text).select(doc, slide, "route"), [doc, slide])
+    place = F.concat(F.lit("slide "), F.col(slide).cast("string"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(text).alias("t")))), lambda x: x["t"]), "\n")
+    whole = routed.where("route = 'slide'").groupBy(doc, slide).agg(body.alias("text")).select(doc, place.alias("locator"), "text", F.lit("slide").alias("split_path"))
+    k = F.row_number().over(Window.partitionBy(doc, slide).orderBy(order))
+    each = routed.where("route = 'shape'").select(doc, F.concat(place, F.lit("#"), k.cast("string")).alias("locator"), F.trim(text).alias("text"), F.lit("shape").alias("split_path"))
+    long = routed.where("route = 'structure_map'").select(doc, F.struct(F.col(doc), F.col(slide)).alias("own"), place.alias("place"), F.posexplode(F.split(text, "\n")).alias("line", "words"))
+    maps = headings(long, "words").groupBy("own").agg(F.count("depth").alias("heads"), F.first(doc).alias(doc), F.first("place").alias("place"))
+    parts = heading_chunks(long, "own", "line", "words").join(maps, "own")
+    mapped = parts.select(doc, F.when(F.col("heads") > 0, F.concat("place", F.lit("#"), F.col("chunk").cast("string"))).otherwise(F.col("place")).alias("locator"), "text", F.when(F.col("heads") > 0, "structure_map").otherwise("hierarchy_unresolved").alias("split_path"))
+    return whole.union(each).union(mapped)
+
+
+def flatten(df: DataFrame, key: str, nested: str, keep: tuple[str, ...] = ("context", "meta")) -> DataFrame:
+    """(key, field, value): one level of a map of maps as parent.child fields; what `keep` names stays as it is, as JSON."""
+    parts = df.select(key, F.explode(nested).alias("parent", "inner"))
+    own = parts.where(F.col("parent").isin(*keep)).select(key, F.col("parent").alias("field"), F.to_json("inner").alias("value"))
+    return own.union(parts.where(~F.col("parent").isin(*keep)).select(key, "parent", F.explode("inner").alias("child", "value")).select(key, F.concat_ws(".", "parent", "child"), "value"))
+
+
+def content_chunks(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(chunk_id, section, field, text): a record's (record_id, locator) content fields as chunks of their own."""
+    return records.unpivot(["record_id", "locator"], fields, "field", "text").where("text is not null").select(F.concat_ws("-", "record_id", "field").alias("chunk_id"), F.col("locator").alias("section"), "field", "text")
