@@ -26,10 +26,10 @@ def withdraw(docs: DataFrame, queue: DataFrame, chunks: DataFrame, evidence: Dat
     """queue, chunks, evidence and values without what the documents (doc) left: queue rows but for STANDING kinds, chunks,
     evidence, and values (item) that have lost their last evidence. Nodes and edges stay."""
     gone = docs.select("doc").distinct()
-    kept = evidence.join(gone, "doc", "left_anti")
-    standing = queue.where(F.col("kind").isin(*STANDING))
-    others = queue.where(~F.col("kind").isin(*STANDING)).join(gone, "doc", "left_anti")
-    return standing.unionByName(others), chunks.join(gone, "doc", "left_anti"), kept, values.join(kept.select("item").distinct(), "item", "left_semi")
+    without = lambda df: df.join(gone, "doc", "left_anti").select(*df.columns)
+    kept, standing = without(evidence), F.col("kind").isin(*STANDING)
+    left = values.join(kept.select("item").distinct(), "item", "left_semi").select(*values.columns)
+    return queue.where(standing).union(without(queue.where(~standing))), without(chunks), kept, left
 
 
 def upsert_docs(known: DataFrame, new: DataFrame) -> DataFrame:
