@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -232,7 +233,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for r in parse_warc(gzip.decompress(content.as_buffer())):
+                for r in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())).read()):
                     kind, f = r.fields["WARC-Type"], r.fields
                     if kind == "warcinfo":
                         continue
