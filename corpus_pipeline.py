@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage works on all rows that its predecessor kept and returns the columns of documents; the last one
-returns the packed pieces. Rows with a null doc_id pass the deduplicating stages unchanged.
+returns the packed pieces. Rows with a null doc_id pass the deduplicating stages unchanged. Rows that repeat a
+doc_id are one document where documents are compared, and each goes on with its own text; a null text is empty.
+An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -24,30 +26,31 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not call toxic; a null text counts as empty."""
+    """Documents that the classifier chain does not call toxic; rows that repeat a key are scored each by its own text."""
     chain = toxicity.chain_of(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), chain).where("not toxicity.is_toxic").select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has."""
+    """Documents without the lines that an earlier document has; rows that repeat a key do not count as earlier for each other."""
     return _documents(lines.dedup_lines(docs, carry=("lang", "source")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id. Texts without words are no duplicates."""
+    """Of each group of near duplicates the document of least doc_id, with all rows of that key. Texts without words are no
+    duplicates."""
     groups = jaccard.similar(docs, k=WORDS, p=SIMILAR, q=100)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data, and terms that disclose it, replaced or removed."""
+    """Documents with personal data, and terms that disclose it, replaced or removed; equal texts get equal results."""
     return _documents(pii.sanitise(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents and their places in sequences of at most 4096 tokens."""
+    """The token pieces of all documents and their places in sequences of at most 4096 tokens; each row has pieces of its own."""
     return packing.packed_documents(docs)
 
 
