@@ -13,6 +13,8 @@ from .state import checkpoint
 
 MATCH = 0.85
 SCOPE = "::"
+#: Characters of a term by which its places in a text are found.
+HEAD = 4
 
 
 def anchors(pieces: DataFrame, dictionary: DataFrame, key: str, surface: str, category: str) -> DataFrame:
@@ -63,12 +65,21 @@ def scope(parent: Column, surface: Column) -> Column:
 
 
 def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, lengths: list[int]) -> DataFrame:
-    """(key, term): the terms that are substrings of the texts. `lengths` are the terms' lengths: the texts' substrings
-    of those lengths join the terms, so no text meets a term that it does not hold."""
-    starts = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))))
-    parts = F.array_distinct(F.flatten(F.array_compact(F.array(*map(starts, lengths)))))
-    spread = texts.select(key, F.explode(parts).alias(term))
-    return spread.join(terms.select(term).distinct(), term).select(key, term)
+    """(key, term): the terms that are substrings of the texts. `lengths` are the terms' lengths. A text's places join the
+    terms' first HEAD characters, a row a place; only where such a head stands are the substrings of the lengths that
+    terms with this head have compared. Shorter terms join the substrings of their own lengths."""
+    every = terms.select(term).distinct()
+    short, long = [n for n in lengths if n < HEAD], [n for n in lengths if n >= HEAD]
+    cut = lambda n, most: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(most))))
+    none = F.array().cast("array<string>")
+    parts = F.array_distinct(F.flatten(F.array(none, *(F.coalesce(cut(n, n), none) for n in short)))) if short else none
+    out = texts.select(key, F.explode(parts).alias(term)).join(every, term).select(key, term)
+    if not long:
+        return out
+    heads = every.where(F.length(term) >= HEAD).groupBy(F.substring(term, 1, HEAD).alias("head")).agg(F.collect_set(F.length(term)).alias("sizes"))
+    tails = texts.select(key, F.explode(F.array_distinct(F.coalesce(cut(HEAD, max(long)), none))).alias("tail"))
+    found = tails.withColumn("head", F.substring("tail", 1, HEAD)).join(heads, "head").withColumn("size", F.explode("sizes")).where(F.length("tail") >= F.col("size"))
+    return out.union(found.select(key, F.substring(F.col("tail"), F.lit(1), F.col("size")).alias(term)).distinct().join(every, term).select(key, term))
 
 
 def lengths(terms: DataFrame, term: str) -> list[int]:
