@@ -31,7 +31,7 @@ from .common import batch_of, checkpoint, free, steps, table, texts
 
 CAPACITY, CLASSES = 4096, 4096
 #: Words whose ids a worker keeps; rows of one class that one task ranks, about.
-KEPT, RANKED = 250_000, 200_000
+KEPT, RANKED = 400_000, 200_000
 STEP, ROUNDS, PHASES = 0.05, 1500, 4
 #: Items that best fit takes without the program; rooms that one step of the dynamic program looks at.
 REST, BLOCK = 4096, 64
