@@ -36,7 +36,7 @@ def facts_edges(spark, sf_dir):
 
 
 def facts_attrs(spark, sf_dir):
-    """Attribute lines of suppliers by context: the mean quantity of each return flag, cut to whole numbers."""
+    """Attribute lines of suppliers by context: the least quantity of each return flag, cut to whole numbers."""
     rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.floor(F.min("l_quantity")).alias("v"))
     return rows.select(F.col("l_suppkey").alias("node"), F.concat(F.lit("[flag="), "l_returnflag", F.lit("] quantity is at least "), F.col("v").cast("string")).alias("fact"))
 

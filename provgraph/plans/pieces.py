@@ -62,6 +62,12 @@ def id_collisions(spark, sf_dir):
     return T.collisions(T.chunk_ids(_lines(spark, sf_dir), "doc_id", "line", F.col("source"), ["pos"]), "chunk_id")
 
 
+def id_collisions_planted(spark, sf_dir):
+    """Order lines whose ids leave out their place, so that equal lines share one."""
+    rows = read(spark, sf_dir, "lineitem").select(T.content_id(F.lit("line"), F.col("l_partkey").cast("string"), F.col("l_returnflag")).alias("chunk_id"))
+    return T.collisions(rows, "chunk_id")
+
+
 def content_chunks_unpivot(spark, sf_dir):
     rows = T.record_ids(read(spark, sf_dir, "part").withColumn("doc", F.lit("part")), "doc", ["p_partkey"], ["p_partkey"])
     long = rows.unpivot(["record_id", "p_partkey"], ["p_name", "p_type"], "field", "text")
@@ -146,7 +152,7 @@ _PREFLIGHT = """SELECT o_custkey, adapter, array_to_string(list_sort(list_inters
  FROM (SELECT o_custkey, list(DISTINCT o_orderpriority) AS labels FROM orders GROUP BY 1),
  (VALUES ('a', ['1-URGENT', '2-HIGH']), ('b', ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])) v(adapter, declared)"""
 
-QUERIES = {f.__name__: f for f in (norm_text, chunk_ids_documents, chunk_ids_conversations, record_ids_part, record_ids_lineitem, doc_hash_groups, duplicate_doc_hold, id_collisions, content_chunks_unpivot, ditto_fill, merged_fill, multi_split, heading_chunks, slide_routes, map_validate, preflight_diff, fingerprint_scan, contract_defects, review_fill_rate, flatten_nested)}
+QUERIES = {f.__name__: f for f in (norm_text, chunk_ids_documents, chunk_ids_conversations, record_ids_part, record_ids_lineitem, doc_hash_groups, duplicate_doc_hold, id_collisions, id_collisions_planted, content_chunks_unpivot, ditto_fill, merged_fill, multi_split, heading_chunks, slide_routes, map_validate, preflight_diff, fingerprint_scan, contract_defects, review_fill_rate, flatten_nested)}
 
 ORACLE_SQL = {
     "norm_text": f"SELECT doc_id, md5({_n('text')}) AS norm_md5 FROM documents",
@@ -157,6 +163,7 @@ ORACLE_SQL = {
     "doc_hash_groups": f"SELECT doc_hash, count(*) AS n, min(doc_id) AS first_doc FROM ({_HASHES}) GROUP BY 1",
     "duplicate_doc_hold": f"SELECT doc_id, doc_hash, first_doc FROM (SELECT *, min(doc_id) OVER (PARTITION BY doc_hash) AS first_doc FROM ({_HASHES})) WHERE doc_id <> first_doc",
     "id_collisions": f"SELECT chunk_id, count(*) AS n FROM (SELECT {_ID.format(d='doc_id')} AS chunk_id FROM ({_CHUNKS})) GROUP BY 1 HAVING count(*) > 1",
+    "id_collisions_planted": "SELECT 'line:' || substr(sha256(CAST(l_partkey AS VARCHAR) || chr(0) || l_returnflag), 1, 12) AS chunk_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "content_chunks_unpivot": "SELECT 'part:' || substr(sha256(CAST(p_partkey AS VARCHAR) || chr(0) || '0'), 1, 12) || '-' || field AS chunk_id, 'part!R' || p_partkey AS section, field, text FROM (SELECT p_partkey, 'p_name' AS field, p_name AS text FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part)",
     "ditto_fill": "SELECT p_brand, p_partkey, CASE WHEN v = '〃' AND above IS NOT NULL THEN above ELSE v END AS value, v = '〃' AND above IS NOT NULL AS was_ditto FROM (SELECT *, last_value(CASE WHEN v <> '〃' THEN v END IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '〃' END AS v FROM part))",
     "merged_fill": "WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS sheet, n_nationkey + 1 AS r, 1 AS c, CASE WHEN n_nationkey < 5 THEN n_name ELSE '' END AS v FROM nation), m AS (SELECT CAST(n_regionkey AS VARCHAR) AS sheet, unnest(generate_series(n_nationkey + 1, n_nationkey + 6)) AS r, n_name FROM nation WHERE n_nationkey < 5), s AS (SELECT sheet, r, unnest([1, 2]) AS c, n_name FROM m) SELECT 'w' AS path, coalesce(c.sheet, s.sheet) AS sheet, CAST(coalesce(c.r, s.r) AS INTEGER) AS row, CAST(coalesce(c.c, s.c) AS INTEGER) AS col, coalesce(nullif(v, ''), n_name) AS value FROM c FULL JOIN s ON c.sheet = s.sheet AND c.r = s.r AND c.c = s.c",
