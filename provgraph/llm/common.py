@@ -6,6 +6,7 @@ on numpy arrays, the same on every machine and in every run.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -35,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver find the shuffles of finished jobs that nothing refers to any more; executors then remove their files."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Without one a local session gets a temporary folder, a cluster an error."""
     given = spark.conf.get("spark.checkpoint.dir", "")

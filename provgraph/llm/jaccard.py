@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, checkpoint, lowered, mix, signed, steps, table, texts, whole_groups
+from .common import U64, Words, batch_of, checkpoint, lowered, mix, release, signed, steps, table, texts, whole_groups
 from .components import components
 
 BUCKET, DEALS = 2048, 3
@@ -361,6 +361,8 @@ def _links(buckets: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> tuple
             links = links.union(verdict.where("linked").select("u", "v"))
         if linked:
             label = components(links)
+        del found, new
+        release(buckets.sparkSession)
         turn += 1
         if not count and not more and (turn > DEALS or not large):
             return links, label
@@ -375,7 +377,9 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     of_class = ["n", "one", "two"]
     classes = sets.where("id is not null and n > 0").groupBy(*of_class).agg(F.min("id").alias("id"), F.min("kind").alias("kind"), F.min("sketch").alias("sketch"))
     classes = checkpoint(classes)
-    links, label = _links(_buckets(docs, classes.select("kind", "id", "n", "sketch"), k, p, q), docs.where("id is not null"), k, p, q)
+    buckets = _buckets(docs, classes.select("kind", "id", "n", "sketch"), k, p, q)
+    release(df.sparkSession)
+    links, label = _links(buckets, docs.where("id is not null"), k, p, q)
     named = sets.select("id", *of_class).join(classes.select(*of_class, F.col("id").alias("class")), of_class, "left")
     # A key with several texts links their classes.
     several = named.where("id is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("high")).where("u <> high").select("id", "u")
