@@ -124,15 +124,16 @@ def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: begin, end (in bytes), doc (index of the text), first (of each text's words)."""
+    """The words of some texts: begin, end (in bytes), doc (index of the text), first (of each text's words).
+    `apart` says of each byte whether it lies between words."""
 
-    def __init__(self, array: pa.Array, lower: bool = False):
+    def __init__(self, array: pa.Array, lower: bool = False, apart: np.ndarray = _IS_SPACE):
         self.raw, self.at = bytes_of(array)
         if lower:
             self.raw = _LOWER[self.raw]
         n = len(self.raw)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_IS_SPACE[self.raw]
+        inside[1:-1] = ~apart[self.raw]
         cut = np.zeros(n + 1, bool)
         cut[self.at] = True
         self.begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, gif, jaccard, lines, packing, pii, repeats, toxicity, warc
+from . import ann, bpe, gif, jaccard, leaks, lines, packing, pii, repeats, toxicity, warc
 
 QUERIES = {
     "op1_media": gif.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_nearest": ann.op10_nearest,
+    "op11_decontamination": leaks.op11_decontamination,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_arc_to_warc": warc.OP3_SQL,
     "op7_pii": pii.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op11_decontamination": leaks.OP11_SQL,
 }
