@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, gif, jaccard, leaks, lines, packing, pii, repeats, toxicity, warc
+from . import ann, bpe, gif, jaccard, leaks, lines, negatives, packing, pii, repeats, toxicity, warc, whitening
 
 QUERIES = {
     "op1_media": gif.op1_media,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_nearest": ann.op10_nearest,
     "op11_decontamination": leaks.op11_decontamination,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op7_pii": pii.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op11_decontamination": leaks.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
