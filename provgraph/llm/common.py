@@ -6,7 +6,7 @@ on numpy arrays, the same on every machine and in every run.
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -36,10 +36,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver find the shuffles of finished jobs that nothing refers to any more; executors then remove their files."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Frames that are built inside have their shuffles removed when a query on them ends; each is to be run once or checkpointed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,8 +12,11 @@ pass an exact bound (bits of a parity sketch that differ are at most the shingle
 verified on their texts, round by round: in a round each set names its first candidates in each bucket, links
 join components, and a next round looks across components only, until no candidate across components is left
 unjudged. So a group of copies costs a few rows a set in a round, and no link between components is missed.
-Buckets of over BUCKET sets are dealt to blocks, anew in each of DEALS rounds; after those, sets outside the
-bucket's largest component are compared with all its blocks.
+Buckets of over BUCKET sets are dealt to blocks, anew in each of DEALS rounds, which joins what is alike. A large bucket
+that then still has sets of two components or more is split (`_split`): by the rarest shingles of its sets, of which
+linked sets share one, and where one shingle is not enough, by size too. So sets that share a template but not what
+is their own do not meet. Only in buckets that are large even so, sets outside the largest component are compared with
+all blocks.
 
 Defined results: a null text is empty; a text without words has no shingles, links with nothing and is a
 component by itself; with fewer than k words the whole sequence is the one shingle; a null key has no
@@ -25,17 +28,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, checkpoint, lowered, mix, release, signed, steps, table, texts, whole_groups
+from .common import U64, Words, batch_of, checkpoint, lowered, mix, signed, steps, swept, table, texts, whole_groups
 from .components import components
 
 BUCKET, DEALS = 2048, 3
 #: Texts that are compared with one text in one group; requests for texts that are sent to all tasks at most (24 bytes each).
 STAR, SENT = 512, 250_000
-#: Hashes of the universe that a set with few filled segments goes through.
-TURNS = 8
+#: Hashes of the universe that a set with few filled segments goes through; counters that tell rare shingles from frequent ones.
+TURNS, COUNTERS = 8, 1 << 17
 
 
 class Bands:
@@ -188,20 +191,111 @@ def _key_rows(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return docs.where("id is not null").mapInArrow(run, "key bigint, owner bigint")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """(key, kind, home, many) for rows (key, kind, home), each once: keys with two classes or more, at home in one; of keys with
+    equal members the least. A key's rows are summed where they lie, then joined, so a key that very many classes share
+    is not one task's work."""
+    marks = [F.bit_xor(F.xxhash64("kind", "home", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    keys = rows.groupBy("key").agg(*marks, F.count("*").alias("many"), F.max("home").alias("homes")).where("many > 1 and homes")
+    return rows.join(keys.groupBy("mark0", "mark1", "many").agg(F.min("key").alias("key")).select("key", "many"), "key")
+
+
 def _buckets(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(key, id, n, home, sketch, many): classes that share a key, which is at home in one; of keys with equal members the least."""
-    same, home = Window.partitionBy("key"), F.col("owner").bitwiseAND(F.lit(1))
-    kind = F.col("owner") - home
-    new = F.coalesce(F.lag("owner").over(same.orderBy("owner")) != F.col("owner"), F.lit(True))
-    rows = _key_rows(docs, k, p, q).withColumn("new", new)
-    marks = [F.bit_xor(F.when(F.col("new"), F.xxhash64("owner", F.lit(i)))).over(same).alias(f"mark{i}") for i in range(2)]
-    rows = rows.select(
-        "key", kind.alias("kind"), (home == 1).alias("home"), "new", *marks,
-        F.min(kind).over(same).alias("low"), F.max(kind).over(same).alias("high"), F.max(home).over(same).alias("homes"), F.sum(F.col("new").cast("bigint")).over(same).alias("many"),
-    )
-    rows = checkpoint(rows.where("new and low <> high and homes = 1").select("key", "kind", "home", "mark0", "mark1", "many"))
-    kept = rows.groupBy("mark0", "mark1", "many").agg(F.min("key").alias("key")).select("key")
-    return checkpoint(rows.join(kept, "key", "left_semi").join(classes, "kind").select("key", "id", "n", "home", "sketch", "many"))
+    """(key, kind, id, n, home, sketch, many): classes that share a key, which is at home in one."""
+    home = F.col("owner").bitwiseAND(F.lit(1))
+    rows = _key_rows(docs, k, p, q).select("key", (F.col("owner") - home).alias("kind"), (home == 1).alias("home"))
+    # Most keys are one class's. These go first, by an aggregation that needs no key's rows in one place.
+    shared = rows.groupBy("key").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.max("home").alias("homes")).where("low <> high and homes").select("key")
+    rows = checkpoint(rows.join(checkpoint(shared), "key"))
+    return checkpoint(_kept(rows.distinct()).join(classes, "kind").select("key", "kind", "id", "n", "home", "sketch", "many"))
+
+
+def _counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How many of the texts have a shingle of each of COUNTERS hashes: COUNTERS numbers, whatever the number of texts."""
+    each = COUNTERS >> 6
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in steps(batch, limit=8 << 20):
+                counts += np.bincount(_counter(shingles(texts(part), k)[1]), minlength=COUNTERS)
+        for i in range(64):
+            own = np.flatnonzero(counts[i * each : (i + 1) * each])
+            if len(own):
+                packed = [own.astype(np.int32), counts[i * each + own]]
+                yield batch_of(part=pa.array([i], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("at", "n"), packed, strict=True)})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(each, np.int64)
+        for at, n in zip(t["at"].to_pylist(), t["n"].to_pylist(), strict=True):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return pa.table({"part": t["part"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(COUNTERS, np.int64)
+    for part, n in docs.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[part * each : (part + 1) * each] = np.frombuffer(n, np.int64)
+    return out
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (mix(values + U64(4242)) % U64(COUNTERS)).astype(np.int64)
+
+
+def _rarest(docs: DataFrame, counts: np.ndarray, k: int, p: int, q: int) -> DataFrame:
+    """(kind, shingle, place): of each text's shingles, rarest first, as many as leave fewer than a linked set must share."""
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, limit=8 << 20):
+                values, first, n, one, two = _by_text(part, k)
+                kind, rows = _kind(n, one, two), []
+                for i in np.unique(kind, return_index=True)[1]:
+                    own = values[first[i] : first[i + 1]]
+                    own = own[np.lexsort((own, counts[_counter(own)]))][: len(own) + -p * len(own) // q + 1]
+                    rows.append((np.full(len(own), kind[i]), own, np.arange(len(own))))
+                kinds, own, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+                for i in range(0, len(own), 1 << 16):
+                    e = slice(i, i + (1 << 16))
+                    yield batch_of(kind=signed(kinds[e].astype(U64)), shingle=signed(own[e]), place=pa.array(place[e], pa.int32()))
+
+    return docs.mapInArrow(run, "kind bigint, shingle bigint, place int").distinct()
+
+
+def _size_class(n, p: int, q: int):
+    """A number that does not fall as n rises: n itself at first, then some 8 numbers for sizes up to q / p times n."""
+    base = 8 * q // (q - p)
+    return F.when(n <= base, n).otherwise(base + F.floor(F.log(n / base) * (8 / np.log(q / p)))).cast("bigint")
+
+
+def _split(buckets: DataFrame, label: DataFrame | None, docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """Buckets without the large ones of two labels or more, and with smaller ones that have all pairs of theirs that may link.
+
+    Any order of all shingles will do; here rare ones come first. Linked sets X, Y share p / q of either set's shingles
+    at least, so all but x - ceil(p x / q) of X's. If of the first x - ceil(p x / q) + 1 of X and the like of Y none were
+    shared, take the set whose last of these comes first, say X: a shared shingle is not among these of X, hence comes after
+    them, and X has fewer than p x / q left. So the first shared shingle is among both, and is a bucket of both.
+    If it stands at place i (from 0) of X, the sets share x - i at most, which p (x + y) / (p + q) may not pass: that bounds
+    y. A shingle with over BUCKET sets has a bucket a size class, for sets whose first shared shingle it may be: a set is at
+    home in its own class and goes to smaller classes within its bounds, so each pair meets in the smaller set's class."""
+    rows = _open(buckets, label)
+    hot = checkpoint(rows.where(F.col("many") > BUCKET).select("kind", "id", "n", "sketch").dropDuplicates(["kind"]))
+    rest = buckets.where(F.col("many") <= BUCKET)
+    ids = hot.select("id").distinct()
+    ids = F.broadcast(ids) if hot.count() <= SENT else ids.hint("merge")
+    own = docs.join(ids, "id")
+    found = _rarest(own, _counts(own, k), k, p, q).join(hot.select("kind", "n"), "kind")
+    x, i = F.col("n"), F.col("place")
+    low, high = F.ceil(x * p / q), F.least(F.floor(x * q / p), F.floor((p + q) * (x - i) / p) - x)
+    found = checkpoint(found.withColumns({"low": low - 1, "high": high + 1}).where("low <= high"))  # a size to spare for rounding
+    many = found.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    found = found.join(many, "shingle")
+    few = found.where(F.col("many") <= BUCKET).select(F.xxhash64("shingle").alias("key"), "kind", F.lit(True).alias("home"))
+    some = found.where(F.col("many") > BUCKET).select("shingle", "kind", *(_size_class(F.col(c), p, q).alias(c) for c in ("n", "low", "high")))
+    home = some.where("high >= n").select("shingle", "kind", F.col("n").alias("class"), F.lit(True).alias("home"))
+    guest = some.where("low < n and low <= high").select("shingle", "kind", F.explode(F.sequence("low", F.least(F.col("n") - 1, F.col("high")))).alias("class"), F.lit(False).alias("home"))
+    split = home.union(guest).select(F.xxhash64("shingle", "class").alias("key"), "kind", "home")
+    new = _kept(few.union(split)).join(hot, "kind").select("key", "kind", "id", "n", "home", "sketch", "many")
+    return checkpoint(rest.unionByName(new))
 
 
 class _Block:
@@ -285,14 +379,19 @@ def _candidates(blocks: DataFrame, p: int, q: int, most: int, nearest: bool) ->
     return dealt.mapInArrow(run, "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
+def _open(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows of buckets with two labels or more, with their label."""
+    if label is None:
+        return buckets.withColumn("label", F.col("id"))
+    rows = buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return rows.join(open_, "key", "left_semi")
+
+
 def _blocks(buckets: DataFrame, label: DataFrame | None, deal: int) -> DataFrame:
-    """The rows of buckets with two labels or more, dealt to blocks; from deal number DEALS on, a row of a large bucket
-    whose label is not the bucket's most frequent one is a guest in the bucket's other blocks."""
-    rows = buckets.withColumn("label", F.col("id"))
-    if label is not None:
-        rows = buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        rows = rows.join(open_, "key", "left_semi")
+    """The rows of buckets with two labels or more, dealt to blocks; from deal number DEALS on, when large buckets are split, a
+    row of a bucket that is large even so, whose label is not the bucket's most frequent one, is a guest in its other blocks."""
+    rows = _open(buckets, label)
     parts = F.ceil(F.col("many") / BUCKET).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "id", F.lit(min(deal, DEALS))), parts).cast("int")).withColumn("guest", F.lit(False))
     large = rows.where(F.col("many") > BUCKET)
@@ -341,28 +440,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int, send: b
 
 def _links(buckets: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame | None]:
     """Links (u, v) whose components are those of all links, and the components."""
-    none = buckets.sparkSession.createDataFrame([], "u bigint, v bigint")
+    judged = buckets.sparkSession.createDataFrame([], "u bigint, v bigint, linked boolean")
     large = not buckets.where(F.col("many") > BUCKET).isEmpty()
-    judged, label, turn, most = [], None, 0, 1
+    label, turn, most = None, 0, 1
     while True:
+        if large and turn == DEALS:
+            buckets = _split(buckets, label, docs, k, p, q)
         found = checkpoint(_candidates(_blocks(buckets, label, turn), p, q, most, nearest=turn > 0))
-        new = found.select("u", "v")
-        for verdict in judged:
-            new = new.join(verdict, ["u", "v"], "left_anti")
-        new = checkpoint(new) if judged else new
+        new = checkpoint(found.select("u", "v").join(judged, ["u", "v"], "left_anti")) if turn else found.select("u", "v")
         count, more = new.count(), bool(found.agg(F.max("more")).first()[0])
         linked = False
         if count:
-            verdict = checkpoint(_verified(new, docs, k, p, q, send=bool(judged) and 2 * count <= SENT))
-            judged.append(verdict)
+            verdict = checkpoint(_verified(new, docs, k, p, q, send=turn > 0 and 2 * count <= SENT))
+            judged = judged.union(verdict)
             linked = not verdict.where("linked").isEmpty()
-        links = none
-        for verdict in judged:
-            links = links.union(verdict.where("linked").select("u", "v"))
+        links = judged.where("linked").select("u", "v")
         if linked:
             label = components(links)
-        del found, new
-        release(buckets.sparkSession)
         turn += 1
         if not count and not more and (turn > DEALS or not large):
             return links, label
@@ -373,21 +467,22 @@ def _links(buckets: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> tuple
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(key, n_shingles, component_id): documents link if q * |intersection| >= p * |union| of their shingles of k words."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = checkpoint(_sets(docs, k, p, q))
     of_class = ["n", "one", "two"]
-    classes = sets.where("id is not null and n > 0").groupBy(*of_class).agg(F.min("id").alias("id"), F.min("kind").alias("kind"), F.min("sketch").alias("sketch"))
-    classes = checkpoint(classes)
-    buckets = _buckets(docs, classes.select("kind", "id", "n", "sketch"), k, p, q)
-    release(df.sparkSession)
-    links, label = _links(buckets, docs.where("id is not null"), k, p, q)
+    with swept(df.sparkSession):
+        sets = checkpoint(_sets(docs, k, p, q))
+        classes = sets.where("id is not null and n > 0").groupBy(*of_class).agg(F.min("id").alias("id"), F.min("kind").alias("kind"), F.min("sketch").alias("sketch"))
+        classes = checkpoint(classes)
+        buckets = _buckets(docs, classes.select("kind", "id", "n", "sketch"), k, p, q)
+        links, label = _links(buckets, docs.where("id is not null"), k, p, q)
+        named = sets.select("id", *of_class).join(classes.select(*of_class, F.col("id").alias("class")), of_class, "left")
+        # A key with several texts links their classes.
+        several = named.where("id is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("high")).where("u <> high").select("id", "u")
+        own = checkpoint(named.join(several, "id").where("class <> u").select("u", F.col("class").alias("v")))
+        if not own.isEmpty():
+            label = components(links.union(own))
+        if label is None:
+            label = sets.sparkSession.createDataFrame([], "id bigint, component bigint")
     named = sets.select("id", *of_class).join(classes.select(*of_class, F.col("id").alias("class")), of_class, "left")
-    # A key with several texts links their classes.
-    several = named.where("id is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("high")).where("u <> high").select("id", "u")
-    own = checkpoint(named.join(several, "id").where("class <> u").select("u", F.col("class").alias("v")))
-    if not own.isEmpty():
-        label = components(links.union(own))
-    if label is None:
-        label = sets.sparkSession.createDataFrame([], "id bigint, component bigint")
     out = named.join(label.select(F.col("id").alias("class"), "component"), "class", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id")).alias("component_id"))
 
