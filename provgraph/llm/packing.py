@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 from bisect import bisect_left, insort
 
@@ -30,29 +31,42 @@ from pyspark.sql import functions as F
 from .common import batch_of, checkpoint, free, steps, table, texts
 
 CAPACITY, CLASSES = 4096, 4096
-#: Words whose ids a worker keeps; rows of one class that one task ranks, about.
-KEPT, RANKED = 400_000, 200_000
+#: Bytes of words and their ids that a worker keeps, about; rows of one class that one task ranks, about.
+KEPT, RANKED = 64 << 20, 200_000
+#: Bytes of a kept word beside its letters and ids.
+ENTRY = 170
 STEP, ROUNDS, PHASES = 0.05, 1500, 4
 #: Items that best fit takes without the program; rooms that one step of the dynamic program looks at.
 REST, BLOCK = 4096, 64
 
 
 class WordTokens:
-    """Ids of texts by a tokenizers file whose ids of a word do not depend on the words around it."""
+    """Ids of texts by a tokenizers file whose ids of a word do not depend on the words around it. The file's added tokens
+    (<|endoftext|> and the like) are cut out first, as they stand, where they are not to be `plain` text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        added = {} if plain else {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # Known by a key that no word has, as words are in lower case.
+        self.added = {b"A" + k: array("I", [i]).tobytes() for k, i in added.items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
+        self.known, self.kept = dict(self.added), 0
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.cut is None or self.cut.search(text) is None:
+            return text.lower().split()  # the tokenizer lower-cases too; bytes only A-Z
+        parts = self.cut.split(text)
+        return [w for i, part in enumerate(parts) for w in ([b"A" + part] if i % 2 else part.lower().split())]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers. Words lie between ASCII white space."""
-        words = [x.lower().split() for x in batch]  # the tokenizer lower-cases too; bytes only A-Z
-        if len(self.known) > KEPT:
-            self.known.clear()
+        words = [self.words(x) for x in batch]
+        if self.kept > KEPT:
+            self.known, self.kept = dict(self.added), 0
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
         # ASCII letters are one word of the tokenizer's own, and the marks after them another.
@@ -63,20 +77,22 @@ class WordTokens:
             known[word] = array("I", e.ids).tobytes()
         for word, stem in ends.items():
             known[word] = known[stem] + known[word[len(stem) :]]
+        self.kept += sum(len(w) + len(known[w]) + ENTRY for w in (*plain, *ends))
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
 @functools.lru_cache(2)
-def tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def tokens(path: str, plain: bool = False) -> WordTokens:
+    return WordTokens(path, plain)
 
 
-def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """(key, piece, start, length, ids): a document's ids and the end id, cut where the capacity is reached."""
+def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 1, plain: bool = False) -> DataFrame:
+    """(key, piece, start, length, ids): a document's ids and the end id, cut where the capacity is reached. The strings of
+    the file's added tokens are these tokens, as in the library; with `plain` they are ordinary text."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = tokens(path)
+        words = tokens(path, plain)
         for batch in batches:
             for part in steps(batch, text, 1 << 20):
                 coded = [x + end for x in words.encode([x.as_buffer().to_pybytes() for x in texts(part, text)])]

@@ -218,6 +218,50 @@ def test_jaccard_of_large_buckets_equals_brute_force(spark, monkeypatch, k, p, b
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(jaccard.similar(df, k=k, p=p))} == linked_brute(table, k, p)
 
 
+def templates(n, seed, own=6):
+    """Texts of one template that do not link, and some that do."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(30)]
+    table = []
+    for i in range(n):
+        words = [*common[:15], *(f"o{r.randrange(10**6)}" for _ in range(own)), *common[15:]]
+        table.append((i, " ".join(words if r.random() > 0.02 or not table else r.choice(table)[1].split()[::1] + ["more"])))
+    return table
+
+
+def test_jaccard_of_templates_is_linear(spark, monkeypatch):
+    """A bucket that very many texts of one template share is split: what is compared grows with the texts, not with their square."""
+    monkeypatch.setattr(jaccard, "BUCKET", 128)
+    dealt = []
+    blocks = jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: dealt[-1].append(blocks(*a)) or dealt[-1][-1])
+    sizes = []
+    for n in (800, 1600):
+        dealt.append([])
+        table = templates(n, n)
+        got = {x["doc_id"]: x["component_id"] for x in rows(jaccard.similar(spark.createDataFrame(table, "doc_id long, text string"), k=3, p=90))}
+        assert got == {i: c for i, (_, c) in linked_brute(table, 3, 90).items()}
+        # Pairs that blocks compare, and rows dealt out.
+        sizes.append([(d.count(), d.groupBy("key", "part").count().selectExpr("coalesce(sum(count * count), 0)").first()[0]) for d in dealt[-1][jaccard.DEALS :]])
+    assert max(x for x, _ in sizes[1]) <= 2.6 * max(max(x for x, _ in sizes[0]), 100)
+    assert max(x for _, x in sizes[1]) <= 2.6 * max(max(x for _, x in sizes[0]), 1000)
+
+
+@pytest.mark.parametrize(("p", "own"), [(80, 3), (90, 2), (70, 8)])
+def test_split_buckets_lose_no_link(spark, monkeypatch, p, own):
+    """Texts near the bound: of one template with few words of their own, in buckets that stay large."""
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "DEALS", 0)
+    r = random.Random(p)
+    common = [f"c{i}" for i in range(25)]
+    table = []
+    for i in range(250):
+        words = [w for w in common if r.random() > 0.03] + [f"o{r.randrange(60)}" for _ in range(r.randrange(own + 1))]
+        table.append((i, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in rows(jaccard.similar(spark.createDataFrame(table, "doc_id long, text string"), k=1, p=p))}
+    assert got == {i: c for i, (_, c) in linked_brute(table, 1, p).items()}
+
+
 def test_key_with_two_texts_joins_their_groups(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     got = rows(jaccard.similar(spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (9, "")], "doc_id long, text string")))
@@ -245,6 +289,23 @@ def test_pieces_equal_the_library(spark):
     assert len(used) <= sum(t for _, t in packing.best_fit(counts, 4096))
 
 
+def test_added_tokens_are_the_library_s(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "<|startoftext|>Word<|endoftext|>", "x<|endoftext|>Y.<|ENDOFTEXT|> z", "<|endoftext|><|endoftext|>", "<|endoftext", "É\u0301 <|startoftext|>\u0301e", "", " ".join(f"w{i}<|endoftext|>" for i in range(300_000))]
+    for plain in (False, True):
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = plain
+        own = packing.WordTokens(path, plain)
+        for batch in (texts, texts[::-1]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in batch])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[7])], "doc_id long, text string")
+    got = rows(packing.pieces(df, path))
+    assert [r["length"] for r in got if r["doc_id"] == 1] == [4] and sum(r["length"] for r in got if r["doc_id"] == 2) > 900_000
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_packing_is_never_above_best_fit(spark, sf):
     import public_tokenizers
