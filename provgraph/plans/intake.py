@@ -47,6 +47,20 @@ def stream_intake(spark, sf_dir):
     return intake(spark, f"{folder}/in", f"{folder}/state", files_a_batch=1).groupBy("doc_id", "revision").agg(F.count("*").alias("n"), F.min("locator").alias("least"))
 
 
+def stream_bucketed(spark, sf_dir):
+    """Documents of revision 9, some again as 10 with fewer pieces, some of these without any, then older revisions, new
+    documents and files that came before."""
+    docs, folder = _contracts(spark, sf_dir).withColumn("revision", F.lit("9")), _folder(spark)
+    k = F.substring("doc_id", 2, 10).cast("bigint")
+    some = docs.where(k % 3 == 0).withColumn("revision", F.lit("10")).withColumn("pieces", F.when(k % 2 == 0, F.slice("pieces", 1, 2)).otherwise(F.slice("pieces", 1, 0)))
+    old = docs.where(k % 2 == 0).withColumn("revision", F.lit("2")).withColumn("pieces", F.slice("pieces", 1, 1))
+    new = docs.where(k % 5 == 0).withColumn("doc_id", F.concat(F.lit("X"), "doc_id")).withColumn("revision", F.lit("1"))
+    for part in (docs, some, old, new, docs):
+        part.coalesce(1).write.mode("append").json(f"{folder}/in")
+    found = intake(spark, f"{folder}/in", f"{folder}/state", files_a_batch=1, buckets=8)
+    return found.groupBy("doc_id", "revision").agg(F.count("*").alias("n"), F.min("locator").alias("least"), F.max("pos").alias("last"))
+
+
 def snapshot_latest(spark, sf_dir):
     nation, root = read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _folder(spark)
     for part in (nation, nation.where("n_nationkey % 2 = 0")):
@@ -253,7 +267,7 @@ def gate_route(spark, sf_dir):
     return out.groupBy("what").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (contract_round_trip, stream_intake, snapshot_latest, log_append, layer_open, doc_catalogue, head_sample, doc_locators, reingest_withdraw, doc_upsert, queue_enqueue, queue_self_heal, shape_defects, ulid_orders, extract_rules, extract_pending, build_roles, build_records, build_new_nodes, build_queue, build_dictionary, build_edges, build_attachments, build_describes, build_prose, build_prose_defects, build_pair_relation, gate_route)}
+QUERIES = {f.__name__: f for f in (contract_round_trip, stream_intake, stream_bucketed, snapshot_latest, log_append, layer_open, doc_catalogue, head_sample, doc_locators, reingest_withdraw, doc_upsert, queue_enqueue, queue_self_heal, shape_defects, ulid_orders, extract_rules, extract_pending, build_roles, build_records, build_new_nodes, build_queue, build_dictionary, build_edges, build_attachments, build_describes, build_prose, build_prose_defects, build_pair_relation, gate_route)}
 
 _PIECES = "SELECT 'C' || o_custkey AS doc_id, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, 'O' || o_orderkey AS locator, o_orderpriority AS section, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
 _QUEUE = "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'auto_node' WHEN 1 THEN 'spec_conflict' WHEN 2 THEN 'evidence_lost' ELSE 'orphan_anchor' END AS kind, o_orderkey AS doc, o_orderpriority AS key FROM orders"
@@ -267,6 +281,7 @@ _SAID = "SELECT 'D' || p_partkey % 7 AS doc, CAST(p_partkey AS VARCHAR) AS locat
 ORACLE_SQL = {
     "contract_round_trip": f"SELECT doc_id, pos, locator, section, status, day, 'a' AS site, status AS model FROM ({_PIECES})",
     "stream_intake": f"SELECT doc_id, CASE WHEN o_custkey % 3 = 0 THEN '2' ELSE '1' END AS revision, count(*) AS n, min(locator) AS least FROM ({_PIECES}) WHERE o_custkey % 3 <> 0 OR pos < 2 GROUP BY 1, 2",
+    "stream_bucketed": f"SELECT doc_id, CASE WHEN o_custkey % 3 = 0 THEN '10' ELSE '9' END AS revision, count(*) AS n, min(locator) AS least, max(pos) AS last FROM ({_PIECES}) WHERE o_custkey % 3 <> 0 OR (o_custkey % 2 = 0 AND pos < 2) GROUP BY 1, 2 UNION ALL SELECT 'X' || doc_id, '1', count(*), min(locator), max(pos) FROM ({_PIECES}) WHERE o_custkey % 5 = 0 GROUP BY 1",
     "snapshot_latest": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0",
     "log_append": SQL + "SELECT 'miss' AS kind, count(*) AS n, min(qid) AS least FROM questions WHERE contains(q, 'planet')",
     "layer_open": SQL + "SELECT src, rel, dst, CASE WHEN suffix(dst, '3') THEN 'tombstone' ELSE 'live' END AS what FROM edges WHERE rel = 'occurs_in' UNION ALL SELECT id, canonical, category, 'node' FROM nodes WHERE layer = 'quality'",

@@ -67,7 +67,7 @@ def read_or(spark: SparkSession, path: str, default: DataFrame) -> DataFrame:
 
 def read_snapshot(default: DataFrame, root: str, name: str) -> DataFrame:
     """The current version of `name`, or `default` before the first."""
-    current = _log(default.sparkSession, root, name).agg(F.max_by("path", "version")).first()[0]
+    current = _log(default.sparkSession, root, name).agg(F.max_by("path", F.struct("version", "path"))).first()[0]  # the same of two writers' for all readers
     return default if current is None else default.sparkSession.read.parquet(current)
 
 
