@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from .graph import redirects
 from .resolve import contained, lengths
 from .state import checkpoint
 
@@ -99,15 +100,16 @@ def order_facts(asked: DataFrame, following: DataFrame, nodes: DataFrame, own: s
     return rows.select("qid", "node", "how", template.alias("fact"))
 
 
-def transit_notes(linked: DataFrame, nodes: DataFrame, redirect: DataFrame) -> DataFrame:
-    """(qid, node_id, target, note): linked nodes (qid, node_id) as they are now: a merged one is its survivor; an obsolete one
-    with a replacement is that, noted as replaced; an obsolete one without is hidden (no target), noted as obsolete."""
-    own = nodes.select(F.col("id").alias("node_id"), "status", "replaced_by")
-    rows = linked.join(redirect.select(F.col("id").alias("node_id"), F.col("target").alias("survivor")), "node_id", "left").withColumn("now", F.coalesce("survivor", "node_id"))
-    rows = rows.join(own.withColumnRenamed("node_id", "now"), "now", "left")
+def transit_notes(linked: DataFrame, nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """(qid, node_id, target, note): linked nodes (qid, node_id) as they are now: a merged one, by `merged` (id, target), is its
+    survivor, noted as merged; an obsolete one with a replacement is what the chain of replacements ends at, noted as
+    replaced; an obsolete one without is hidden (no target), noted as obsolete. Nodes are (id, status, replaced_by)."""
+    last = redirects(nodes.select("id", F.col("replaced_by").alias("into"))).select(F.col("id").alias("node_id"), F.col("target").alias("last"))
+    rows = linked.join(merged.select(F.col("id").alias("node_id"), F.col("target").alias("survivor")), "node_id", "left").join(nodes.select(F.col("id").alias("node_id"), "status"), "node_id", "left").join(last, "node_id", "left")
     gone = F.col("status") == "obsolete"
-    note = F.when(gone & F.col("replaced_by").isNotNull(), "replaced").when(gone, "obsolete").when(F.col("survivor").isNotNull(), "merged")
-    return rows.select("qid", "node_id", F.when(gone, F.col("replaced_by")).otherwise(F.col("now")).alias("target"), note.alias("note"))
+    note = F.when(F.col("survivor").isNotNull(), "merged").when(gone & F.col("last").isNotNull(), "replaced").when(gone, "obsolete")
+    target = F.when(F.col("survivor").isNotNull(), F.col("survivor")).when(gone, F.col("last")).otherwise(F.col("node_id"))
+    return rows.select("qid", "node_id", target.alias("target"), note.alias("note"))
 
 
 def misses(questions: DataFrame, linked: DataFrame) -> DataFrame:

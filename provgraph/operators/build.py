@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 
 #: Fixed: what a field can be.
-ROLES = ("anchor", "entity", "attribute", "content", "context", "locator", "ignore")
+ROLES = ("anchor", "entity", "attribute", "content", "meta")
 NAME = ("norm", "category", "layer", "polarity")
 
 

@@ -6,34 +6,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import chains
+from .resolve import SCOPE
+from .state import checkpoint
+
 #: Fixed: the order of statuses when a survivor is chosen.
 RANK = {"seed": 3, "registered": 2, "auto": 1}
 
 
 def rename(nodes: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes with names (id, new) applied, names that start with the old one and :: following (the longest renamed start
-    counts); and what was refused, as (id, new): names that another node of the category has."""
-    own = names.join(nodes.select("id", "canonical", "category"), "id")
-    taken = nodes.select(F.col("canonical").alias("new"), "category", F.col("id").alias("other"))
-    refused = own.join(taken, ["new", "category"]).where("other <> id").select("id", "new").distinct()
+    counts), a `mirror_scope` column too if there is one; and what was refused, as (id, new): names that another live node of the
+    category has, names that the same batch gives to several of a category, several names for a node, and nodes that are not
+    live. Tombstones keep nothing from being renamed, and none of a batch depends on its order: all that contradict go."""
+    gone = "merged_into" in nodes.columns
+    alive = live(nodes) if gone else nodes
+    asked = names.select("id", "new").distinct()
+    own = asked.join(alive.select("id", "canonical", "category"), "id", "left")
+    taken = alive.select(F.col("canonical").alias("new"), "category", F.col("id").alias("other"))
+    refused = own.join(taken, ["new", "category"]).where("other <> id").select("id", "new")
+    refused = refused.union(own.where("canonical is null").select("id", "new"))
+    for key in (["category", "new"], ["id"]):
+        many = own.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+        refused = refused.union(own.join(many, key, "left_semi").select("id", "new"))
+    refused = refused.distinct()
     valid = own.join(refused, ["id", "new"], "left_anti")
     old = valid.select(F.col("canonical").alias("head"), "category", "new")
-    parts = F.split("canonical", "::")
-    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "::"))
-    starts = nodes.select("id", "category", F.explode(heads).alias("head")).join(old, ["head", "category"])
+    parts = F.split("canonical", SCOPE)
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), SCOPE))
+    starts = alive.select("id", "category", F.explode(heads).alias("head")).join(old, ["head", "category"])
     moved = nodes.join(starts.groupBy("id").agg(F.max_by(F.struct("head", "new"), F.length("head")).alias("by")), "id", "left")
     name = F.when(F.col("by").isNotNull(), F.concat("by.new", F.substring(F.col("canonical"), F.length("by.head") + 1, F.length("canonical")))).otherwise(F.col("canonical"))
-    return moved.withColumn("canonical", name).select(*nodes.columns), refused
+    moved = moved.withColumn("canonical", name)
+    if "mirror_scope" in nodes.columns:  # a scope is a name, of whatever category
+        scope = valid.groupBy(F.col("canonical").alias("mirror_scope")).agg(F.min("new").alias("to"))
+        moved = moved.join(scope, "mirror_scope", "left").withColumn("mirror_scope", F.coalesce("to", "mirror_scope"))
+    return moved.select(*nodes.columns), refused
 
 
 def survivors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, survivor): the higher status survives, then the smaller id."""
+    """(a, b, survivor): the one that people chose (`override`, a column that pairs may have), else the higher status, then the
+    smaller id. An override that is neither leaves no survivor."""
     rank = F.lit(0)
     for status, value in RANK.items():
         rank = F.when(F.col("status") == status, value).otherwise(rank)
     own = nodes.select("id", rank.alias("rank"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(own.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    return both.select("a", "b", F.when(F.col("ra") > F.col("rb"), F.col("a")).when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.least("a", "b")).alias("survivor"))
+    by_rank = F.when(F.col("ra") > F.col("rb"), F.col("a")).when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.least("a", "b"))
+    chosen = F.col("override") if "override" in pairs.columns else F.lit(None)
+    return both.select("a", "b", F.when(chosen.isNull(), by_rank).when(chosen.isin(F.col("a"), F.col("b")), chosen).alias("survivor"))
 
 
 def merge_edges(edges: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -49,11 +70,30 @@ def split_residual(items: DataFrame, plan: DataFrame, keys: list[str]) -> DataFr
     return items.select(*keys).distinct().join(plan.select(*keys).distinct(), keys, "left_anti")
 
 
+def obsolete_refusals(nodes: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, replaced_by, reason) of gone (id, replaced_by): a node or a target that is not there, itself, several targets for one
+    node, and what would close a circle with what is replaced already and with the rest of gone: all of a batch's that lie on
+    the circle, as their order does not count."""
+    own = nodes.select("id", F.lit(True).alias("there"))
+    asked = gone.select("id", "replaced_by").distinct()
+    many = asked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
+    rows = asked.join(own, "id", "left").join(own.select(F.col("id").alias("replaced_by"), F.col("there").alias("target")), "replaced_by", "left").join(many, "id", "left")
+    reason = F.when(F.col("there").isNull(), "missing").when(F.col("id").eqNullSafe(F.col("replaced_by")), "itself").when(F.col("replaced_by").isNotNull() & F.col("target").isNull(), "missing_target").when(F.col("several"), "several")
+    rows = checkpoint(rows.withColumn("reason", reason).select("id", "replaced_by", "reason"))
+    fresh = rows.where("reason is null and replaced_by is not null").select("id", F.col("replaced_by").alias("into"))
+    before = nodes.where("replaced_by is not null").select("id", F.col("replaced_by").alias("into")) if "replaced_by" in nodes.columns else fresh.limit(0)
+    after = before.join(rows.where("reason is null").select("id"), "id", "left_anti").union(fresh)
+    circling = fresh.join(chains(after).where("member").select("id"), "id", "left_semi").select("id", F.col("into").alias("replaced_by"), F.lit("circle").alias("reason"))
+    return rows.where("reason is not null").union(circling)
+
+
 def obsolete(nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    """nodes with status and replaced_by for gone (id, replaced_by); a missing target, or itself, refuses the change."""
-    targets = nodes.select(F.col("id").alias("replaced_by"), F.lit(True).alias("there"))
-    valid = gone.join(targets, "replaced_by", "left").where((F.col("replaced_by").isNull() | F.col("there")) & ~F.col("id").eqNullSafe(F.col("replaced_by")))
-    return nodes.join(valid.select("id", "replaced_by", F.lit("obsolete").alias("new")), "id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
+    """nodes with status and replaced_by for gone (id, replaced_by) but for what obsolete_refusals names."""
+    refused = obsolete_refusals(nodes, gone).select("id").distinct()
+    valid = gone.select("id", "replaced_by").distinct().join(refused, "id", "left_anti").select("id", F.col("replaced_by").alias("by"), F.lit("obsolete").alias("new"))
+    out = nodes.join(valid, "id", "left")
+    by = F.col("by") if "replaced_by" not in nodes.columns else F.when(F.col("new").isNotNull(), F.col("by")).otherwise(F.col("replaced_by"))
+    return out.withColumn("replaced_by", by).withColumn("status", F.coalesce("new", "status")).drop("new", "by")
 
 
 def merge_candidates(nodes: DataFrame, freq: DataFrame, block: list[str]) -> DataFrame:

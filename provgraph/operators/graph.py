@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .state import checkpoint
 
 EDGE = ["src", "rel", "dst"]
-DEPTH = 16
 
 
 def upsert(known: DataFrame, new: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -50,14 +49,52 @@ def without_evidence(items: DataFrame, evidence: DataFrame, keys: list[str]) ->
     return items.join(evidence.select(*keys).distinct(), keys, "left_anti")
 
 
+def chains(moved: DataFrame) -> DataFrame:
+    """(id, target, steps, circle, length, member) for moved (id, into): where a chain of any length ends and after how many steps;
+    or, where it runs into a circle, the circle's least member, its length, and whether the id is a member (then target and
+    steps are null). Of several `into` of an id the least counts. Pointers double: each round joins those still on their way, whose number falls, with where
+    they have come to. An id that is `reach` steps or more from its end has as many ids between on their way as it is
+    further, so once no more are on their way than `reach`, the next round has all ends, and what is left circles."""
+    first = checkpoint(moved.where("into is not null").groupBy("id").agg(F.min("into").alias("to")))
+    kind = first.schema["id"].dataType
+    ends = first.select(F.col("to").alias("id")).distinct().join(first, "id", "left_anti")
+    on = first.join(ends.select(F.col("id").alias("to"), F.lit(True).alias("end")), "to", "left").select("id", "to", F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("low"), F.coalesce("end", F.lit(False)).alias("end"))
+    on = checkpoint(on)
+    done, way = on.where("end"), on.where("not end")
+    reach, left, last = 1, way.count(), False
+    while left and not last:
+        last = left <= reach
+        there = done.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.lit(None).cast(kind).alias("least"), F.lit(True).alias("end"))
+        there = there.union(way.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("low").alias("least"), F.lit(False).alias("end")))
+        way = checkpoint(way.drop("end").join(there, "to").select("id", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "least").alias("low"), "end"))
+        done, way = checkpoint(done.union(way.where("end"))), way.where("not end")
+        reach, left = 2 * reach, way.count()
+    # What is left has come to a member of its circle; such a member has seen all of it and nothing else.
+    own = way.select(F.col("to").alias("id")).distinct().join(way.select("id", "low"), "id")
+    size = own.groupBy("low").agg(F.count("*").alias("length"))
+    circle = way.select("id", "to").join(own.select(F.col("id").alias("to"), "low"), "to").join(size, "low").join(own.select("id", F.lit(True).alias("member")), "id", "left")
+    none = F.lit(None)
+    return done.select("id", F.col("to").alias("target"), "steps", none.cast(kind).alias("circle"), none.cast("bigint").alias("length"), F.lit(False).alias("member")).union(
+        circle.select("id", none.cast(kind), none.cast("bigint"), F.col("low"), "length", F.coalesce("member", F.lit(False)))
+    )
+
+
 def redirects(moved: DataFrame) -> DataFrame:
-    """(id, target) for moved (id, into): where a chain ends, by doubling; a chain that is longer than DEPTH or a circle has no end (null)."""
-    out, reach = moved.select("id", F.col("into").alias("target")), 1
-    while reach < DEPTH:
-        further = out.select(F.col("id").alias("target"), F.col("target").alias("next"))
-        out, reach = out.join(further, "target", "left").select("id", F.coalesce("next", "target").alias("target")), 2 * reach
-    loose = moved.select(F.col("id").alias("target")).distinct().withColumn("open", F.lit(True))
-    return out.join(loose, "target", "left").select("id", F.when(F.col("open").isNull(), F.col("target")).alias("target"))
+    """(id, target) for moved (id, into): where the chain of each ends. In a circle it ends where it comes for the second time:
+    at the id itself, or at the first member of the circle that it comes to (chain_defects names the circle)."""
+    found = checkpoint(chains(moved))
+    straight, circling = found.where("circle is null").select("id", "target"), found.where("circle is not null")
+    if circling.isEmpty():
+        return straight
+    members = circling.where("member").select("id", F.col("id").alias("target"))
+    tails = moved.join(circling.where("not member").select("id"), "id", "left_semi")
+    return straight.union(members).union(chains(tails).select("id", "target"))
+
+
+def chain_defects(moved: DataFrame) -> DataFrame:
+    """(kind, key, length, ids) for each circle of moved (id, into): its least member, its length, and how many ids end in it."""
+    rows = chains(moved).where("circle is not null").groupBy("circle", "length").agg(F.count("*").alias("ids"))
+    return rows.select(F.lit("chain_circle").alias("kind"), F.col("circle").cast("string").alias("key"), "length", "ids")
 
 
 def expand(seeds: DataFrame, edges: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import norm
 from .state import checkpoint
 
 MATCH = 0.85
@@ -18,9 +19,10 @@ HEAD = 4
 
 
 def anchors(pieces: DataFrame, dictionary: DataFrame, key: str, surface: str, category: str) -> DataFrame:
-    """(key, surface, hits, node_id, outcome): resolved for one hit of the category, orphan_anchor for none or several, nothing for a blank."""
-    own = dictionary.where(F.col("category") == category).groupBy("surface").agg(F.countDistinct("node_id").alias("hits"), F.min("node_id").alias("one"))
-    out = pieces.select(key, F.col(surface).alias("surface")).where(F.trim(F.col("surface")) != "").join(own, "surface", "left")
+    """(key, surface, hits, node_id, outcome): resolved for one hit of the category, orphan_anchor for none or several, nothing for a
+    blank. Both sides are compared in their normal form; the surface is given back as it stands."""
+    own = dictionary.where(F.col("category") == category).groupBy(norm("surface").alias("norm")).agg(F.countDistinct("node_id").alias("hits"), F.min("node_id").alias("one"))
+    out = pieces.select(key, F.col(surface).alias("surface"), norm(surface).alias("norm")).where("norm <> ''").join(own, "norm", "left")
     hits = F.coalesce("hits", F.lit(0)).cast("bigint")
     return out.select(key, "surface", hits.alias("hits"), F.when(hits == 1, F.col("one")).alias("node_id"), F.when(hits == 1, "resolved").otherwise("orphan_anchor").alias("outcome"))
 

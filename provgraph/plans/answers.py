@@ -136,18 +136,30 @@ def transit_redirect(spark, sf_dir):
     return G.redirects(_moved(spark, sf_dir))
 
 
-def op_rename(spark, sf_dir):
-    """Nations renamed, some to names that others have; children follow."""
-    own = W.nodes(spark, sf_dir).where("status = 'seed'").select("id", "canonical", "category")
+def _renamed(spark, sf_dir):
+    """Nations renamed: to a name of their own; to one that another has, two of them to one name, or to a tombstone's name."""
+    dead = W.nodes(spark, sf_dir).where("tier = 'main'").select(F.concat(F.lit("T"), "id").alias("id"), F.concat(F.lit("OLD_"), F.substring("id", 2, 9)).alias("canonical"), "category", F.col("id").alias("merged_into"), F.lit(None).cast("string").alias("mirror_scope"))
+    scope = F.when(F.col("tier") == "detail", F.split("canonical", "::")[0])
+    own = W.nodes(spark, sf_dir).select("id", "canonical", "category", F.lit(None).cast("string").alias("merged_into"), scope.alias("mirror_scope")).union(dead)
     k = F.col("n_nationkey")
-    names = read(spark, sf_dir, "nation").where(k % 2 == 0).select(F.concat(F.lit("N"), k.cast("string")).alias("id"), F.when(k % 4 == 0, F.concat(F.lit("LAND_"), k.cast("string"))).otherwise(F.lit("NATION_1")).alias("new"))
-    return C.rename(own, names)[0].select("id", "canonical")
+    new = F.when(k % 5 == 0, F.concat(F.lit("LAND_"), k.cast("string"))).when(k % 5 == 1, "NATION_0").when(k % 5 == 2, F.concat(F.lit("BOTH_"), (k / 10).cast("int").cast("string"))).when(k == 3, "OLD_3")
+    return C.rename(own, read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), k.cast("string")).alias("id"), new.alias("new")).where("new is not null"))
+
+
+def op_rename(spark, sf_dir):
+    return _renamed(spark, sf_dir)[0].select("id", "canonical", "mirror_scope")
+
+
+def rename_refused(spark, sf_dir):
+    return _renamed(spark, sf_dir)[1]
 
 
 def op_survivor(spark, sf_dir):
+    """Pairs of nodes, of some of which people chose one, or a node that is neither."""
     own = W.nodes(spark, sf_dir)
     pairs = own.select(F.col("id").alias("a"), F.concat(F.lit("N"), (F.length("id") + F.length("canonical")).cast("string")).alias("b")).where("a <> b")
-    return C.survivors(pairs, own)
+    n = F.length("a") % 4
+    return C.survivors(pairs.withColumn("override", F.when(n == 0, F.col("a")).when(n == 1, F.col("b")).when(n == 2, "Z")), own)
 
 
 def op_merge(spark, sf_dir):
@@ -161,10 +173,38 @@ def op_split_residual(spark, sf_dir):
     return C.split_residual(items, items.where("src <> 'F:5-LOW'"), G.EDGE)
 
 
+def _gone(spark, sf_dir):
+    """Of each nine units two replaced by the next one already. The third by the first, which would close a circle, as would
+    the next three; then one by one that is there, one by none, and one by what is not there."""
+    k, near = F.col("s_suppkey"), lambda n: F.concat(F.lit("S"), (F.col("s_suppkey") + n).cast("string"))
+    units = read(spark, sf_dir, "supplier")
+    units = units.where(k < units.count() // 9 * 9)
+    known = units.select(near(0).alias("id"), F.when(k % 9 <= 1, "obsolete").otherwise("auto").alias("status"), F.when((k % 9 <= 1), near(1)).alias("replaced_by"))
+    to = F.when(k % 9 == 2, near(-2)).when((k % 9 == 3) | (k % 9 == 4), near(1)).when(k % 9 == 5, near(-2)).when(k % 9 == 6, near(-6)).when(k % 9 == 8, "Z")
+    return known, units.where("s_suppkey % 9 >= 2").select(near(0).alias("id"), to.alias("replaced_by"))
+
+
 def op_obsolete(spark, sf_dir):
-    k = F.col("s_suppkey")
-    gone = read(spark, sf_dir, "supplier").where(k % 3 == 0).select(F.concat(F.lit("S"), k.cast("string")).alias("id"), F.when(k % 2 == 0, F.concat(F.lit("S"), (k + 5).cast("string"))).alias("replaced_by"))
-    return C.obsolete(W.nodes(spark, sf_dir).where("category = 'Unit'"), gone).select("id", "status", "replaced_by")
+    return C.obsolete(*_gone(spark, sf_dir)).select("id", "status", "replaced_by")
+
+
+def obsolete_refused(spark, sf_dir):
+    return C.obsolete_refusals(*_gone(spark, sf_dir))
+
+
+def _looped(spark, sf_dir):
+    """Orders in rows of a hundred, each merged into the next; of every third row the last ninety are a circle."""
+    k, place = F.col("o_orderkey"), F.col("o_orderkey") % 100
+    into = F.when(place < 99, k + 1).when(F.floor(k / 100) % 3 == 0, k - 89)
+    return read(spark, sf_dir, "orders").select(k.alias("id"), into.alias("into"))
+
+
+def chain_ends(spark, sf_dir):
+    return G.redirects(_looped(spark, sf_dir))
+
+
+def chain_circles(spark, sf_dir):
+    return G.chain_defects(_looped(spark, sf_dir))
 
 
 def merge_candidates(spark, sf_dir):
@@ -199,7 +239,7 @@ def doc_trace(spark, sf_dir):
     return W.has_property(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("units"), F.countDistinct("dst").alias("properties"))
 
 
-QUERIES = {f.__name__: f for f in (link_questions, intent, expand_bfs, facts_edges, facts_attrs, bridge_one_hop, cross_facts, collect_chunks_top8, next_of, next_of_nodes, flow_chain, answers, answer_path_counts, gauges, gauge_plateau, gauge_hold_rate, gauge_hubs, graph_view, queue_view, transit_redirect, op_rename, op_survivor, op_merge, op_split_residual, op_obsolete, merge_candidates, export_cypher, export_mermaid, export_csv_rows, tree_view, doc_trace)}
+QUERIES = {f.__name__: f for f in (link_questions, intent, expand_bfs, facts_edges, facts_attrs, bridge_one_hop, cross_facts, collect_chunks_top8, next_of, next_of_nodes, flow_chain, answers, answer_path_counts, gauges, gauge_plateau, gauge_hold_rate, gauge_hubs, graph_view, queue_view, transit_redirect, chain_ends, chain_circles, op_rename, rename_refused, op_survivor, op_merge, op_split_residual, op_obsolete, obsolete_refused, merge_candidates, export_cypher, export_mermaid, export_csv_rows, tree_view, doc_trace)}
 
 _FACTS = "SELECT a.qid, e.rel, CASE e.rel WHEN 'part_of' THEN s.canonical || ' is part of ' || d.canonical WHEN 'precedes' THEN d.canonical || ' comes after ' || s.canonical ELSE s.canonical || ' has ' || d.canonical END AS fact FROM edges e JOIN expanded a ON a.node = e.src JOIN expanded b ON b.node = e.dst AND b.qid = a.qid JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.rel IN ('part_of', 'precedes', 'has_property')"
 _BRIDGE = "SELECT w.qid, x.b AS node, x.a AS via FROM expanded w JOIN (SELECT DISTINCT src AS a, dst AS b FROM occurs_in UNION ALL SELECT DISTINCT dst, src FROM occurs_in) x ON x.a = w.node WHERE NOT EXISTS (SELECT 1 FROM expanded o WHERE o.qid = w.qid AND o.node = x.b)"
@@ -230,11 +270,16 @@ ORACLE_SQL = {
     "graph_view": SQL + "SELECT layer, category AS what, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY 2",
     "queue_view": "SELECT coalesce(k.kind, f.kind) AS kind, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") k(kind) FULL JOIN (SELECT CASE event_type WHEN 'error' THEN 'parse_failure' WHEN 'view' THEN 'auto_node' ELSE 'alien_' || event_type END AS kind, count(*) AS n FROM events GROUP BY 1) f ON k.kind = f.kind",
     "transit_redirect": "SELECT p_partkey AS id, p_partkey - p_partkey % 5 + 4 AS target FROM part WHERE p_partkey % 5 <> 4",
-    "op_rename": SQL + "SELECT id, CASE WHEN tier <> 'main' AND CAST(regexp_extract(id, '[0-9]+') AS INTEGER) % 4 = 0 THEN replace(canonical, 'NATION_', 'LAND_') ELSE canonical END AS canonical FROM nodes WHERE status = 'seed'",
-    "op_survivor": SQL + ", p AS (SELECT id AS a, status AS sa, 'N' || (length(id) + length(canonical)) AS b FROM nodes) SELECT a, b, CASE WHEN sa = 'seed' AND n.status = 'auto' THEN a WHEN sa = 'auto' AND n.status = 'seed' THEN b ELSE least(a, b) END AS survivor FROM p JOIN nodes n ON n.id = b WHERE a <> b",
+    "chain_ends": "SELECT o_orderkey AS id, CASE WHEN o_orderkey // 100 % 3 > 0 THEN o_orderkey // 100 * 100 + 99 ELSE greatest(o_orderkey, o_orderkey // 100 * 100 + 10) END AS target FROM orders WHERE o_orderkey % 100 < 99 OR o_orderkey // 100 % 3 = 0",
+    "chain_circles": "SELECT DISTINCT 'chain_circle' AS kind, CAST(o_orderkey // 100 * 100 + 10 AS VARCHAR) AS key, 90 AS length, 100 AS ids FROM orders WHERE o_orderkey // 100 % 3 = 0",
+    "op_rename": SQL + """, r AS (SELECT n_nationkey AS k, CASE WHEN k % 5 = 0 THEN 'LAND_' || k WHEN k = 22 THEN 'BOTH_2' WHEN k = 3 THEN 'OLD_3' ELSE n_name END AS new FROM nation)
+ SELECT id, CASE tier WHEN 'sub' THEN new WHEN 'detail' THEN new || '::' || polarity ELSE canonical END AS canonical, CASE WHEN tier = 'detail' THEN new END AS mirror_scope FROM nodes LEFT JOIN r ON id = 'N' || k OR (tier = 'detail' AND parent = 'N' || k) UNION ALL SELECT 'TR' || r_regionkey, 'OLD_' || r_regionkey, NULL FROM region""",
+    "rename_refused": "SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 5 = 1 THEN 'NATION_0' ELSE 'BOTH_' || n_nationkey // 10 END AS new FROM nation WHERE n_nationkey % 5 = 1 OR n_nationkey IN (2, 7, 12, 17)",
+    "op_survivor": SQL + ", p AS (SELECT id AS a, status AS sa, 'N' || (length(id) + length(canonical)) AS b FROM nodes) SELECT a, b, CASE length(a) % 4 WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN NULL ELSE CASE WHEN sa = 'seed' AND n.status = 'auto' THEN a WHEN sa = 'auto' AND n.status = 'seed' THEN b ELSE least(a, b) END END AS survivor FROM p JOIN nodes n ON n.id = b WHERE a <> b",
     "op_merge": SQL + "SELECT src, rel, 'N' || (CAST(substr(dst, 2) AS INTEGER) // 2 * 2) AS dst, count(DISTINCT doc) AS evidence FROM occurs_in GROUP BY ALL",
     "op_split_residual": SQL + "SELECT DISTINCT src, rel, dst FROM occurs_in WHERE dst = 'N3' AND src = 'F:5-LOW'",
-    "op_obsolete": "WITH g AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 5 END AS r FROM supplier WHERE s_suppkey % 3 = 0), v AS (SELECT * FROM g WHERE r IS NULL OR r IN (SELECT s_suppkey FROM supplier)) SELECT 'S' || s_suppkey AS id, CASE WHEN v.k IS NOT NULL THEN 'obsolete' ELSE 'auto' END AS status, 'S' || v.r AS replaced_by FROM supplier LEFT JOIN v ON v.k = s_suppkey",
+    "op_obsolete": "SELECT 'S' || s_suppkey AS id, CASE WHEN s_suppkey % 9 IN (0, 1, 6, 7) THEN 'obsolete' ELSE 'auto' END AS status, CASE WHEN s_suppkey % 9 <= 1 THEN 'S' || (s_suppkey + 1) WHEN s_suppkey % 9 = 6 THEN 'S' || (s_suppkey - 6) END AS replaced_by FROM supplier WHERE s_suppkey < (SELECT count(*) // 9 * 9 FROM supplier)",
+    "obsolete_refused": "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 9 WHEN 8 THEN 'Z' WHEN 2 THEN 'S' || (s_suppkey - 2) WHEN 5 THEN 'S' || (s_suppkey - 2) ELSE 'S' || (s_suppkey + 1) END AS replaced_by, CASE s_suppkey % 9 WHEN 8 THEN 'missing_target' ELSE 'circle' END AS reason FROM supplier WHERE s_suppkey % 9 IN (2, 3, 4, 5, 8) AND s_suppkey < (SELECT count(*) // 9 * 9 FROM supplier)",
     "merge_candidates": SQL + "SELECT 'Property' AS category, id, freq, CAST(row_number() OVER (ORDER BY freq DESC, id) AS INTEGER) AS place FROM (SELECT n.id, count(h.doc) AS freq FROM nodes n LEFT JOIN has_property h ON h.dst = n.id WHERE category = 'Property' GROUP BY 1)",
     "export_cypher": SQL + "SELECT 'CREATE (:' || category || ':Node {id: ''' || id || ''', canonical: ''' || canonical || '''' || CASE WHEN polarity <> 'none' THEN ', polarity: ''' || polarity || '''' ELSE '' END || '})' AS line FROM nodes UNION ALL SELECT 'MATCH (a:Node {id: ''' || src || '''}), (b:Node {id: ''' || dst || '''}) CREATE (a)-[:' || rel || ']->(b)' FROM edges",
     "export_mermaid": SQL + "SELECT '  ' || src || '[' || s.canonical || '] --> ' || dst || '[' || d.canonical || ']' AS line FROM precedes JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst",

@@ -136,7 +136,7 @@ def attribute_lines(spark, sf_dir):
 
 def transit_notes(spark, sf_dir):
     k = F.col("s_suppkey")
-    nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), _s("s_suppkey")).alias("id"), F.when(k % 4 == 1, "obsolete").otherwise("auto").alias("status"), F.when(k % 8 == 1, "S0").alias("replaced_by"))
+    nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), _s("s_suppkey")).alias("id"), F.when((k % 4 == 1) | (k % 8 == 4), "obsolete").otherwise("auto").alias("status"), F.when(k % 8 == 1, F.concat(F.lit("S"), (k + 3).cast("string"))).when(k % 8 == 4, "S0").alias("replaced_by"))
     moved = read(spark, sf_dir, "supplier").where("s_suppkey % 4 = 2").select(F.concat(F.lit("S"), _s("s_suppkey")).alias("id"), F.concat(F.lit("S"), (k - 1).cast("string")).alias("into"))
     linked = nodes.select(F.lit(1).alias("qid"), F.col("id").alias("node_id"))
     return A.transit_notes(linked, nodes, G.redirects(moved))
@@ -244,8 +244,8 @@ ORACLE_SQL = {
  ELSE CASE WHEN dst IS NULL THEN 'no order for ' || canonical || '::customer' ELSE 'after ' || canonical || '::customer comes ' || name || '::customer (by ' || canonical || ')' END END AS fact
  FROM questions q JOIN own ON own.id = 'N' || (q.qid % 100) WHERE q.qid < 25 OR q.qid BETWEEN 400 AND 424""",
     "attribute_lines": "SELECT 1 AS qid, 'S' || l_suppkey AS node, '[flag=' || l_returnflag || ', status=' || l_linestatus || '] quantity of ' || s_name || ' is ' || CAST(arg_min(CAST(l_quantity AS BIGINT), (l_orderkey, l_partkey, l_extendedprice)) AS VARCHAR) AS fact FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 GROUP BY l_suppkey, s_name, l_returnflag, l_linestatus",
-    "transit_notes": """SELECT 1 AS qid, 'S' || s_suppkey AS node_id, CASE s_suppkey % 8 WHEN 1 THEN 'S0' WHEN 5 THEN NULL WHEN 2 THEN 'S0' WHEN 6 THEN NULL ELSE 'S' || s_suppkey END AS target,
- CASE s_suppkey % 8 WHEN 1 THEN 'replaced' WHEN 2 THEN 'replaced' WHEN 5 THEN 'obsolete' WHEN 6 THEN 'obsolete' END AS note FROM supplier""",
+    "transit_notes": """SELECT 1 AS qid, 'S' || s_suppkey AS node_id, CASE s_suppkey % 8 WHEN 1 THEN CASE WHEN EXISTS (SELECT 1 FROM supplier o WHERE o.s_suppkey = s.s_suppkey + 3) THEN 'S0' ELSE 'S' || (s_suppkey + 3) END WHEN 4 THEN 'S0' WHEN 5 THEN NULL WHEN 2 THEN 'S' || (s_suppkey - 1) WHEN 6 THEN 'S' || (s_suppkey - 1) ELSE 'S' || s_suppkey END AS target,
+ CASE s_suppkey % 8 WHEN 1 THEN 'replaced' WHEN 4 THEN 'replaced' WHEN 5 THEN 'obsolete' WHEN 2 THEN 'merged' WHEN 6 THEN 'merged' END AS note FROM supplier s""",
     "miss_log": SQL + "SELECT qid, 'miss' AS kind FROM questions WHERE qid NOT IN (SELECT qid FROM linked)",
     "entity_match_gated": """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'S' || s_suppkey ELSE m.id END AS node_id, CASE WHEN s_suppkey % 2 = 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS score FROM supplier LEFT JOIN (SELECT 'NATION_' || n_nationkey AS c, 'N' || n_nationkey AS id FROM nation) m ON c = 'NATION_' || s_nationkey
  WHERE (s_suppkey % 2 = 0 AND s_suppkey % 4 < 2) OR (s_suppkey % 2 = 1 AND s_suppkey % 4 >= 2)""",

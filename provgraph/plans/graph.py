@@ -61,7 +61,7 @@ def main_ancestor(spark, sf_dir):
 def _pieces(spark, sf_dir):
     """Supplier rows with coordinates that are partly off: unknown nations, an ambiguous word, other regions and axis values."""
     k = F.col("s_suppkey")
-    ref = F.when(k % 10 == 9, "customer").otherwise(F.concat(F.lit("NATION_"), (F.col("s_nationkey") + F.when(k % 7 == 0, 20).otherwise(0)).cast("string")))
+    ref = F.when(k % 10 == 9, "customer").otherwise(F.concat(F.when(k % 11 == 0, " NATION_").otherwise("NATION_"), (F.col("s_nationkey") + F.when(k % 7 == 0, 20).otherwise(0)).cast("string"), F.when(k % 13 == 0, "\t").otherwise("")))
     axis = F.when(k % 4 == 0, "customer").when(k % 4 == 1, "supplier").when(k % 4 == 2, "other")
     return read(spark, sf_dir, "supplier").select(k.alias("piece"), ref.alias("ref"), axis.alias("axis"), F.concat(F.lit("R"), (k % 5).cast("string")).alias("grp"), F.col("s_name").alias("surface"))
 
@@ -213,8 +213,8 @@ def extract_relations(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (skeleton_nodes, skeleton_part_of, skeleton_precedes, skeleton_mirrors, skeleton_aliases_unique, skeleton_closed_list, skeleton_stale, flow_lines, ancestor_closure, main_ancestor, anchor_resolve, orphan_anchor, descend_instance, coord_mismatch, axis_mismatch, bind_names, entity_match, entity_exact_match, attr_groups, spec_conflict, unknown_missing_fields, context_override, edge_upsert, edge_tombstone_skip, gate_verdicts, gate_reject_counts, mirror_pairs, mirror_asymmetry, withdraw_doc, evidence_lost, reingest_idempotent, describes_links, extract_vocab_mentions, extract_relations)}
 
-_PIECES = "SELECT s_suppkey AS piece, CASE WHEN s_suppkey % 10 = 9 THEN 'customer' ELSE 'NATION_' || (s_nationkey + CASE WHEN s_suppkey % 7 = 0 THEN 20 ELSE 0 END) END AS ref, CASE s_suppkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' WHEN 2 THEN 'other' END AS axis, 'R' || s_suppkey % 5 AS grp, s_name AS surface FROM supplier"
-_ANCHOR = f"SELECT piece, ref AS surface, count(DISTINCT node_id) AS hits, CASE WHEN count(DISTINCT node_id) = 1 THEN min(node_id) END AS node_id, CASE WHEN count(DISTINCT node_id) = 1 THEN 'resolved' ELSE 'orphan_anchor' END AS outcome FROM ({_PIECES}) LEFT JOIN dictionary d ON d.surface = ref AND category = 'Process' GROUP BY piece, ref"
+_PIECES = "SELECT s_suppkey AS piece, CASE WHEN s_suppkey % 10 = 9 THEN 'customer' ELSE CASE WHEN s_suppkey % 11 = 0 THEN ' ' ELSE '' END || 'NATION_' || (s_nationkey + CASE WHEN s_suppkey % 7 = 0 THEN 20 ELSE 0 END) || CASE WHEN s_suppkey % 13 = 0 THEN chr(9) ELSE '' END END AS ref, CASE s_suppkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' WHEN 2 THEN 'other' END AS axis, 'R' || s_suppkey % 5 AS grp, s_name AS surface FROM supplier"
+_ANCHOR = f"SELECT piece, ref AS surface, count(DISTINCT node_id) AS hits, CASE WHEN count(DISTINCT node_id) = 1 THEN min(node_id) END AS node_id, CASE WHEN count(DISTINCT node_id) = 1 THEN 'resolved' ELSE 'orphan_anchor' END AS outcome FROM ({_PIECES}) LEFT JOIN dictionary d ON d.surface = trim(ref, ' ' || chr(9)) AND category = 'Process' GROUP BY piece, ref"
 _UP = "up(node, ancestor, depth) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT node, n.parent, depth + 1 FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent IS NOT NULL)"
 _FOUND = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'old ' || p_name ELSE split_part(p_name, ' ', 2) END AS surface FROM part"
 _VALUES = "SELECT l_partkey AS node, l_returnflag AS context, CAST(l_quantity AS BIGINT) AS value, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS n FROM lineitem"

@@ -177,17 +177,17 @@ def extract_pending(spark, sf_dir):
 def _records(spark, sf_dir):
     k = F.col("s_suppkey")
     nation = F.concat(F.lit("NATION_"), _s("s_nationkey"))
-    fields = F.create_map(F.lit("name"), F.concat(F.lit(" "), "s_name"), F.lit("site"), F.when(k % 4 == 0, F.concat(F.lit("new  "), nation)).otherwise(nation), F.lit("odd"), F.when(k % 9 == 0, F.lit("x")), F.lit("note"), F.lit("n"))
+    fields = F.create_map(F.lit("name"), F.concat(F.lit(" "), "s_name"), F.lit("site"), F.when(k % 4 == 0, F.concat(F.lit("new  "), nation)).otherwise(nation), F.lit("odd"), F.when(k % 9 == 0, F.lit("x")), F.lit("note"), F.lit("n"), F.lit("page"), F.lit("p"), F.lit("where"), F.lit("w"))
     return read(spark, sf_dir, "supplier").select(F.concat(F.lit("D"), (k % 5).cast("string")).alias("doc"), k.alias("piece"), fields.alias("fields"))
 
 
 def _schema(spark):
-    return spark.createDataFrame([("name", "entity", "Unit", None, "site", "part_of"), ("site", "entity", "Process", None, None, None), ("odd", "entity", "Ghost", None, None, None), ("note", "remark", None, None, None, None)], "field string, role string, category string, rel string, attach_to string, attach_rel string")
+    return spark.createDataFrame([("name", "entity", "Unit", None, "site", "part_of"), ("site", "entity", "Process", None, None, None), ("odd", "entity", "Ghost", None, None, None), ("note", "remark", None, None, None, None), ("page", "meta", None, None, None, None), ("where", "locator", None, None, None, None)], "field string, role string, category string, rel string, attach_to string, attach_rel string")
 
 
 def _resolved(spark, sf_dir):
     rows, _ = B.by_role(_records(spark, sf_dir), _schema(spark).select("field", "role", "category", "rel"))
-    mentions = rows.select("doc", "piece", F.col("piece").alias("pos"), "field", F.col("value").alias("surface"), "category", F.lit("process").alias("layer"), F.when(F.col("field") == "name", "supplier").otherwise("none").alias("polarity"))
+    mentions = rows.where("role = 'entity'").select("doc", "piece", F.col("piece").alias("pos"), "field", F.col("value").alias("surface"), "category", F.lit("process").alias("layer"), F.when(F.col("field") == "name", "supplier").otherwise("none").alias("polarity"))
     own = W.nodes(spark, sf_dir).select(F.col("canonical").alias("surface"), F.col("id").alias("node_id"), "category", "layer", "polarity")
     return B.resolve(mentions, own.where("category = 'Process' or surface like '%2'"), ["Unit", "Process"]), own
 
@@ -298,7 +298,7 @@ ORACLE_SQL = {
     "extract_rules": f"""SELECT doc, locator, CASE WHEN pos % 10 = 0 THEN 'a' WHEN pos % 3 < 2 THEN p_name END AS src, CASE WHEN pos % 10 = 0 THEN 'told' WHEN pos % 3 = 0 THEN 'causes' WHEN pos % 3 = 1 THEN 'needs' END AS rel,
  CASE WHEN pos % 10 = 0 THEN 'b' WHEN pos % 3 = 0 THEN p_type WHEN pos % 3 = 1 THEN string_split(p_brand, ' ')[1] END AS dst, CASE WHEN pos % 10 = 0 THEN 'hint' WHEN pos % 3 < 2 THEN 'rule' ELSE 'none' END AS how FROM ({_SAID})""",
     "extract_pending": f"SELECT doc, locator FROM ({_SAID}) WHERE pos % 2 = 1 OR doc = 'D3'",
-    "build_roles": "SELECT field, 'entity' AS role, count(*) AS n FROM (SELECT unnest(['name', 'site']) AS field FROM supplier) GROUP BY 1 UNION ALL SELECT 'odd', 'entity', count(*) FROM supplier WHERE s_suppkey % 9 = 0 HAVING count(*) > 0 UNION ALL SELECT 'note', 'remark', -1",
+    "build_roles": "SELECT field, 'entity' AS role, count(*) AS n FROM (SELECT unnest(['name', 'site']) AS field FROM supplier) GROUP BY 1 UNION ALL SELECT 'odd', 'entity', count(*) FROM supplier WHERE s_suppkey % 9 = 0 HAVING count(*) > 0 UNION ALL SELECT 'page', 'meta', count(*) FROM supplier UNION ALL SELECT * FROM (VALUES ('note', 'remark', -1), ('where', 'locator', -1)) t(field, role, n)",
     "build_records": SQL + _MENTIONS + "SELECT piece, field, coalesce(id, 'new') AS node_id FROM done",
     "build_new_nodes": SQL + _MENTIONS + "SELECT DISTINCT norm AS canonical, category, 'process' AS layer, CASE WHEN field = 'name' THEN 'supplier' ELSE 'none' END AS polarity, 'auto' AS status FROM done WHERE id IS NULL",
     "build_queue": SQL + _MENTIONS + "SELECT 'auto_node' AS kind, count(*) AS n, min(doc) AS least_doc FROM (SELECT norm, min(doc) AS doc FROM done WHERE id IS NULL GROUP BY 1) UNION ALL SELECT 'invalid_category', count(*), min(doc) FROM (SELECT DISTINCT 'D' || s_suppkey % 5 AS doc FROM supplier WHERE s_suppkey % 9 = 0) HAVING count(*) > 0",

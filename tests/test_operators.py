@@ -31,9 +31,31 @@ def test_heading_levels_reset(spark):
     assert {(r.section, r.text) for r in P.heading_chunks(df, "doc", "pos", "t").collect()} == {("A > B", "x"), ("C", "y\nz")}
 
 
-def test_redirect_circle_has_no_end(spark):
-    out = {r.id: r.target for r in G.redirects(spark.createDataFrame([(1, 2), (2, 3), (8, 9), (9, 8)], "id long, into long")).collect()}
-    assert out == {1: 3, 2: 3, 8: None, 9: None}
+def test_redirects_end_where_a_circle_is_met(spark):
+    moved = [(1, 2), (2, 3), (8, 9), (9, 8), (7, 9), (6, 7), (5, 5), (4, 5), (3, None)] + [(i, i + 1) for i in range(100, 400)] + [(500 + i, 500 + (i + 1) % 77) for i in range(77)]
+    df = spark.createDataFrame(moved, "id long, into long")
+    out = {r.id: r.target for r in G.redirects(df).collect()}
+    assert out == {1: 3, 2: 3, 8: 8, 9: 9, 7: 9, 6: 9, 5: 5, 4: 5} | {i: 400 for i in range(100, 400)} | {500 + i: 500 + i for i in range(77)}
+    assert {tuple(r) for r in G.chain_defects(df).collect()} == {("chain_circle", "8", 2, 4), ("chain_circle", "5", 1, 2), ("chain_circle", "500", 77, 77)}
+    steps = {r.id: r.steps for r in G.chains(df).collect()}
+    assert steps[100] == 300 and steps[1] == 2 and steps[8] is None and G.redirects(df.where("false")).isEmpty()
+
+
+def test_rules_within_a_batch(spark):
+    nodes = spark.createDataFrame([("a", "A", "k", None, None), ("b", "B", "k", None, None), ("c", "C", "k", None, "a"), ("d", "D", "k", None, None), ("t", "T", "k", "a", None)], "id string, canonical string, category string, merged_into string, replaced_by string").withColumn("status", F.lit("auto"))
+    names = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "T"), ("t", "Y"), ("d", "D2"), ("d", "D3"), ("z", "Q")], "id string, new string")
+    done, refused = C.rename(nodes, names)
+    assert {r.id: r.canonical for r in done.collect()} == {"a": "A", "b": "B", "c": "T", "d": "D", "t": "T"}
+    assert {(r.id, r.new) for r in refused.collect()} == {("a", "X"), ("b", "X"), ("t", "Y"), ("d", "D2"), ("d", "D3"), ("z", "Q")}
+    gone = spark.createDataFrame([("a", "b"), ("b", "a"), ("d", "c")], "id string, replaced_by string")
+    assert {(r.id, r.reason) for r in C.obsolete_refusals(nodes, gone).collect()} == {("a", "circle"), ("b", "circle")}
+    assert {r.id: (r.status, r.replaced_by) for r in C.obsolete(nodes, gone).collect()} == {"a": ("auto", None), "b": ("auto", None), "c": ("auto", "a"), "d": ("obsolete", "c"), "t": ("auto", None)}
+    assert {(r.id, r.reason) for r in C.obsolete_refusals(nodes, spark.createDataFrame([("a", "c"), ("b", None), ("z", None)], "id string, replaced_by string")).collect()} == {("a", "circle"), ("z", "missing")}
+
+
+def test_anchors_in_normal_form(spark):
+    pieces, known = spark.createDataFrame([(1, "Foo  Bar "), (2, " "), (3, "Foo")], "k int, s string"), spark.createDataFrame([("Foo Bar", "n", "P"), ("Foo", "m", "P"), (" Foo", "o", "P")], "surface string, node_id string, category string")
+    assert {(r.k, r.surface, r.hits, r.node_id) for r in R.anchors(pieces, known, "k", "s", "P").collect()} == {(1, "Foo  Bar ", 1, "n"), (3, "Foo", 2, None)}
 
 
 def test_deleted_edges_stay_deleted(spark):
