@@ -99,38 +99,44 @@ def chain_defects(moved: DataFrame) -> DataFrame:
 
 def expand(seeds: DataFrame, edges: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
     """(qid, node, level) that walks from seeds (qid, node) reach. A rule (relation, out | in | both, recursive) says how a
-    relation is followed; only nodes that a recursive rule reached go on, until nothing new is reached. Each level is one
-    join on the frontier, and a node that was seen does not come back, so circles end."""
-    steps = []
+    relation is followed; only nodes that a recursive rule reached go on, until nothing new is reached."""
+    steps = None
     for rel, direction, recursive in rules:
         own = edges.where(F.col("rel") == rel)
-        if direction in ("out", "both"):
-            steps.append(own.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(recursive).alias("on")))
-        if direction in ("in", "both"):
-            steps.append(own.select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(recursive).alias("on")))
-    hops = steps[0]
-    for more in steps[1:]:
-        hops = hops.union(more)
-    hops = checkpoint(hops)
-    seen = checkpoint(seeds.select("qid", "node").distinct().select("qid", "node", F.lit(0).alias("level"), F.lit(True).alias("on")))
+        for way, src, dst in (("out", "src", "dst"), ("in", "dst", "src")):
+            if direction in (way, "both"):
+                step = own.select(F.col(src).alias("node"), F.col(dst).alias("to"), F.lit(recursive).alias("on"))
+                steps = step if steps is None else steps.union(step)
+    return walk(seeds.select("qid", "node"), steps)
+
+
+def walk(seeds: DataFrame, hops: DataFrame) -> DataFrame:
+    """seeds (qid, node, and what else, such as a layer) and all that steps (node, to, on, and the same) reach from them, with the
+    level. Each level is one join on the frontier, and a node that was seen does not come back, so circles end."""
+    keys = seeds.columns
+    same = [c for c in keys if c in hops.columns]
+    hops = checkpoint(hops.select(*same, "to", F.col("on").alias("go")))
+    seen = checkpoint(seeds.distinct().select(*keys, F.lit(0).alias("level"), F.lit(True).alias("on")))
     frontier = seen
     level = 0
     while True:
         level += 1
-        reached = frontier.where("on").join(hops.withColumnRenamed("on", "go"), "node").groupBy("qid", F.col("to").alias("node")).agg(F.max("go").alias("on"))
-        frontier = checkpoint(reached.join(seen.select("qid", "node"), ["qid", "node"], "left_anti").select("qid", "node", F.lit(level).alias("level"), "on"))
+        reached = frontier.where("on").join(hops, same).drop("node").withColumnRenamed("to", "node").groupBy(*keys).agg(F.max("go").alias("on"))
+        frontier = checkpoint(reached.join(seen.select(*keys), keys, "left_anti").select(*keys, F.lit(level).alias("level"), "on"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen.select("qid", "node", "level")
+    return seen.select(*keys, "level")
 
 
-def next_of(nodes: DataFrame, precedes: DataFrame) -> DataFrame:
+def next_of(nodes: DataFrame, precedes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(id, next, how, at): the next sibling of the nearest of a node and its ancestors that has one (`at`), or that sibling's
-    instance of the node's axis value if there is one. Each level is one join on the nodes that have found none yet."""
+    instance of the node's axis value if there is one; of the `asked` nodes (id) only, if given. Each level is one join on the
+    nodes that have found none yet."""
+    own = nodes if asked is None else nodes.join(asked, "id", "left_semi")
     after = precedes.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("over"))
     above = nodes.where("parent is not null").select(F.col("id").alias("at"), "parent")
-    frontier = seen = checkpoint(nodes.select("id", F.col("id").alias("at")))
+    frontier = seen = checkpoint(own.select("id", F.col("id").alias("at")))
     found = frontier.join(after, "at")
     while True:
         up = frontier.join(after, "at", "left_anti").join(above, "at").select("id", F.col("parent").alias("at"))
@@ -139,7 +145,7 @@ def next_of(nodes: DataFrame, precedes: DataFrame) -> DataFrame:
             break
         seen, found = seen.union(frontier), found.union(frontier.join(after, "at"))
     instance = nodes.where("polarity <> 'none'").groupBy(F.col("parent").alias("over"), "polarity").agg(F.min("id").alias("same"))
-    out = nodes.select("id", "polarity").join(found, "id", "left").join(instance, ["over", "polarity"], "left")
+    out = own.select("id", "polarity").join(found, "id", "left").join(instance, ["over", "polarity"], "left")
     how = F.when(F.col("at").isNull(), "none").when(F.col("at") == F.col("id"), "self").when(F.col("same").isNotNull(), "derived_instance").otherwise("derived_merge")
     return out.select("id", F.coalesce("same", "over").alias("next"), how.alias("how"), "at")
 
