@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from .graph import redirects
-from .resolve import contained, lengths
 from .state import checkpoint
+from .terms import contained
 
 COLLECT = 8
 
@@ -17,7 +17,7 @@ def link(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(qid, surface, node_id, layer): the longest surfaces in a question, those that lie in a longer one left out; both sides
     in their normal form."""
     questions, dictionary = questions.withColumn("q", norm("q")), dictionary.withColumn("surface", norm("surface")).where("surface <> ''")
-    found = contained(questions, "qid", "q", dictionary, "surface", lengths(dictionary, "surface"))
+    found = contained(questions, "qid", "q", dictionary, "surface")
     longer = found.groupBy("qid").agg(F.collect_set("surface").alias("all"))
     inside = F.exists("all", lambda o: (o != F.col("surface")) & F.contains(o, F.col("surface")))
     kept = found.join(longer, "qid").where(~inside).select("qid", "surface")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import contained, lengths
+from .terms import contained
 
 #: Fixed: chunks that are shown of a document, aliases that are shown of a node.
 CHUNKS, ALIASES = 20, 3
@@ -19,7 +19,7 @@ def node_detail(wanted: DataFrame, nodes: DataFrame, dictionary: DataFrame, edge
     alias = wanted.join(dictionary.select(F.col("surface").alias("wanted"), F.col("node_id").alias("id")).distinct(), "wanted").join(name, "id").select("wanted", "id", "canonical", "category", "status", F.lit("alias").alias("how"))
     found = exact.unionByName(alias.join(exact.select("wanted").distinct(), "wanted", "left_anti"))
     rest = wanted.join(found.select("wanted").distinct(), "wanted", "left_anti")
-    holding = contained(name.select("id", "canonical"), "id", "canonical", rest, "wanted", lengths(rest, "wanted"))
+    holding = contained(name.select("id", "canonical"), "id", "canonical", rest, "wanted")
     found = found.unionByName(holding.join(name, "id").withColumn("how", F.lit("candidate")))
     counts = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_edges")).join(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_edges")), "id", "full_outer")
     zero = F.lit(0).cast("bigint")

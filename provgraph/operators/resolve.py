@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from .state import checkpoint
+from .terms import contained
 
 MATCH = 0.85
 SCOPE = "::"
-#: Characters of a term by which its places in a text are found.
-HEAD = 4
+#: Scores of equal names (without spaces) and of names of which one holds the other.
+EQUAL, HOLDS = 1.0, 0.95
 
 
 def anchors(pieces: DataFrame, dictionary: DataFrame, key: str, surface: str, category: str) -> DataFrame:
@@ -66,29 +67,6 @@ def scope(parent: Column, surface: Column) -> Column:
     return F.when(parent.isNull() | F.contains(surface, F.lit(SCOPE)), surface).otherwise(F.concat(parent, F.lit(SCOPE), surface))
 
 
-def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, lengths: list[int]) -> DataFrame:
-    """(key, term): the terms that are substrings of the texts. `lengths` are the terms' lengths. A text's places join the
-    terms' first HEAD characters, a row a place; only where such a head stands are the substrings of the lengths that
-    terms with this head have compared. Shorter terms join the substrings of their own lengths."""
-    every = terms.select(term).distinct()
-    short, long = [n for n in lengths if n < HEAD], [n for n in lengths if n >= HEAD]
-    cut = lambda n, most: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(most))))
-    none = F.array().cast("array<string>")
-    parts = F.array_distinct(F.flatten(F.array(none, *(F.coalesce(cut(n, n), none) for n in short)))) if short else none
-    out = texts.select(key, F.explode(parts).alias(term)).join(every, term).select(key, term)
-    if not long:
-        return out
-    heads = every.where(F.length(term) >= HEAD).groupBy(F.substring(term, 1, HEAD).alias("head")).agg(F.collect_set(F.length(term)).alias("sizes"))
-    tails = texts.select(key, F.explode(F.array_distinct(F.coalesce(cut(HEAD, max(long)), none))).alias("tail"))
-    found = tails.withColumn("head", F.substring("tail", 1, HEAD)).join(heads, "head").withColumn("size", F.explode("sizes")).where(F.length("tail") >= F.col("size"))
-    return out.union(found.select(key, F.substring(F.col("tail"), F.lit(1), F.col("size")).alias(term)).distinct().join(every, term).select(key, term))
-
-
-def lengths(terms: DataFrame, term: str) -> list[int]:
-    """The lengths that terms have, a few dozen numbers at most."""
-    return sorted(r[0] for r in terms.select(F.length(term)).distinct().collect() if r[0])
-
-
 def entity_matches(found: DataFrame, known: DataFrame, key: str, block: tuple[str, ...] = ()) -> DataFrame:
     """(key, node_id, score) for found (key, surface) and known (node_id, canonical): 1.0 for equal names without spaces,
     0.95 where one holds the other; the best score, then the least node, wins; nothing below MATCH. `block` are columns
@@ -99,8 +77,8 @@ def entity_matches(found: DataFrame, known: DataFrame, key: str, block: tuple[st
     right = known.select("node_id", bare("canonical").alias("c"), F.contains("canonical", F.lit(SCOPE)).alias("c_scoped"), *block)
     one = checkpoint(left.select("s", "scoped", *block).distinct())
     names = right.groupBy("c", "c_scoped", *block).agg(F.min("node_id").alias("node_id"))
-    inside = contained(one.select("s", F.col("s").alias("t")).distinct(), "s", "t", names, "c", lengths(names, "c"))
-    around = contained(names.select("c", F.col("c").alias("t")).distinct(), "c", "t", one, "s", lengths(one, "s"))
+    inside = contained(one.select("s", F.col("s").alias("t")).distinct(), "s", "t", names, "c")
+    around = contained(names.select("c", F.col("c").alias("t")).distinct(), "c", "t", one, "s")
     score = F.when(F.col("s") == F.col("c"), -1.0).otherwise(-0.95)
     best = None
     for pairs in (inside.select("s", "c"), around.select("s", "c")):
@@ -112,6 +90,50 @@ def entity_matches(found: DataFrame, known: DataFrame, key: str, block: tuple[st
     return out.select(key, "best.node_id", (-F.col("best.score")).alias("score")).where(F.col("score") >= MATCH)
 
 
+def match_in_order(surfaces: DataFrame, known: DataFrame, block: tuple[str, ...], threshold: float = MATCH) -> DataFrame:
+    """(norm, block, node_id, maker, score): what each surface is, when they come one after the other: the best of the nodes there are
+    (score EQUAL, or HOLDS where one holds the other; then the earlier node), those before and those that earlier surfaces
+    made; or, where no score reaches the threshold, a new node, which `maker` (the surface's own norm) stands for.
+
+    surfaces are (norm, block, seq), a row each, known nodes (node_id, canonical, block, seq). A surface that is not scoped
+    is compared with no scoped node. The pairs of related surfaces are a table, and surfaces are settled in rounds: what has an earlier
+    related node is none; what has no earlier related surface that could still become one is one. So the result is that
+    of going through them in order, however the rows are partitioned."""
+    bare, scoped = lambda c: F.replace(norm(c), F.lit(" "), F.lit("")), lambda c: F.contains(c, F.lit(SCOPE))
+    mine = checkpoint(surfaces.select("norm", *block, "seq", bare("norm").alias("b"), scoped("norm").alias("scoped")).where("b <> ''"))
+    old = checkpoint(known.select("node_id", *block, F.col("seq").alias("old_seq"), bare("canonical").alias("o"), scoped("canonical").alias("o_scoped")).where("o <> ''"))
+    ours, theirs = mine.select("b").distinct(), old.select("o").distinct()
+    related = lambda left, l, right, r: contained(left.select(l, F.col(l).alias("text")), l, "text", right, r)  # noqa: E731, E741
+    score = lambda a, b: F.when(F.col(a) == F.col(b), EQUAL).otherwise(HOLDS)
+    to_old = related(ours, "b", theirs, "o").select("b", "o").union(related(theirs, "o", ours, "b").select("b", "o")).distinct()
+    before = mine.join(to_old, "b").join(old, ["o", *block]).where("scoped or not o_scoped")
+    first = checkpoint(before.groupBy("norm", *block).agg(F.min(F.struct((-score("b", "o")).alias("minus"), "old_seq", "node_id")).alias("best")).select("norm", *block, (-F.col("best.minus")).alias("old_score"), F.col("best.node_id").alias("node_id")))
+    inner = ours.withColumnRenamed("b", "e")
+    pairs = related(ours, "b", inner, "e")
+    both = pairs.select("b", "e").union(pairs.select(F.col("e").alias("b"), F.col("b").alias("e"))).distinct()
+    earlier = mine.select(F.col("norm").alias("by"), *block, F.col("seq").alias("by_seq"), F.col("b").alias("e"), F.col("scoped").alias("by_scoped"))
+    links = mine.join(both, "b").join(earlier, ["e", *block]).where("(by_seq < seq or (by_seq = seq and by < norm)) and (scoped or not by_scoped)")
+    links = checkpoint(links.select("norm", *block, "by", "by_seq", score("b", "e").alias("score")))
+    strong = links.where(F.col("score") >= threshold).select("norm", *block, "by")
+    settled = checkpoint(first.where(F.col("old_score") >= threshold).select("norm", *block, F.lit(False).alias("node")))
+    while True:
+        open_ = mine.select("norm", *block).join(settled, ["norm", *block], "left_anti")
+        state = settled.select(F.col("norm").alias("by"), *block, "node")
+        seen = open_.join(strong, ["norm", *block], "left").join(state, ["by", *block], "left")
+        verdict = seen.groupBy("norm", *block).agg(F.max(F.coalesce("node", F.lit(False))).alias("taken"), F.max(F.col("by").isNotNull() & F.col("node").isNull()).alias("waits"))
+        new = checkpoint(verdict.where("taken or not waits").select("norm", *block, (~F.col("taken")).alias("node")))
+        if new.isEmpty():
+            break
+        settled = checkpoint(settled.union(new))
+    makers = settled.where("node").select(F.col("norm").alias("by"), *block)
+    own = links.join(makers, ["by", *block]).groupBy("norm", *block).agg(F.min(F.struct((-F.col("score")).alias("minus"), "by_seq", "by")).alias("made"))
+    out = mine.select("norm", *block).join(settled, ["norm", *block]).join(first, ["norm", *block], "left").join(own, ["norm", *block], "left")
+    made = -F.col("made.minus")
+    best = F.greatest(F.coalesce("old_score", F.lit(0.0)), F.coalesce(made, F.lit(0.0)))
+    to_old = F.coalesce(F.col("old_score") >= F.coalesce(made, F.lit(0.0)), F.lit(False))
+    return out.select("norm", *block, F.when(~F.col("node") & to_old, F.col("node_id")).alias("node_id"), F.when(F.col("node"), F.col("norm")).when(~to_old, F.col("made.by")).alias("maker"), best.alias("score"))
+
+
 def attributes(values: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """(keys, kept, n_values): the first value of each node, attribute and context, in the order of intake."""
     first = F.min(F.struct(*order, F.col(value).alias("__v")))

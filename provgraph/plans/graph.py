@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import resolve as R
+from ..operators.terms import contained
 from . import world as W
 from .world import SQL, read
 
@@ -199,7 +200,7 @@ def describes_links(spark, sf_dir):
 def extract_vocab_mentions(spark, sf_dir):
     vocab = W.nodes(spark, sf_dir).where("category = 'Property'").select(F.col("canonical").alias("term"))
     texts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("text"))
-    return R.contained(texts, "p_partkey", "text", vocab, "term", R.lengths(vocab, "term"))
+    return contained(texts, "p_partkey", "text", vocab, "term")
 
 
 def extract_relations(spark, sf_dir):

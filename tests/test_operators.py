@@ -1,10 +1,16 @@
 """Operators on small hand-made frames: nulls, blanks, ties, circles."""
 
+import random
+
+import pytest
+
 from provgraph.functions import text as T
 from provgraph.operators import changes as C
 from provgraph.operators import graph as G
 from provgraph.operators import parse as P
 from provgraph.operators import resolve as R
+from provgraph.operators import terms as terms_module
+from provgraph.operators.terms import contained
 from pyspark.sql import functions as F
 
 
@@ -66,7 +72,50 @@ def test_deleted_edges_stay_deleted(spark):
 def test_contained_on_empty_and_short(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "k int, t string")
     terms = spark.createDataFrame([("bc",), ("abcd",), ("c",)], "term string")
-    assert {(r.k, r.term) for r in R.contained(texts, "k", "t", terms, "term", [1, 2, 4]).collect()} == {(1, "bc"), (1, "c")}
+    assert {(r.k, r.term) for r in contained(texts, "k", "t", terms, "term").collect()} == {(1, "bc"), (1, "c")}
+    assert contained(texts, "k", "t", terms.where("false"), "term").isEmpty()
+
+
+@pytest.mark.parametrize(("chars", "passes"), [(500_000, 8), (60, 50), (60, 0)])
+def test_contained_equals_plain_search(spark, monkeypatch, chars, passes):
+    """In one pass, in several, and joined; with a term of 2,000 characters."""
+    monkeypatch.setattr(terms_module, "PASS_CHARS", chars)
+    monkeypatch.setattr(terms_module, "PASSES", passes)
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("ab é") for _ in range(n))
+    texts, terms = [(i, word(r.randrange(40))) for i in range(60)] + [(99, None), (100, "ab" * 1000 + "c")], sorted({word(r.randrange(1, 8)) for _ in range(40)} | {"ab" * 1000})
+    found = contained(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame([(t,) for t in [*terms, "", terms[0]]], "term string"), "term")
+    assert sorted(map(tuple, found.collect())) == sorted((i, t) for i, x in texts for t in terms if x and t in x)
+
+
+def in_order(surfaces, known, threshold):
+    """As match_in_order, one surface after the other."""
+    nodes, out = [(o.replace(" ", ""), n, None, "::" in o) for n, o, _ in sorted(known, key=lambda k: k[2])], {}
+    for s, _ in sorted(surfaces, key=lambda x: (x[1], x[0])):
+        b, best = s.replace(" ", ""), (0.0, None, None)
+        for c, node, maker, scoped in nodes:
+            score = 1.0 if b == c else 0.95 if b in c or c in b else 0.0
+            if score > best[0] and not (scoped and "::" not in s):
+                best = (score, node, maker)
+        if best[0] >= threshold:
+            out[s] = (best[1], best[2], best[0])
+        else:
+            out[s] = (None, s, best[0])
+            nodes.append((b, None, s, "::" in s))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.85), (2, 0.85), (3, 0.97)])
+def test_surfaces_match_as_in_order(spark, seed, threshold):
+    r = random.Random(seed)
+    word = lambda: " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 4))) + r.choice(["", "", "::ab"])
+    names = sorted({word() for _ in range(80)})
+    surfaces = [(n, r.randrange(40)) for n in names]
+    known = [(f"n{i}", word(), i) for i in range(3)]
+    left = spark.createDataFrame([(*s, "k") for s in surfaces], "norm string, seq int, category string").repartition(5)
+    right = spark.createDataFrame([(*k, "k") for k in known] + [("z", names[0], 0, "other")], "node_id string, canonical string, seq int, category string")
+    got = {x.norm: (x.node_id, x.maker, x.score) for x in R.match_in_order(left, right, ("category",), threshold).collect()}
+    assert got == in_order(surfaces, known, threshold)
 
 
 def test_next_of_climbs_to_the_first_ancestor_with_a_successor(spark):
