@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 from array import array
 from bisect import bisect_left, insort
 
@@ -31,15 +32,23 @@ from pyspark.sql import functions as F
 from .common import batch_of, checkpoint, free, steps, table, texts
 
 CAPACITY, CLASSES = 4096, 4096
-#: Bytes of words and their ids that a worker keeps, about; rows of one class that one task ranks, about.
-KEPT, RANKED = 64 << 20, 200_000
-#: Bytes of a kept word beside its letters and ids.
-ENTRY = 170
+#: Bytes of words and their ids that a worker keeps, about, and as many of before; rows of one class that one task ranks, about.
+KEPT, RANKED = 96 << 20, 200_000
+#: Bytes of a kept word beside its letters and ids; new words that the tokenizer gets at once.
+ENTRY, TOGETHER = 170, 8192
 STEP, ROUNDS, PHASES = 0.05, 1500, 4
 #: Items that best fit takes without the program; rooms that one step of the dynamic program looks at.
 REST, BLOCK = 4096, 64
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word has letters alone, and so has its normal form in lower case."""
+    if word.isascii():
+        return word.isalpha()
+    s = word.decode()
+    return s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)
+
+
 class WordTokens:
     """Ids of texts by a tokenizers file whose ids of a word do not depend on the words around it. The file's added tokens
     (<|endoftext|> and the like) are cut out first, as they stand, where they are not to be `plain` text."""
@@ -51,13 +60,18 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         added = {} if plain else {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = list(added)
         # Known by a key that no word has, as words are in lower case.
         self.added = {b"A" + k: array("I", [i]).tobytes() for k, i in added.items()}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
-        self.known, self.kept = dict(self.added), 0
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.known, self.before, self.kept = dict(self.added), {}, 0
 
     def words(self, text: bytes) -> list[bytes]:
-        if self.cut is None or self.cut.search(text) is None:
+        if not any(x in text for x in self.specials):
             return text.lower().split()  # the tokenizer lower-cases too; bytes only A-Z
         parts = self.cut.split(text)
         return [w for i, part in enumerate(parts) for w in ([b"A" + part] if i % 2 else part.lower().split())]
@@ -65,21 +79,50 @@ class WordTokens:
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers. Words lie between ASCII white space."""
         words = [self.words(x) for x in batch]
-        if self.kept > KEPT:
-            self.known, self.kept = dict(self.added), 0
+        if self.kept > KEPT:  # what is met again is taken over
+            self.known, self.before, self.kept = dict(self.added), self.known, 0
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        # ASCII letters are one word of the tokenizer's own, and the marks after them another.
-        ends = {w: stem for w in new if (stem := w.rstrip(b".,;:!?")) != w and stem.isalpha()}
+        if self.before:
+            again = {w: self.before[w] for w in new if w in self.before}
+            known |= again
+            self._count(again)
+            new = [w for w in new if w not in again]
+        # Letters are one word of the tokenizer's own, and the marks after them another.
+        ends = {w: stem for w in new if (stem := w.rstrip(b".,;:!?")) != w and _letters(stem)}
         plain = {*(w for w in new if w not in ends), *(x for w, stem in ends.items() for x in (stem, w[len(stem) :]))}
         plain = [w for w in plain if w not in known]
-        for word, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
-            known[word] = array("I", e.ids).tobytes()
+        self._learn(plain, set(ends.values()))
         for word, stem in ends.items():
             known[word] = known[stem] + known[word[len(stem) :]]
-        self.kept += sum(len(w) + len(known[w]) + ENTRY for w in (*plain, *ends))
+        self._count(plain)
+        self._count(ends)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
+    def _count(self, words) -> None:
+        n = len(words)
+        self.kept += n * ENTRY + sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words)))
+
+    def _learn(self, new: list[bytes], stems: set[bytes]) -> None:
+        """Ids of words: those of letters alone, as stems are, which are a word of the tokenizer's own each, as one text; others
+        a text each."""
+        letters, others = [], []
+        for w in new:
+            (letters if w in stems or _letters(w) else others).append(w)
+        for i in range(0, len(letters), TOGETHER):
+            part = letters[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(part):
+                others += part
+                continue
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        for i in range(0, len(others), TOGETHER):
+            part = others[i : i + TOGETHER]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = array("I", e.ids).tobytes()
+
 
 @functools.lru_cache(2)
 def tokens(path: str, plain: bool = False) -> WordTokens:
