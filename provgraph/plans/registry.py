@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, browse, gauges, graph, intake, pieces, rewrite, routed
+from . import answers, browse, document, gauges, graph, intake, pieces, rewrite, routed
 
-_PLANS = (answers, browse, gauges, graph, intake, pieces, rewrite, routed)
+_PLANS = (answers, browse, document, gauges, graph, intake, pieces, rewrite, routed)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
 FLAGSHIP = answers.answers
