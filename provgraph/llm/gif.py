@@ -3,8 +3,8 @@
 `encode_gif` and `decode_gif` work on one file's bytes; `store_as_gif`, `gif_frames` and `gif_digests`
 apply them to DataFrame columns, batch by batch, without a shuffle.
 
-Defined results: a null text or payload counts as empty; a null or broken GIF gives one row with
-`error` set and no frame; equal payloads give equal files; columns that the caller keeps pass through
+Defined results: a null text or payload counts as empty; a null or broken GIF, or one of more than
+PIXELS pixels, gives a row with `error` set and no frame, after the frames before the fault; equal payloads give equal files; columns that the caller keeps pass through
 under their own names. A frame that an empty file lacks is no row.
 """
 
@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, texts
+from .common import batch_of, steps, texts
 
 GRAY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 WIDTH, ROWS = 64, 4096
 BINS = 16
+#: Pixels of a canvas or a frame, at most: 64 MB of RGBA.
+PIXELS = 1 << 24
 
 
 class GifError(ValueError):
@@ -99,7 +101,7 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
 def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
     """The first `count` samples of a code stream; fewer if it ends early. A full table without a clear code stays as it
     is, and codes stay 12 bits wide, for as long as the stream goes on."""
-    if not 1 <= bits <= 11:
+    if not 1 <= bits <= 8:
         raise GifError(f"minimum code size {bits}")
     clear, stop = 1 << bits, (1 << bits) + 1
     width, begin = plan(bits)
@@ -195,15 +197,18 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + size
 
 
-def decode_gif(data: bytes) -> tuple[int, int, Iterator[Frame]]:
-    """Width and height of the canvas, and its frames as they are stored (rows put in order if interlaced)."""
+def decode_gif(data: bytes, pixels: int = PIXELS) -> tuple[int, int, Iterator[Frame]]:
+    """Width and height of the canvas, and its frames as they are stored (rows put in order if interlaced). A canvas or frame
+    of over `pixels` pixels, a code stream that ends early, and a minimum code size that GIF does not have are a GifError."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF signature")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    return width, height, _frames(data, flags)
+    if width * height > pixels:
+        raise GifError(f"a canvas of {width} x {height}")
+    return width, height, _frames(data, flags, pixels)
 
 
-def _frames(data: bytes, flags: int) -> Iterator[Frame]:
+def _frames(data: bytes, flags: int, pixels: int) -> Iterator[Frame]:
     at, shared = 13, GRAY
     if flags & 0x80:
         shared, at = data[at : at + (6 << (flags & 7))], at + (6 << (flags & 7))
@@ -218,12 +223,16 @@ def _frames(data: bytes, flags: int) -> Iterator[Frame]:
                     delay, disposal, transparent = ticks * 10, packed >> 2 & 7, place if packed & 1 else None
             elif data[at] == 0x2C:
                 left, top, columns, rows, packed = struct.unpack_from("<HHHHB", data, at + 1)
+                if rows * columns > pixels:
+                    raise GifError(f"a frame of {columns} x {rows}")
                 at, palette = at + 10, shared
                 if packed & 0x80:
                     palette, at = data[at : at + (6 << (packed & 7))], at + (6 << (packed & 7))
                 bits = data[at]
                 stream, at = _blocks(data, at + 1)
-                samples = lzw_decode(stream, bits, rows * columns).ljust(rows * columns, b"\0")
+                samples = lzw_decode(stream, bits, rows * columns)
+                if len(samples) < rows * columns:
+                    raise GifError("a code stream ends early")
                 indices = np.frombuffer(samples, np.uint8).reshape(rows, columns)
                 if packed & 0x40:
                     order = [*range(0, rows, 8), *range(4, rows, 8), *range(2, rows, 4), *range(1, rows, 2)]
@@ -278,8 +287,7 @@ def store_as_gif(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in steps(batch, text, 1 << 20):
                 raw = [x.as_buffer().to_pybytes() for x in texts(part, text)]
                 media = [payload_gif(x.ljust(max(64, -len(x) % 64 + len(x)), b"\0")) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
@@ -288,15 +296,16 @@ def store_as_gif(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, media binary")
 
 
-def gif_frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per frame: its place in time, rectangle, rules, shown RGBA canvas and colour histograms."""
+def gif_frames(df: DataFrame, key: str = "doc_id", media: str = "media", pixels: int = PIXELS) -> DataFrame:
+    """One row per frame: its place in time, rectangle, rules, shown RGBA canvas and colour histograms. A file that is no GIF, is
+    cut off, or is larger than `pixels` has, after the frames before the fault, a row with the `error`."""
 
     def rows(item, data):
         shown = 0
         try:
             if data is None:
                 raise GifError("no bytes")
-            width, height, frames = decode_gif(data)
+            width, height, frames = decode_gif(data, pixels)
             for n, (f, canvas) in enumerate(composite(width, height, frames)):
                 red, green, blue = histogram(canvas)
                 yield item, n, shown, f.delay_ms, f.disposal, f.transparent, width, height, f.left, f.top, f.indices.shape[1], f.indices.shape[0], canvas.tobytes(), red, green, blue, None

@@ -229,7 +229,9 @@ def _answers(blocks: DataFrame, distinct: DataFrame, shards: int, min_docs: int)
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_lines, n_dropped, text): the lines of each document that no earlier document has, joined again.
-    `carry` names further columns of df that stay with their rows."""
+    `carry` names further columns of df that stay with their rows; names of this operator's own are refused."""
+    if {c.lower() for c in carry} & {key.lower(), "n_lines", "n_dropped", "text"}:
+        raise ValueError("a carried column has the name of a result's column")
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     every = docs.select("id", F.xxhash64("text").alias("kind"), "text", "rest")
     docs = every.select("id", "kind", "text")

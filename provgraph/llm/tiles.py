@@ -85,11 +85,15 @@ def products(df: DataFrame, column: str, width: int, prepare: Callable[[np.ndarr
     both = F.concat(F.filter(left, lambda x: x["i"] != x["j"]), right)
     dealt = blocks.select("block", "wide", "data", F.explode(both).alias("key")).select("key.i", "key.j", "block", "key.side", "wide", "data")
     dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("i", "j", "block", "side")
-    parts = dealt.mapInArrow(multiply, "i int, j int, part array<double>").select("i", "j", F.posexplode("part").alias("at", "v"))
-    summed = parts.groupBy("i", "j", "at").agg(F.sum("v").alias("v"))
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.asarray(t["part"].combine_chunks().flatten()).reshape(t.num_rows, -1).sum(axis=0)
+        return pa.table({"i": t["i"][:1], "j": t["j"][:1], "part": pa.array([total], pa.list_(pa.float64()))})
+
+    shape = "i int, j int, part array<double>"
+    parts = dealt.mapInArrow(multiply, shape).groupBy("i", "j").applyInArrow(add, shape)  # a row a task and tile goes in
     out = np.zeros((wide, wide))
-    found = summed.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("cells"))  # TILE^2 cells a tile
-    for i, j, cells in found.select("i", "j", F.transform("cells", lambda c: c["v"])).toLocalIterator():
+    for i, j, cells in parts.toLocalIterator():
         own = np.array(cells).reshape(min(TILE, wide - i * TILE), -1)
         out[i * TILE : i * TILE + own.shape[0], j * TILE : j * TILE + own.shape[1]] = own
         out[j * TILE : j * TILE + own.shape[1], i * TILE : i * TILE + own.shape[0]] = own.T

@@ -217,7 +217,8 @@ def page_records(df: DataFrame, key: str = "page_id", url: str = "url", payload:
 
 
 def write_archives(archives: DataFrame, path: str) -> str:
-    """One file an archive, by Spark's text writer: its rows are the archives' bytes, its separator an empty gzip member."""
+    """One file an archive, by Spark's text writer: its rows are the archives' bytes, its separator an empty gzip member. Bytes are
+    cast to a string and written as they are, which Spark does but does not promise; a test reads all kinds of bytes back."""
     rows = archives.select(F.col("archive").cast("string").alias("value"))
     rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
     return path

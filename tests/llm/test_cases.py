@@ -79,6 +79,29 @@ def test_timed_frames_with_histograms(spark):
     assert {r["doc_id"] for r in got if r["error"]} == {2, 3, 4} and all(r["frame"] is None for r in got if r["error"])
 
 
+def test_broken_gifs_are_errors(spark):
+    frame = gif.Frame(np.arange(64, dtype=np.uint8).reshape(8, 8), gif.GRAY)
+    data = gif.encode_gif([frame, frame], 8, 8)
+    head = 13 + (6 << (data[10] & 7) if data[10] & 0x80 else 0)
+    at = data.index(b"\x2c", head)
+    size = at + 10 + (6 << (data[at + 9] & 7) if data[at + 9] & 0x80 else 0)
+    short = gif.lzw_encode(bytes(10))
+    early = data[: size + 1] + bytes([len(short)]) + short + b"\0\x3b"
+    odd = {1: data[:size] + bytes([11]) + data[size + 1 :], 2: early, 3: data[: at + 5] + b"\xff\xff\xff\xff" + data[at + 9 :], 4: data[:6] + b"\xff\xff\xff\xff" + data[10:], 5: data[:-30], 6: b"GIF89a", 7: data}
+    got = rows(gif.gif_frames(spark.createDataFrame([(k, bytearray(v)) for k, v in odd.items()], "doc_id long, media binary")))
+    assert {r["doc_id"] for r in got if r["error"]} == {1, 2, 3, 4, 5, 6} and sum(r["doc_id"] == 7 and r["frame"] is not None for r in got) == 2
+    assert [r["frame"] for r in got if r["doc_id"] == 5] == [0, None] and all("\n" not in r["error"] for r in got if r["error"])
+    assert not rows(gif.store_as_gif(spark.createDataFrame([], "doc_id long, text string")))
+
+
+def test_long_texts_as_media(spark):
+    long = "é" * 1_500_000
+    df = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes")
+    got = {r["doc_id"]: r for r in rows(gif.gif_digests(gif.store_as_gif(df)))}
+    raw = long.encode()
+    assert got[1]["payload_sha256"] == hashlib.sha256(raw.ljust(-len(raw) % 64 + len(raw), b"\0")).hexdigest() and got[2]["payload_bytes"] == 64
+
+
 # op2
 
 
@@ -340,6 +363,8 @@ def test_lines_of_a_repeated_key_and_clashing_names(spark):
     table = [(2, "first shared line\nb"), (1, "first shared line\na"), (1, "another long line"), (3, "another long line\n\nFirst Shared LINE  "), (3, ""), (None, "first shared line")]
     df = spark.createDataFrame(table, "doc_id long, text string").selectExpr("*", "1 AS kind", "2 AS gone", "3 AS rest", "4 AS n_lines")
     got = sorted(str((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"])) for r in rows(lines.dedup_lines(df)))
+    with pytest.raises(ValueError, match="carried"):
+        lines.dedup_lines(df, carry=("n_lines",))
     assert got == sorted(map(str, [(2, 2, 1, "b"), (1, 2, 0, "first shared line\na"), (1, 1, 0, "another long line"), (3, 3, 2, ""), (3, 1, 0, ""), (None, 1, 0, "first shared line")]))
 
 
