@@ -97,9 +97,27 @@ def obsolete(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def merge_candidates(nodes: DataFrame, freq: DataFrame, block: list[str]) -> DataFrame:
-    """(block, id, place): the nodes of a block, most evidence first, then by id."""
-    place = F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("freq"), "id"))
-    return nodes.join(freq, "id", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("bigint"))).withColumn("place", place).select(*block, "id", "freq", "place")
+    """(block, id, freq, place): the nodes of a block, most evidence first, then the higher status, then by name and id."""
+    rank = F.lit(0)
+    for status, value in RANK.items():
+        rank = F.when(F.col("status") == status, value).otherwise(rank)
+    rows = nodes.join(freq, "id", "left").select(*block, "id", "canonical", F.coalesce("freq", F.lit(0).cast("bigint")).alias("freq"), rank.alias("rank"))
+    return ranked(rows, block, [F.desc("freq"), F.desc("rank"), F.asc("canonical"), F.asc("id")], "place").select(*block, "id", "freq", "place")
+
+
+def ranked(df: DataFrame, block: list[str], order: list, out: str) -> DataFrame:
+    """df with the place of each row, from 1, in its block. Rows are dealt to ranges of (block, order), ranked within each, and moved
+    on by the rows of the block in the ranges before, so that no task holds a block."""
+    rows = checkpoint(df.repartitionByRange(*block, *order).withColumn("range", F.spark_partition_id()))  # the ranges are sampled: once
+    before = Window.partitionBy(*block).orderBy("range")
+    count = rows.groupBy(*block, "range").agg(F.count("*").alias("n"))  # a row a block and range
+    base = count.withColumn("base", F.sum("n").over(before) - F.col("n")).drop("n").withColumnRenamed("range", "r")
+    same = F.col("range") == F.col("r")
+    for b in block:
+        base = base.withColumnRenamed(b, f"{b}_of")
+        same = same & F.col(b).eqNullSafe(F.col(f"{b}_of"))
+    own = rows.withColumn("turn", F.row_number().over(Window.partitionBy("range", *block).orderBy(*order)))
+    return own.join(base, same).withColumn(out, (F.col("turn") + F.col("base")).cast("int")).select(*df.columns, out)
 
 
 def live(nodes: DataFrame) -> DataFrame:
@@ -197,6 +215,51 @@ def split(node: str, plan: DataFrame, nodes: DataFrame, items: dict[str, DataFra
     return {"residual": residual, "nodes": tomb.select(*nodes.columns).union(copies), "assigned": assigned}
 
 
+def split_graph(plan: DataFrame, targets: DataFrame, nodes: DataFrame, dictionary: DataFrame, edges: DataFrame, values: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
+    """Splits of several nodes at once, item by item. targets are (node, target, canonical, ord); plan rows (node, frame, item, target) say
+    where an item goes: `alias` a surface of the dictionary (surface, node_id, ...), `evidence` a doc of evidence (node, doc), `edge` an
+    edge src|rel|dst that has the node as an end (edges: src, rel, dst, doc, status). An item may go to several targets.
+
+    A node with an item that goes nowhere is refused as a whole; `residual` (node, frame, item) says what (a surface that is a target's
+    name is its own). Else `nodes` has the targets, with what the node had, and the node as a tombstone to its first target; `edges` has
+    the node's edges as deleted and those of the targets with all their evidence; `values` (node, ...) are copied to each target;
+    `evidence` moves; `dictionary` has the targets' names and the surfaces that went to them in place of the node's."""
+    own = targets.select("node").distinct()
+    deal = plan.select("node", "frame", F.col("item").cast("string").alias("item"), "target").distinct()
+    key = F.concat_ws("|", "src", "rel", "dst")
+    ends = edges.where("status <> 'deleted_by_user'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), key.alias("item")).distinct()
+    items = ends.select("node", F.lit("edge").alias("frame"), "item").union(evidence.select("node", F.lit("evidence"), F.col("doc").cast("string"))).union(dictionary.select(F.col("node_id"), F.lit("alias"), "surface"))
+    named = targets.select("node", F.lit("alias").alias("frame"), F.col("canonical").alias("item")).union(nodes.select(F.col("id"), F.lit("alias"), "canonical"))
+    residual = checkpoint(items.distinct().join(own, "node", "left_semi").join(deal.select("node", "frame", "item").union(named), ["node", "frame", "item"], "left_anti"))
+    whole = checkpoint(targets.join(residual.select("node"), "node", "left_anti"))
+    deal = checkpoint(deal.join(whole.select("node", "target"), ["node", "target"], "left_semi"))
+    first = whole.groupBy("node").agg(F.min_by("target", "ord").alias("into"))
+    tombs = nodes.join(first.withColumnRenamed("node", "id"), "id", "left")
+    tombs = tombs.withColumn("merged_into", F.coalesce("into", "merged_into")).withColumn("status", F.when(F.col("into").isNotNull(), "merged_into").otherwise(F.col("status"))).select(*nodes.columns)
+    new = nodes.join(whole.select(F.col("node").alias("id"), "target", F.col("canonical").alias("name")), "id").withColumns({"id": F.col("target"), "canonical": F.col("name")}).select(*nodes.columns)
+    moved = edges.withColumn("item", key)
+    for end in ("src", "dst"):
+        to = deal.where("frame = 'edge'").select(F.col("node").alias(end), "item", F.col("target").alias(f"{end}_to"))
+        moved = moved.join(to, [end, "item"], "left")
+    moved = checkpoint(moved)
+    hit = F.col("src_to").isNotNull() | F.col("dst_to").isNotNull()
+    fresh = moved.where(hit & (F.col("status") != "deleted_by_user")).select(F.coalesce("src_to", "src").alias("src"), "rel", F.coalesce("dst_to", "dst").alias("dst"), "doc", "status").distinct()
+    old = moved.select(*edges.columns, hit.alias("hit")).distinct().withColumn("status", F.when(F.col("hit"), "deleted_by_user").otherwise(F.col("status"))).select(*edges.columns)
+    gone = whole.select("node").distinct()
+    copied = values.join(whole.select("node", "target"), "node", "left").withColumn("node", F.coalesce("target", "node")).select(*values.columns)
+    seen = _dealt(evidence, "doc", deal.where("frame = 'evidence'"))
+    words = _dealt(dictionary.withColumnRenamed("node_id", "node"), "surface", deal.where("frame = 'alias'")).withColumnRenamed("node", "node_id").select(*dictionary.columns)
+    words = words.join(gone.withColumnRenamed("node", "node_id"), "node_id", "left_anti").select(*dictionary.columns)
+    names = new.select(F.col("canonical").alias("surface"), F.col("id").alias("node_id"), *(c for c in dictionary.columns if c not in ("surface", "node_id")))
+    return {"residual": residual, "nodes": tombs.union(new), "edges": old.union(fresh.select(*edges.columns)), "values": copied, "evidence": seen, "dictionary": words.union(names.select(*dictionary.columns)).distinct()}
+
+
+def _dealt(rows: DataFrame, item: str, deal: DataFrame) -> DataFrame:
+    """rows (node, item, ...) with the targets of the deal (node, item, target) in place of the node."""
+    to = deal.select("node", F.col("item").alias("own"), "target")
+    return rows.withColumn("own", F.col(item).cast("string")).join(to, ["node", "own"], "left").withColumn("node", F.coalesce("target", "node")).select(*rows.columns)
+
+
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """edges with status deleted_by_user for the keys (src, rel, dst) of gone; they stay, so that no later intake revives them."""
     hit = edges.join(gone.select("src", "rel", "dst").distinct().withColumn("hit", F.lit(True)), ["src", "rel", "dst"], "left")

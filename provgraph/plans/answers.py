@@ -209,7 +209,8 @@ def chain_circles(spark, sf_dir):
 
 def merge_candidates(spark, sf_dir):
     freq = W.has_property(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("freq"))
-    return C.merge_candidates(W.nodes(spark, sf_dir).where("category = 'Property'"), freq, ["category"])
+    nodes = W.nodes(spark, sf_dir).withColumn("canonical", F.reverse("canonical"))
+    return C.merge_candidates(nodes, freq, ["category"])
 
 
 def export_cypher(spark, sf_dir):
@@ -280,7 +281,7 @@ ORACLE_SQL = {
     "op_split_residual": SQL + "SELECT DISTINCT src, rel, dst FROM occurs_in WHERE dst = 'N3' AND src = 'F:5-LOW'",
     "op_obsolete": "SELECT 'S' || s_suppkey AS id, CASE WHEN s_suppkey % 9 IN (0, 1, 6, 7) THEN 'obsolete' ELSE 'auto' END AS status, CASE WHEN s_suppkey % 9 <= 1 THEN 'S' || (s_suppkey + 1) WHEN s_suppkey % 9 = 6 THEN 'S' || (s_suppkey - 6) END AS replaced_by FROM supplier WHERE s_suppkey < (SELECT count(*) // 9 * 9 FROM supplier)",
     "obsolete_refused": "SELECT 'S' || s_suppkey AS id, CASE s_suppkey % 9 WHEN 8 THEN 'Z' WHEN 2 THEN 'S' || (s_suppkey - 2) WHEN 5 THEN 'S' || (s_suppkey - 2) ELSE 'S' || (s_suppkey + 1) END AS replaced_by, CASE s_suppkey % 9 WHEN 8 THEN 'missing_target' ELSE 'circle' END AS reason FROM supplier WHERE s_suppkey % 9 IN (2, 3, 4, 5, 8) AND s_suppkey < (SELECT count(*) // 9 * 9 FROM supplier)",
-    "merge_candidates": SQL + "SELECT 'Property' AS category, id, freq, CAST(row_number() OVER (ORDER BY freq DESC, id) AS INTEGER) AS place FROM (SELECT n.id, count(h.doc) AS freq FROM nodes n LEFT JOIN has_property h ON h.dst = n.id WHERE category = 'Property' GROUP BY 1)",
+    "merge_candidates": SQL + "SELECT category, id, freq, CAST(row_number() OVER (PARTITION BY category ORDER BY freq DESC, CASE status WHEN 'seed' THEN 3 WHEN 'auto' THEN 1 ELSE 0 END DESC, reverse(canonical), id) AS INTEGER) AS place FROM (SELECT n.*, coalesce(h.n, 0) AS freq FROM nodes n LEFT JOIN (SELECT dst, count(*) AS n FROM has_property GROUP BY 1) h ON h.dst = n.id)",
     "export_cypher": SQL + "SELECT 'CREATE (:' || category || ':Node {id: ''' || id || ''', canonical: ''' || canonical || '''' || CASE WHEN polarity <> 'none' THEN ', polarity: ''' || polarity || '''' ELSE '' END || '})' AS line FROM nodes UNION ALL SELECT 'MATCH (a:Node {id: ''' || src || '''}), (b:Node {id: ''' || dst || '''}) CREATE (a)-[:' || rel || ']->(b)' FROM edges",
     "export_mermaid": SQL + "SELECT '  ' || src || '[' || s.canonical || '] --> ' || dst || '[' || d.canonical || ']' AS line FROM precedes JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst",
     "export_csv_rows": SQL + "SELECT src, rel, dst, string_agg(CAST(doc AS VARCHAR), ' | ' ORDER BY CAST(doc AS VARCHAR)) AS docs FROM has_property GROUP BY 1, 2, 3",

@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import intake as I
 from ..operators.state import shared_dir
 from ..sources import contract as C
+from ..sources import validate as V
 from ..streaming.intake import intake
 from . import world as W
 from .world import SQL, read
@@ -61,6 +62,29 @@ def stream_bucketed(spark, sf_dir):
     return found.groupBy("doc_id", "revision").agg(F.count("*").alias("n"), F.min("locator").alias("least"), F.max("pos").alias("last"))
 
 
+def contract_validate(spark, sf_dir):
+    """A document a customer as JSON, of every twelve eleven with a defect each, some no JSON; what each has, or that it goes in."""
+    k = F.col("o_custkey")
+    turn = lambda n, v, other: F.when(k % 12 == n, v).otherwise(other)
+    first = F.col("at") == 0
+    body = F.struct(
+        F.when(~((k % 12 == 6) & first), F.when(k % 12 == 10, "L").otherwise(F.concat(F.lit("L"), _s("at")))).alias("source_locator"), F.when((k % 12 == 7) & first, "r").alias("record_id"),
+        F.when((k % 12 == 8) & first, " 〃 ").otherwise(F.col("o_orderstatus")).alias("status"), F.when((k % 12 != 9) | ~first, "words").alias("text"),
+    )
+    rows = read(spark, sf_dir, "orders").withColumn("at", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "at", body.alias("b")))).alias("b"))
+    two = F.slice(F.transform("b", lambda x: x["b"]), 1, 2)
+    prose = k % 12 == 9
+    doc = F.struct(
+        F.concat(F.lit("C"), _s("o_custkey")).alias("doc_id"), F.lit("t").alias("doc_type"), F.lit("p").alias("source_path"), F.when(k % 12 != 3, "1").alias("revision"), turn(4, "", F.lit("now")).alias("parsed_at"), F.lit("1").alias("parser_version"), F.lit("1").alias("adapter_version"),
+        turn(0, "slides", turn(9, "prose", F.lit("table"))).alias("payload_kind"), F.when(~prose, F.when(k % 12 == 2, F.slice(two, 1, 0)).otherwise(two)).alias("records"), F.when(prose | (k % 12 == 1), two).alias("chunks"),
+    )
+    text = F.to_json(doc)
+    context = F.concat(F.lit('{"context": '), F.when(k % 12 == 5, '"x"').otherwise('{"m": 1}'), F.lit(", "), F.substring(text, 2, 10**6))
+    raw = rows.select("o_custkey", F.when(k % 37 == 0, F.substring(context, 1, 40)).otherwise(context).alias("value"))
+    taken, queue = V.accept(V.documents(raw), "o_custkey")
+    return queue.select(F.col("key").cast("bigint").alias("o_custkey"), "doc", "detail").union(taken.select("o_custkey", "doc_id", F.lit("accepted")))
+
+
 def snapshot_latest(spark, sf_dir):
     nation, root = read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _folder(spark)
     for part in (nation, nation.where("n_nationkey % 2 = 0")):
@@ -267,7 +291,7 @@ def gate_route(spark, sf_dir):
     return out.groupBy("what").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (contract_round_trip, stream_intake, stream_bucketed, snapshot_latest, log_append, layer_open, doc_catalogue, head_sample, doc_locators, reingest_withdraw, doc_upsert, queue_enqueue, queue_self_heal, shape_defects, ulid_orders, extract_rules, extract_pending, build_roles, build_records, build_new_nodes, build_queue, build_dictionary, build_edges, build_attachments, build_describes, build_prose, build_prose_defects, build_pair_relation, gate_route)}
+QUERIES = {f.__name__: f for f in (contract_round_trip, stream_intake, stream_bucketed, contract_validate, snapshot_latest, log_append, layer_open, doc_catalogue, head_sample, doc_locators, reingest_withdraw, doc_upsert, queue_enqueue, queue_self_heal, shape_defects, ulid_orders, extract_rules, extract_pending, build_roles, build_records, build_new_nodes, build_queue, build_dictionary, build_edges, build_attachments, build_describes, build_prose, build_prose_defects, build_pair_relation, gate_route)}
 
 _PIECES = "SELECT 'C' || o_custkey AS doc_id, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, 'O' || o_orderkey AS locator, o_orderpriority AS section, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
 _QUEUE = "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'auto_node' WHEN 1 THEN 'spec_conflict' WHEN 2 THEN 'evidence_lost' ELSE 'orphan_anchor' END AS kind, o_orderkey AS doc, o_orderpriority AS key FROM orders"
@@ -282,6 +306,8 @@ ORACLE_SQL = {
     "contract_round_trip": f"SELECT doc_id, pos, locator, section, status, day, 'a' AS site, status AS model FROM ({_PIECES})",
     "stream_intake": f"SELECT doc_id, CASE WHEN o_custkey % 3 = 0 THEN '2' ELSE '1' END AS revision, count(*) AS n, min(locator) AS least FROM ({_PIECES}) WHERE o_custkey % 3 <> 0 OR pos < 2 GROUP BY 1, 2",
     "stream_bucketed": f"SELECT doc_id, CASE WHEN o_custkey % 3 = 0 THEN '10' ELSE '9' END AS revision, count(*) AS n, min(locator) AS least, max(pos) AS last FROM ({_PIECES}) WHERE o_custkey % 3 <> 0 OR (o_custkey % 2 = 0 AND pos < 2) GROUP BY 1, 2 UNION ALL SELECT 'X' || doc_id, '1', count(*), min(locator), max(pos) FROM ({_PIECES}) WHERE o_custkey % 5 = 0 GROUP BY 1",
+    "contract_validate": """SELECT k AS o_custkey, CASE WHEN k % 37 <> 0 THEN 'C' || k END AS doc, CASE WHEN k % 37 = 0 THEN 'unreadable' ELSE CASE k % 12 WHEN 0 THEN 'payload_kind' WHEN 1 THEN 'body_of_other_kind' WHEN 2 THEN 'body_empty' WHEN 3 THEN 'missing:revision' WHEN 4 THEN 'missing:parsed_at' WHEN 5 THEN 'context_type'
+ WHEN 6 THEN 'locator_missing' WHEN 7 THEN 'id_given' WHEN 8 THEN 'ditto_left' WHEN 9 THEN 'text_missing' WHEN 10 THEN 'locator_repeated' ELSE 'accepted' END END AS detail FROM (SELECT DISTINCT o_custkey AS k FROM orders)""",
     "snapshot_latest": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0",
     "log_append": SQL + "SELECT 'miss' AS kind, count(*) AS n, min(qid) AS least FROM questions WHERE contains(q, 'planet')",
     "layer_open": SQL + "SELECT src, rel, dst, CASE WHEN suffix(dst, '3') THEN 'tombstone' ELSE 'live' END AS what FROM edges WHERE rel = 'occurs_in' UNION ALL SELECT id, canonical, category, 'node' FROM nodes WHERE layer = 'quality'",

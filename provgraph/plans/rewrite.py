@@ -131,6 +131,43 @@ def split_refused(spark, sf_dir):
     return _split(spark, sf_dir, False)["residual"].groupBy("frame").agg(F.count("*").alias("n"))
 
 
+def _split_graph(spark, sf_dir):
+    """Every third supplier split in two: edges by the length of what they lead to, evidence by its number; of every ninth one edge goes
+    to both, and of every fifteenth one is left out."""
+    k = F.col("s_suppkey")
+    own = read(spark, sf_dir, "supplier").where(k % 3 == 0).select(k, F.concat(F.lit("S"), k.cast("string")).alias("node"))
+    halves = F.explode(F.array(F.lit("a"), F.lit("b")))
+    targets = own.select("node", halves.alias("h")).select("node", F.concat("node", "h").alias("target"), F.concat(F.lit("half "), "h", F.lit(" of "), "node").alias("canonical"), F.when(F.col("h") == "a", 1).otherwise(2).alias("ord"))
+    edges = W.has_property(spark, sf_dir).withColumn("status", F.lit("auto"))
+    mine = edges.join(own.withColumnRenamed("node", "src"), "src").select("s_suppkey", F.col("src").alias("node"), "rel", "dst", "doc")
+    item, half = F.concat_ws("|", "node", "rel", "dst"), F.when(F.length("dst") % 2 == 0, "a").otherwise("b")
+    by_edge = mine.select("s_suppkey", "node", "dst", item.alias("item"), F.concat("node", half).alias("target")).distinct()
+    left_out, both = F.col("dst").contains("red"), F.col("dst").contains("blue")
+    one = by_edge.where(~((k % 15 == 0) & left_out)).select("node", F.lit("edge").alias("frame"), "item", "target")
+    two = by_edge.where((k % 9 == 0) & both).select("node", F.lit("edge"), "item", F.concat("node", F.when(F.endswith("target", F.lit("a")), "b").otherwise("a")))
+    docs = mine.select("node", F.lit("evidence"), F.col("doc").cast("string"), F.concat("node", F.when(F.col("doc") % 2 == 0, "a").otherwise("b"))).distinct()
+    surfaces = W.dictionary(spark, sf_dir)
+    extra = own.select(F.concat(F.lit("alias of "), "node").alias("surface"), F.col("node").alias("node_id"), F.lit("Unit").alias("category"), F.lit("process").alias("layer"))
+    alias = own.select("node", F.lit("alias"), F.concat(F.lit("alias of "), "node"), F.concat("node", F.lit("b")))
+    plan = one.union(two).union(docs).union(alias)
+    values = own.select("node", (k * 2).alias("v"))
+    evidence = mine.select("node", "doc").distinct()
+    return C.split_graph(plan, targets, _nodes(spark, sf_dir).withColumn("merged_into", F.lit(None).cast("string")), surfaces.union(extra), edges, values, evidence)
+
+
+def split_edges(spark, sf_dir):
+    return _split_graph(spark, sf_dir)["edges"].groupBy("src", "status").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("ends"), F.sum("doc").alias("docs"))
+
+
+def split_outputs(spark, sf_dir):
+    """Nodes that came or went, what was left out, and where values, evidence and surfaces are now."""
+    out = _split_graph(spark, sf_dir)
+    rows = out["nodes"].where("category = 'Unit'").select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("status").alias("b"), F.col("merged_into").alias("c"))
+    rows = rows.union(out["residual"].select(F.lit("residual"), "node", "frame", "item")).union(out["values"].select(F.lit("value"), "node", F.col("v").cast("string"), F.lit(None).cast("string")))
+    rows = rows.union(out["evidence"].groupBy("node").agg(F.count("*").alias("n"), F.sum("doc").alias("s")).select(F.lit("evidence"), "node", F.col("n").cast("string"), F.col("s").cast("string")))
+    return rows.union(out["dictionary"].where("category = 'Unit'").select(F.lit("surface"), "node_id", "surface", F.lit(None).cast("string")))
+
+
 def live_nodes(spark, sf_dir):
     return C.live(_nodes(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"))
 
@@ -159,7 +196,7 @@ def change_log(spark, sf_dir):
     return C.log_rows(W.nodes(spark, sf_dir).where("tier = 'main'"), "obsolete", "someone", "old").drop("at")
 
 
-QUERIES = {f.__name__: f for f in (skeleton_tree, skeleton_order, skeleton_mirror_edges, skeleton_flow, skeleton_alias, skeleton_flat, skeleton_plant, skeleton_left, category_owner, merge_refused, merge_nodes, merge_dictionary, merge_values, merge_edges_docs, split_nodes, split_assigned, split_refused, live_nodes, scope_children, rename_aliases, change_preview, delete_edges, change_log)}
+QUERIES = {f.__name__: f for f in (skeleton_tree, skeleton_order, skeleton_mirror_edges, skeleton_flow, skeleton_alias, skeleton_flat, skeleton_plant, skeleton_left, category_owner, merge_refused, merge_nodes, merge_dictionary, merge_values, merge_edges_docs, split_nodes, split_assigned, split_refused, split_edges, split_outputs, live_nodes, scope_children, rename_aliases, change_preview, delete_edges, change_log)}
 
 _REFUSED = "SELECT * FROM (VALUES ('N1', 'N2', 'two_seeds'), ('S1', 'S1', 'itself'), ('S7', 'S2', 'chain'), ('S9', 'Z', 'missing'), ('S0', 'S-1', 'missing'), ('S4', 'S3', 'chain'), ('S8', 'S7', 'chain'), ('S2', 'S1', 'chain'), ('S10', 'S9', 'chain')) t(absorbed, survivor, reason) WHERE absorbed IN ('N1', 'S1', 'S7', 'S9') OR CAST(substr(absorbed, 2) AS INTEGER) <= (SELECT max(s_suppkey) FROM supplier)"
 _TO = f", refused AS ({_REFUSED}), redirect AS (SELECT 'S' || s_suppkey AS id, 'S' || (s_suppkey - 1) AS target FROM supplier WHERE s_suppkey % 2 = 0 AND 'S' || s_suppkey NOT IN (SELECT absorbed FROM refused)) "
@@ -175,6 +212,10 @@ def _lit(x):
     return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
 
 
+_SPLIT = """, item AS (SELECT DISTINCT CAST(substr(src, 2) AS BIGINT) AS k, src, dst FROM has_property WHERE CAST(substr(src, 2) AS BIGINT) % 3 = 0),
+residual AS (SELECT src, src || '|has_property|' || dst AS item FROM item WHERE k % 15 = 0 AND contains(dst, 'red')), done AS (SELECT 'S' || s_suppkey AS node, s_suppkey AS k FROM supplier WHERE s_suppkey % 3 = 0 AND 'S' || s_suppkey NOT IN (SELECT src FROM residual)),
+halves AS (SELECT node, k, node || h AS target, h FROM done, (VALUES ('a'), ('b')) t(h)),
+dealt AS (SELECT h.target AS src, dst, doc FROM has_property p JOIN halves h ON h.node = p.src WHERE (length(dst) % 2 = 0) = (h.h = 'a') OR (h.k % 9 = 0 AND contains(dst, 'blue'))) """
 _V = "SELECT 'S' || l_suppkey AS node, l_returnflag AS context, CAST(l_quantity AS BIGINT) AS value, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem"
 ORACLE_SQL = {
     "skeleton_tree": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in _TREE) + ") t(canonical, tier, parent, axis, ordered)",
@@ -194,6 +235,12 @@ ORACLE_SQL = {
     "split_nodes": "SELECT * FROM (VALUES ('S2', 'merged_into', 'S2a', 'Unit'), ('S2a', 'auto', NULL, 'Unit'), ('S2b', 'auto', NULL, 'Unit')) t(id, status, merged_into, category) UNION ALL SELECT 'S' || s_suppkey, 'auto', NULL, 'Unit' FROM supplier WHERE s_suppkey BETWEEN 20 AND 29",
     "split_assigned": SQL + "SELECT 'edge' AS frame, CASE WHEN length(dst) % 2 = 0 THEN 'S2a' ELSE 'S2b' END AS target, count(*) AS n FROM (SELECT DISTINCT dst FROM has_property WHERE src = 'S2') GROUP BY 2 UNION ALL SELECT 'doc', CASE WHEN doc % 2 = 0 THEN 'S2a' ELSE 'S2b' END, count(*) FROM (SELECT DISTINCT doc FROM has_property WHERE src = 'S2') GROUP BY 2",
     "split_refused": SQL + "SELECT 'doc' AS frame, count(DISTINCT doc) AS n FROM has_property WHERE src = 'S2'",
+    "split_edges": SQL + _SPLIT + "SELECT src, CASE WHEN src IN (SELECT node FROM done) THEN 'deleted_by_user' ELSE 'auto' END AS status, count(*) AS n, count(DISTINCT dst) AS ends, CAST(sum(doc) AS BIGINT) AS docs FROM has_property GROUP BY 1 UNION ALL SELECT src, 'auto', count(*), count(DISTINCT dst), CAST(sum(doc) AS BIGINT) FROM dealt GROUP BY 1",
+    "split_outputs": SQL + _SPLIT + """SELECT 'node' AS what, id AS a, CASE WHEN id IN (SELECT node FROM done) THEN 'merged_into' ELSE status END AS b, CASE WHEN id IN (SELECT node FROM done) THEN id || 'a' END AS c FROM nodes WHERE category = 'Unit' UNION ALL SELECT 'node', target, 'auto', NULL FROM halves
+ UNION ALL SELECT 'residual', src, 'edge', item FROM residual UNION ALL SELECT 'value', coalesce(target, 'S' || s_suppkey), CAST(s_suppkey * 2 AS VARCHAR), NULL FROM supplier LEFT JOIN halves ON node = 'S' || s_suppkey WHERE s_suppkey % 3 = 0
+ UNION ALL SELECT 'evidence', coalesce(target, src), CAST(count(*) AS VARCHAR), CAST(sum(doc) AS VARCHAR) FROM (SELECT DISTINCT src, doc FROM has_property WHERE CAST(substr(src, 2) AS BIGINT) % 3 = 0) LEFT JOIN halves ON node = src AND (doc % 2 = 0) = (h = 'a') GROUP BY 2
+ UNION ALL SELECT 'surface', node_id, surface, NULL FROM dictionary WHERE category = 'Unit' AND node_id NOT IN (SELECT node FROM done) UNION ALL SELECT 'surface', 'S' || s_suppkey, 'alias of S' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 3 = 0 AND 'S' || s_suppkey NOT IN (SELECT node FROM done)
+ UNION ALL SELECT 'surface', target, 'half ' || h || ' of ' || node, NULL FROM halves UNION ALL SELECT 'surface', node || 'b', 'alias of ' || node, NULL FROM done""",
     "live_nodes": SQL + "SELECT category, count(*) AS n FROM nodes WHERE id <> 'S3' GROUP BY 1",
     "scope_children": "SELECT 'N' || n_nationkey AS parent_id, 'N' || n_nationkey || ':' || a AS id FROM nation, (VALUES ('customer'), ('supplier')) t(a)",
     "rename_aliases": "SELECT n_name AS surface, 'N' || n_nationkey AS node_id, 'Process' AS category, 'process' AS layer FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT n_name || '::' || a, 'N' || n_nationkey || ':' || a, 'Process', 'process' FROM nation, (VALUES ('customer'), ('supplier')) t(a) WHERE n_nationkey % 4 = 0",
