@@ -5,7 +5,8 @@ Winnowing picks anchors so that equal runs of `length` words hold the same ancho
 is a seed and goes out once more with the words around it, as far as the windows that picked it reach
 (40 bits a word); seeds of one anchor are extended both ways to these ends and compared, and a window that an
 earlier document has too is confirmed. Overlapping and touching confirmed windows make one maximal repeat.
-Seeds are compared by sorting, not in pairs: an anchor that n documents hold costs n log n.
+Seeds are compared by sorting, not in pairs: an anchor that n documents hold costs n log n. An anchor that very many
+documents hold (at the edge of a common passage each goes on differently) is no one group: its seeds go out by window.
 
 What a block of documents can settle by itself is settled before the shuffle: an anchor or window that
 several of its documents share goes out once, so a passage that a third of all documents hold costs a
@@ -25,12 +26,14 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, mix, odd, powers, signed, steps, table, texts, whole_groups
+from .common import U64, Words, batch_of, checkpoint, mix, odd, powers, signed, steps, swept, table, texts, whole_groups
 
 GRAM = 5
+#: Places of an anchor from which its seeds go out by window, and how many such anchors there may be (8 bytes each in all tasks).
+HOT, HOT_KEYS = 20_000, 1 << 22
 
 
 class Windows:
@@ -91,7 +94,8 @@ def _settled(ids: np.ndarray, doc: np.ndarray, place: np.ndarray):
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, id, place): anchors to ask about; with `packed`, places of anchors that are known to be shared."""
+    """(key, id, place, n): anchors to ask about, and in how many places `n` the block has each; with `packed`, places of anchors
+    that are known to be shared."""
 
     def run(batches):
         for batch in batches:
@@ -108,26 +112,39 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 low, high = _least_most(group, ids[doc])
                 shared = low < high
                 asked = np.flatnonzero(~shared)
-                envoy = np.flatnonzero(shared)[np.unique(group[shared], return_index=True)[1]]
+                _, envoy, several = np.unique(group[shared], return_index=True, return_counts=True)
+                envoy = np.flatnonzero(shared)[envoy]
                 known, own, parts = _settled(ids, doc[shared], place[shared])
                 yield batch_of(
                     key=np.concatenate([signed(key[asked]), signed(key[envoy]), known]),
                     id=np.concatenate([ids[doc[asked]], ids[doc[envoy]], own]),
                     place=pa.concat_arrays([pa.array(place[asked].astype(np.int32)), pa.array([None] * (len(envoy) + len(own)), pa.int32())]),
                     packed=pa.array([None] * (len(asked) + len(envoy)) + parts, pa.binary()),
+                    n=np.concatenate([np.ones(len(asked), np.int64), several, np.zeros(len(own), np.int64)]),
                 )
 
-    rows = docs.mapInArrow(run, "key bigint, id bigint, place int, packed binary")
-    same = Window.partitionBy("key")
-    asks = F.col("packed").isNull()
-    marked = rows.withColumn("low", F.min(F.when(asks, F.col("id"))).over(same)).withColumn("high", F.max(F.when(asks, F.col("id"))).over(same))
-    return marked.where(F.col("packed").isNotNull() | ((F.col("low") < F.col("high")) & F.col("place").isNotNull())).select("id", "place", "packed")
+    return docs.mapInArrow(run, "key bigint, id bigint, place int, packed binary, n bigint")
 
 
-def _contexts(seeded: DataFrame, length: int, gram: int) -> DataFrame:
+def _shared(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, place, packed): places of anchors that several documents have; and the anchors with very many places, HOT_KEYS at most.
+    Anchors are counted where they lie before any are brought together, so a frequent one is not one task's work."""
+    rows = _anchors(docs, length, gram)
+    asks = rows.where("packed is null").groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n"))
+    known = checkpoint(asks.where(F.expr("low < high") | (F.col("n") > HOT)))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = known.where(F.col("n") > max(HOT, total // HOT_KEYS)).select("key").collect()
+    marked = rows.join(known.where("low < high").select("key", F.lit(True).alias("hit")), "key", "left")
+    return marked.where("packed is not null or (hit and place is not null)").select("id", "place", "packed"), np.sort(np.array([r[0] for r in hot], np.int64))
+
+
+def _contexts(seeded: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
     """(key, id, kind, place, mask, context): seeds with the windows that picked them (bit o: begins o words before) and
-    the words around, as far as those reach; with `packed`, runs of windows that an earlier document of the block has."""
+    the words around, as far as those reach; with `packed`, runs of windows that an earlier document of the block has. The
+    key is the anchor; of `hot` anchors it is the window's, and there is a row a window."""
     reach = length - gram
+    p, _ = _weights(reach)
+    sent = seeded.sparkSession.sparkContext.broadcast(hot)
     around = np.concatenate([np.arange(-reach, 0), np.arange(gram, length)])
 
     def run(batches):
@@ -160,13 +177,26 @@ def _contexts(seeded: DataFrame, length: int, gram: int) -> DataFrame:
                 used = np.concatenate([around[:reach] >= -most[:, None], around[reach:] < length - least[:, None]], axis=1)
                 near = w.hashes[np.where(used, seeds[:, None] + around, 0)] >> U64(24)
                 near[~used] = 0
+                key = signed(w.grams[seeds])
+                often = np.isin(key, sent.value)
+                if often.any():
+                    own_ = [np.flatnonzero(~often)]
+                    keys, masks = [key[~often]], [mask[~often]]
+                    for o in range(reach + 1):
+                        of = np.flatnonzero(often & (mask >> o & 1).astype(bool))
+                        window = mix(near[of, reach - o : 2 * reach - o].ravel()).reshape(len(of), reach)
+                        own_.append(of)
+                        keys.append(signed(mix(key[of].view(U64) ^ (window * p).sum(axis=1, dtype=U64)) ^ U64(o)))
+                        masks.append(np.full(len(of), 1 << o))
+                    of = np.concatenate(own_)
+                    seeds, near, key, mask = seeds[of], near[of], np.concatenate(keys), np.concatenate(masks)
                 context = near.astype("<u8").view(np.uint8).reshape(len(seeds), 2 * reach, 8)[:, :, :5].tobytes()
                 size = 10 * reach
                 at = pa.array(np.arange(len(seeds) + 1) * size, pa.int32())
                 held = w.words.doc[seeds]
                 none = [None] * len(own)
                 yield batch_of(
-                    key=np.concatenate([signed(w.grams[seeds]), mine]),
+                    key=np.concatenate([key, mine]),
                     id=np.concatenate([ids[held], ids[own]]), kind=np.concatenate([kinds[held], kinds[own]]),
                     place=pa.concat_arrays([pa.array((seeds - w.words.first[held]).astype(np.int32)), pa.array(none, pa.int32())]),
                     mask=np.concatenate([mask, np.zeros(len(own), np.int64)]),
@@ -177,10 +207,15 @@ def _contexts(seeded: DataFrame, length: int, gram: int) -> DataFrame:
     return seeded.mapInArrow(run, "key bigint, id bigint, kind bigint, place int, mask bigint, context binary, packed binary")
 
 
+def _weights(reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two rows of odd numbers that tell windows apart by sums of products."""
+    return powers(odd(71), reach + 1)[1:], powers(odd(72), reach + 1)[1:]
+
+
 def _confirmed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """(id, kind, place, mask, packed): of each seed the windows that an earlier document has."""
     reach = length - gram
-    p, q = powers(odd(71), reach + 1)[1:], powers(odd(72), reach + 1)[1:]
+    p, q = _weights(reach)
 
     def run(batches):
         for t in whole_groups(batches, "key"):
@@ -244,10 +279,11 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     if not 1 <= gram <= length or length - gram > 60:
         raise ValueError("a gram has at least one word, and at most the length and 60 words less than it")
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("kind"), "text")
-    shared = _anchors(docs.select("id", "text"), length, gram)
-    shared = shared.groupBy("id").agg(F.collect_list("place").alias("single"), F.collect_list("packed").alias("packed"))
-    seeded = docs.join(shared, "id", "left").select("id", "kind", "text", "single", "packed")
-    found = _confirmed(_contexts(seeded, length, gram), length, gram)
+    with swept(df.sparkSession):
+        shared, hot = _shared(docs.select("id", "text"), length, gram)
+        shared = shared.groupBy("id").agg(F.collect_list("place").alias("single"), F.collect_list("packed").alias("packed"))
+        seeded = docs.join(shared, "id", "left").select("id", "kind", "text", "single", "packed")
+        found = checkpoint(_confirmed(_contexts(seeded, length, gram, hot), length, gram))
     seed, run_ = F.when(F.col("place").isNotNull(), F.struct("kind", "place", "mask")), F.when(F.col("packed").isNotNull(), F.struct("kind", "packed"))
     found = found.groupBy("id").agg(F.collect_list(seed).alias("seeds"), F.collect_list(run_).alias("runs"))
 

@@ -119,8 +119,9 @@ def covered(rows_, length):
         yield repr((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
 
 
-@pytest.mark.parametrize(("length", "gram", "parts"), [(13, 5, 5), (4, 4, 2)])
-def test_repeats_equal_brute_force(spark, length, gram, parts):
+@pytest.mark.parametrize(("length", "gram", "parts", "hot"), [(13, 5, 5, 20_000), (13, 5, 5, 2), (4, 4, 2, 20_000), (4, 4, 3, 1)])
+def test_repeats_equal_brute_force(spark, monkeypatch, length, gram, parts, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(length)
     pool = [[f"w{r.randrange(300)}" for _ in range(60)] for _ in range(10)]
     table = []
@@ -135,6 +136,21 @@ def test_repeats_equal_brute_force(spark, length, gram, parts):
     assert sorted(repr((x["doc_id"], x["n_words"], x["n_removed"], x["text"])) for x in rows(repeats.repeats(df, length=length, gram=gram))) == sorted(covered(table, length))
 
 
+def test_hot_anchor_is_split_by_window(spark, monkeypatch):
+    """A passage in a third of the documents, each of which goes on in its own way: no key gathers them."""
+    monkeypatch.setattr(repeats, "HOT", 50)
+    largest = []
+    confirmed = repeats._confirmed
+    monkeypatch.setattr(repeats, "_confirmed", lambda c, *a: largest.append(c.groupBy("key").count().agg({"count": "max"}).first()[0]) or confirmed(c, *a))
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(20)]
+    own = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    table = [(i, " ".join([*own(15), *(passage if i % 3 == 0 else []), *own(15)])) for i in range(3000)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(30)
+    assert sorted(repr((x["doc_id"], x["n_words"], x["n_removed"], x["text"])) for x in rows(repeats.repeats(df))) == sorted(covered(table, 13))
+    assert largest[0] <= 60
+
+
 def test_repeated_key_keeps_its_other_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     got = rows(repeats.repeats(spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")))
