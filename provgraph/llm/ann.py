@@ -4,8 +4,9 @@ Distinct vectors are dealt to shards by hash. A shard's graph grows in doubling
 search from the first node proposes each new node's neighbours, and relaxed distance pruning keeps an edge
 only if no kept neighbour is `alpha` times closer to its end, so edges point different ways. Each shard then
 doubles its beam until searches for a bounded sample of its own vectors find `RECALL` of their exact k nearest
-in the shard. Queries run a beam search in each shard, read as a stream behind the shard's graph; what the beams
-hold is scored exactly, in double precision, on the original vectors, and the shards' best are merged. Largest
+in the shard. Queries run a beam search in each shard: a block of QUERY_BLOCK queries stays in a task while the shards of
+one of a few groups stream past it, so no query is sent to each shard; what the beams hold is scored exactly, in double
+precision, on the original vectors, each group sends its best of each query once, and these are merged. Largest
 inner product becomes least distance by one more coordinate, sqrt(largest norm^2 - norm^2), for stored vectors
 and 0 for queries.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, table
 
-#: Nodes of a shard, about; queries that share a copy of a shard's graph.
+#: Nodes of a shard, about; queries of a block, past which each shard's graph streams once.
 SHARD_ROWS, QUERY_BLOCK = 4096, 65536
 DEGREE, BEAM, ALPHA, EXPAND = 40, 96, 1.3, 4
 #: Vectors of a shard that its beam is tuned on, and the share of their k nearest that it must find.
@@ -166,6 +167,28 @@ def tuned_beam(x: np.ndarray, graph: np.ndarray, k: int, beam: int) -> int:
     return beam
 
 
+class Best:
+    """The k first (score falling, id rising) candidates of each of n queries so far; equal ones count once."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.ids = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        lists = np.unique(at)
+        at = np.concatenate([np.repeat(lists, self.k), at])
+        score, ids = np.concatenate([self.score[lists].ravel(), score]), np.concatenate([self.ids[lists].ravel(), ids])
+        order = np.lexsort((ids, -score, at))
+        at, score, ids = at[order], score[order], ids[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])
+        at, score, ids = at[new], score[new], ids[new]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        first = rank < self.k
+        self.score[lists], self.ids[lists] = -np.inf, 0
+        self.score[at[first], rank[first]], self.ids[at[first], rank[first]] = score[first], ids[first]
+
+
 def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -200,6 +223,13 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     graphs = checkpoint(dealt.groupBy("shard").applyInArrow(build, "shard int, beam int, vectors binary, graph binary, ids binary, at binary"))
     asked = checkpoint(asked.distinct())
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    groups = max(1, min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+
+    def pack(t: pa.Table) -> pa.Table:
+        packed = {"ids": t["id"].to_numpy(), "v": np.asarray(t["v"].combine_chunks().flatten())}
+        return pa.table({"block": t["block"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in packed.items()}})
+
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, v binary")
 
     class Shard:
         def __init__(self, row: dict):
@@ -208,36 +238,50 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
             self.ids, self.at = (np.frombuffer(row[c], np.int64) for c in ("ids", "at"))
             self.x, self.beam = lifted(self.v), row["beam"]
 
-        def search(self, who: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-            node, _ = beam_search(self.x, self.graph, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), self.beam)
-            out = []
-            for i in range(len(q)):
-                own = node[i][node[i] >= 0]
+        def search(self, best: Best, who: np.ndarray, q: np.ndarray) -> None:
+            for i in range(0, len(q), 1024):
+                some = q[i : i + 1024]
+                node, _ = beam_search(self.x, self.graph, np.concatenate([some, np.zeros((len(some), 1))], axis=1).astype(np.float32), self.beam)
+                at, rank = np.nonzero(node >= 0)
+                own = node[at, rank]
+                score = np.empty(len(own))
+                for j in range(0, len(own), 1 << 15):
+                    e = slice(j, j + (1 << 15))
+                    score[e] = (self.v[own[e]] * some[at[e]]).sum(axis=1)
                 size = self.at[own + 1] - self.at[own]
                 place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[own], size)
-                vec, score = self.ids[place], np.repeat((self.v[own] * q[i]).sum(axis=1), size)
-                vec, score = vec[vec != who[i]], score[vec != who[i]]
-                best = np.lexsort((vec, -score))[:k]
-                out.append((np.full(len(best), who[i]), vec[best], score[best]))
-            ids, vecs, scores = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield batch_of(query_id=ids, vec_id=vecs, score=scores)
-
-    def search(batches):
-        known = None
+                at, score, vec = np.repeat(at, size) + i, np.repeat(score, size), self.ids[place]
+                other = vec != who[at]
+                best.add(at[other], score[other], vec[other])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = q = best = None
+        block = -1
+
+        def out():
+            at, rank = np.nonzero(best.score > -np.inf)
+            for i in range(0, len(at), 1 << 16):
+                e = (at[i : i + (1 << 16)], rank[i : i + (1 << 16)])
+                yield batch_of(query_id=who[e[0]], vec_id=best.ids[e], score=best.score[e])
+
         for batch in batches:
-            whose, is_graph = batch["part"].to_numpy(), np.asarray(batch["id"].is_null())
-            cut = np.flatnonzero(np.concatenate([[True], is_graph[1:] | is_graph[:-1] | (whose[1:] != whose[:-1])])) if batch.num_rows else []
-            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if is_graph[a]:
-                    known = (whose[a], Shard(part["packed"][0].as_py()))
-                elif known is not None and known[0] == whose[a]:
-                    yield from known[1].search(part["id"].to_numpy(), np.asarray(part["v"].flatten()).reshape(-1, low))
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    ask = asked.select(every.alias("shard"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.lit(None).cast("struct<beam:int,vectors:binary,graph:binary,ids:binary,at:binary>").alias("packed"))
-    held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v"), F.struct("beam", "vectors", "graph", "ids", "at").alias("packed"))
-    stream = held.union(ask).withColumn("part", F.col("shard").cast("bigint") * blocks + F.col("block")).drop("shard", "block").repartition("part").sortWithinPartitions("part", F.col("id").isNotNull())
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if row["asked"] is not None:
+                    if best is not None:
+                        yield from out()
+                    block, who, q = row["block"], np.frombuffer(row["asked"]["ids"], np.int64), np.frombuffer(row["asked"]["v"]).reshape(-1, low)
+                    best = Best(len(who), k)
+                elif row["block"] == block:
+                    Shard(row["graph"]).search(best, who, q)
+        if best is not None:
+            yield from out()
+
+    # A block of queries stays in its task while the shards of a group of them stream past.
+    each, every = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (groups, blocks))
+    none = [F.lit(None).cast("struct<ids:binary,v:binary>"), F.lit(None).cast("struct<beam:int,vectors:binary,graph:binary,ids:binary,at:binary>")]
+    ask = packed.select("block", each.alias("part"), F.struct("ids", "v").alias("asked"), none[1].alias("graph"))
+    held = graphs.select(every.alias("block"), F.pmod("shard", F.lit(groups)), none[0], F.struct("beam", "vectors", "graph", "ids", "at"))
+    stream = ask.union(held).repartition("block", "part").sortWithinPartitions("block", "part", F.col("asked").isNull())
     each = stream.mapInArrow(search, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
