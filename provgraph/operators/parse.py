@@ -6,9 +6,13 @@ Nulls: an empty cell is null or the empty string after trimming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .state import free
+
 #: Marks that mean "as above", separators of several values in their order, and heading lines.
 DITTO = ("〃", "〝", "상동", "same as above")
 SEPARATORS = (",", "/", "\n")
@@ -23,7 +27,8 @@ def ditto_fill(df: DataFrame, doc: str, order: str, field: str) -> DataFrame:
     value = F.when(~F.coalesce(mark, F.lit(False)) & (F.trim(F.col(field)) != ""), F.col(field))
     above = F.last(value, ignorenulls=True).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     hit = F.coalesce(mark, F.lit(False)) & above.isNotNull()
-    return df.withColumn("__hit", hit).withColumn(field, F.when(hit, above).otherwise(F.col(field))).withColumnRenamed("__hit", "was_ditto")
+    own = free(df, "hit")
+    return df.withColumn(own, hit).withColumn(field, F.when(F.col(own), above).otherwise(F.col(field))).withColumnRenamed(own, "was_ditto")
 
 
 def merged_fill(cells: DataFrame, merged: DataFrame) -> DataFrame:
@@ -47,10 +52,11 @@ def multi_split(df: DataFrame, locator: str, fields: list[str]) -> DataFrame:
             split = F.when(F.instr(F.col(f), s) > 0, F.filter(F.transform(F.split(F.col(f), s), lambda x: F.trim(x)), lambda x: x != "")).otherwise(split)
         parts = F.when(F.size(split) > 1, split).otherwise(parts)
         chosen = F.when(F.size(split) > 1, F.lit(i)).otherwise(chosen)
-    rows = df.select("*", chosen.alias("__f"), F.coalesce(parts, F.array(F.lit(None).cast("string"))).alias("__p"))
-    rows = rows.select("*", F.posexplode("__p").alias("__n", "__v"))
-    new = {f: F.when(F.col("__f") == i, F.col("__v")).otherwise(F.col(f)) for i, f in enumerate(fields)}
-    new[locator] = F.when(F.col("__f") >= 0, F.concat(F.col(locator), F.lit("#"), (F.col("__n") + 1).cast("string"))).otherwise(F.col(locator))
+    which, held, n, value = (free(df, c) for c in ("which", "held", "n", "value"))
+    rows = df.select("*", chosen.alias(which), F.coalesce(parts, F.array(F.lit(None).cast("string"))).alias(held))
+    rows = rows.select("*", F.posexplode(held).alias(n, value))
+    new = {f: F.when(F.col(which) == i, F.col(value)).otherwise(F.col(f)) for i, f in enumerate(fields)}
+    new[locator] = F.when(F.col(which) >= 0, F.concat(F.col(locator), F.lit("#"), (F.col(n) + 1).cast("string"))).otherwise(F.col(locator))
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns))
 
 
@@ -117,15 +123,16 @@ def preflight(actual: DataFrame, declared: dict[str, list[str]], doc: str) -> Da
 
 def contract_defects(pieces: DataFrame, doc: str, locator: str, text: str) -> DataFrame:
     """(doc, defect, n): locators that are empty or repeated, unresolved ditto marks, pieces without text."""
+    several = free(pieces, "several")
     many = F.count("*").over(Window.partitionBy(doc, locator))
     checks = {
         "locator_missing": F.coalesce(F.trim(F.col(locator)), F.lit("")) == "",
-        "locator_repeated": F.col("__many") > 1,
+        "locator_repeated": F.col(several) > 1,
         "ditto_left": F.coalesce(F.trim(F.col(text)).isin(*DITTO), F.lit(False)),
         "text_missing": F.coalesce(F.trim(F.col(text)), F.lit("")) == "",
     }
     hit = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))
-    return pieces.withColumn("__many", many).select(doc, F.explode(hit).alias("defect")).groupBy(doc, "defect").agg(F.count("*").alias("n"))
+    return pieces.withColumn(several, many).select(doc, F.explode(hit).alias("defect")).groupBy(doc, "defect").agg(F.count("*").alias("n"))
 
 
 def fill_rates(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -148,6 +155,24 @@ def normalise(df: DataFrame, doc: str, order: str, locator: str, fields: list[st
     return rows.drop("ditto_hits"), counts
 
 
+def normalise_observed(df: DataFrame, doc: str, order: str, locator: str, fields: list[str], split: list[str]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The rows of normalise, and what counts them (rows, ditto_hits, split_rows) once they have been written: the metrics are taken as
+    the rows pass, by no job of their own. Each call makes its own metrics; a plan that is run twice counts the first run."""
+    hits: Column = F.lit(0)
+    for f in fields:
+        was = free(df, f"was_ditto_{f}")
+        df = ditto_fill(df, doc, order, f).withColumnRenamed("was_ditto", was)
+        hits = hits + F.col(was).cast("bigint")
+    filled = df.observe(before := Observation(), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(hits), F.lit(0)).alias("ditto_hits"))
+    rows = multi_split(filled.select(*(c for c in df.columns if not c.startswith("was_ditto_") and not c.startswith("_was_ditto_"))), locator, split).observe(after := Observation(), F.count(F.lit(1)).alias("rows"))
+
+    def counts() -> dict[str, int]:
+        one, two = before.get, after.get
+        return {"rows": two["rows"], "ditto_hits": one["ditto_hits"], "split_rows": two["rows"] - one["rows"]}
+
+    return rows, counts
+
+
 def table_rows(cells: DataFrame, columns: dict[str, str], first_row: int, required: list[str], ditto: list[str], context: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of sheets' cells (doc, sheet, row, col, value) by a declared adapter: `columns` is the field of each column
     letter, data begins at `first_row`, rows without any value are none, locators are Sheet!R<row>, and `context` is the

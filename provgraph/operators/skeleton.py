@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .state import checkpoint
+
 #: Fixed: tiers by depth.
 TIERS = ("main", "sub", "detail")
 SCOPE = "::"
@@ -64,6 +66,41 @@ def parse_tree(spark: SparkSession, tree: dict, axis: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, NODES)
 
 
+def tree_of(rows: DataFrame, axis: list[str]) -> tuple[DataFrame, DataFrame]:
+    """NODES of a tree that is a table (node, parent, place, item, unordered), item in the notation above, one level after the other; and
+    (node, reason) of rows that break it: marker, axis_value, no_name, and same_name for nodes of one name. These, and what
+    lies below them, are no nodes."""
+    item = F.trim("item")
+    instance, name, marker = F.startswith(item, F.lit(SCOPE)), F.trim(F.split(item, "@")[0]), F.when(F.contains(item, F.lit("@")), F.substring_index(item, "@", -1))
+    flow = rows.where(item == "@noflow").select(F.col("parent").alias("of")).distinct().withColumn("noflow", F.lit(True))
+    own = rows.where(item != "@noflow").join(flow, F.col("parent").eqNullSafe(F.col("of")), "left")
+    value = F.when(instance, F.substring(item, 3, 10**6))
+    own = own.select("node", "parent", "place", value.alias("value"), F.when(~instance, name).alias("name"), F.when(~instance, marker).alias("marker"), (F.col("noflow").isNull() & ~F.coalesce("unordered", F.lit(False))).alias("ordered"))
+    bad_value = F.col("value").isNotNull() & (~F.col("value").isin(*axis) | F.col("parent").isNull())
+    bad_name = F.col("value").isNull() & ((F.coalesce("name", F.lit("")) == "") | F.col("name").isin(*axis))
+    reason = F.when(bad_value, "axis_value").when(F.col("marker").isNotNull() & ~F.col("marker").isin("split", *axis), "marker").when(bad_name, "no_name")
+    own = checkpoint(own.withColumn("reason", reason))
+    defects, left = own.where("reason is not null").select("node", "reason"), own.where("reason is null").drop("reason")
+    level, found, depth = left.where("parent is null").withColumn("above", F.lit(None).cast("string")), None, 0
+    while not level.isEmpty():
+        tier, scoped = TIERS[min(depth, 2)], F.concat("above", F.lit(SCOPE), F.coalesce("value", "name"))
+        canonical = F.when(F.col("value").isNotNull() | F.lit(depth >= 2), scoped).otherwise(F.col("name"))
+        level = checkpoint(level.withColumn("canonical", canonical).withColumn("tier", F.lit(tier)))
+        found = level if found is None else found.union(level)
+        level = left.join(level.where("value is null").select(F.col("node").alias("parent"), F.col("canonical").alias("above")), "parent").select(*left.columns, "above")
+        depth += 1
+    if found is None:
+        return rows.sparkSession.createDataFrame([], NODES), defects
+    concepts = found.select("node", "canonical", "tier", F.col("above").alias("parent"), F.col("value").alias("axis"), F.col("place").cast("int").alias("place"), (F.col("ordered") & F.col("value").isNull()).alias("ordered"))
+    values = F.when(F.col("marker") == "split", F.array(*map(F.lit, axis))).otherwise(F.array("marker"))
+    split = found.where("marker is not null").select("node", "canonical", "tier", "place", F.explode(values).alias("axis"))
+    split = split.select("node", F.concat("canonical", F.lit(SCOPE), "axis"), "tier", "canonical", "axis", F.col("place").cast("int"), F.lit(False))
+    every = checkpoint(concepts.union(split))
+    twice = every.groupBy("canonical").agg(F.count("*").alias("n")).where("n > 1").select("canonical")
+    same = every.join(twice, "canonical", "left_semi").select("node", F.lit("same_name").alias("reason")).distinct()
+    return every.join(twice, "canonical", "left_anti").select("canonical", "tier", "parent", "axis", "place", "ordered"), defects.union(same)
+
+
 def flat(names: DataFrame, name: str = "name") -> DataFrame:
     """NODES of a list of names, all of tier main and without order."""
     return names.select(F.col(name).alias("canonical"), F.lit("main").alias("tier"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("axis"), F.lit(0).alias("place"), F.lit(False).alias("ordered"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import answer as A
@@ -9,6 +11,8 @@ from ..operators import browse as V
 from ..operators import graph as G
 from ..operators import parse as P
 from ..operators import resolve as R
+from ..operators.state import shared_dir
+from ..sources.adapters import Adapter, extract, register
 from . import world as W
 from .world import SQL, read
 
@@ -42,6 +46,43 @@ def table_records(spark, sf_dir):
     return _table(spark, sf_dir)[0].select("doc", "locator", "part", "supplier", F.col("context")["model"].alias("model"))
 
 
+class LineAdapter(Adapter):
+    """The sheets of _cells, in a user's own code."""
+
+    fields, required = ("part", "supplier", "flag"), ("supplier",)
+
+    def records(self, cells):
+        rows, last = {}, None
+        for sheet, row, col, value in cells:
+            if row >= 3:
+                rows.setdefault((sheet, row), {})[col] = value
+        for (sheet, row), own in rows.items():
+            last = last if own.get("A") == "〃" and last else own.get("A")
+            yield f"{sheet}!R{row}", {"part": last, "supplier": own.get("B"), "flag": own.get("C")}
+
+
+def adapter_udtf(spark, sf_dir):
+    """What table_records gives, by an adapter that is code."""
+    register(spark, "line_adapter", LineAdapter)
+    rows = extract(_cells(spark, sf_dir), "line_adapter")[0]
+    value = lambda c: F.col("fields")[c]
+    return rows.select("doc", "locator", value("part").alias("part"), value("supplier").alias("supplier"), value("flag").alias("model"))
+
+
+def adapter_violations(spark, sf_dir):
+    register(spark, "line_adapter", LineAdapter)
+    return extract(_cells(spark, sf_dir), "line_adapter")[1]
+
+
+def normalise_observed(spark, sf_dir):
+    """Counts that were taken while the rows were written."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat(F.lit("R"), _s("p_partkey")).alias("locator"), F.when(k % 3 == 0, F.col("p_type")).otherwise("〃").alias("type"), F.replace("p_name", F.lit(" "), F.when(k % 2 == 0, ",").otherwise(" ")).alias("name"))
+    out, counts = P.normalise_observed(rows, "p_brand", "p_partkey", "locator", ["type"], ["name"])
+    out.write.parquet(f"{shared_dir(spark)}/observed-{uuid.uuid4()}")
+    return spark.createDataFrame([counts()], "rows long, ditto_hits long, split_rows long")
+
+
 def table_violations(spark, sf_dir):
     return _table(spark, sf_dir)[1]
 
@@ -208,7 +249,7 @@ def contract_sample(spark, sf_dir):
     return V.contract_sample(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("doc_type"), F.col("o_orderkey").alias("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (normalise_counts, table_records, table_violations, table_default_context, table_ints, map_flat_fallback, map_rows_defects, prose_preflight, scan_confirm, coordinate_tags, coordinate_report, image_summaries, envelopes, order_facts, attribute_lines, transit_notes, miss_log, entity_match_gated, node_detail, chunk_detail, tree_detail, schema_roles, header_unmappable, review_depths, slides_over, platform_counts, contract_sample)}
+QUERIES = {f.__name__: f for f in (normalise_counts, normalise_observed, table_records, adapter_udtf, adapter_violations, table_violations, table_default_context, table_ints, map_flat_fallback, map_rows_defects, prose_preflight, scan_confirm, coordinate_tags, coordinate_report, image_summaries, envelopes, order_facts, attribute_lines, transit_notes, miss_log, entity_match_gated, node_detail, chunk_detail, tree_detail, schema_roles, header_unmappable, review_depths, slides_over, platform_counts, contract_sample)}
 
 _ROWS = """WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
  t AS (SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS doc, 'Sheet!R' || (n + 2) AS locator, n, CASE WHEN n % 2 = 1 THEN CAST(p AS VARCHAR) END AS own, CASE WHEN l_orderkey % 10 <> 0 OR n % 3 <> 0 THEN CAST(s AS VARCHAR) END AS supplier, CASE WHEN n % 2 = 1 THEN f END AS flag FROM l),
@@ -225,6 +266,10 @@ _UP = "up(node, ancestor, depth) AS (SELECT id, id, 0 FROM nodes UNION ALL SELEC
 ORACLE_SQL = {
     "normalise_counts": f"""WITH p AS (SELECT *, p_partkey % 3 <> 0 AND count(CASE WHEN p_partkey % 3 = 0 THEN 1 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) > 0 AS hit FROM part)
  SELECT p_brand, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS ditto_hits, CAST(sum({_NAME}) - count(*) AS BIGINT) AS split_rows FROM p GROUP BY 1""",
+    "normalise_observed": f"""SELECT CAST((SELECT count(*) FROM part) + sum(split_rows) AS BIGINT) AS rows, CAST(sum(ditto_hits) AS BIGINT) AS ditto_hits, CAST(sum(split_rows) AS BIGINT) AS split_rows FROM (WITH p AS (SELECT *, p_partkey % 3 <> 0 AND count(CASE WHEN p_partkey % 3 = 0 THEN 1 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) > 0 AS hit FROM part)
+ SELECT p_brand, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS ditto_hits, CAST(sum({_NAME}) - count(*) AS BIGINT) AS split_rows FROM p GROUP BY 1)""",
+    "adapter_udtf": _ROWS + "SELECT doc, locator, part, supplier, flag AS model FROM r WHERE doc NOT IN (SELECT doc FROM bad)",
+    "adapter_violations": _ROWS + "SELECT doc, locator, 'missing:supplier' AS violation FROM r WHERE supplier IS NULL",
     "table_records": _ROWS + "SELECT doc, locator, part, supplier, flag AS model FROM r WHERE doc NOT IN (SELECT doc FROM bad)",
     "table_violations": _ROWS + "SELECT doc, locator, 'supplier' AS field FROM r WHERE supplier IS NULL",
     "table_default_context": _ROWS + "SELECT doc, locator, coalesce(flag, 'M' || l_orderkey % 4) AS model FROM r WHERE doc NOT IN (SELECT doc FROM bad)",

@@ -9,38 +9,54 @@ from ..operators import skeleton as S
 from . import world as W
 from .world import SQL, read
 
-#: A tree in the notation of operators/skeleton.py.
-TREE = {
-    "Intake": {"Sort": {"Scan@split": None, "Weigh": None}, "Store": ["::left", "Shelf"]},
-    "Press": {"Cut": {"@noflow": None, "Blade": None, "Guard": None}, "Fold": [{"@unordered": "Check"}, "Crease", "Glue"]},
-    "Ship": None,
-}
 AXIS = ["left", "right"]
 
 
-def _tree(spark):
-    return S.parse_tree(spark, TREE, AXIS)
+def _tree_rows(spark, sf_dir):
+    """Regions, their nations and the nations' shelves as a tree in the notation of operators/skeleton.py: even nations split by axis,
+    some of one axis value only, some without a place in the order, one region without order, and rows that break the rules."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    no, none = F.lit(False), F.lit(None).cast("string")
+    region, nation, supplier = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    rows = region.select(key("R", "r_regionkey").alias("node"), none.alias("parent"), F.col("r_regionkey").cast("long").alias("place"), F.col("r_name").alias("item"), no.alias("unordered"))
+    rows = rows.union(region.where("r_regionkey = 2").select(key("F", "r_regionkey"), key("R", "r_regionkey"), F.lit(-1).cast("long"), F.lit("@noflow"), no))
+    rows = rows.union(nation.select(key("N", "n_nationkey"), key("R", "n_regionkey"), n.cast("long"), F.concat("n_name", F.when(n % 2 == 0, "@split").otherwise("")), n % 7 == 3))
+    rows = rows.union(nation.where(n % 4 == 1).select(key("V", "n_nationkey"), key("N", "n_nationkey"), F.lit(-1).cast("long"), F.lit("::left"), no))
+    rows = rows.union(supplier.where(k % 3 == 0).select(key("S", "s_suppkey"), key("N", "s_nationkey"), k, F.concat(F.lit(" Shelf "), k.cast("string")), no))
+    odd = F.when(k % 15 == 1, "Box@up").when(k % 15 == 4, "::far").when(k % 15 == 7, "left").when(k % 15 == 10, "Twin")
+    rows = rows.union(supplier.where(odd.isNotNull()).select(key("S", "s_suppkey"), F.lit("N0"), k, odd, no))
+    return rows.union(supplier.where(k % 15 == 1).select(key("B", "s_suppkey"), key("S", "s_suppkey"), k, F.lit("below"), no))
+
+
+def _tree(spark, sf_dir):
+    return S.tree_of(_tree_rows(spark, sf_dir), AXIS)[0]
 
 
 def skeleton_tree(spark, sf_dir):
-    return _tree(spark).select("canonical", "tier", "parent", "axis", "ordered")
+    return _tree(spark, sf_dir).select("canonical", "tier", "parent", "axis", "ordered")
+
+
+def skeleton_tree_defects(spark, sf_dir):
+    return S.tree_of(_tree_rows(spark, sf_dir), AXIS)[1]
 
 
 def skeleton_order(spark, sf_dir):
-    return S.precedes(_tree(spark))
+    return S.precedes(_tree(spark, sf_dir))
 
 
 def skeleton_mirror_edges(spark, sf_dir):
-    return S.seed_mirrors(_tree(spark), AXIS)
+    return S.seed_mirrors(_tree(spark, sf_dir), AXIS)
 
 
 def skeleton_flow(spark, sf_dir):
-    return S.flow_lines(_tree(spark))
+    return S.flow_lines(_tree(spark, sf_dir))
 
 
 def skeleton_alias(spark, sf_dir):
-    extra = spark.createDataFrame([("cutter", "Cut"), ("odd", "Cut"), ("odd", "Fold")], "alias string, canonical string")
-    known, unclear = S.aliases(_tree(spark), extra)
+    n = F.col("n_nationkey")
+    extra = read(spark, sf_dir, "nation").select(F.when(n % 5 == 0, "odd").otherwise(F.concat(F.lit("land "), n.cast("string"))).alias("alias"), F.col("n_name").alias("canonical"))
+    known, unclear = S.aliases(_tree(spark, sf_dir), extra)
     return known.union(unclear.select("alias", F.lit("?")))
 
 
@@ -196,20 +212,17 @@ def change_log(spark, sf_dir):
     return C.log_rows(W.nodes(spark, sf_dir).where("tier = 'main'"), "obsolete", "someone", "old").drop("at")
 
 
-QUERIES = {f.__name__: f for f in (skeleton_tree, skeleton_order, skeleton_mirror_edges, skeleton_flow, skeleton_alias, skeleton_flat, skeleton_plant, skeleton_left, category_owner, merge_refused, merge_nodes, merge_dictionary, merge_values, merge_edges_docs, split_nodes, split_assigned, split_refused, split_edges, split_outputs, live_nodes, scope_children, rename_aliases, change_preview, delete_edges, change_log)}
+QUERIES = {f.__name__: f for f in (skeleton_tree, skeleton_tree_defects, skeleton_order, skeleton_mirror_edges, skeleton_flow, skeleton_alias, skeleton_flat, skeleton_plant, skeleton_left, category_owner, merge_refused, merge_nodes, merge_dictionary, merge_values, merge_edges_docs, split_nodes, split_assigned, split_refused, split_edges, split_outputs, live_nodes, scope_children, rename_aliases, change_preview, delete_edges, change_log)}
 
 _REFUSED = "SELECT * FROM (VALUES ('N1', 'N2', 'two_seeds'), ('S1', 'S1', 'itself'), ('S7', 'S2', 'chain'), ('S9', 'Z', 'missing'), ('S0', 'S-1', 'missing'), ('S4', 'S3', 'chain'), ('S8', 'S7', 'chain'), ('S2', 'S1', 'chain'), ('S10', 'S9', 'chain')) t(absorbed, survivor, reason) WHERE absorbed IN ('N1', 'S1', 'S7', 'S9') OR CAST(substr(absorbed, 2) AS INTEGER) <= (SELECT max(s_suppkey) FROM supplier)"
 _TO = f", refused AS ({_REFUSED}), redirect AS (SELECT 'S' || s_suppkey AS id, 'S' || (s_suppkey - 1) AS target FROM supplier WHERE s_suppkey % 2 = 0 AND 'S' || s_suppkey NOT IN (SELECT absorbed FROM refused)) "
-_TREE = [
-    ("Intake", "main", None, None, True), ("Sort", "sub", "Intake", None, True), ("Sort::Scan", "detail", "Sort", None, True), ("Sort::Scan::left", "detail", "Sort::Scan", "left", False),
-    ("Sort::Scan::right", "detail", "Sort::Scan", "right", False), ("Sort::Weigh", "detail", "Sort", None, True), ("Store", "sub", "Intake", None, True), ("Store::left", "detail", "Store", "left", False),
-    ("Store::Shelf", "detail", "Store", None, True), ("Press", "main", None, None, True), ("Cut", "sub", "Press", None, True), ("Cut::Blade", "detail", "Cut", None, False), ("Cut::Guard", "detail", "Cut", None, False),
-    ("Fold", "sub", "Press", None, True), ("Fold::Check", "detail", "Fold", None, False), ("Fold::Crease", "detail", "Fold", None, True), ("Fold::Glue", "detail", "Fold", None, True), ("Ship", "main", None, None, True),
-]
-
-
-def _lit(x):
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+_TREE = """WITH shelf AS (SELECT n_name AS parent, s_suppkey AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0), twins AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 15 = 10),
+tree AS (SELECT r_name AS canonical, 'main' AS tier, NULL AS parent, NULL AS axis, CAST(r_regionkey AS BIGINT) AS place, true AS ordered FROM region
+  UNION ALL SELECT n_name, 'sub', r_name, NULL, n_nationkey, n_regionkey <> 2 AND n_nationkey % 7 <> 3 FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_name || '::' || a, 'sub', n_name, a, n_nationkey, false FROM nation, (VALUES ('left'), ('right')) t(a) WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT n_name || '::left', 'detail', n_name, 'left', -1, false FROM nation WHERE n_nationkey % 4 = 1
+  UNION ALL SELECT parent || '::Shelf ' || k, 'detail', parent, NULL, k, true FROM shelf UNION ALL SELECT 'NATION_0::Twin', 'detail', 'NATION_0', NULL, s_suppkey, true FROM supplier, twins WHERE s_suppkey % 15 = 10 AND n = 1),
+short AS (SELECT *, string_split(canonical, '::')[-1] AS last FROM tree) """
 
 
 _SPLIT = """, item AS (SELECT DISTINCT CAST(substr(src, 2) AS BIGINT) AS k, src, dst FROM has_property WHERE CAST(substr(src, 2) AS BIGINT) % 3 = 0),
@@ -218,11 +231,12 @@ halves AS (SELECT node, k, node || h AS target, h FROM done, (VALUES ('a'), ('b'
 dealt AS (SELECT h.target AS src, dst, doc FROM has_property p JOIN halves h ON h.node = p.src WHERE (length(dst) % 2 = 0) = (h.h = 'a') OR (h.k % 9 = 0 AND contains(dst, 'blue'))) """
 _V = "SELECT 'S' || l_suppkey AS node, l_returnflag AS context, CAST(l_quantity AS BIGINT) AS value, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem"
 ORACLE_SQL = {
-    "skeleton_tree": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in _TREE) + ") t(canonical, tier, parent, axis, ordered)",
-    "skeleton_order": "SELECT src, 'precedes' AS rel, dst FROM (VALUES ('Intake', 'Press'), ('Press', 'Ship'), ('Sort', 'Store'), ('Sort::Scan', 'Sort::Weigh'), ('Cut', 'Fold'), ('Fold::Crease', 'Fold::Glue')) t(src, dst)",
-    "skeleton_mirror_edges": "SELECT 'Sort::Scan::' || a AS src, 'mirrors' AS rel, 'Sort::Scan::' || b AS dst FROM (VALUES ('left', 'right'), ('right', 'left')) t(a, b)",
-    "skeleton_flow": "SELECT * FROM (VALUES (NULL, 'Intake → Press → Ship'), ('Intake', 'Sort → Store'), ('Sort', 'Scan → Weigh'), ('Store', 'Shelf'), ('Press', 'Cut → Fold'), ('Fold', 'Crease → Glue')) t(parent, line)",
-    "skeleton_alias": "SELECT * FROM (VALUES ('Scan', 'Sort::Scan'), ('Weigh', 'Sort::Weigh'), ('Shelf', 'Store::Shelf'), ('Blade', 'Cut::Blade'), ('Guard', 'Cut::Guard'), ('Check', 'Fold::Check'), ('Crease', 'Fold::Crease'), ('Glue', 'Fold::Glue'), ('left Scan', 'Sort::Scan::left'), ('right Scan', 'Sort::Scan::right'), ('left Store', 'Store::left'), ('cutter', 'Cut'), ('odd', '?')) t(alias, canonical)",
+    "skeleton_tree": _TREE + "SELECT canonical, tier, parent, axis, ordered FROM tree",
+    "skeleton_tree_defects": _TREE + "SELECT 'S' || s_suppkey AS node, CASE s_suppkey % 15 WHEN 1 THEN 'marker' WHEN 4 THEN 'axis_value' WHEN 7 THEN 'no_name' ELSE 'same_name' END AS reason FROM supplier, twins WHERE s_suppkey % 15 IN (1, 4, 7) OR (s_suppkey % 15 = 10 AND n > 1)",
+    "skeleton_order": _TREE + "SELECT * FROM (SELECT canonical AS src, 'precedes' AS rel, lead(canonical) OVER (PARTITION BY parent ORDER BY place) AS dst FROM tree WHERE ordered AND axis IS NULL) WHERE dst IS NOT NULL",
+    "skeleton_mirror_edges": "SELECT n_name || '::' || a AS src, 'mirrors' AS rel, n_name || '::' || b AS dst FROM nation, (VALUES ('left', 'right'), ('right', 'left')) t(a, b) WHERE n_nationkey % 2 = 0",
+    "skeleton_flow": _TREE + "SELECT parent, string_agg(last, ' → ' ORDER BY place) AS line FROM short WHERE ordered AND axis IS NULL GROUP BY parent",
+    "skeleton_alias": _TREE + "SELECT last AS alias, min(canonical) AS canonical FROM short WHERE axis IS NULL GROUP BY last HAVING count(*) = 1 AND min(canonical) <> last UNION SELECT axis || ' ' || parent, canonical FROM tree WHERE axis IS NOT NULL UNION SELECT 'land ' || n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0 UNION SELECT 'odd', '?'",
     "skeleton_flat": "SELECT n_name AS canonical, 'main' AS tier, CAST(NULL AS VARCHAR) AS parent FROM nation",
     "skeleton_plant": "SELECT 'N' || n_nationkey AS id, n_name AS canonical, 'Process' AS category, 'main' AS tier, CASE WHEN n_nationkey % 2 = 0 OR n_nationkey < 12 THEN 'seed' ELSE 'auto' END AS status FROM nation UNION ALL SELECT 'seed:' || substr(sha256('Process' || chr(0) || r_name), 1, 16), r_name, 'Process', 'main', 'seed' FROM region",
     "skeleton_left": "SELECT 'N' || n_nationkey AS id, n_name AS canonical FROM nation WHERE n_nationkey < 12 AND n_nationkey % 2 = 1",

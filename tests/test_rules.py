@@ -13,6 +13,7 @@ from provgraph.operators import resolve as R
 from provgraph.operators import skeleton as S
 from provgraph.operators.state import shared_dir
 from provgraph.sources import contract
+from provgraph.sources.adapters import Adapter, extract, register
 
 
 def rows(df):
@@ -107,6 +108,56 @@ def test_trees_that_break_the_rules(spark):
             S.parse_tree(spark, tree, ["left", "right"])
 
 
+def test_tree_as_configuration_and_as_table(spark):
+    tree = {
+        "Intake": {"Sort": {"Scan@split": None, "Weigh": None}, "Store": ["::left", "Shelf"]},
+        "Press": {"Cut": {"@noflow": None, "Blade": None, "Guard": None}, "Fold": [{"@unordered": "Check"}, "Crease", "Glue"]},
+        "Ship": None,
+    }
+    want = {
+        ("Intake", "main", None, None, True), ("Sort", "sub", "Intake", None, True), ("Sort::Scan", "detail", "Sort", None, True), ("Sort::Scan::left", "detail", "Sort::Scan", "left", False),
+        ("Sort::Scan::right", "detail", "Sort::Scan", "right", False), ("Sort::Weigh", "detail", "Sort", None, True), ("Store", "sub", "Intake", None, True), ("Store::left", "detail", "Store", "left", False),
+        ("Store::Shelf", "detail", "Store", None, True), ("Press", "main", None, None, True), ("Cut", "sub", "Press", None, True), ("Cut::Blade", "detail", "Cut", None, False), ("Cut::Guard", "detail", "Cut", None, False),
+        ("Fold", "sub", "Press", None, True), ("Fold::Check", "detail", "Fold", None, False), ("Fold::Crease", "detail", "Fold", None, True), ("Fold::Glue", "detail", "Fold", None, True), ("Ship", "main", None, None, True),
+    }
+    rows, stack = [], [(tree, None)]
+    while stack:
+        parts, parent = stack.pop()
+        for place, (item, below) in enumerate(parts.items() if isinstance(parts, dict) else ((p, None) for p in parts)):
+            rows.append((len(rows), parent, place, item["@unordered"] if isinstance(item, dict) else item, isinstance(item, dict)))
+            stack += [(below, rows[-1][0])] if below else []
+    table = spark.createDataFrame(rows, "node int, parent int, place int, item string, unordered boolean")
+    own = lambda df: {(r.canonical, r.tier, r.parent, r.axis, r.ordered) for r in df.collect()}
+    found, defects = S.tree_of(table, ["left", "right"])
+    assert own(S.parse_tree(spark, tree, ["left", "right"])) == own(found) == want and defects.isEmpty()
+
+
+def test_adapters_of_users(spark):
+    class Good(Adapter):
+        fields, required = ("a", "b"), ("a",)
+
+        def records(self, cells):
+            for sheet, row, _, value in cells:
+                if value == "boom":
+                    raise KeyError("boom")
+                yield f"{sheet}!R{row}", {"a": None if value == "-" else value, **({"c": "1"} if value == "odd" else {})}
+
+    register(spark, "good_adapter", Good)
+    cells = spark.createDataFrame([("d1", "s", 1, "A", "x"), ("d2", "s", 1, "A", "x"), ("d2", "s", 2, "A", "-"), ("d3", "s", 1, "A", "boom"), ("d4", "s", 1, "A", "odd")], "doc string, sheet string, row int, col string, value string")
+    records, wrong = extract(cells, "good_adapter")
+    assert [(r.doc, r.locator, r.fields) for r in records.collect()] == [("d1", "s!R1", {"a": "x"})]
+    assert {(r.doc, r.locator, r.violation) for r in wrong.collect()} == {("d2", "s!R2", "missing:a"), ("d3", None, "KeyError: 'boom'"), ("d4", "s!R1", "undeclared:c")}
+    with pytest.raises(ValueError):
+        register(spark, "no_adapter", type("No", (Adapter,), {"required": ("x",)}))
+
+
+def test_names_that_clash_with_helpers(spark):
+    df = spark.createDataFrame([("d", 1, "x", "L1", "p,q"), ("d", 2, "〃", "L2", "r")], "doc string, o int, f string, l string, m string").selectExpr("*", "'h' AS hit", "'w' AS which", "'n' AS n", "'v' AS value", "'s' AS several", "'e' AS held")
+    rows = P.normalise(df, "doc", "o", "l", ["f"], ["m"])[0]
+    assert {(r.f, r.l, r.m, r.hit, r.which, r.n, r.value, r.held) for r in rows.collect()} == {("x", "L1#1", "p", "h", "w", "n", "v", "e"), ("x", "L1#2", "q", "h", "w", "n", "v", "e"), ("x", "L2", "r", "h", "w", "n", "v", "e")}
+    assert P.contract_defects(df, "doc", "l", "m").isEmpty()
+
+
 def test_state_and_contracts(spark, tmp_path):
     root = f"{shared_dir(spark)}/{tmp_path.name}"
     df = spark.createDataFrame([(1, "a")], "k int, v string")
