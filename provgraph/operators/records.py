@@ -75,6 +75,31 @@ def resolve_in_order(mentions: DataFrame, dictionary: DataFrame, nodes: DataFram
     return out, new, queue.union(invalid)
 
 
+def places(at: DataFrame, records: DataFrame, nodes: DataFrame, ancestors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, piece, axis, ref, grp, parent, anchor) of the records whose coordinate resolved: its node, or this one's instance of the axis
+    value; and queue rows for those whose group is no ancestor of it, or whose axis value is another than the node's. `at` are
+    the anchors that resolved (doc, piece, field, node_id)."""
+    ref = at.where(F.col("field") == PROCESS_REF).select(*RECORD, "node_id").join(records.select(*RECORD, "axis"), RECORD)
+    ref = descend(ref, nodes, "axis").select(*RECORD, "axis", F.col("target").alias("ref"))
+    grp = at.where("field = '@process_group'").select(*RECORD, F.col("node_id").alias("grp"))
+    place = ref.join(grp, RECORD, "left").join(nodes.select(F.col("id").alias("ref"), F.col("canonical").alias("parent"), F.col("polarity").alias("anchor")), "ref")
+    place = checkpoint(place.withColumn("rid", F.struct(*RECORD)))
+    off = off_group(place, ancestors, "ref", "grp").select("rid", "ref").union(axis_mismatch(place, nodes, "rid", "ref", "axis").select("rid", "ref"))
+    return place, off.select(F.lit("coord_mismatch").alias("kind"), F.col("rid.doc").alias("doc"), F.concat_ws("@", "ref", F.col("rid.piece").cast("string")).alias("key")).distinct()
+
+
+def entity_names(rows: DataFrame, place: DataFrame, layer: Layer) -> DataFrame:
+    """rows (doc, piece, axis, value, category, target_layer, ...) of entities with the surface, the canonical name, which carries the axis value
+    and the place where the layer says so, the layer and the polarity."""
+    rows = rows.join(place.select(*RECORD, "parent", "anchor"), RECORD, "left")
+    scoped, bound = _among("category", layer.scoped), _among("category", layer.bound)
+    axis = F.when(_among("axis", layer.axis), F.col("axis"))
+    inherits = scoped & F.col("anchor").isNotNull() & ~F.col("anchor").isin("none", "unbound")
+    surface = bind_axis(norm("value"), F.when(~inherits, axis), bound)
+    canonical = F.when(scoped, scope(F.col("parent"), surface)).otherwise(surface)
+    return rows.withColumns({"surface": norm("value"), "canonical": canonical, "layer": F.coalesce("target_layer", F.lit(layer.name)), "polarity": polarity(F.when(scoped, F.col("anchor")), axis, bound)})
+
+
 def build(records: DataFrame, schema: DataFrame, declared: DataFrame, dictionary: DataFrame, nodes: DataFrame, ancestors: DataFrame, chunks: DataFrame, patterns: DataFrame, layer: Layer) -> dict[str, DataFrame]:
     """All that the records give: `nodes` (new ones), `resolved` (doc, piece, field, node_id), `surfaces` for the dictionary, `values` (node, attr,
     context, value, doc, locator), `describes` (chunk_id, node_id), `edges` that the gate lets in, `rejected` by verdict, `queue` (kind, doc, key)
@@ -90,21 +115,9 @@ def build(records: DataFrame, schema: DataFrame, declared: DataFrame, dictionary
     own = checkpoint(own)
     queue = own.where("outcome = 'orphan_anchor' and rid.field <> '@process_group'").select(F.lit("orphan_anchor").alias("kind"), F.col("rid.doc").alias("doc"), F.col("surface").alias("key")).distinct()
     at = own.where("node_id is not null").select(*(F.col(f"rid.{c}").alias(c) for c in (*RECORD, "field")), "node_id")
-    # The record's own coordinate: the instance of the axis value, if the place has one.
-    ref = at.where(F.col("field") == PROCESS_REF).select(*RECORD, "node_id").join(records.select(*RECORD, "axis"), RECORD)
-    ref = descend(ref, nodes, "axis").select(*RECORD, "axis", F.col("target").alias("ref"))
-    grp = at.where("field = '@process_group'").select(*RECORD, F.col("node_id").alias("grp"))
-    place = checkpoint(ref.join(grp, RECORD, "left").join(nodes.select(F.col("id").alias("ref"), F.col("canonical").alias("parent"), F.col("polarity").alias("anchor")), "ref"))
-    wrong = off_group(place, ancestors, "ref", "grp").select(*RECORD, "ref").union(axis_mismatch(place, nodes, "piece", "ref", "axis").join(place.select(*RECORD, "ref"), ["piece", "ref"]).select(*RECORD, "ref"))
-    queue = queue.union(wrong.select(F.lit("coord_mismatch"), "doc", F.concat_ws("@", "ref", F.col("piece").cast("string"))).distinct())
-    # Entities, by names that carry their axis value and their place.
-    names = rows.where("role = 'entity'").join(place.select(*RECORD, "parent", "anchor"), RECORD, "left")
-    scoped, bound = _among("category", layer.scoped), _among("category", layer.bound)
-    axis = F.when(_among("axis", layer.axis), F.col("axis"))
-    inherits = scoped & F.col("anchor").isNotNull() & ~F.col("anchor").isin("none", "unbound")
-    surface = bind_axis(norm("value"), F.when(~inherits, axis), bound)
-    canonical = F.when(scoped, scope(F.col("parent"), surface)).otherwise(surface)
-    names = names.select(*RECORD, "field", norm("value").alias("surface"), canonical.alias("canonical"), "category", F.coalesce("target_layer", F.lit(layer.name)).alias("layer"), polarity(F.when(scoped, F.col("anchor")), axis, bound).alias("polarity"), F.struct(*RECORD, "field").alias("seq"))
+    place, wrong = places(at, records, nodes, ancestors)
+    queue = queue.union(wrong)
+    names = entity_names(rows.where("role = 'entity'").withColumn("seq", F.struct(*RECORD, "field")), place, layer).select(*RECORD, "field", "surface", "canonical", "category", "layer", "polarity", "seq")
     resolved, new, more = resolve_in_order(names, dictionary, nodes, layer)
     resolved = checkpoint(resolved)
     queue = queue.union(more)

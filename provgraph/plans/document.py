@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import prose as T
 from ..operators import records as R
 from ..operators.resolve import closure
 from ..operators.state import checkpoint
@@ -79,7 +80,46 @@ def uncertain_matches(spark, sf_dir):
     return _built(spark, sf_dir, 0.97)["queue"].where("kind in ('auto_node', 'uncertain_match')").groupBy("kind").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
 
 
-QUERIES = {f.__name__: f for f in (build_document, uncertain_matches)}
+def _prose(spark, sf_dir):
+    """Parts as chunks of seven documents: what types show which names, some the wrong way round or with an end that nothing has, and
+    attachments, some to nothing or to what only the dictionary has."""
+    k, text = F.col("p_partkey"), F.when
+    said = text(k % 4 == 0, F.concat(F.lit("the "), "p_type", F.lit(" shows "), "p_name")).when(k % 4 == 1, F.concat("p_name", F.lit(" near  "), "p_type")).when(k % 4 == 2, F.concat(F.lit("the "), "p_type", F.lit(" shows nothing"))).otherwise(F.col("p_name"))
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("D"), (k % 7).cast("string")).alias("doc"), k.alias("piece"), "p_name", "p_type", said.alias("text"))
+    chunks = part.select("doc", "piece", F.concat(F.lit("K"), _s("piece")).alias("chunk_id"), "text", F.when(F.col("piece") % 3 == 0, "NATION_1").when(F.col("piece") % 3 == 1, "customer").alias("ref"), F.lit("AMERICA").alias("grp"), F.lit(None).cast("string").alias("axis"))
+    nodes = checkpoint(W.nodes(spark, sf_dir).withColumn("merged_into", F.lit(None).cast("string")))
+    dictionary = nodes.select(F.col("canonical").alias("surface"), F.col("id").alias("node_id"), "category", "layer", "polarity").union(nodes.where("tier = 'detail'").select("polarity", "id", "category", "layer", "polarity"))
+    vocabulary = part.select(F.col("p_name").alias("surface"), F.lit("Property").alias("category")).union(part.select("p_type", F.lit("Unit"))).distinct()
+    hinted = part.where("piece % 11 = 0").select("doc", "piece")
+    entities, relations = T.candidates(chunks, vocabulary, [("has_property", r"^the (\S+) shows (.+)$"), ("has_property", r"^(.+) near +(\S+)$")], hinted)
+    hints = part.where("piece % 11 = 0").select("doc", "piece", F.struct(F.lit(0).alias("rank"), F.col("p_type").alias("s")).alias("n"), F.col("p_type").alias("surface"), F.lit("Unit").alias("category"))
+    attach = part.where("piece % 5 < 3").select("doc", "piece", F.col("p_name").alias("surface"), F.when(F.col("piece") % 5 == 0, F.col("p_type")).when(F.col("piece") % 5 == 1, "Nowhere").otherwise("NATION_3").alias("attach_to"))
+    pairs, patterns = spark.createDataFrame([("Unit", "Property", "has_property")], "src_cat string, dst_cat string, rel string"), spark.createDataFrame(W.PATTERNS, "src_cat string, rel string, dst_cat string, symmetric boolean")
+    layer = R.Layer("process", {"Process": "process", "Unit": "process", "Property": "process"})
+    return T.build(checkpoint(chunks), checkpoint(entities.union(hints)), relations, attach, dictionary, nodes, closure(nodes), pairs, patterns, layer)
+
+
+def build_prose_document(spark, sf_dir):
+    """All outputs in one: (what, a, b, c, n)."""
+    out = _prose(spark, sf_dir)
+    name = out["nodes"].select(F.col("id").alias("node_id"), F.col("canonical").alias("name"))
+    named = lambda df, c: df.withColumnRenamed(c, "node_id").join(name, "node_id", "left").withColumn(c, F.coalesce("name", "node_id")).drop("node_id", "name")
+    none = F.lit(None).cast("string")
+    parts = [
+        out["nodes"].select(F.lit("node").alias("what"), F.col("canonical").alias("a"), F.col("polarity").alias("b"), F.col("category").alias("c")),
+        named(out["describes"].withColumnRenamed("node_id", "node"), "node").select(F.lit("describes"), "chunk_id", "node", none),
+        named(named(out["edges"], "src"), "dst").select(F.lit("edge"), F.concat_ws("|", "src", "rel", "dst"), F.array_join(F.array_sort("docs"), ","), none),
+        out["rejected"].select(F.lit("rejected"), "verdict", _s("n"), none),
+        out["queue"].withColumn("key", F.when(F.col("kind").isin("orphan_anchor", "orphan_attach", "coord_mismatch"), F.col("key"))).select(F.lit("queue"), "kind", "doc", "key"),
+        out["defects"].select(F.lit("defect"), "what", _s("piece"), "surface"),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return rows.groupBy("what", "a", "b", "c").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (build_document, uncertain_matches, build_prose_document)}
 
 #: A supplier's unit in closed form: with the axis value it is the known supplier that it names or whose spare it is; without, a
 #: supplier and its spare (the next row) are one node, named by the row of the earlier document.
@@ -100,7 +140,22 @@ outs AS (SELECT 'resolved' AS what, 'unit' AS a, CAST(k AS VARCHAR) AS b, unit A
   UNION ALL SELECT DISTINCT 'queue', 'invalid_category', doc, 'Ghost:boo' FROM made WHERE k % 9 = 0 UNION ALL SELECT 'queue', 'coord_mismatch', doc, ref || '@' || k FROM made WHERE ok AND k % 4 = 3 AND region <> 2
   UNION ALL SELECT DISTINCT 'defect', doc, 'junk', 'remark' FROM made)
 """
+_P = SQL + """, part_ AS (SELECT 'D' || p_partkey % 7 AS doc, p_partkey AS k, p_name, p_type, CASE p_partkey % 4 WHEN 0 THEN 'the ' || p_type || ' shows ' || p_name WHEN 1 THEN p_name || ' near ' || p_type WHEN 2 THEN 'the ' || p_type || ' shows nothing' ELSE p_name END AS text FROM part),
+vocab AS (SELECT DISTINCT p_name AS s, 'P:' || p_name AS node, 'Property' AS category FROM part UNION SELECT DISTINCT p_type, p_type, 'Unit' FROM part),
+ent AS (SELECT DISTINCT doc, k, s, node FROM part_ JOIN vocab ON contains(text, s) WHERE k % 11 <> 0 UNION SELECT doc, k, p_type, p_type FROM part_ WHERE k % 11 = 0),
+firsts AS (SELECT s, min((doc, k)) AS seq FROM ent GROUP BY 1),
+tie AS (SELECT doc, k, p_name, p_type, CASE k % 5 WHEN 0 THEN p_type WHEN 1 THEN 'Nowhere' ELSE 'NATION_3' END AS dest, EXISTS (SELECT 1 FROM ent e WHERE e.doc = p.doc AND e.k <= p.k AND e.s = p.p_name) AS child, k % 5 = 2 OR (k % 5 = 0 AND (EXISTS (SELECT 1 FROM ent e WHERE e.doc = p.doc AND e.k <= p.k AND e.s = p.p_type) OR EXISTS (SELECT 1 FROM firsts f WHERE f.s = p.p_type AND f.seq <= (p.doc, p.k)))) AS target FROM part_ p WHERE k % 5 < 3),
+rel AS (SELECT doc, k, p_name, p_type, k % 4 AS kind FROM part_ WHERE k % 4 < 3 AND k % 11 <> 0),
+done AS (SELECT p_type AS src, p_name AS dst, doc FROM rel WHERE kind = 0 UNION SELECT p_type, p_name, doc FROM tie WHERE child AND target AND k % 5 = 0),
+outs AS (SELECT DISTINCT 'node' AS what, s AS a, 'unbound' AS b, 'Unit' AS c FROM ent WHERE node NOT LIKE 'P:%' UNION ALL SELECT DISTINCT 'describes', 'K' || k, node, NULL FROM ent
+  UNION ALL SELECT 'edge', src || '|has_property|P:' || dst, string_agg(doc, ',' ORDER BY doc), NULL FROM done GROUP BY src, dst
+  UNION ALL SELECT DISTINCT 'queue', 'orphan_anchor', doc, 'customer' FROM part_ WHERE k % 3 = 1 UNION ALL SELECT 'queue', 'coord_mismatch', doc, 'N1@' || k FROM part_ WHERE k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 1 AND n_regionkey = 1)
+  UNION ALL SELECT 'queue', 'auto_node', seq[1], NULL FROM firsts JOIN vocab USING (s) WHERE category = 'Unit' UNION ALL SELECT DISTINCT 'queue', 'orphan_attach', doc, dest FROM tie WHERE child AND NOT target
+  UNION ALL SELECT 'queue', 'direction_conflict', doc, NULL FROM (SELECT DISTINCT doc, p_name, p_type FROM rel WHERE kind = 1)
+  UNION ALL SELECT 'defect', 'relation', CAST(k AS VARCHAR), p_type || '|has_property|nothing' FROM rel WHERE kind = 2 UNION ALL SELECT 'defect', 'attach', CAST(k AS VARCHAR), p_name || '|' || dest FROM tie WHERE NOT child)
+"""
 ORACLE_SQL = {
+    "build_prose_document": _P + "SELECT what, a, b, c, count(*) AS n FROM outs GROUP BY 1, 2, 3, 4",
     "build_document": _R + "SELECT what, a, b, c, count(*) AS n FROM outs GROUP BY 1, 2, 3, 4",
     "uncertain_matches": _R + """, apart AS (SELECT canon AS name, pol, min(doc) AS doc, bool_or((ax AND (k % 6 = 0 OR (k % 3 = 1 AND (k - 1) % 6 = 0))) OR (NOT ax AND k % 3 = 0 AND k % 4 = 2 AND more AND k % 5 = 4) OR (NOT ax AND k % 3 = 1 AND k % 4 = 3 AND (k - 1) % 5 <> 4)) AS like_ FROM made GROUP BY 1, 2 UNION ALL SELECT kcanon, kpol, min(doc), false FROM made GROUP BY 1, 2)
  SELECT CASE WHEN like_ THEN 'uncertain_match' ELSE 'auto_node' END AS kind, count(*) AS n, min(doc) AS least FROM apart GROUP BY 1""",
