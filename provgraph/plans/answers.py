@@ -8,6 +8,7 @@ from ..operators import answer as A
 from ..operators import changes as C
 from ..operators import export as E
 from ..operators import graph as G
+from ..operators import gauges as U
 from ..operators.state import checkpoint
 from . import world as W
 from .world import SQL, read
@@ -65,7 +66,7 @@ def next_of_nodes(spark, sf_dir):
 
 
 def flow_chain(spark, sf_dir):
-    return W.precedes(spark, sf_dir).join(W.nodes(spark, sf_dir).where("polarity = 'none'").select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
+    return G.flow_chain(W.precedes(spark, sf_dir), W.nodes(spark, sf_dir), "precedes")
 
 
 def answers(spark, sf_dir):
@@ -115,16 +116,10 @@ def graph_view(spark, sf_dir):
     return W.nodes(spark, sf_dir).groupBy("layer", F.col("category").alias("what")).agg(F.count("*").alias("n")).union(W.edges(spark, sf_dir).groupBy(F.lit("edge").alias("layer"), "rel").agg(F.count("*")))
 
 
-#: Fixed: the closed list of queue kinds.
-KINDS = ("auto_node", "uncertain_match", "orphan_anchor", "coord_mismatch", "invalid_category", "spec_conflict", "mirror_asymmetry", "evidence_lost", "unknown_field", "missing_field", "orphan_attach", "parse_failure", "duplicate_doc_hold", "direction_conflict", "direction_unverifiable", "orphan_chunk_link", "attach_conflict", "structural_proposal", "adapter_mismatch", "hierarchy_unresolved")
-
-
 def queue_view(spark, sf_dir):
     """Counts of every kind, none left out, and kinds outside the list."""
-    kinds = spark.createDataFrame([(k,) for k in KINDS], "kind string")
     kind = F.when(F.col("event_type") == "error", "parse_failure").when(F.col("event_type") == "view", "auto_node").otherwise(F.concat(F.lit("alien_"), "event_type"))
-    found = read(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-    return kinds.join(found, "kind", "full_outer").select("kind", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    return U.queue_view(read(spark, sf_dir, "events").select(kind.alias("kind"))).select("kind", "n")
 
 
 def _moved(spark, sf_dir):
@@ -269,7 +264,7 @@ ORACLE_SQL = {
     "gauge_hold_rate": "SELECT o_orderstatus, round(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) / count(*), 3) AS hold_rate FROM orders GROUP BY 1",
     "gauge_hubs": SQL + "SELECT layer, id, degree, CAST(r AS INTEGER) AS rank FROM (SELECT layer, n.id, degree, row_number() OVER (PARTITION BY layer ORDER BY degree DESC, n.id DESC) AS r FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d JOIN nodes n ON n.id = d.id) WHERE r <= 3",
     "graph_view": SQL + "SELECT layer, category AS what, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY 2",
-    "queue_view": "SELECT coalesce(k.kind, f.kind) AS kind, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") k(kind) FULL JOIN (SELECT CASE event_type WHEN 'error' THEN 'parse_failure' WHEN 'view' THEN 'auto_node' ELSE 'alien_' || event_type END AS kind, count(*) AS n FROM events GROUP BY 1) f ON k.kind = f.kind",
+    "queue_view": "SELECT coalesce(k.kind, f.kind) AS kind, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{k}')" for k in U.KINDS) + ") k(kind) FULL JOIN (SELECT CASE event_type WHEN 'error' THEN 'parse_failure' WHEN 'view' THEN 'auto_node' ELSE 'alien_' || event_type END AS kind, count(*) AS n FROM events GROUP BY 1) f ON k.kind = f.kind",
     "transit_redirect": "SELECT p_partkey AS id, p_partkey - p_partkey % 5 + 4 AS target FROM part WHERE p_partkey % 5 <> 4",
     "chain_ends": "SELECT o_orderkey AS id, CASE WHEN o_orderkey // 100 % 3 > 0 THEN o_orderkey // 100 * 100 + 99 ELSE greatest(o_orderkey, o_orderkey // 100 * 100 + 10) END AS target FROM orders WHERE o_orderkey % 100 < 99 OR o_orderkey // 100 % 3 = 0",
     "chain_circles": "SELECT DISTINCT 'chain_circle' AS kind, CAST(o_orderkey // 100 * 100 + 10 AS VARCHAR) AS key, 90 AS length, 100 AS ids FROM orders WHERE o_orderkey // 100 % 3 = 0",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import resolve as R
+from ..operators import skeleton as S
 from ..operators.terms import contained
 from . import world as W
 from .world import SQL, read
@@ -46,8 +47,8 @@ def skeleton_stale(spark, sf_dir):
 
 
 def flow_lines(spark, sf_dir):
-    names = W.nodes(spark, sf_dir).where("tier = 'sub'").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct(F.substring("id", 2, 9).cast("int").alias("o"), "canonical"))).alias("l"))
-    return names.select("parent", F.array_join(F.transform("l", lambda x: x["canonical"]), " → ").alias("line"))
+    own = W.nodes(spark, sf_dir).where("tier = 'sub'").select("canonical", "parent", F.lit(None).cast("string").alias("axis"), F.substring("id", 2, 9).cast("int").alias("place"), F.lit(True).alias("ordered"))
+    return S.flow_lines(own)
 
 
 def ancestor_closure(spark, sf_dir):
@@ -86,8 +87,10 @@ def coord_mismatch(spark, sf_dir):
 
 
 def axis_mismatch(spark, sf_dir):
-    rows = _pieces(spark, sf_dir).where("axis in ('customer', 'supplier')")
-    return rows.where("axis <> 'supplier'").select("piece", F.lit("supplier").alias("bound"), "axis")
+    """Suppliers' rows at the supplier instance of their nation, with an axis value of their own."""
+    home = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("piece"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"), F.lit(":supplier")).alias("node"))
+    rows = _pieces(spark, sf_dir).where("axis in ('customer', 'supplier')").join(home, "piece")
+    return G.axis_mismatch(rows, W.nodes(spark, sf_dir), "piece", "node", "axis").select("piece", "bound", "axis")
 
 
 def bind_names(spark, sf_dir):
@@ -146,8 +149,8 @@ def edge_upsert(spark, sf_dir):
 
 
 def edge_tombstone_skip(spark, sf_dir):
-    new = W.occurs_in(spark, sf_dir).select("src", "rel", "dst").distinct()
-    return new.join(new.where("dst like 'N1%'"), G.EDGE, "left_anti")
+    new = W.occurs_in(spark, sf_dir)
+    return G.upsert(new.limit(0), new, new.where("dst like 'N1%'")).select(*G.EDGE)
 
 
 def gate_verdicts(spark, sf_dir):
