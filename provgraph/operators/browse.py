@@ -62,6 +62,19 @@ def review_stats(pieces: DataFrame, doc: str, section: str, text: str) -> DataFr
     return pieces.groupBy(doc).agg(F.count("*").alias("pieces"), F.count_if(blank).alias("blank"), F.max(depth).alias("deepest"))
 
 
+def anomalies(samples: DataFrame, failures: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """(doc_type, samples, failures, warnings, questions): of each type of samples (doc_type, doc) what a review must show: failures (doc, reason), each
+    of them; a warning where there is one sample only, which proves no pattern; and a question for each column that no role
+    was found for (doc_type, field)."""
+    own = samples.select("doc_type", "doc").distinct()
+    out = own.groupBy("doc_type").agg(F.count("*").alias("samples"))
+    failed = failures.join(own, "doc").groupBy("doc_type").agg(F.count("*").alias("failures"))
+    asked = unmapped.select("doc_type", "field").distinct().groupBy("doc_type").agg(F.count("*").alias("questions"))
+    out = out.join(failed, "doc_type", "left").join(asked, "doc_type", "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select("doc_type", "samples", F.coalesce("failures", zero).alias("failures"), (F.col("samples") < 2).cast("bigint").alias("warnings"), F.coalesce("questions", zero).alias("questions"))
+
+
 def over_threshold(slides: DataFrame, doc: str, chars: int, shapes: int) -> DataFrame:
     """(doc, slides, over): a deck's slides (chars, shapes), and how many are over one of the limits."""
     over = (F.col("chars") > chars) | (F.col("shapes") > shapes)

@@ -67,6 +67,14 @@ def headings(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("depth", F.when(is_heading, F.size(F.split(F.regexp_extract(line, HEADING, 1), r"\."))).cast("int")).withColumn("title", F.when(is_heading, F.trim(F.regexp_extract(line, HEADING, 2))))
 
 
+def propose_maps(lines: DataFrame, stored: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, order, heading, level, source): a row a line of each document's map: the `stored` one (doc, order, heading, level), as it is, if
+    there is one, else by numbered headings, with level 0 for the other lines."""
+    kept = stored.select(doc, order, "heading", F.col("level").cast("int").alias("level"), F.lit("stored").alias("source"))
+    rest = headings(lines.join(stored.select(doc).distinct(), doc, "left_anti"), text)
+    return kept.union(rest.select(doc, order, F.col("depth").isNotNull(), F.coalesce("depth", F.lit(0)), F.lit("heuristic")))
+
+
 def heading_paths(heads: DataFrame, doc: str, order: str) -> DataFrame:
     """(doc, chunk, section) for headings (doc, order, depth, title): the path of titles that holds after the chunk'th
     heading, of any depth. A document's outline is folded in order; a heading closes those as deep or deeper."""

@@ -228,6 +228,23 @@ def header_unmappable(spark, sf_dir):
     return V.unmappable(headers, roles)
 
 
+def map_propose(spark, sf_dir):
+    """Documents of lines, a third of which have a stored map that calls every line a heading."""
+    lines = _lines(spark, sf_dir)
+    stored = lines.where("doc % 3 = 0").select("doc", "pos", F.lit(True).alias("heading"), F.lit(1).alias("level"))
+    return P.propose_maps(lines, stored, "doc", "pos", "text").groupBy("doc", "source").agg(F.count("*").alias("n"), F.count_if("heading").alias("headings"), F.sum("level").alias("levels"))
+
+
+def review_anomalies(spark, sf_dir):
+    """Orders as samples of a type a customer: violations of their sheets, types with one sample, columns that no role was found for."""
+    k = F.col("o_orderkey")
+    kind = F.concat(F.lit("T"), _s("o_custkey"))
+    samples = read(spark, sf_dir, "orders").select(kind.alias("doc_type"), _s("o_orderkey").alias("doc"))
+    failures = _table(spark, sf_dir)[1].select("doc", F.col("field").alias("reason"))
+    unmapped = read(spark, sf_dir, "orders").where(k % 4 == 0).select(kind.alias("doc_type"), F.col("o_orderpriority").alias("field"))
+    return V.anomalies(samples, failures, unmapped)
+
+
 def review_depths(spark, sf_dir):
     chunks = P.heading_chunks(_lines(spark, sf_dir), "doc", "pos", "text")
     return V.review_stats(chunks.withColumn("text", F.when(F.col("chunk") % 2 == 0, F.col("text"))), "doc", "section", "text")
@@ -249,7 +266,7 @@ def contract_sample(spark, sf_dir):
     return V.contract_sample(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("doc_type"), F.col("o_orderkey").alias("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (normalise_counts, normalise_observed, table_records, adapter_udtf, adapter_violations, table_violations, table_default_context, table_ints, map_flat_fallback, map_rows_defects, prose_preflight, scan_confirm, coordinate_tags, coordinate_report, image_summaries, envelopes, order_facts, attribute_lines, transit_notes, miss_log, entity_match_gated, node_detail, chunk_detail, tree_detail, schema_roles, header_unmappable, review_depths, slides_over, platform_counts, contract_sample)}
+QUERIES = {f.__name__: f for f in (normalise_counts, normalise_observed, table_records, adapter_udtf, adapter_violations, table_violations, table_default_context, table_ints, map_flat_fallback, map_rows_defects, prose_preflight, scan_confirm, coordinate_tags, coordinate_report, image_summaries, envelopes, order_facts, attribute_lines, transit_notes, miss_log, entity_match_gated, node_detail, chunk_detail, tree_detail, schema_roles, header_unmappable, map_propose, review_anomalies, review_depths, slides_over, platform_counts, contract_sample)}
 
 _ROWS = """WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
  t AS (SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS doc, 'Sheet!R' || (n + 2) AS locator, n, CASE WHEN n % 2 = 1 THEN CAST(p AS VARCHAR) END AS own, CASE WHEN l_orderkey % 10 <> 0 OR n % 3 <> 0 THEN CAST(s AS VARCHAR) END AS supplier, CASE WHEN n % 2 = 1 THEN f END AS flag FROM l),
@@ -300,6 +317,8 @@ ORACLE_SQL = {
     "tree_detail": SQL + f", {_UP} SELECT string_agg(a.canonical, '/' ORDER BY u.depth DESC) AS path, n.id, CAST(max(u.depth) AS INTEGER) AS depth, n.tier, n.polarity AS axis, CASE WHEN n.tier = 'detail' THEN n.polarity ELSE '' END AS aliases, min(p.dst) AS next FROM nodes n JOIN up u ON u.node = n.id JOIN nodes a ON a.id = u.ancestor LEFT JOIN precedes p ON p.src = n.id WHERE n.status = 'seed' GROUP BY n.id, n.tier, n.polarity",
     "schema_roles": "SELECT r_name AS doc_type, p AS place, f AS field, o AS role, t AS target FROM region, (VALUES (0, 'name', 'entity', 'Unit'), (1, 'note', 'content', '')) v(p, f, o, t)",
     "header_unmappable": "SELECT CAST(n_regionkey AS VARCHAR) AS doc_type, CAST(n_nationkey AS VARCHAR) AS col, n_name AS label FROM nation WHERE n_nationkey % 4 <> 2",
+    "map_propose": f"SELECT doc, CASE WHEN doc % 3 = 0 THEN 'stored' ELSE 'heuristic' END AS source, count(*) AS n, count(*) FILTER (WHERE doc % 3 = 0 OR pos % 7 < 3) AS headings, CAST(sum(CASE WHEN doc % 3 = 0 THEN 1 WHEN pos % 7 < 3 THEN pos % 7 + 1 ELSE 0 END) AS BIGINT) AS levels FROM ({_L}) GROUP BY 1",
+    "review_anomalies": _ROWS + "SELECT 'T' || o_custkey AS doc_type, count(*) AS samples, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS failures, CAST(count(*) < 2 AS BIGINT) AS warnings, count(DISTINCT o_orderpriority) FILTER (WHERE o_orderkey % 4 = 0) AS questions FROM orders LEFT JOIN (SELECT doc, count(*) AS n FROM r WHERE supplier IS NULL GROUP BY 1) f ON f.doc = CAST(o_orderkey AS VARCHAR) GROUP BY o_custkey",
     "review_depths": _DEPTHS + "SELECT doc, count(*) AS pieces, count(*) FILTER (WHERE chunk % 2 = 1) AS blank, CAST(max(deep) AS INTEGER) AS deepest FROM k GROUP BY 1",
     "slides_over": "SELECT conv_id, count(*) AS slides, count(*) FILTER (WHERE chars > 600 OR shapes > 5) AS over FROM (SELECT conv_id, turn // 4 AS slide, sum(length(trim(text))) AS chars, count(*) AS shapes FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2) GROUP BY 1",
     "platform_counts": SQL + "SELECT 'node' AS what, status AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'document', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'change', event_type, count(*) FROM events GROUP BY 2",

@@ -6,6 +6,7 @@ from provgraph.functions import text as T
 from provgraph.operators import answer as A
 from provgraph.operators import build as B
 from provgraph.operators import changes as C
+from provgraph.operators import export as E
 from provgraph.operators import graph as G
 from provgraph.operators import intake as I
 from provgraph.operators import parse as P
@@ -132,6 +133,13 @@ def test_tree_as_configuration_and_as_table(spark):
     assert own(S.parse_tree(spark, tree, ["left", "right"])) == own(found) == want and defects.isEmpty()
 
 
+def test_csv_begins_with_the_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("a", ["x", "y"]), ("b", None), ("c", [])], "id string, docs array<string>").coalesce(1)
+    E.write_csv(E.csv_rows(df, ["docs"]), str(tmp_path / "csv"))
+    (file,) = (tmp_path / "csv").glob("part-*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfid,docs") and [x.split(",")[0] for x in file.read_text("utf-8-sig").splitlines()] == ["id", "a", "b", "c"] and "a,x | y" in file.read_text("utf-8-sig")
+
+
 def test_adapters_of_users(spark):
     class Good(Adapter):
         fields, required = ("a", "b"), ("a",)
