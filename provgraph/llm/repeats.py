@@ -139,10 +139,12 @@ def _shared(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.ndar
 
 
 def _contexts(seeded: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
-    """(key, id, kind, place, mask, context): seeds with the windows that picked them (bit o: begins o words before) and
+    """(key, id, kind, place, more, mask, context): seeds with the windows that picked them (bit o: begins o words before) and
     the words around, as far as those reach; with `packed`, runs of windows that an earlier document of the block has. The
-    key is the anchor; of `hot` anchors it is the window's, and there is a row a window."""
+    key is the anchor; of `hot` anchors it is the window's, and there is a row a window. Seeds of one document that are equal
+    in all this are one row, with the other places in `more`."""
     reach = length - gram
+    weights = [powers(odd(i), 2 * reach + 1)[1:] for i in (73, 74)]
     p, _ = _weights(reach)
     sent = seeded.sparkSession.sparkContext.broadcast(hot)
     around = np.concatenate([np.arange(-reach, 0), np.arange(gram, length)])
@@ -190,21 +192,30 @@ def _contexts(seeded: DataFrame, length: int, gram: int, hot: np.ndarray) -> Dat
                         masks.append(np.full(len(of), 1 << o))
                     of = np.concatenate(own_)
                     seeds, near, key, mask = seeds[of], near[of], np.concatenate(keys), np.concatenate(masks)
+                held = w.words.doc[seeds]
+                place = (seeds - w.words.first[held]).astype(np.int32)
+                same = _groups(held, key, mask, *((near * x).sum(axis=1, dtype=U64) for x in weights))
+                order = np.argsort(same, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+                end, one_of = np.append(begin[1:], len(order)), order[begin]
+                more = [None] * len(begin)
+                for i in np.flatnonzero(end - begin > 1).tolist():
+                    more[i] = place[order[begin[i] + 1 : end[i]]].tobytes()
+                seeds, near, key, mask, held, place = seeds[one_of], near[one_of], key[one_of], mask[one_of], held[one_of], place[one_of]
                 context = near.astype("<u8").view(np.uint8).reshape(len(seeds), 2 * reach, 8)[:, :, :5].tobytes()
                 size = 10 * reach
                 at = pa.array(np.arange(len(seeds) + 1) * size, pa.int32())
-                held = w.words.doc[seeds]
                 none = [None] * len(own)
                 yield batch_of(
                     key=np.concatenate([key, mine]),
                     id=np.concatenate([ids[held], ids[own]]), kind=np.concatenate([kinds[held], kinds[own]]),
-                    place=pa.concat_arrays([pa.array((seeds - w.words.first[held]).astype(np.int32)), pa.array(none, pa.int32())]),
+                    place=pa.concat_arrays([pa.array(place), pa.array(none, pa.int32())]), more=pa.array(more + none, pa.binary()),
                     mask=np.concatenate([mask, np.zeros(len(own), np.int64)]),
                     context=pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(seeds), [None, at.buffers()[1], pa.py_buffer(context)]), pa.array(none, pa.binary())]),
                     packed=pa.array([None] * len(seeds) + [_runs(np.frombuffer(x, np.int32)).tobytes() for x in parts], pa.binary()),
                 )
 
-    return seeded.mapInArrow(run, "key bigint, id bigint, kind bigint, place int, mask bigint, context binary, packed binary")
+    return seeded.mapInArrow(run, "key bigint, id bigint, kind bigint, place int, more binary, mask bigint, context binary, packed binary")
 
 
 def _weights(reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +224,7 @@ def _weights(reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirmed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, kind, place, mask, packed): of each seed the windows that an earlier document has."""
+    """(id, kind, place, more, mask, packed): of each seed the windows that an earlier document has."""
     reach = length - gram
     p, q = _weights(reach)
 
@@ -236,9 +247,9 @@ def _confirmed(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 mask[some[id_[some] > low]] |= 1 << o
             found = pa.array(mask > 0)
             out = asks.set_column(asks.column_names.index("mask"), "mask", pa.array(mask)).filter(found)
-            yield from pa.concat_tables([out, settled]).select(["id", "kind", "place", "mask", "packed"]).to_batches()
+            yield from pa.concat_tables([out, settled]).select(["id", "kind", "place", "more", "mask", "packed"]).to_batches()
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id bigint, kind bigint, place int, mask bigint, packed binary")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id bigint, kind bigint, place int, more binary, mask bigint, packed binary")
 
 
 def _runs(place: np.ndarray) -> np.ndarray:
@@ -260,7 +271,10 @@ def _windows(kind: int, seeds, packed, reach: int) -> tuple[np.ndarray, np.ndarr
     begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if seeds.is_valid and len(seeds.values):
         own, place, mask = (seeds.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        place, mask = place[own == kind].astype(np.int64), mask[own == kind]
+        several = seeds.values.field(3)
+        some = np.flatnonzero((own == kind) & ~np.asarray(several.is_null()))
+        parts = [np.frombuffer(several[i].as_buffer(), np.int32) for i in some.tolist()]
+        place, mask = np.concatenate([place[own == kind], *parts]).astype(np.int64), np.concatenate([mask[own == kind], *(np.full(len(x), mask[i]) for i, x in zip(some.tolist(), parts, strict=True))])
         for o in range(reach + 1):
             some = place[(mask >> o & 1).astype(bool)] - o
             begin.append(some)
@@ -284,7 +298,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         shared = shared.groupBy("id").agg(F.collect_list("place").alias("single"), F.collect_list("packed").alias("packed"))
         seeded = docs.join(shared, "id", "left").select("id", "kind", "text", "single", "packed")
         found = checkpoint(_confirmed(_contexts(seeded, length, gram, hot), length, gram))
-    seed, run_ = F.when(F.col("place").isNotNull(), F.struct("kind", "place", "mask")), F.when(F.col("packed").isNotNull(), F.struct("kind", "packed"))
+    seed, run_ = F.when(F.col("place").isNotNull(), F.struct("kind", "place", "mask", "more")), F.when(F.col("packed").isNotNull(), F.struct("kind", "packed"))
     found = found.groupBy("id").agg(F.collect_list(seed).alias("seeds"), F.collect_list(run_).alias("runs"))
 
     def remove(batches):

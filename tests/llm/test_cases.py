@@ -151,6 +151,20 @@ def test_hot_anchor_is_split_by_window(spark, monkeypatch):
     assert largest[0] <= 60
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_what_a_document_repeats_is_a_row(spark, monkeypatch, hot):
+    """A line that a document holds hundreds of times, and others too: equal seeds of one document go out once."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    sizes = []
+    confirmed = repeats._confirmed
+    monkeypatch.setattr(repeats, "_confirmed", lambda c, *a: sizes.append(c.count()) or confirmed(c, *a))
+    line = " ".join(f"l{i}" for i in range(14))
+    table = [(i, f"head{i} " + (line + " ") * (300 if i < 3 else 1 + i % 2) + " ".join(["w"] * 400 if i == 5 else [f"t{i}"])) for i in range(12)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    assert sorted(repr((x["doc_id"], x["n_words"], x["n_removed"], x["text"])) for x in rows(repeats.repeats(df))) == sorted(covered(table, 13))
+    assert sizes[0] < 600
+
+
 def test_repeated_key_keeps_its_other_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     got = rows(repeats.repeats(spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")))
