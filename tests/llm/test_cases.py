@@ -315,6 +315,24 @@ def test_split_buckets_lose_no_link(spark, monkeypatch, p, own):
     assert got == {i: c for i, (_, c) in linked_brute(table, 1, p).items()}
 
 
+def test_jaccard_leaves_judged_buckets(spark, monkeypatch):
+    """Buckets whose sets named all their candidates are not dealt out again, though they hold sets of several components."""
+    dealt, blocks = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: dealt.append(blocks(*a)) or dealt[-1])
+    r, table = random.Random(8), []
+    for i in range(60):  # pairs that share keys and do not link
+        common = [f"c{i}x{j}" for j in range(30)]
+        for own in "ab":
+            table.append((len(table), " ".join(common + [f"{own}{i}x{j}" for j in range(10)])))
+    base = [f"g{j}" for j in range(60)]
+    for _ in range(12):  # a group of near copies: more candidates than a first round names
+        table.append((len(table), " ".join(w if r.random() > 0.08 else f"h{r.randrange(10**6)}" for w in base)))
+    got = {x["doc_id"]: x["component_id"] for x in rows(jaccard.similar(spark.createDataFrame(table, "doc_id long, text string"), k=1, p=80))}
+    assert got == {i: c for i, (_, c) in linked_brute(table, 1, 80).items()}
+    sizes = [d.where("id < 120").count() for d in dealt]
+    assert sizes[0] > 20 and len(sizes) > 1 and not any(sizes[1:]), sizes
+
+
 def test_key_with_two_texts_joins_their_groups(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     got = rows(jaccard.similar(spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (9, "")], "doc_id long, text string")))
