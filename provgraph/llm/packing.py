@@ -22,21 +22,27 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, free, steps, table, texts
+from .common import batch_of, bytes_of, checkpoint, free, offsets_of, steps, table, texts
 
 CAPACITY, CLASSES = 4096, 4096
 #: Bytes of words and their ids that a worker keeps, about, and as many of before; rows of one class that one task ranks, about.
 KEPT, RANKED = 96 << 20, 200_000
-#: Bytes of a kept word beside its letters and ids; new words that the tokenizer gets at once.
-ENTRY, TOGETHER = 170, 8192
+#: Bytes of a kept word beside its letters and ids; new words that the tokenizer gets at once; marks that part from letters.
+ENTRY, TOGETHER, MARKS = 170, 8192, b".,;:!?#$%&*+-/<=>@()[]{}|~^\"\\`"
+#: Whether a word has small letters of Latin-1 alone.
+SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 STEP, ROUNDS, PHASES = 0.05, 1500, 4
+#: Rounds after which what is found is tried.
+TRIED = (100, 200, 400, 800)
 #: Items that best fit takes without the program; rooms that one step of the dynamic program looks at.
 REST, BLOCK = 4096, 64
 
@@ -49,13 +55,18 @@ def _letters(word: bytes) -> bool:
     return s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)
 
 
+def _joined(tokenizer, words: list[str]) -> np.ndarray:
+    """The ids of words as one text."""
+    return np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+
+
 class WordTokens:
     """Ids of texts by a tokenizers file whose ids of a word do not depend on the words around it. The file's added tokens
     (<|endoftext|> and the like) are cut out first, as they stand, where they are not to be `plain` text."""
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -69,59 +80,101 @@ class WordTokens:
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
         self.known, self.before, self.kept = dict(self.added), {}, 0
-
-    def words(self, text: bytes) -> list[bytes]:
-        if not any(x in text for x in self.specials):
-            return text.lower().split()  # the tokenizer lower-cases too; bytes only A-Z
+        # Small Latin letters need no normal form, and only white space parts them; tried on some, in case the file has it otherwise.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        some = [w for t in sorted(self.tokenizer.get_vocab()) if SMALL((w := t.removesuffix(suffix or "")).encode())]
+        some = [x + w + y for w in some[:: len(some) // 1000 + 1] for x, y in (("", ""), ("\xe9", "\xdf"))]
+        if not np.array_equal(*(_joined(t, some) for t in (self.bare, self.tokenizer))):
+            self.bare = self.tokenizer
+
+    def words(self, batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and where those of each text begin (with the end as last)."""
+        raw = bytes_of(batch)[0].tobytes()
+        if any(x in raw for x in self.specials):
+            lists = [self._words_beside_added(x.as_buffer().to_pybytes()) for x in batch]
+            at = np.cumsum([0, *map(len, lists)])
+            return pa.array([w for x in lists for w in x], pa.large_binary()), at
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch))  # the tokenizer lower-cases too
+        return lists.flatten(), offsets_of(lists)
+
+    def _words_beside_added(self, text: bytes) -> list[bytes]:
         parts = self.cut.split(text)
         return [w for i, part in enumerate(parts) for w in ([b"A" + part] if i % 2 else part.lower().split())]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers. Words lie between ASCII white space."""
-        words = [self.words(x) for x in batch]
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, at = self.ids(pa.array(batch, pa.large_string()))
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def ids(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin (with the end as last). Words lie between ASCII white
+        space; each distinct one is looked up once."""
+        words, first = self.words(batch)
+        words = words.dictionary_encode()
+        own = self._ids_of(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        at, flat = np.cumsum([0, *map(len, own)]) // 4, np.frombuffer(b"".join(own), "<u4")
+        word = words.indices.to_numpy(zero_copy_only=False)
+        end = np.concatenate([[0], np.cumsum(np.diff(at)[word])])
+        n = np.diff(end)
+        return flat[np.arange(end[-1]) + np.repeat(at[word] - end[:-1], n)], end[first]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         if self.kept > KEPT:  # what is met again is taken over
             self.known, self.before, self.kept = dict(self.added), self.known, 0
         known = self.known
-        new = [w for w in set().union(*words) if w not in known]
+        out = [*map(known.get, words)]
+        new = [i for i, x in enumerate(out) if x is None]
         if self.before:
-            again = {w: self.before[w] for w in new if w in self.before}
-            known |= again
-            self._count(again)
-            new = [w for w in new if w not in again]
-        # Letters are one word of the tokenizer's own, and the marks after them another.
-        ends = {w: stem for w in new if (stem := w.rstrip(b".,;:!?")) != w and _letters(stem)}
-        plain = {*(w for w in new if w not in ends), *(x for w, stem in ends.items() for x in (stem, w[len(stem) :]))}
-        plain = [w for w in plain if w not in known]
-        self._learn(plain, set(ends.values()))
-        for word, stem in ends.items():
-            known[word] = known[stem] + known[word[len(stem) :]]
-        self._count(plain)
-        self._count(ends)
-        return [b"".join(map(known.__getitem__, x)) for x in words]
-
-    def _count(self, words) -> None:
-        n = len(words)
-        self.kept += n * ENTRY + sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words)))
-
-    def _learn(self, new: list[bytes], stems: set[bytes]) -> None:
-        """Ids of words: those of letters alone, as stems are, which are a word of the tokenizer's own each, as one text; others
-        a text each."""
-        letters, others = [], []
+            again = {w: x for w in map(words.__getitem__, new) if (x := self.before.get(w)) is not None}
+            self._keep(again.keys(), again.values())
+        self._learn([w for i in new if (w := words[i]) not in known])
+        for i in new:
+            out[i] = known[words[i]]
+        return out
+
+    def _keep(self, words, ids) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.kept += len(words) * ENTRY + sum(map(len, words)) + sum(map(len, ids))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of words: those of letters alone, which are a word of the tokenizer's own each, as one text; others a text each.
+        Letters and the marks after them are a word of the tokenizer's own each, too."""
+        known, plain, letters, others, ends = self.known, set(), set(), set(), []
         for w in new:
-            (letters if w in stems or _letters(w) else others).append(w)
-        for i in range(0, len(letters), TOGETHER):
-            part = letters[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) != len(part):
-                others += part
+            if w.isalpha():
+                plain.add(w)
+                continue
+            stem = w.rstrip(MARKS)
+            own = plain if SMALL(stem) else letters if stem and _letters(stem) else None
+            if own is None:
+                others.add(w)
                 continue
-            raw, stops = ids.tobytes(), (4 * stops).tolist()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+            if stem not in known:
+                own.add(stem)
+            if stem != w:
+                mark = w[len(stem) :]
+                ends.append((w, stem, mark))
+                if mark not in known:
+                    others.add(mark)
+        for tokenizer, words in ((self.bare, [*plain]), (self.tokenizer, [*letters])):
+            for i in range(0, len(words), TOGETHER):
+                part = words[i : i + TOGETHER]
+                ids = _joined(tokenizer, [w.decode() for w in part])
+                stops = np.flatnonzero(self.last[ids]) + 1
+                if len(stops) != len(part):
+                    others.update(part)
+                    continue
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self._keep(part, [*map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops))])
+        others = [*others]
         for i in range(0, len(others), TOGETHER):
             part = others[i : i + TOGETHER]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = array("I", e.ids).tobytes()
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self._keep(part, [array("I", e.ids).tobytes() for e in found])
+        self._keep([w for w, _, _ in ends], [known[stem] + known[mark] for _, stem, mark in ends])
 
 
 @functools.lru_cache(2)
@@ -132,19 +185,28 @@ def tokens(path: str, plain: bool = False) -> WordTokens:
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 1, plain: bool = False) -> DataFrame:
     """(key, piece, start, length, ids): a document's ids and the end id, cut where the capacity is reached. The strings of
     the file's added tokens are these tokens, as in the library; with `plain` they are ordinary text."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         words = tokens(path, plain)
         for batch in batches:
-            for part in steps(batch, text, 1 << 20):
-                coded = [x + end for x in words.encode([x.as_buffer().to_pybytes() for x in texts(part, text)])]
-                count = np.array([-(-len(x) // (4 * capacity)) for x in coded])
-                ids = [x[i : i + 4 * capacity] for x in coded for i in range(0, len(x), 4 * capacity)]
-                number = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+            for part in steps(batch, text):
+                flat, at = words.ids(texts(part, text))
+                at = at + np.arange(len(at))  # with the end ids
+                size = np.diff(at)
+                raw = np.full(at[-1], end_id, "<u4")
+                own = np.ones(len(raw), bool)
+                own[at[1:] - 1] = False
+                raw[own] = flat
+                count = -(-size // capacity)
+                begin = np.repeat(at[:-1], count)
+                number = np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)
+                begin += number * capacity
+                length = np.minimum(capacity, np.repeat(at[1:], count) - begin)
+                coded = raw.tobytes()
+                ids = [coded[4 * i : 4 * (i + n)] for i, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield batch_of(
-                    **{key: part.column(0).take(pa.array(np.repeat(np.arange(len(coded)), count)))},
-                    piece=number.astype(np.int32), start=number * capacity, length=np.array([len(x) // 4 for x in ids], np.int64), ids=pa.array(ids, pa.binary()),
+                    **{key: part.column(0).take(pa.array(np.repeat(np.arange(len(size)), count)))},
+                    piece=number.astype(np.int32), start=number * capacity, length=length, ids=pa.array(ids, pa.binary()),
                 )
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
@@ -191,14 +253,17 @@ def fullest(values: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.array([out[x] for x in sizes.tolist()], np.int64)
 
 
-def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple, float]]:
-    """Configurations and how often each is used, fractionally; together they cover about each length's count."""
+def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = STEP) -> Iterator[list[tuple[tuple, float]]]:
+    """Configurations and how often each is used, fractionally; together they cover about each length's count. They come
+    as far as they are after some of the rounds, TRIED, and at the end."""
     used: dict[bytes, list] = {}
     weight = np.where(counts > 0, np.arange(units + 1) / units, 0.0)
     covered, need = np.zeros(units + 1), np.maximum(counts, 1)
-    for _ in range(rounds):
+    for done in range(rounds):
         if not weight.any():
             break
+        if done in TRIED:
+            yield [(c, x) for c, x in used.values()]
         own, n = config = fullest(weight, units)
         times = min(float((need[own] / n).min()) * 0.5, float(((counts[own] - covered[own]) / n).min()))
         entry = used.setdefault(np.stack(config).tobytes(), [config, 0.0])
@@ -206,22 +271,27 @@ def solve(counts: np.ndarray, units: int, rounds: int = ROUNDS, step: float = ST
         covered[own] += times * n
         weight[own] *= np.exp(-step * times * n / need[own])
         weight[own[covered[own] >= counts[own] - 0.5]] = 0.0
-    return [(c, x) for c, x in used.values()]
+    yield [(c, x) for c, x in used.values()]
 
 
 def plan(counts: np.ndarray, units: int) -> list[tuple[tuple, int]]:
     """Configurations (sizes, how many of each) and whole numbers of uses that take exactly `counts` items of each size,
     in no more sequences than best fit alone takes. The program is solved for what is left, phase by phase; first the
     uses of full sequences, rounded down, are kept, then any, for as long as a phase takes a good part and the sequences
-    are more than the tokens need. What is left goes by the last fractions, rounded up, and by best fit."""
+    are more than the tokens need. What is left goes by the last fractions, rounded up, and by best fit. Rounds end once
+    what they have found, so completed, takes no more sequences than the tokens need."""
     left, out, phase = counts.astype(np.int64).copy(), [], 1
     best, bound = best_fit(left, units), -(-int(left @ np.arange(units + 1)) // units)
     while (before := int(left.sum())) and (phase == 1 or before > REST):
-        found, up = sorted(solve(left, units), key=lambda x: -x[1]), left.copy()
-        nearly = _taken(up, found, units, lambda x: np.ceil(x - 1e-9), full=False)
-        whole = _taken(left, found, units, lambda x: np.floor(x + 1e-9), full=phase < PHASES)
-        ways = [out + whole + best_fit(left, units), out + nearly + best_fit(up, units), best]
-        out, best = out + whole, min(ways, key=_sequences)
+        for found in solve(left, units):
+            found, up, rest = sorted(found, key=lambda x: -x[1]), left.copy(), left.copy()
+            nearly = _taken(up, found, units, lambda x: np.ceil(x - 1e-9), full=False)
+            whole = _taken(rest, found, units, lambda x: np.floor(x + 1e-9), full=phase < PHASES)
+            way = min(out + whole + best_fit(rest, units), out + nearly + best_fit(up, units), key=_sequences)
+            if _sequences(way) <= bound:
+                return way
+            best = min(way, best, key=_sequences)
+        left, out = rest, out + whole
         if _sequences(best) <= bound or (phase >= PHASES and left.sum() > before / 2):
             break
         phase += 1

@@ -377,6 +377,59 @@ def test_added_tokens_are_the_library_s(spark):
     assert [r["length"] for r in got if r["doc_id"] == 1] == [4] and sum(r["length"] for r in got if r["doc_id"] == 2) > 900_000
 
 
+class Counted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+    def encode(self, text, **more):
+        self.texts += 1
+        return self.tokenizer.encode(text, **more)
+
+
+def test_ids_of_odd_words_and_what_the_tokenizer_is_given():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), packing.WordTokens(path), np.random.default_rng(6)
+    parts = [*"abzAZ09'.,_<|>$+\\`\"~-", "'s", "'ll", "\xe9", "\xc9", "\xdf", "\xff", "\xd7", "\xf7", "\xb5", "\u0130", "\u01c5", "e\u0301", "\u0301", "\u0338", "\u00a0", "\u2028", "\u3000", "\u4e2d", "\U0001d518", "\U0001f600", "\0", "\x1c", "\x85", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r\n"]
+    texts = ["", " ", " lead", "trail ", "a.", "it's", "don't!?", "s'", "\xc9t\xe9###"] + ["".join(parts[i] for i in r.integers(0, len(parts), r.integers(1, 40))) for _ in range(4000)]
+    for batch in (texts, texts[::-1], [], [""], ["", " "]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in batch])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    words = ["".join(x) + y for x in np.array([*"abcdefghijklmnopqrstuvwxyz\xe9\xf6\xdf"])[r.integers(0, 29, (3000, 9))] for y in ("", "&&&", ".")]
+    own = packing.WordTokens(path)
+    own.tokenizer = Counted(own.tokenizer)
+    got = own.encode([" ".join(words).encode()])
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert own.tokenizer.texts <= 2  # the marks; words of letters need the model alone
+
+
+def test_pieces_at_the_capacity_and_of_empty_texts(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(n, " ".join(["a"] * n) if n else None) for n in (0, 3, 4, 5, 7, 8)] + [(9, "  ")], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], len(r["ids"]) // 4, r["ids"][-4:] == b"\x09\0\0\0") for r in rows(packing.pieces(df, public_tokenizers.path("word_bpe_49k.json"), capacity=4, end_id=9))]
+    want = [(n, i // 4, i, min(4, size - i), min(4, size - i), i + 4 >= size) for n in (0, 3, 4, 5, 7, 8, 9) for size in [n + 1 if n < 9 else 1] for i in range(0, size, 4)]
+    assert sorted(got) == want
+
+
+def test_rounds_end_where_the_bound_is_reached(monkeypatch):
+    counts, asked, fullest = np.bincount(np.random.default_rng(4).integers(1, 900, 40_000), minlength=4097), [], packing.fullest
+    monkeypatch.setattr(packing, "fullest", lambda *x: asked.append(1) or fullest(*x))
+    found, taken = packing.plan(counts, 4096), np.zeros_like(counts)
+    for (sizes, n), times in found:
+        assert sizes @ n <= 4096
+        taken[sizes] += n * times
+    assert (taken == counts).all() and sum(t for _, t in found) == -(-int(counts @ np.arange(4097)) // 4096)
+    assert 0 < len(asked) <= packing.ROUNDS // 2
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_packing_is_never_above_best_fit(spark, sf):
     import public_tokenizers
