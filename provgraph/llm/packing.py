@@ -189,7 +189,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     def run(batches):
         words = tokens(path, plain)
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, 1 << 20):
                 flat, at = words.ids(texts(part, text))
                 at = at + np.arange(len(at))  # with the end ids
                 size = np.diff(at)
@@ -208,6 +208,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
                     **{key: part.column(0).take(pa.array(np.repeat(np.arange(len(size)), count)))},
                     piece=number.astype(np.int32), start=number * capacity, length=length, ids=pa.array(ids, pa.binary()),
                 )
+            pa.default_memory_pool().release_unused()  # the worker stays, and so would this memory
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
 
