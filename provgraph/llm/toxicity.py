@@ -18,11 +18,12 @@ pass through; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from .common import U64, bytes_of, free, hash_ranges, lowered, mix, steps, table
 #: Labelled documents that the models are trained on, at most.
 SAMPLE = 8000
 FOLDS, BATCH, LEAST_ROWS = 3, 32, 4
+#: Text bytes whose features are made at once; they take some 60 times as much memory.
+STEP = 1 << 20
 #: Rounds over its rows that a model is trained for, whatever their number.
 ROUNDS = 12
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
@@ -73,6 +76,14 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the (text, feature) of each."""
+    for batch in batches:
+        for part in steps(batch, text, STEP):
+            yield part, *features(texts(part, text))
+        pa.default_memory_pool().release_unused()  # the worker stays, and so would this memory
+
+
 class Linear:
     """A logistic model over few features, trained BATCH rows at a time; its weights are those with a reason to differ from 0."""
 
@@ -156,14 +167,16 @@ def _cutoff(odds: np.ndarray, y: np.ndarray) -> float:
 def train(found: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
     """found: each row's distinct features; labels: a column for each category."""
     flat = np.concatenate([*found, np.zeros(0, U64)])
-    known, count = np.unique(flat, return_counts=True)
-    known = known[count >= LEAST_ROWS]
+    flat.sort()
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+    known = flat[begin[np.diff(begin, append=len(flat)) >= LEAST_ROWS]]
+    del flat, begin
     rows = []
     for f in found:
         place = np.searchsorted(known, f)
         there = place < len(known)
         place, f = place[there], f[there]
-        rows.append(place[known[place] == f])
+        rows.append(place[known[place] == f].astype(np.int32))
     chain = Chain(list(categories), known, np.zeros((len(categories), len(known))), [], [], [])
     before = np.zeros((len(rows), 0))
     for c in range(len(categories)):
@@ -198,21 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: str
     names = [f"c{i}" for i in range(len(categories))]
 
     def extract(batches):
-        for batch in batches:
-            for part in steps(batch):
-                doc, found = features(texts(part))
-                packed = _split(doc, found, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part["order"], *(part[c] for c in names), pa.array(packed, pa.binary())], names=["order", *names, "found"])
+        for part, doc, found in _parts(batches):
+            packed = _split(doc, found, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part["order"], *(part[c] for c in names), pa.array(packed, pa.binary())], names=["order", *names, "found"])
 
     made = rows.select("order", *names, "text").mapInArrow(extract, f"order bigint, {', '.join(f'{c} int' for c in names)}, found binary")
     # One row for equal feature sets, so copies are in one fold and count once; then the rows of one bounded sample train.
     made = made.groupBy("found").agg(F.min("order").alias("order"), *(F.max(c).alias(c) for c in names))
 
     def learn(t: pa.Table) -> pa.Table:
-        t = t.sort_by("order")
+        at = pc.sort_indices(t["order"])  # the features themselves stay where they are
+        own = t.select(["order", *names]).take(at)
         found = [np.frombuffer(x.as_buffer(), U64) for x in t["found"]]
-        y = np.stack([t[c].to_numpy() for c in names], axis=1)
-        chain = train(found, y, (mix(t["order"].to_numpy().view(U64)) % U64(FOLDS)).astype(int), categories)
+        y = np.stack([own[c].to_numpy() for c in names], axis=1)
+        chain = train([found[i] for i in at.to_pylist()], y, (mix(own["order"].to_numpy().view(U64)) % U64(FOLDS)).astype(int), categories)
         packed = [chain.known.tobytes(), chain.weights.tobytes()]
         return pa.table({"known": pa.array(packed[:1], pa.binary()), "weights": pa.array(packed[1:], pa.binary()), "earlier": pa.array([[x.tolist() for x in chain.earlier]], pa.list_(pa.list_(pa.float64()))), "bias": pa.array([chain.bias], pa.list_(pa.float64())), "threshold": pa.array([chain.threshold], pa.list_(pa.float64()))})
 
@@ -233,20 +245,21 @@ def _split(doc, found, n):
 
 def score(df: DataFrame, chain: Chain, text: str = "text", out: str = "toxicity") -> DataFrame:
     """The rows and `out`: a struct of p_<category> and is_<category> for each category of the chain."""
-    rest, scored = [c for c in df.columns if c != out], free(df, "scored")
-    rows = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(scored))
+    rest = [c for c in df.columns if c != out]
+    rows, scored = df.select(*rest), text
+    if text not in rest or dict(df.dtypes)[text] != "string":  # else the text goes to the workers once
+        scored = free(df, "scored")
+        rows = df.select(*rest, F.col(text).cast("string").alias(scored))
     fields = ",".join(f"p_{c}:double,is_{c}:boolean" for c in chain.categories)
     shared = df.sparkSession.sparkContext.broadcast(chain)  # bounded by the sample's features
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            for part in steps(batch, scored):
-                odds = model.odds(*features(texts(part, scored)), part.num_rows)
-                p = 1 / (1 + np.exp(-odds))
-                columns = [x for c, name in enumerate(model.categories) for x in ((f"p_{name}", pa.array(p[:, c])), (f"is_{name}", pa.array(p[:, c] >= model.threshold[c])))]
-                made = pa.StructArray.from_arrays([x for _, x in columns], names=[n for n, _ in columns])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*rest, out])
+        for part, doc, found in _parts(batches, scored):
+            p = 1 / (1 + np.exp(-model.odds(doc, found, part.num_rows)))
+            columns = [x for c, name in enumerate(model.categories) for x in ((f"p_{name}", pa.array(p[:, c])), (f"is_{name}", pa.array(p[:, c] >= model.threshold[c])))]
+            made = pa.StructArray.from_arrays([x for _, x in columns], names=[n for n, _ in columns])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], made], names=[*rest, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema)
     return rows.mapInArrow(run, f"{schema}, `{out}` struct<{fields}>")

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -483,6 +484,25 @@ def test_toxicity_of_odd_tables(spark):
     assert len(set(runs[1][np.isin(runs[0], [0, 1])])) == len(np.unique(runs[1])) and set(runs[1][runs[0] == 0]) != set(runs[1][runs[0] == 1])
 
 
+def test_toxicity_takes_little_memory(spark, monkeypatch):
+    df, sent = spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}
+    chain = toxicity.Chain(["toxic"], np.zeros(0, np.uint64), np.zeros((1, 0)), [np.zeros(0)], [-30.0], [0.5])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: sent.update(run=run, columns=self.columns))
+    toxicity.score(df, chain)
+    assert sent["columns"] == ["doc_id", "text"]  # a text goes to the workers once
+    texts = [" ".join(f"word{i * j % 9973}" for j in range(250)) for i in range(4000)]  # 9 MB
+    batch = common.pa.record_batch({c: range(4000) if c == "doc_id" else texts for c in sent["columns"]})
+    found = [np.arange(i, i + 1000, dtype=np.uint64) for i in range(3000)]  # 24 MB
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    y, folds = np.arange(3000)[:, None] % 2, np.arange(3000) % 3
+    for run, most in ((lambda: sum(x.num_rows for x in sent["run"](iter([batch]))), 100e6), (lambda: len(toxicity.train(found, y, folds, ["toxic"]).bias), 45e6)):
+        tracemalloc.start()
+        try:
+            assert run() in (4000, 1) and tracemalloc.get_traced_memory()[1] < most
+        finally:
+            tracemalloc.stop()
+
+
 # op10
 
 
