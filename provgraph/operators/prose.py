@@ -7,7 +7,7 @@ document mentioned by it last, in this chunk or before; an attachment's target,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
@@ -37,11 +37,14 @@ def candidates(chunks: DataFrame, vocabulary: DataFrame, patterns: list[tuple[st
 
 
 def _last(asked: DataFrame, mentioned: DataFrame, surface: str, out: str) -> DataFrame:
-    """asked (doc, piece, ...) with the node that its document mentioned by the surface last, not after the piece."""
-    before = mentioned.select("doc", F.col("norm").alias("own_norm"), F.col("piece").alias("at"), "n", "node_id")
-    rows = asked.withColumn("ask", F.struct(*asked.columns)).withColumn("own_norm", norm(surface)).join(before, ["doc", "own_norm"]).where("at <= piece")
-    best = rows.groupBy("ask").agg(F.max_by("node_id", F.struct("at", "n")).alias(out)).select("ask.*", out)
-    return asked.join(best, asked.columns, "left")
+    """asked (doc, piece, ...) with the node that its document mentioned by the surface last, not after the piece. Both are rows of
+    one table, sorted within a document and a surface, so what goes out is a row an asked one, however often it is mentioned."""
+    none, rest = F.lit(None), [c for c in asked.columns if c not in RECORD]
+    own = mentioned.where("norm is not null").select(*RECORD, F.col("norm").alias("own_norm"), "n", F.struct("node_id").alias("at"))
+    ask = asked.select(*RECORD, norm(surface).alias("own_norm"), none.cast(own.schema["n"].dataType).alias("n"), none.cast(own.schema["at"].dataType).alias("at"), F.struct(*rest).alias("ask"))
+    rows = own.withColumn("ask", none.cast(ask.schema["ask"].dataType)).union(ask)
+    order = Window.partitionBy("doc", "own_norm").orderBy("piece", F.col("ask").isNotNull(), "n", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("at", F.last("at", ignorenulls=True).over(order)).where("ask is not null").select(*RECORD, "ask.*", F.col("at.node_id").alias(out))
 
 
 def build(chunks: DataFrame, entities: DataFrame, relations: DataFrame, attach: DataFrame, dictionary: DataFrame, nodes: DataFrame, ancestors: DataFrame, pairs: DataFrame, patterns: DataFrame, layer: Layer) -> dict[str, DataFrame]:
