@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import checkpoint
+from .state import checkpoint, stored, swept
 
 EDGE = ["src", "rel", "dst"]
 
@@ -49,33 +49,47 @@ def without_evidence(items: DataFrame, evidence: DataFrame, keys: list[str]) ->
     return items.join(evidence.select(*keys).distinct(), keys, "left_anti")
 
 
+def _followed(moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What chains() tells, apart: (id, target, steps) of ids that come to an end, (id, circle, length, member) of those that don't.
+
+    A round in which none comes to its end has seen all ends: some id of a longer chain would be between once and twice `reach`
+    from its end. Then all that are left run into circles. If besides no least id got smaller, `reach` is no less than any
+    circle's length; if as many ids as before are come to, they change places among themselves, so all are members."""
+    kept, none = moved.where("into is not null").groupBy("id").agg(F.min("into").alias("to")), F.lit(None)
+    kind = kept.schema["id"].dataType
+    with swept(moved.sparkSession):
+        first = stored(kept)
+        goes = first.select(F.col("id").alias("to"), F.lit(True).alias("goes"))
+        on = stored(first.join(goes, "to", "left").select("id", "to", F.when(F.col("goes").isNull(), 1).cast("bigint").alias("steps"), F.col("id").alias("low")))
+        done, way = on.where("steps is not null").select("id", "to", "steps"), on.where("steps is null").select("id", "to", "low")
+        reach, left, last = 1, way.count(), False
+        while left and not last:
+            there = done.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), none.cast(kind).alias("least"))
+            there = there.union(way.select(F.col("id").alias("to"), F.col("to").alias("next"), none.cast("bigint").alias("more"), F.col("low").alias("least")))
+            on = way.join(there, "to").select("id", F.col("next").alias("to"), (F.col("more") + reach).alias("steps"), F.least("low", "least").alias("low"), (F.col("least") < F.col("low")).alias("fell"))
+            on = stored(on)
+            before, way = way, on.where("steps is null").select("id", "to", "low")
+            done = done.union(on.where("steps is not null").select("id", "to", "steps"))
+            now, fell = on.where("steps is null").agg(F.count("*"), F.max("fell")).first()
+            last = left <= reach or now == left and not fell and before.select("to").distinct().count() == way.select("to").distinct().count()
+            reach, left = 2 * reach, now
+    # What is left has come to a member of its circle; such a member has seen all of it and nothing else.
+    own = way.select(F.col("to").alias("id")).distinct().join(way.select("id", "low"), "id")
+    size = own.groupBy("low").agg(F.count("*").alias("length"))
+    circling = way.select("id", "to").join(own.select(F.col("id").alias("to"), "low"), "to").join(size, "low").join(own.select("id", F.lit(True).alias("member")), "id", "left")
+    return done.select("id", F.col("to").alias("target"), "steps"), circling.select("id", F.col("low").alias("circle"), "length", F.coalesce("member", F.lit(False)).alias("member"))
+
+
 def chains(moved: DataFrame) -> DataFrame:
     """(id, target, steps, circle, length, member) for moved (id, into): where a chain of any length ends and after how many steps;
     or, where it runs into a circle, the circle's least member, its length, and whether the id is a member (then target and
     steps are null). Of several `into` of an id the least counts. Pointers double: each round joins those still on their way, whose number falls, with where
     they have come to. An id that is `reach` steps or more from its end has as many ids between on their way as it is
     further, so once no more are on their way than `reach`, the next round has all ends, and what is left circles."""
-    first = checkpoint(moved.where("into is not null").groupBy("id").agg(F.min("into").alias("to")))
-    kind = first.schema["id"].dataType
-    ends = first.select(F.col("to").alias("id")).distinct().join(first, "id", "left_anti")
-    on = first.join(ends.select(F.col("id").alias("to"), F.lit(True).alias("end")), "to", "left").select("id", "to", F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("low"), F.coalesce("end", F.lit(False)).alias("end"))
-    on = checkpoint(on)
-    done, way = on.where("end"), on.where("not end")
-    reach, left, last = 1, way.count(), False
-    while left and not last:
-        last = left <= reach
-        there = done.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.lit(None).cast(kind).alias("least"), F.lit(True).alias("end"))
-        there = there.union(way.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("low").alias("least"), F.lit(False).alias("end")))
-        way = checkpoint(way.drop("end").join(there, "to").select("id", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "least").alias("low"), "end"))
-        done, way = checkpoint(done.union(way.where("end"))), way.where("not end")
-        reach, left = 2 * reach, way.count()
-    # What is left has come to a member of its circle; such a member has seen all of it and nothing else.
-    own = way.select(F.col("to").alias("id")).distinct().join(way.select("id", "low"), "id")
-    size = own.groupBy("low").agg(F.count("*").alias("length"))
-    circle = way.select("id", "to").join(own.select(F.col("id").alias("to"), "low"), "to").join(size, "low").join(own.select("id", F.lit(True).alias("member")), "id", "left")
-    none = F.lit(None)
-    return done.select("id", F.col("to").alias("target"), "steps", none.cast(kind).alias("circle"), none.cast("bigint").alias("length"), F.lit(False).alias("member")).union(
-        circle.select("id", none.cast(kind), none.cast("bigint"), F.col("low"), "length", F.coalesce("member", F.lit(False)))
+    done, circling = _followed(moved)
+    kind, none = done.schema["id"].dataType, F.lit(None)
+    return done.select("id", "target", "steps", none.cast(kind).alias("circle"), none.cast("bigint").alias("length"), F.lit(False).alias("member")).union(
+        circling.select("id", none.cast(kind), none.cast("bigint"), "circle", "length", "member")
     )
 
 
@@ -93,7 +107,7 @@ def redirects(moved: DataFrame) -> DataFrame:
 
 def chain_defects(moved: DataFrame) -> DataFrame:
     """(kind, key, length, ids) for each circle of moved (id, into): its least member, its length, and how many ids end in it."""
-    rows = chains(moved).where("circle is not null").groupBy("circle", "length").agg(F.count("*").alias("ids"))
+    rows = _followed(moved)[1].groupBy("circle", "length").agg(F.count("*").alias("ids"))
     return rows.select(F.lit("chain_circle").alias("kind"), F.col("circle").cast("string").alias("key"), "length", "ids")
 
 
