@@ -96,13 +96,13 @@ def chains(moved: DataFrame) -> DataFrame:
 def redirects(moved: DataFrame) -> DataFrame:
     """(id, target) for moved (id, into): where the chain of each ends. In a circle it ends where it comes for the second time:
     at the id itself, or at the first member of the circle that it comes to (chain_defects names the circle)."""
-    found = checkpoint(chains(moved))
-    straight, circling = found.where("circle is null").select("id", "target"), found.where("circle is not null")
+    done, circling = _followed(moved)
+    straight, circling = done.select("id", "target"), checkpoint(circling.select("id", "member"))
     if circling.isEmpty():
         return straight
     members = circling.where("member").select("id", F.col("id").alias("target"))
     tails = moved.join(circling.where("not member").select("id"), "id", "left_semi")
-    return straight.union(members).union(chains(tails).select("id", "target"))
+    return straight.union(members).union(_followed(tails)[0].select("id", "target"))
 
 
 def chain_defects(moved: DataFrame) -> DataFrame:

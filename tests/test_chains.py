@@ -62,3 +62,18 @@ def test_the_planner_does_not_multiply_sizes_round_by_round(spark):
     done = G.chains(frame(spark, [(i, i + 1) for i in range(1000)], "long"))
     assert done.where("steps = 1000").count() == 1
     assert done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+def test_redirects_store_again_only_what_circles(spark, monkeypatch):
+    """90 ids come to an end, 12 run into circles: the second pass is over these alone."""
+    kept = []
+
+    def checkpoint(df, real=G.checkpoint):
+        kept.append((real(df), df.columns))
+        return kept[-1][0]
+
+    monkeypatch.setattr(G, "checkpoint", checkpoint)
+    moved = [(i, i + 1) for i in range(90)] + [(200 + i, 200 + (i + 1) % 5) for i in range(5)] + [(300 + i, 301 + i if i < 6 else 203) for i in range(7)]
+    out = {r.id: r.target for r in G.redirects(frame(spark, moved, "long")).collect()}
+    assert out == {i: 90 for i in range(90)} | {200 + i: 200 + i for i in range(5)} | {300 + i: 203 for i in range(7)}
+    assert [df.count() for df, columns in kept if "member" in columns] == [12]
